@@ -12,12 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dataloupe.functions.columns import (
-    col, is_numeric, is_temporal, number, present, quoted, require_columns, wall_clock, without_nan,
+    col, is_numeric, is_temporal, number, present, quoted, require_columns, wall_clock,
 )
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.ordering import with_position
 from dataloupe.plans.quantiles import exact_quantiles
-from dataloupe.plans.storage import is_small
+from dataloupe.plans.storage import is_small, materialize
 
 # Interval width, whisker length, smallest share that gets a label, bandwidth
 # factor and grid of violins, axis margins.
@@ -119,6 +119,8 @@ def kde(
         F.max("_y").alias("_high"),
         F.stddev_samp("_y").alias("_sd"),
     )
+    if not is_small(df):
+        groups = materialize(groups)
     groups = groups.where(F.col("_sd") > 0).withColumn(
         "_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)) * F.lit(bw_adjust)
     )

@@ -60,7 +60,8 @@ def outliers_by_group(
         above = _above(df, y, found["p99"])
         hidden = above.agg(_count(), F.sum("_y").alias("outlier_sum")).select(
             F.lit(wording.GLOBAL_GROUP).alias("group"),
-            *[F.lit(found[k]).alias(k) for k in keys],
+            F.lit(found["n"]).cast("long").alias("n"),
+            *[F.lit(found[k]).alias(k) for k in keys[1:]],
             "outlier_count",
             "outlier_sum",
         )
