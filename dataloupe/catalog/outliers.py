@@ -129,7 +129,7 @@ def _counts(table: str, c: str) -> str:
 
 def _concentration(table: str, c: str) -> str:
     return f"""
-SELECT CAST((SELECT v FROM {_counts(table, c)} ORDER BY n DESC, v LIMIT 1) AS VARCHAR) AS top_class,
+SELECT CAST((SELECT v FROM {_counts(table, c)} ORDER BY n DESC, CASE WHEN length(CAST(v AS VARCHAR)) < 64 THEN CAST(v AS VARCHAR) ELSE sha256(CAST(v AS VARCHAR)) END LIMIT 1) AS VARCHAR) AS top_class,
        {r("max(n) / any_value(total) * 100", "top_share")}, count(*) AS unique_count,
        max(n) / any_value(total) * 100 > 50 AS is_imbalanced FROM {_counts(table, c)}"""
 

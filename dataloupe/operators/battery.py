@@ -125,12 +125,16 @@ def facet(
 def fold_tail(df: DataFrame, spec: ChartSpec, primary_metric: str | None) -> DataFrame:
     """Turn the tail of the colour column (or else x) into 'Others' if it is text with more
     than 12 values and the primary metric is numeric."""
-    target = spec.color_by or spec.x
-    if primary_metric is None or not is_numeric(df, primary_metric) or not is_text(df, target):
-        return df
-    if distinct_up_to(df, [target], MAX_K)[target] is not None:
-        return df
-    return top_k_others(df, target, primary_metric)
+    targets = long_tails(df, [spec], primary_metric)
+    return top_k_others(df, targets[0], primary_metric) if targets else df
+
+
+def long_tails(df: DataFrame, specs: list[ChartSpec], primary_metric: str | None) -> list[str]:
+    """The columns of the specs whose tail is to be folded, found with one distinct count."""
+    if primary_metric is None or not is_numeric(df, primary_metric):
+        return []
+    targets = sorted({t for t in (s.color_by or s.x for s in specs) if is_text(df, t)})
+    return [t for t, n in distinct_up_to(df, targets, MAX_K).items() if n is None]
 
 
 def run_chart(
@@ -141,11 +145,14 @@ def run_chart(
     tweak: Tweak | None = None,
     chart_type: str | None = None,
     span_days: int | None = None,
+    shared: dict | None = None,
 ) -> ChartResult:
     """One chart from a spec: choose its type, fold the tail, find and clip outliers, aggregate.
 
-    The type is chosen on the rows as given, and axis advice is taken from them too.
+    The type is chosen on the rows as given, and axis advice is taken from them too. Charts of
+    one table can share what they find out about it by passing the same ``shared`` dictionary.
     """
+    shared = {} if shared is None else shared
     require_columns(df, spec.x, spec.y, spec.color_by)
     axis = None
     if tweak is not None:
@@ -164,12 +171,19 @@ def run_chart(
         chart_type = "rolling_mean"
         if span_days is None and temporal_columns:
             span_days = day_span(df, temporal_columns)
-    df = fold_tail(df, spec, primary_metric)
+    if "tails" not in shared:
+        shared["tails"] = long_tails(df, [spec], primary_metric)
+    if (spec.color_by or spec.x) in shared["tails"]:
+        df = top_k_others(df, spec.color_by or spec.x, primary_metric)
     evidence = None
     if spec.y is not None and is_numeric(df, spec.y):
-        limits = clip_thresholds(df, spec.y, spec.color_by)
-        if not is_small(df):
-            limits = materialize(limits)
+        # Folding x leaves y alone and folding the colour always gives the same labels,
+        # so the limits depend on y and the colour only.
+        key = ("limits", spec.y, spec.color_by)
+        if key not in shared:
+            limits = clip_thresholds(df, spec.y, spec.color_by)
+            shared[key] = limits if is_small(df) else materialize(limits)
+        limits = shared[key]
         evidence = outliers_by_group(df, spec.y, spec.color_by, limits)
         df = clip_outliers(df, spec.y, spec.color_by, limits)
     if tweak is not None and tweak.kind == "facet_grid":
@@ -272,9 +286,10 @@ def chart_battery(
     if not planned:
         raise ValueError(f"no chart scores above {min_score}")
     types = chart_types(df, planned, temporal_columns)
+    shared = {"tails": long_tails(df, planned, primary_metric)}
     tables, found = [], []
     for no, (spec, chart_type) in enumerate(zip(planned, types), start=1):
-        result = run_chart(df, spec, temporal_columns, primary_metric, None, chart_type)
+        result = run_chart(df, spec, temporal_columns, primary_metric, None, chart_type, shared=shared)
         tidy = tidy_chart(result.data, spec, chart_type)
         labels = [F.lit(no).alias("chart_no"), F.lit(spec.level).alias("level"),
                   F.lit(chart_type).alias("chart_type")]

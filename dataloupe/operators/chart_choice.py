@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from dataloupe.functions.columns import is_numeric, require_columns
 from dataloupe.plans.cardinality import distinct_up_to
+from dataloupe.plans.storage import rows_up_to
 from dataloupe.specs import ChartSpec
 
 # Largest pie, and rows above which a violin replaces a box.
@@ -23,7 +24,7 @@ def chart_types(
     pies = {s.x for s, k in zip(specs, kinds) if k[:2] == ("category", None)}
     slices = distinct_up_to(df, sorted(pies), PIE_SLICES)
     violins = ("category", "number", None) in kinds
-    many = violins and df.limit(VIOLIN_ROWS + 1).count() > VIOLIN_ROWS
+    many = violins and rows_up_to(df, VIOLIN_ROWS + 1) > VIOLIN_ROWS
     return [_choice(k, slices.get(s.x) is not None, many) for s, k in zip(specs, kinds)]
 
 

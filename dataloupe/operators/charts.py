@@ -64,8 +64,7 @@ def histogram(df: DataFrame, x: str, hue: str | None = None, max_bins: int = MAX
     """
     rows, _ = _known(df, x, hue)
     values = rows.select(number(df, x).alias("_y"))
-    ends = [F.min("_y").alias("low"), F.max("_y").alias("high")]
-    facts = exact_quantiles(values, "_y", [], {"q1": 0.25, "q3": 0.75}, ends).first()
+    facts = exact_quantiles(values, "_y", [], {"q1": 0.25, "q3": 0.75}).first()
     low, width, bins = _bins(facts, max_bins)
     place = F.least(F.floor((number(df, x) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     keys = [col(hue)] if hue else []
@@ -77,7 +76,7 @@ def histogram(df: DataFrame, x: str, hue: str | None = None, max_bins: int = MAX
 
 
 def _bins(facts, max_bins: int) -> tuple[float, float, int]:
-    n, low, high = facts["n"], facts["low"], facts["high"]
+    n, low, high = facts["n"], facts["min"], facts["max"]
     if not n:
         return 0.0, 1.0, 1
     if high == low:
@@ -170,7 +169,7 @@ def box_stats(df: DataFrame, x: str, y: str, hue: str | list[str] | None = None)
     )
     keys = ["group", *hues]
     levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    boxes = exact_quantiles(rows, "_y", keys, levels)
+    boxes = exact_quantiles(rows, "_y", keys, levels).drop("min", "max", "sum")
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     inside = F.col("_y").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
@@ -196,7 +195,7 @@ def violin(df: DataFrame, x: str, y: str, facet: str | None = None) -> DataFrame
         rows, "_value", keys, VIOLIN_POINTS, VIOLIN_BANDWIDTH, VIOLIN_CUT, common_grid=False
     )
     levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    quartiles = exact_quantiles(rows, "_value", keys, levels).drop("n")
+    quartiles = exact_quantiles(rows, "_value", keys, levels).drop("n", "min", "max", "sum")
     return shape.join(quartiles, keys)
 
 

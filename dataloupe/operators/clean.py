@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dataloupe.functions.columns import col, is_temporal, is_text, present, require_columns
+from dataloupe.functions.columns import (
+    col, fresh, is_temporal, is_text, present, quoted, require_columns,
+)
 from dataloupe.plans.cardinality import short_key
 from dataloupe.plans.storage import materialize
 from dataloupe.sources.names import sanitize_columns
@@ -16,11 +18,8 @@ from dataloupe.specs import ProcessingPlan
 
 def null_cell_count(df: DataFrame) -> DataFrame:
     """One row ``(null_cells)``: empty cells over all columns, NaN counted as empty."""
-    return df.agg(_empty_cells(df).alias("null_cells"))
-
-
-def _empty_cells(df: DataFrame) -> Column:
-    return sum((F.count_if(~present(df, n)) for n in df.columns), F.lit(0).cast("long"))
+    empty = (F.count_if(~present(df, n)) for n in df.columns)
+    return df.agg(sum(empty, F.lit(0).cast("long")).alias("null_cells"))
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
@@ -93,12 +92,22 @@ class CleanReport:
 def clean(df: DataFrame, min_rows: int = 5) -> tuple[DataFrame, CleanReport]:
     """Count nulls and repeats, drop both, check the size and tidy the column names.
 
-    Null rows are filtered before the shuffle that removes repeats (the two steps
-    commute). The cleaned rows are written once, so that the profile and all charts
-    start from the files and not from another shuffle of the raw table.
+    One shuffle groups equal rows and counts the copies, and its result is written once.
+    Everything else, the report too, is read from there: nulls and repeats of the raw table
+    are sums weighted by the copies.
     """
-    null_cells, rows_before = df.agg(_empty_cells(df), F.count(F.lit(1))).first()
-    repeats = duplicate_row_count(df).first()[0]
-    cleaned = materialize(sanitize_columns(drop_duplicates(drop_null_rows(df))))
-    require_min_rows(cleaned, min_rows)
-    return cleaned, CleanReport(null_cells, repeats, rows_before, cleaned.count())
+    copies = fresh("copies", *df.columns)
+    grouped = df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias(copies))
+    written = materialize(grouped)
+    empty = sum((F.when(present(df, n), 0).otherwise(1) for n in df.columns), F.lit(0))
+    figures = written.agg(
+        *[
+            F.coalesce(F.sum(c), F.lit(0).cast("long"))
+            for c in (empty * col(copies), col(copies) - 1, col(copies), (empty == 0).cast("long"))
+        ]
+    ).first()
+    cleaned = sanitize_columns(drop_null_rows(written.drop(copies)))
+    report = CleanReport(*figures)
+    if report.rows_after < min_rows:
+        require_min_rows(cleaned, min_rows)
+    return cleaned, report

@@ -22,13 +22,12 @@ EVIDENCE_SCHEMA = (
 
 
 def clip_thresholds(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
-    """``(_group, n, p99, max, total)`` of the groups whose maximum exceeds 3 x p99 > 0.
+    """``(_group, n, p99, max, sum)`` of the groups whose maximum exceeds 3 x p99 > 0.
 
     Without ``by`` there is one group, without a ``_group`` column.
     """
     rows = _values(df, y, by)
-    extra = [F.max("_y").alias("max"), F.sum("_y").alias("total")]
-    stats = exact_quantiles(rows, "_y", ["_group"] if by else [], {"p99": CLIP_LEVEL}, extra)
+    stats = exact_quantiles(rows, "_y", ["_group"] if by else [], {"p99": CLIP_LEVEL})
     return stats.where((F.col("p99") > 0) & (F.col("max") > TRIGGER * F.col("p99")))
 
 
@@ -52,7 +51,7 @@ def outliers_by_group(
     if not is_numeric(df, y):
         return df.sparkSession.createDataFrame([], EVIDENCE_SCHEMA)
     thresholds = clip_thresholds(df, y, by) if thresholds is None else thresholds
-    keys = ["n", "p99", "max", "total"]
+    keys = ["n", "p99", "max", "sum"]
     if by is None:
         found = thresholds.first()
         if found is None:
@@ -73,7 +72,7 @@ def outliers_by_group(
             .agg(_count(), F.sum("_y").alias("outlier_sum"))
             .withColumnRenamed("_group", "group")
         )
-    share = F.when(F.col("total") > 0, F.col("outlier_sum") / F.col("total") * 100).otherwise(0.0)
+    share = F.when(F.col("sum") > 0, F.col("outlier_sum") / F.col("sum") * 100).otherwise(0.0)
     summary = F.format_string(
         wording.template(wording.OUTLIER_SUMMARY, y), "outlier_count", "max", share
     )
@@ -84,7 +83,7 @@ def outliers_by_group(
         "max",
         "outlier_count",
         "outlier_sum",
-        F.col("total").alias("total_sum"),
+        F.col("sum").alias("total_sum"),
         share.alias("impact_pct"),
         F.bround("max", 2).alias("original_max"),
         F.bround("p99", 2).alias("clipped_at"),
@@ -129,7 +128,6 @@ def numeric_facts(df: DataFrame, y: str) -> Row:
     """Quartiles, moments and sum of one column: a single row, read by the driver."""
     rows = _values(df, y, None)
     extra = [
-        F.sum("_y").alias("total"),
         F.avg("_y").alias("mean"),
         F.stddev_samp("_y").alias("std"),
         F.kurtosis("_y").alias("kurtosis"),
@@ -154,7 +152,7 @@ def iqr_outliers(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
         )
     fence = facts["q3"] + FENCE * (facts["q3"] - facts["q1"])
     hidden = _above(df, y, fence).agg(_count(), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("s"))
-    impact = F.col("s") / F.lit(facts["total"]) * 100 if facts["total"] else F.lit(0.0)
+    impact = F.col("s") / F.lit(facts["sum"]) * 100 if facts["sum"] else F.lit(0.0)
     return hidden.select(
         F.lit(facts["q1"]).alias("q1"),
         F.lit(facts["q3"]).alias("q3"),

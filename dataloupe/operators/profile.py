@@ -18,6 +18,7 @@ from dataloupe.functions.columns import (
 from dataloupe.plans.cardinality import distinct_up_to, short_key, sketch
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.quantiles import exact_quantiles
+from dataloupe.plans.storage import is_small, materialize
 
 # Class names and the limits between them.
 TEMPORAL, NUMERICAL, CATEGORICAL = "TEMPORAL", "NUMERICAL", "CATEGORICAL"
@@ -97,9 +98,8 @@ def numeric_profile(df: DataFrame, facts: ColumnFacts | None = None) -> DataFram
     if not names:
         return _table(df, [], "`column` string, min double, max double, median double, mean double")
     cells = _unpivot(df, {n: number(df, n) for n in names})
-    extra = [F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")]
-    stats = exact_quantiles(cells, "value", ["column"], {"median": 0.5}, extra)
-    return stats.select("column", "min", "max", "median", "mean")
+    stats = exact_quantiles(cells, "value", ["column"], {"median": 0.5})
+    return stats.select("column", "min", "max", "median", (F.col("sum") / F.col("n")).alias("mean"))
 
 
 def _unpivot(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -144,6 +144,8 @@ def categorical_profile(
     sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     # At most one row per column on one side, `top` per column on the other.
     found = ranked.join(F.broadcast(sizes), "column")
+    if not is_small(df):
+        found = materialize(found)
     return _full_values(df, found, [n for n in names if is_text(df, n)])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from dataloupe.functions import wording
 from dataloupe.functions.columns import col, number, present, quoted, require_columns
 from dataloupe.plans.ordering import part_offsets, range_parts, running
-from dataloupe.plans.storage import is_small
+from dataloupe.plans.storage import is_small, materialize
 
 # Share of the total and number of labels at which the list of tops ends.
 COVERAGE = 0.9
@@ -41,7 +41,7 @@ def category_pareto(df: DataFrame, cat: str, val: str) -> DataFrame:
             F.lead("total").over(w).alias("_next"),
         )
     else:
-        parts = range_parts(totals, order)
+        parts = range_parts(materialize(totals), order)
         one = F.lit(1).cast("long")
         offsets = part_offsets(parts, {"_rank": one, "_sum": F.col("total")})
         heads = parts.groupBy("_part").agg(F.max("total").alias("_head"))

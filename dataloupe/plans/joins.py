@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from dataloupe.plans.storage import estimated_bytes, materialize
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20  # of the written files
 SALTS = 64
 
 
@@ -15,8 +16,8 @@ def lookup_join(big: DataFrame, table: DataFrame, on: list[str], how: str = "inn
 
     * A table whose plan is already estimated below Spark's own broadcast limit is
       joined plainly: Catalyst broadcasts it.
-    * Otherwise the table is written once and its rows are counted. Up to
-      ``BROADCAST_ROWS`` narrow rows it is broadcast.
+    * Otherwise the table is written once, and rows and file size are known. Within
+      ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` it is broadcast.
     * Beyond that both sides are shuffled on the key plus a salt. Each key's row is
       repeated once per salt, so a key that owns a third of ``big`` is spread over
       ``SALTS`` tasks.
@@ -26,7 +27,8 @@ def lookup_join(big: DataFrame, table: DataFrame, on: list[str], how: str = "inn
     if size is not None and size <= limit:
         return big.join(table, on, how)
     table = materialize(table)
-    if table.count() <= BROADCAST_ROWS:
+    written = estimated_bytes(table) or 0
+    if written <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(table), on, how)
     return salted_join(big, table, on, how)
 

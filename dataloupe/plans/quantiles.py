@@ -38,43 +38,44 @@ def exact_quantiles(
     probs: dict[str, float],
     extra: list[Column] | None = None,
 ) -> DataFrame:
-    """One row per group: ``by``, ``n``, one column per entry of ``probs``, ``extra``.
+    """One row per group: ``by``, ``n``, ``min``, ``max``, ``sum``, one column per entry of
+    ``probs``, and ``extra``.
 
     ``value`` must be a double column without NULL and NaN, ``by`` columns without
-    NULL. ``extra`` are further aggregates over the same rows. Without ``by`` the
-    result is one row, also for an empty input (n = 0).
+    NULL. ``extra`` are further aggregates over the same rows; on large inputs they cost
+    one more scan. Without ``by`` the result is one row, also for an empty input (n = 0).
     """
     extra = extra or []
     if is_small(df):
         return _single_pass(df, value, by, probs, extra)
     if by:
         quantiles = _bracketed(df, value, by, probs)
-        if not extra:
-            return quantiles
-        rest = df.groupBy(*map(quoted, by)).agg(*extra)
-        return quantiles.join(rest, by)
-    one = df.withColumn("_all", F.lit(0))
-    quantiles = _bracketed(one, value, ["_all"], probs)
-    rest = df.agg(F.lit(0).alias("_all"), *extra)
-    joined = rest.join(quantiles, "_all", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    names = [c for c in rest.columns if c != "_all"]
-    return joined.select("n", *map(quoted, probs), *map(quoted, names))
+        return quantiles.join(df.groupBy(*map(quoted, by)).agg(*extra), by) if extra else quantiles
+    quantiles = _bracketed(df.withColumn("_all", F.lit(0)), value, ["_all"], probs)
+    if extra:
+        one = df.agg(*extra).withColumn("_all", F.lit(0))
+    else:
+        one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    joined = one.join(quantiles, "_all", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return joined.select([quoted(c) for c in [*quantiles.columns, *one.columns] if c != "_all"])
 
 
 def _single_pass(df, value, by, probs, extra) -> DataFrame:
+    y = F.col(quoted(value))
     levels = ", ".join(f"{p!r}D" for p in probs.values())
     found = df.groupBy(*map(quoted, by)).agg(
         F.count(F.lit(1)).alias("n"),
+        F.min(y).alias("min"),
+        F.max(y).alias("max"),
+        F.sum(y).alias("sum"),
         F.expr(f"percentile({quoted(value)}, array({levels}))").alias("_q"),
         *extra,
     )
-    rest = [c for c in found.columns if c not in (*by, "n", "_q")]
     return found.select(
-        *map(quoted, by),
-        "n",
+        *map(quoted, by), "n", "min", "max", "sum",
         *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)],
-        *map(quoted, rest),
-    )
+        *map(quoted, found.columns[len(by) + 5 :]),
+    )
 
 
 def _bracketed(df, value, by, probs) -> DataFrame:
@@ -82,7 +83,7 @@ def _bracketed(df, value, by, probs) -> DataFrame:
     rows = df.select(*keys, F.col(quoted(value)).alias("_y"))
     ordered = sorted(set(probs.values()))
     brackets = materialize(_brackets(rows, keys, ordered))
-    located = lookup_join(rows, brackets, by)
+    located = lookup_join(rows, brackets.select(*keys, "_n", "_b"), by)
 
     # Segment 2i lies below bracket i, segment 2i + 1 is bracket i itself.
     inside = located.select(*keys, "_n", "_y", _segment(len(ordered)).alias("_s"), "_b")
@@ -124,9 +125,11 @@ def _bracketed(df, value, by, probs) -> DataFrame:
         ]
         for p in ordered
     }
-    picked = hits.groupBy(*keys, "_n").agg(
+    picked = hits.groupBy(*keys).agg(
         *[c.alias(f"_{i}_{j}") for i, p in enumerate(ordered) for j, c in enumerate(at[p])]
     )
+    totals_of = brackets.select(*keys, "_n", "_min", "_max", "_sum")
+    picked = picked.join(totals_of, by)
     out = []
     for name, p in probs.items():
         i = ordered.index(p)
@@ -134,11 +137,12 @@ def _bracketed(df, value, by, probs) -> DataFrame:
         position = (F.col("_n") - 1) * F.lit(p)
         share = position - F.floor(position)
         out.append((low * (1 - share) + high * share).alias(name))
-    return picked.select(*keys, F.col("_n").alias("n"), *out)
+    known = [F.col(f"_{n}").alias(n) for n in ("n", "min", "max", "sum")]
+    return picked.select(*keys, *known, *out)
 
 
 def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFrame:
-    """Per group: row count and an array of (lo, hi), one per level."""
+    """Per group: row count, ends, sum, and an array of (lo, hi), one per level."""
     bounds = [b for p in ordered for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     parts = (
         rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
@@ -147,6 +151,7 @@ def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFra
             F.count(F.lit(1)).alias("_n"),
             F.min("_y").alias("_min"),
             F.max("_y").alias("_max"),
+            F.sum("_y").alias("_sum"),
             F.percentile_approx("_y", bounds, ACCURACY).alias("_a"),
         )
     )
@@ -154,6 +159,7 @@ def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFra
         F.sum("_n").alias("_n"),
         F.min("_min").alias("_min"),
         F.max("_max").alias("_max"),
+        F.sum("_sum").alias("_sum"),
         *[F.min(F.col("_a")[2 * i]).alias(f"_lo{i}") for i in range(len(ordered))],
         *[F.max(F.col("_a")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(ordered))],
     )
@@ -166,7 +172,7 @@ def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFra
         )
         for i in range(len(ordered))
     ]
-    return merged.select(*keys, "_n", F.array(*pairs).alias("_b"))
+    return merged.select(*keys, "_n", "_min", "_max", "_sum", F.array(*pairs).alias("_b"))
 
 
 def _segment(levels: int) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_BYTES_CONF = "spark.dataloupe.smallBytes"
-SMALL_BYTES = 256 << 20
+SMALL_BYTES = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, without running it; None if not available."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except AttributeError:  # remote session: no plan on this side
         return None
 
@@ -29,6 +29,11 @@ def is_small(df: DataFrame) -> bool:
     return size is not None and size <= limit
 
 
+def rows_up_to(df: DataFrame, n: int) -> int:
+    """The number of rows, but at most ``n``; reads partitions only until n are found."""
+    return len(df.select(F.lit(1)).take(n))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

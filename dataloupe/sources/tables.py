@@ -7,6 +7,7 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dataloupe.functions.columns import col, nan_to_null
+from dataloupe.plans.storage import rows_up_to
 from dataloupe.sources.names import clean_names
 
 # Cell texts that mean "missing".
@@ -104,7 +105,7 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 def require_min_rows(df: DataFrame, n: int = 5) -> DataFrame:
     """Return ``df``, or raise if it is empty or has fewer than ``n`` rows."""
-    found = df.limit(n).count()
+    found = rows_up_to(df, n)
     if found == 0:
         raise ValueError("the data set is empty")
     if found < n:
