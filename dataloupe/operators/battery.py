@@ -18,7 +18,7 @@ from dataloupe.operators.features import day_span
 from dataloupe.operators.outliers import clip_outliers, clip_thresholds, outliers_by_group
 from dataloupe.operators.topk import MAX_K, top_k_others
 from dataloupe.plans.cardinality import distinct_up_to
-from dataloupe.plans.storage import is_small, materialize
+from dataloupe.plans.storage import materialize
 from dataloupe.specs import ChartSpec, Tweak
 
 log = logging.getLogger(__name__)
@@ -181,8 +181,7 @@ def run_chart(
         # so the limits depend on y and the colour only.
         key = ("limits", spec.y, spec.color_by)
         if key not in shared:
-            limits = clip_thresholds(df, spec.y, spec.color_by)
-            shared[key] = limits if is_small(df) else materialize(limits)
+            shared[key] = materialize(clip_thresholds(df, spec.y, spec.color_by))
         limits = shared[key]
         evidence = outliers_by_group(df, spec.y, spec.color_by, limits)
         df = clip_outliers(df, spec.y, spec.color_by, limits)

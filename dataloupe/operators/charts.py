@@ -118,7 +118,7 @@ def kde(
         F.max("_y").alias("_high"),
         F.stddev_samp("_y").alias("_sd"),
     )
-    if not is_small(df):
+    if not is_small(rows):
         groups = materialize(groups)
     groups = groups.where(F.col("_sd") > 0).withColumn(
         "_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)) * F.lit(bw_adjust)
@@ -260,7 +260,7 @@ def rolling_mean(
     keys = [quoted(by)] if by else []
     picked = rows.select(*keys, col(x), number(df, y).alias("_y"))
     order = [*[F.asc(k) for k in keys], F.asc(quoted(x)), F.asc_nulls_first("_y")]
-    if is_small(df):
+    if is_small(picked):
         within = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order[len(keys) :])
         done = picked.withColumn("_mean", _trailing(within, size))
     else:

@@ -141,10 +141,11 @@ def categorical_profile(
     # The rank limit is applied inside each partition before the shuffle.
     best = W.partitionBy("column").orderBy(F.desc("n"), F.asc("key"))
     ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    # Reading n here too keeps both branches equal up to their shuffle, which is then shared.
+    sizes = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_unique"))
     # At most one row per column on one side, `top` per column on the other.
     found = ranked.join(F.broadcast(sizes), "column")
-    if not is_small(df):
+    if not is_small(counts):
         found = materialize(found)
     return _full_values(df, found, [n for n in names if is_text(df, n)])
 

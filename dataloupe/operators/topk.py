@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dataloupe.functions import wording
 from dataloupe.functions.columns import col, number, present, quoted, require_columns
-from dataloupe.plans.ordering import part_offsets, range_parts, running
+from dataloupe.plans.ordering import part_offsets, range_parts
 from dataloupe.plans.storage import is_small, materialize
 
 # Share of the total and number of labels at which the list of tops ends.
@@ -31,7 +31,7 @@ def category_pareto(df: DataFrame, cat: str, val: str) -> DataFrame:
     totals = category_totals(df, cat, val)
     grand = _grand_total(df, cat, val)
     order = [F.desc("total"), F.asc(quoted(cat))]
-    if is_small(df):
+    if is_small(totals):
         w = W.partitionBy(F.lit(0)).orderBy(*order)
         ranked = totals.select(
             col(cat),
@@ -42,18 +42,18 @@ def category_pareto(df: DataFrame, cat: str, val: str) -> DataFrame:
         )
     else:
         parts = range_parts(materialize(totals), order)
-        one = F.lit(1).cast("long")
-        offsets = part_offsets(parts, {"_rank": one, "_sum": F.col("total")})
+        offsets = part_offsets(parts, {"_rank": F.lit(1).cast("long"), "_sum": F.col("total")})
         heads = parts.groupBy("_part").agg(F.max("total").alias("_head"))
         following = W.partitionBy(F.lit(0)).orderBy("_part")
         # One row per range partition: bounded by spark.sql.shuffle.partitions.
         edges = offsets.join(heads, "_part").withColumn("_head", F.lead("_head").over(following))
-        inside = W.partitionBy("_part").orderBy(*order)
+        inside = W.partitionBy("_part").orderBy("_row")
+        so_far = inside.rowsBetween(W.unboundedPreceding, 0)
         ranked = parts.join(F.broadcast(edges), "_part").select(
             col(cat),
             "total",
-            (F.col("_rank") + running(parts, order, one)).alias("rank"),
-            (F.col("_sum") + running(parts, order, F.col("total"))).alias("_sum"),
+            (F.col("_rank") + F.col("_row") + 1).alias("rank"),
+            (F.col("_sum") + F.sum("total").over(so_far)).alias("_sum"),
             F.coalesce(F.lead("total").over(inside), F.col("_head")).alias("_next"),
         )
     return ranked.select(

@@ -1,4 +1,4 @@
-"""Global row positions without a one-partition window."""
+"""Global row positions and running totals without a one-partition window."""
 
 from __future__ import annotations
 
@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dataloupe.plans.storage import materialize
 
+ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low bits
+
 
 def range_parts(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` range-partitioned on ``order``, written once, with its part number ``_part``.
+    """``df`` range-partitioned and sorted on ``order``, written once, with the part
+    number ``_part`` and the 0-based row number inside the part ``_row``.
 
     Parts follow each other in the order; ``order`` must be fine enough that no single
     key holds a large share of the rows, so callers end it with a tie-break column.
     """
-    ranged = df.repartitionByRange(*order)
-    return materialize(ranged.withColumn("_part", F.spark_partition_id()))
-
-
-def running(parts: DataFrame, order: list[Column], value: Column) -> Column:
-    """Running total of ``value`` inside one part."""
-    frame = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return F.sum(value).over(frame)
+    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = materialize(sorted_parts.withColumn("_id", F.monotonically_increasing_id()))
+    return written.select(
+        *df.columns,
+        F.shiftright("_id", ROW_BITS).cast("int").alias("_part"),
+        F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row"),
+    )
 
 
 def part_offsets(parts: DataFrame, totals: dict[str, Column]) -> DataFrame:
@@ -33,12 +35,10 @@ def part_offsets(parts: DataFrame, totals: dict[str, Column]) -> DataFrame:
 
 
 def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` plus its 0-based position in the global order, computed part by part."""
+    """``df`` plus its 0-based position in the global order: the row number inside the part
+    plus the rows of the earlier parts. One shuffle, the range partitioning itself."""
     parts = range_parts(df, order)
-    one = F.lit(1).cast("long")
-    offsets = part_offsets(parts, {"_base": one})
+    offsets = part_offsets(parts, {"_base": F.lit(1).cast("long")})
     # One row per range partition: bounded by spark.sql.shuffle.partitions.
     numbered = parts.join(F.broadcast(offsets), "_part")
-    return numbered.withColumn(name, F.col("_base") + running(parts, order, one) - 1).drop(
-        "_part", "_base"
-    )
+    return numbered.withColumn(name, F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")

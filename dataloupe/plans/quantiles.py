@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation, per group, at any group size.
 
 ``percentile`` keeps every distinct value of a group in one task. That is the
-cheapest exact plan for small inputs and impossible for a group with 10^11 rows,
-so large inputs take a bracketing plan instead:
+cheapest exact plan for tiny inputs and impossible for a group with 10^11 rows,
+so everything else takes a bracketing plan:
 
 1. ``percentile_approx`` per (group, salt) gives each salt's rank bounds a little
    left and right of the wanted one. The smallest left and the largest right bound
@@ -10,8 +10,9 @@ so large inputs take a bracketing plan instead:
    lies at or below a value, so does a share p of the whole.
 2. One more scan counts rows per distinct value inside the bracket, and only totals
    outside it. About 0.1 % of the rows reach the shuffle.
-3. The bracket is cut into equal cells; cell totals locate the cell of each wanted
-   rank, and only the values of those cells are put in order.
+3. The values in the brackets are put in order. On large inputs each bracket is first
+   cut into equal cells; cell totals locate the cell of each wanted rank, and only the
+   values of those cells are sorted.
 
 The result is exact. A rank outside its bracket raises instead of returning a wrong value.
 """
@@ -23,12 +24,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dataloupe.functions.columns import quoted
-from dataloupe.plans.joins import SALTS, lookup_join
-from dataloupe.plans.storage import is_small, materialize
+from dataloupe.plans.joins import lookup_join
+from dataloupe.plans.storage import estimated_bytes, is_small, materialize
 
 ACCURACY = 10_000  # rank error of the sketch is at most n / ACCURACY
 MARGIN = 4 / ACCURACY
 CELLS = 4096
+SINGLE_PASS = 1 / 32  # of the small limit
+BYTES_PER_SALT = 8 << 30  # 64 input splits, so that one task merges few sketches
+MOST_SALTS = 256
 
 
 def exact_quantiles(
@@ -46,7 +50,7 @@ def exact_quantiles(
     one more scan. Without ``by`` the result is one row, also for an empty input (n = 0).
     """
     extra = extra or []
-    if is_small(df):
+    if is_small(df, SINGLE_PASS):
         return _single_pass(df, value, by, probs, extra)
     if by:
         quantiles = _bracketed(df, value, by, probs)
@@ -78,101 +82,91 @@ def _single_pass(df, value, by, probs, extra) -> DataFrame:
     )
 
 
-def _bracketed(df, value, by, probs) -> DataFrame:
+def _bracketed(df: DataFrame, value: str, by: list[str], probs: dict[str, float]) -> DataFrame:
+    large = not is_small(df)
     keys = [quoted(b) for b in by]
     rows = df.select(*keys, F.col(quoted(value)).alias("_y"))
     ordered = sorted(set(probs.values()))
-    brackets = materialize(_brackets(rows, keys, ordered))
-    located = lookup_join(rows, brackets.select(*keys, "_n", "_b"), by)
+    brackets = _brackets(rows, keys, ordered)
+    located = lookup_join(rows, materialize(brackets) if large else brackets, by)
 
     # Segment 2i lies below bracket i, segment 2i + 1 is bracket i itself.
-    inside = located.select(*keys, "_n", "_y", _segment(len(ordered)).alias("_s"), "_b")
-    inside = inside.where(F.col("_s").isNotNull())
+    segment = _segment(len(ordered))
+    inside = located.withColumn("_s", segment).where(F.col("_s").isNotNull())
     in_bracket = F.col("_s") % 2 == 1
-    edge = F.col("_b")[(F.col("_s") / 2).cast("int")]
-    width = edge["hi"] - edge["lo"]
-    cell = F.when(
-        in_bracket & (width > 0),
-        F.least(F.floor((F.col("_y") - edge["lo"]) / width * CELLS), F.lit(CELLS - 1)),
-    ).otherwise(F.lit(0))
-    keyed = inside.select(
-        *keys, "_n", "_s", cell.cast("int").alias("_c"), F.when(in_bracket, F.col("_y")).alias("_v")
-    )
-    counted = materialize(
-        keyed.groupBy(*keys, "_n", "_s", "_c", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    counted = (
+        inside.withColumn("_c", _cell(in_bracket) if large else F.lit(0))
+        .withColumn("_v", F.when(in_bracket, F.col("_y")))
+        .groupBy(*keys, "_t", "_s", "_c", "_v")
+        .agg(F.count(F.lit(1)).alias("_m"))
     )
-
-    # Cell totals: at most CELLS + 1 per level and group, whatever the group's size.
-    totals = counted.groupBy(*keys, "_n", "_s", "_c").agg(F.sum("_m").alias("_t"))
-    before = W.partitionBy(*keys).orderBy("_s", "_c")
-    totals = totals.withColumn("_end", F.sum("_t").over(before.rowsBetween(W.unboundedPreceding, 0)))
-    totals = totals.withColumn("_start", F.col("_end") - F.col("_t"))
-    ranks = [r for p in ordered for r in _ranks(p)]
-    wanted = reduce(
-        lambda a, b: a | b, [(F.col("_start") <= r) & (r < F.col("_end")) for r in ranks]
-    )
-    cells = totals.where(wanted).select(*keys, "_s", "_c", "_start")
-
-    within = W.partitionBy(*keys, "_s", "_c").orderBy("_v")
-    hits = lookup_join(counted, cells, [*by, "_s", "_c"])
-    hits = hits.withColumn(
-        "_end", F.col("_start") + F.sum("_m").over(within.rowsBetween(W.unboundedPreceding, 0))
-    ).withColumn("_start", F.col("_end") - F.col("_m"))
-    at = {
-        p: [
-            F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), _checked(F.col("_v"))))
-            for r in _ranks(p)
+    if large:
+        counted = materialize(counted)
+        cells = _wanted_cells(counted, keys, [r for p in ordered for r in _ranks(p)])
+        within = W.partitionBy(*keys, "_s", "_c").orderBy("_v")
+        placed = lookup_join(counted, cells, [*by, "_s", "_c"])
+        before = F.col("_start")
+    else:
+        within = W.partitionBy(*keys).orderBy("_s", "_v")
+        placed, before = counted, F.lit(0)
+    end = before + F.sum("_m").over(within.rowsBetween(W.unboundedPreceding, 0))
+    hits = placed.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_m"))
+
+    def value_at(rank: Column) -> Column:
+        here = (F.col("_start") <= rank) & (rank < F.col("_end"))
+        return F.max(F.when(here, _checked(F.col("_v"))))
+
+    picked = hits.groupBy(*keys, "_t").agg(
+        *[
+            value_at(rank).alias(f"_{i}_{side}")
+            for i, p in enumerate(ordered)
+            for side, rank in enumerate(_ranks(p))
         ]
-        for p in ordered
-    }
-    picked = hits.groupBy(*keys).agg(
-        *[c.alias(f"_{i}_{j}") for i, p in enumerate(ordered) for j, c in enumerate(at[p])]
     )
-    totals_of = brackets.select(*keys, "_n", "_min", "_max", "_sum")
-    picked = picked.join(totals_of, by)
-    out = []
+    found = []
     for name, p in probs.items():
         i = ordered.index(p)
-        low, high = F.col(f"_{i}_0"), F.col(f"_{i}_1")
-        position = (F.col("_n") - 1) * F.lit(p)
+        position = (F.col("_t")["n"] - 1) * F.lit(p)
         share = position - F.floor(position)
-        out.append((low * (1 - share) + high * share).alias(name))
-    known = [F.col(f"_{n}").alias(n) for n in ("n", "min", "max", "sum")]
-    return picked.select(*keys, *known, *out)
+        found.append((F.col(f"_{i}_0") * (1 - share) + F.col(f"_{i}_1") * share).alias(name))
+    return picked.select(*keys, "_t.n", "_t.min", "_t.max", "_t.sum", *found)
 
 
 def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFrame:
-    """Per group: row count, ends, sum, and an array of (lo, hi), one per level."""
+    """Per group: its totals ``_t`` and an array ``_b`` of (lo, hi), one per level."""
     bounds = [b for p in ordered for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    size = estimated_bytes(rows)
+    salts = MOST_SALTS if size is None else min(MOST_SALTS, 1 + size // BYTES_PER_SALT)
     parts = (
-        rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
         .groupBy(*keys, "_salt")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_y").alias("_min"),
-            F.max("_y").alias("_max"),
-            F.sum("_y").alias("_sum"),
+            F.count(F.lit(1)).alias("n"),
+            F.min("_y").alias("min"),
+            F.max("_y").alias("max"),
+            F.sum("_y").alias("sum"),
             F.percentile_approx("_y", bounds, ACCURACY).alias("_a"),
         )
     )
     merged = parts.groupBy(*keys).agg(
-        F.sum("_n").alias("_n"),
-        F.min("_min").alias("_min"),
-        F.max("_max").alias("_max"),
-        F.sum("_sum").alias("_sum"),
+        F.sum("n").alias("n"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.sum("sum").alias("sum"),
         *[F.min(F.col("_a")[2 * i]).alias(f"_lo{i}") for i in range(len(ordered))],
         *[F.max(F.col("_a")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(ordered))],
     )
     # In a group this short the margin is less than a rank: take all of it.
-    whole = F.col("_n") <= ACCURACY
+    whole = F.col("n") <= ACCURACY
     pairs = [
         F.struct(
-            F.when(whole, F.col("_min")).otherwise(F.col(f"_lo{i}")).alias("lo"),
-            F.when(whole, F.col("_max")).otherwise(F.col(f"_hi{i}")).alias("hi"),
+            F.when(whole, F.col("min")).otherwise(F.col(f"_lo{i}")).alias("lo"),
+            F.when(whole, F.col("max")).otherwise(F.col(f"_hi{i}")).alias("hi"),
         )
         for i in range(len(ordered))
     ]
-    return merged.select(*keys, "_n", "_min", "_max", "_sum", F.array(*pairs).alias("_b"))
+    totals = F.struct("n", "min", "max", "sum")
+    return merged.select(*keys, totals.alias("_t"), F.array(*pairs).alias("_b"))
 
 
 def _segment(levels: int) -> Column:
@@ -184,9 +178,28 @@ def _segment(levels: int) -> Column:
     return out
 
 
+def _cell(in_bracket: Column) -> Column:
+    """The cell of a value in its bracket; the order of cells is the order of values."""
+    edge = F.col("_b")[(F.col("_s") / 2).cast("int")]
+    width = edge["hi"] - edge["lo"]
+    place = F.least(F.floor((F.col("_y") - edge["lo"]) / width * CELLS), F.lit(CELLS - 1))
+    return F.when(in_bracket & (width > 0), place).otherwise(F.lit(0)).cast("int")
+
+
+def _wanted_cells(counted: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """``(keys, _s, _c, _start)`` of the cells that hold a wanted rank. At most CELLS + 1
+    totals per level and group are put in order, whatever the group's size."""
+    totals = counted.groupBy(*keys, "_t", "_s", "_c").agg(F.sum("_m").alias("_w"))
+    so_far = W.partitionBy(*keys).orderBy("_s", "_c").rowsBetween(W.unboundedPreceding, 0)
+    totals = totals.withColumn("_end", F.sum("_w").over(so_far))
+    totals = totals.withColumn("_start", F.col("_end") - F.col("_w"))
+    holds = [(F.col("_start") <= r) & (r < F.col("_end")) for r in ranks]
+    return totals.where(reduce(lambda a, b: a | b, holds)).select(*keys, "_s", "_c", "_start")
+
+
 def _ranks(p: float) -> list[Column]:
     """Zero-based ranks of the two values that enclose level ``p``."""
-    position = (F.col("_n") - 1) * F.lit(p)
+    position = (F.col("_t")["n"] - 1) * F.lit(p)
     return [F.floor(position), F.ceil(position)]
 
 

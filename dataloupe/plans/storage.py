@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_BYTES_CONF = "spark.dataloupe.smallBytes"
-SMALL_BYTES = 64 << 20
+SMALL_BYTES = 8 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -19,14 +19,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame) -> bool:
+def is_small(df: DataFrame, share: float = 1.0) -> bool:
     """Whether one task could hold the frame. Only chooses between two exact plans.
 
-    The limit is ``spark.dataloupe.smallBytes`` (0 makes every frame large).
+    The limit is ``spark.dataloupe.smallBytes`` (0 makes every frame large), times ``share``.
     """
     limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(SMALL_BYTES)))
     size = estimated_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size <= limit * share
 
 
 def rows_up_to(df: DataFrame, n: int) -> int:
