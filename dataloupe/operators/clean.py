@@ -47,12 +47,13 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Rename; names the frame lacks are ignored, colliding results are rejected."""
+    """Rename all at once, so names may be swapped. Names the frame lacks are ignored,
+    colliding results are rejected."""
     names = [mapping.get(n, n) for n in df.columns]
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
         raise ValueError(f"renaming gives several columns the names {repeated}")
-    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
+    return df.toDF(*names)
 
 
 def coerce_timestamp(

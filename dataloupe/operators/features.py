@@ -58,14 +58,27 @@ def _need_time(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {wrong} hold no dates or timestamps")
 
 
+# Calendar names in the order of dayofweek() and month().
+DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+MONTHS = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September",
+    "October", "November", "December",
+)
+
+
+def _named(names: tuple[str, ...], number: Column) -> Column:
+    """A lookup in a constant array: many times cheaper than formatting each date."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), number)
+
+
 def add_day_name(df: DataFrame, name: str) -> DataFrame:
     _need_time(df, name)
-    return df.withColumn(f"{name}_day", F.date_format(wall_clock(name), "EEEE"))
+    return df.withColumn(f"{name}_day", _named(DAYS, F.dayofweek(wall_clock(name))))
 
 
 def add_month_name(df: DataFrame, name: str) -> DataFrame:
     _need_time(df, name)
-    return df.withColumn(f"{name}_month", F.date_format(wall_clock(name), "MMMM"))
+    return df.withColumn(f"{name}_month", _named(MONTHS, F.month(wall_clock(name))))
 
 
 def add_year(df: DataFrame, name: str) -> DataFrame:
