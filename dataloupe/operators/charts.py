@@ -133,7 +133,7 @@ def kde(
 
     cell = F.floor((F.col("_y") - F.col("_low")) / F.col("_h") * CELLS_PER_BANDWIDTH)
     cells = (
-        lookup_join(rows, groups, keys)
+        lookup_join(rows, groups, keys, "_n")
         .groupBy(*names, "_h", "_start", "_step", cell.alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_m"), F.avg("_y").alias("_at"))
     )
@@ -173,7 +173,7 @@ def box_stats(df: DataFrame, x: str, y: str, hue: str | list[str] | None = None)
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     inside = F.col("_y").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        lookup_join(rows, boxes, keys)
+        lookup_join(rows, boxes, keys, "n")
         .groupBy(*map(quoted, keys), "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_y"))).alias("whisker_low"),
@@ -350,9 +350,9 @@ def composition(df: DataFrame, x: str, segment: str, zero_cells: bool = False) -
         labels = [n for n in wide.columns if n != "x"]
         filled = wide.fillna(0, [quoted(n) for n in labels])
         counts = filled.unpivot("x", [quoted(n) for n in labels], "segment", "n")
-    totals = counts.groupBy("x").agg(F.sum("n").alias("_total"))
+    totals = counts.groupBy("x").agg(F.sum("n").alias("_total"), F.count("n").alias("_segments"))
     share = F.col("n") / F.col("_total") * 100
-    joined = lookup_join(counts, totals, ["x"])
+    joined = lookup_join(counts, totals, ["x"], "_segments")
     return joined.select(
         "x", "segment", "n", share.alias("pct"), (share > LABEL_SHARE).alias("show_label")
     )

@@ -65,7 +65,7 @@ def outliers_by_group(
             "outlier_sum",
         )
     else:
-        joined = lookup_join(_values(df, y, by), thresholds, ["_group"])
+        joined = lookup_join(_values(df, y, by), thresholds, ["_group"], "n")
         hidden = (
             joined.where(F.col("_y") > F.col("p99"))
             .groupBy("_group", *keys)
@@ -118,8 +118,8 @@ def clip_outliers(
     if by is None:
         found = thresholds.first()
         return df if found is None else df.where(~present(df, y) | (col(y) <= F.lit(found["p99"])))
-    limits = thresholds.select("_group", F.col("p99").alias("_limit"))
-    joined = lookup_join(df.withColumn("_group", col(by)), limits, ["_group"], "left")
+    limits = thresholds.select("_group", F.col("p99").alias("_limit"), F.col("n").alias("_rows"))
+    joined = lookup_join(df.withColumn("_group", col(by)), limits, ["_group"], "_rows", "left")
     inside = F.col("_limit").isNull() | ~present(df, y) | (col(y) <= F.col("_limit"))
     return joined.where(inside).select([col(n) for n in df.columns])
 

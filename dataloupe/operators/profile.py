@@ -161,8 +161,8 @@ def _full_values(df: DataFrame, found: DataFrame, texts: list[str]) -> DataFrame
         for n in long_names
     ]
     cells = df.select(F.inline(F.array(*pairs))).where(F.length("_text") >= 64)
-    winners = found.where(F.col("column").isin(long_names)).select("column", "key")
-    texts_of = lookup_join(cells, winners, ["column", "key"]).dropDuplicates(["column", "key"])
+    winners = found.where(F.col("column").isin(long_names)).select("column", "key", "n")
+    texts_of = lookup_join(cells, winners, ["column", "key"], "n").drop("n").dropDuplicates(["column", "key"])
     full = found.join(F.broadcast(texts_of), ["column", "key"], "left")
     return full.withColumn("value", F.coalesce("_text", "key")).select(out)
 

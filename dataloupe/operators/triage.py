@@ -47,8 +47,10 @@ def triage_findings(findings: DataFrame, run_col: str) -> DataFrame:
     good = F.coalesce(
         (col("quality_score") >= GOOD) & (col("strategic_score") >= GOOD), F.lit(False)
     )
-    with_good = complete.where(good).select(col(run_col).alias("_run")).distinct()
-    flags = with_good.withColumn("_any_good", F.lit(True))
-    joined = lookup_join(complete.withColumn("_run", col(run_col)), flags, ["_run"], "left")
+    flags = complete.groupBy(col(run_col).alias("_run")).agg(
+        F.max(F.when(good, True)).alias("_any_good"), F.count(F.lit(1)).alias("_rows")
+    )
+    flags = flags.where(F.col("_any_good"))
+    joined = lookup_join(complete.withColumn("_run", col(run_col)), flags, ["_run"], "_rows", "left")
     kept = joined.where(good | F.col("_any_good").isNull())
     return kept.select([col(n) for n in findings.columns])

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from dataloupe.functions.columns import col, quoted
 from dataloupe.plans.storage import estimated_bytes, materialize
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20  # of the written files
-SALTS = 64
 
 
-def lookup_join(big: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def lookup_join(
+    big: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner"
+) -> DataFrame:
     """Join ``big`` to ``table``, which has one row per key of ``on``.
 
+    ``weight`` is the column of ``table`` that tells how many rows of ``big`` have the key.
+
     * A table whose plan is already estimated below Spark's own broadcast limit is
       joined plainly: Catalyst broadcasts it.
     * Otherwise the table is written once, and rows and file size are known. Within
       ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` it is broadcast.
-    * Beyond that both sides are shuffled on the key plus a salt. Each key's row is
-      repeated once per salt, so a key that owns a third of ``big`` is spread over
-      ``SALTS`` tasks.
+    * Beyond that both sides are shuffled, and heavy keys are split, see ``salted_join``.
     """
     limit = _broadcast_limit(big)
     size = estimated_bytes(table)
@@ -30,16 +34,33 @@ def lookup_join(big: DataFrame, table: DataFrame, on: list[str], how: str = "inn
     written = estimated_bytes(table) or 0
     if written <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(table), on, how)
-    return salted_join(big, table, on, how)
+    return salted_join(big, table, on, weight, how)
+
 
+def salted_join(
+    big: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner"
+) -> DataFrame:
+    """Shuffle join in which a key with k shuffle partitions' worth of rows goes to k of them.
 
-def salted_join(big: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Shuffle join on ``on`` plus a row-number salt."""
-    spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    Fewer keys than there are shuffle partitions can each hold more than one partition's
+    share, so the list of heavy keys is short whatever the table, and is broadcast. Rows
+    without a key match nothing and are spread evenly; a heavy key that the table lacks is
+    left to the skew join of adaptive execution.
+    """
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum(col(weight))).first()[0] or 1
+    splits = F.ceil(col(weight) / F.lit(total) * F.lit(partitions)).cast("long")
+    heavy = table.where(splits > 1).select(*map(quoted, on), splits.alias("_splits"))
+    one = F.lit(1).cast("long")
+    no_key = reduce(lambda a, b: a | b, [col(k).isNull() for k in on])
+    splits_here = F.when(no_key, F.lit(partitions)).otherwise(F.coalesce("_splits", one))
+    spread = big.join(F.broadcast(heavy), on, "left").withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), splits_here)
+    )
     copies = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(splits, one) - 1))
     )
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    return spread.drop("_splits").join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _broadcast_limit(df: DataFrame) -> int:

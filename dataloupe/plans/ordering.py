@@ -13,10 +13,13 @@ def range_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` range-partitioned and sorted on ``order``, written once, with the part
     number ``_part`` and the 0-based row number inside the part ``_row``.
 
-    Parts follow each other in the order; ``order`` must be fine enough that no single
-    key holds a large share of the rows, so callers end it with a tie-break column.
+    Parts follow each other in the order. Rows that are equal in all of ``order`` are told
+    apart by the input partition they come from, so that even a third of the table in one
+    key is divided over many parts.
     """
-    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    came_from = df.withColumn("_from", F.spark_partition_id())
+    full_order = [*order, F.asc("_from")]
+    sorted_parts = came_from.repartitionByRange(*full_order).sortWithinPartitions(*full_order)
     written = materialize(sorted_parts.withColumn("_id", F.monotonically_increasing_id()))
     return written.select(
         *df.columns,

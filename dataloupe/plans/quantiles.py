@@ -87,8 +87,8 @@ def _bracketed(df: DataFrame, value: str, by: list[str], probs: dict[str, float]
     keys = [quoted(b) for b in by]
     rows = df.select(*keys, F.col(quoted(value)).alias("_y"))
     ordered = sorted(set(probs.values()))
-    brackets = _brackets(rows, keys, ordered)
-    located = lookup_join(rows, materialize(brackets) if large else brackets, by)
+    brackets = _brackets(rows, keys, ordered).withColumn("_n", F.col("_t")["n"])
+    located = lookup_join(rows, materialize(brackets) if large else brackets, by, "_n")
 
     # Segment 2i lies below bracket i, segment 2i + 1 is bracket i itself.
     segment = _segment(len(ordered))
@@ -104,7 +104,7 @@ def _bracketed(df: DataFrame, value: str, by: list[str], probs: dict[str, float]
         counted = materialize(counted)
         cells = _wanted_cells(counted, keys, [r for p in ordered for r in _ranks(p)])
         within = W.partitionBy(*keys, "_s", "_c").orderBy("_v")
-        placed = lookup_join(counted, cells, [*by, "_s", "_c"])
+        placed = counted.join(cells, [*by, "_s", "_c"])
         before = F.col("_start")
     else:
         within = W.partitionBy(*keys).orderBy("_s", "_v")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dataloupe.plans import joins, quantiles
 from dataloupe.plans.cardinality import distinct_up_to, short_key
-from dataloupe.plans.ordering import with_position
+from dataloupe.plans.ordering import range_parts, with_position
 from dataloupe.plans.quantiles import exact_quantiles
 from dataloupe.plans.storage import estimated_bytes, is_small, materialize, rows_up_to
 
@@ -82,21 +82,34 @@ def test_infinite_values_keep_their_place(spark, plans):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_all_lookup_joins_agree(spark, monkeypatch, how):
-    big = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").where("k < 6")
+    """Key 3 has almost all rows, so the shuffle join splits it."""
+    key = F.when(F.col("id") % 10 < 8, 3).otherwise(F.col("id") % 7).cast("long")
+    big = spark.range(5000).select(key.alias("k"), "id")
     big = big.unionByName(spark.range(50).select(F.lit(None).cast("long").alias("k"), "id"))
-    table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    table = big.where("k < 5").groupBy("k").agg(F.count("id").alias("v"))
     want = sorted(big.join(table, "k", how).collect(), key=str)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert sorted(joins.lookup_join(big, table, ["k"], how).collect(), key=str) == want
+        assert sorted(joins.lookup_join(big, table, ["k"], "v", how).collect(), key=str) == want
         monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-        salted = joins.lookup_join(big, table, ["k"], how)
+        salted = joins.lookup_join(big, table, ["k"], "v", how)
         assert "SortMergeJoin" in explained(salted)
         assert sorted(salted.collect(), key=str) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_equal_keys_are_divided_over_parts(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("v")).repartition(16)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        parts = range_parts(df, [F.asc("v")]).groupBy("_part").count().collect()
+    finally:
+        spark.conf.unset(merging)
+    assert sum(r["count"] for r in parts) == 40_000 and max(r["count"] for r in parts) < 20_000
+
+
 def test_positions_are_the_global_order(spark):
     df = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("v")).repartition(5)
     placed = with_position(df, [F.asc("v")], "pos").orderBy("pos").collect()
