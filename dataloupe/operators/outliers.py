@@ -8,12 +8,15 @@ from dataloupe.functions import wording
 from dataloupe.functions.columns import col, is_numeric, number, present, require_columns
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.quantiles import exact_quantiles
+from dataloupe.plans.storage import materialize
 
 # The clip level, and how far the maximum must exceed it.
 CLIP_LEVEL = 0.99
 TRIGGER = 3
 FENCE = 1.5
 
+FEW_GROUPS = 32
+
 EVIDENCE_SCHEMA = (
     "`group` string, n long, p99 double, max double, outlier_count long, outlier_sum double, "
     "total_sum double, impact_pct double, original_max double, clipped_at double, "
@@ -110,14 +113,24 @@ def clip_outliers(
     df: DataFrame, y: str, by: str | None = None, thresholds: DataFrame | None = None
 ) -> DataFrame:
     """Drop rows above the p99 of their own triggered group; every other row stays,
-    also those without a value or a group."""
+    also those without a value or a group.
+
+    Groups trigger rarely, so up to ``FEW_GROUPS`` limits become a plain filter; more of
+    them are joined.
+    """
     require_columns(df, y, by)
     if not is_numeric(df, y):
         return df
-    thresholds = clip_thresholds(df, y, by) if thresholds is None else thresholds
-    if by is None:
-        found = thresholds.first()
-        return df if found is None else df.where(~present(df, y) | (col(y) <= F.lit(found["p99"])))
+    if thresholds is None:
+        thresholds = materialize(clip_thresholds(df, y, by))
+    few = thresholds.take(FEW_GROUPS + 1)
+    if len(few) <= FEW_GROUPS:
+        for found in few:
+            above = present(df, y) & (col(y) > F.lit(found["p99"]))
+            if by is not None:
+                above = above & col(by).eqNullSafe(F.lit(found["_group"]))
+            df = df.where(~above)
+        return df
     limits = thresholds.select("_group", F.col("p99").alias("_limit"), F.col("n").alias("_rows"))
     joined = lookup_join(df.withColumn("_group", col(by)), limits, ["_group"], "_rows", "left")
     inside = F.col("_limit").isNull() | ~present(df, y) | (col(y) <= F.col("_limit"))

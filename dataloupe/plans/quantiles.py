@@ -56,12 +56,13 @@ def exact_quantiles(
         quantiles = _bracketed(df, value, by, probs)
         return quantiles.join(df.groupBy(*map(quoted, by)).agg(*extra), by) if extra else quantiles
     quantiles = _bracketed(df.withColumn("_all", F.lit(0)), value, ["_all"], probs)
-    if extra:
-        one = df.agg(*extra).withColumn("_all", F.lit(0))
-    else:
-        one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
-    joined = one.join(quantiles, "_all", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return joined.select([quoted(c) for c in [*quantiles.columns, *one.columns] if c != "_all"])
+    names = [c for c in quantiles.columns if c != "_all"]
+    one = quantiles.agg(*[F.max(quoted(c)).alias(c) for c in names])
+    one = one.withColumn("n", F.coalesce("n", F.lit(0)))
+    if not extra:
+        return one
+    rest = df.agg(F.lit(0).alias("_all"), *extra)
+    return one.withColumn("_all", F.lit(0)).join(rest, "_all").drop("_all")
 
 
 def _single_pass(df, value, by, probs, extra) -> DataFrame:

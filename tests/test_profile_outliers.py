@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import dataloupe as dl
+from dataloupe.operators import outliers
 
 NAN = float("nan")
 
@@ -107,7 +108,10 @@ def test_outliers_by_group(frame, plans):
     )
 
 
-def test_clip_removes_only_values_above_their_own_limit(frame, plans):
+@pytest.mark.parametrize("few", [32, 0])
+def test_clip_removes_only_values_above_their_own_limit(frame, plans, monkeypatch, few):
+    """By a filter, and by a join."""
+    monkeypatch.setattr(outliers, "FEW_GROUPS", few)
     rows = grouped()
     df = frame("g string, y double", rows)
     p99 = pd.Series([v for g, v in rows if g == "a" and v is not None]).quantile(0.99)
@@ -117,6 +121,16 @@ def test_clip_removes_only_values_above_their_own_limit(frame, plans):
     assert sorted(map(str, map(tuple, clipped.collect()))) == sorted(map(str, kept))
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp_ntz", "timestamp", "float", "decimal(5,2)", "boolean", "int"])
+def test_clip_groups_of_any_type(spark, kind):
+    literal = {"date": "date'2020-01-01'", "timestamp": "timestamp'2020-01-01 10:00:00'",
+               "timestamp_ntz": "timestamp_ntz'2020-01-01 10:00:00'", "boolean": "true"}.get(kind, "0.1")
+    df = spark.range(200).selectExpr(
+        f"CAST({literal} AS {kind}) AS g", "CASE WHEN id = 3 THEN 1000.0D ELSE CAST(id % 5 + 1 AS DOUBLE) END AS y"
+    )
+    assert dl.clip_outliers(df, "y", "g").count() == 199
+
+
 def test_global_outliers(frame, plans):
     rows = [(float(i % 9 + 1),) for i in range(500)] + [(100.0,), (None,)]
     df = frame("y double", rows)
