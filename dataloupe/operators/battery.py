@@ -17,7 +17,7 @@ from dataloupe.operators.chart_choice import chart_types
 from dataloupe.operators.features import day_span
 from dataloupe.operators.outliers import clip_outliers, clip_thresholds, outliers_by_group
 from dataloupe.operators.topk import MAX_K, top_k_others
-from dataloupe.plans.cardinality import distinct_up_to
+from dataloupe.plans.cardinality import distinct_up_to, sketch_counts
 from dataloupe.plans.storage import materialize
 from dataloupe.specs import ChartSpec, Tweak
 
@@ -129,12 +129,17 @@ def fold_tail(df: DataFrame, spec: ChartSpec, primary_metric: str | None) -> Dat
     return top_k_others(df, targets[0], primary_metric) if targets else df
 
 
-def long_tails(df: DataFrame, specs: list[ChartSpec], primary_metric: str | None) -> list[str]:
+def long_tails(
+    df: DataFrame,
+    specs: list[ChartSpec],
+    primary_metric: str | None,
+    sketches: dict[str, int] | None = None,
+) -> list[str]:
     """The columns of the specs whose tail is to be folded, found with one distinct count."""
     if primary_metric is None or not is_numeric(df, primary_metric):
         return []
     targets = sorted({t for t in (s.color_by or s.x for s in specs) if is_text(df, t)})
-    return [t for t, n in distinct_up_to(df, targets, MAX_K).items() if n is None]
+    return [t for t, n in distinct_up_to(df, targets, MAX_K, sketches).items() if n is None]
 
 
 def run_chart(
@@ -284,8 +289,12 @@ def chart_battery(
     planned = plan_battery(specs, min_score)
     if not planned:
         raise ValueError(f"no chart scores above {min_score}")
-    types = chart_types(df, planned, temporal_columns)
-    shared = {"tails": long_tails(df, planned, primary_metric)}
+    require_columns(df, *{n for s in planned for n in (s.x, s.color_by)})
+    slices = {s.x for s in planned if s.x not in (temporal_columns or []) and not is_numeric(df, s.x)}
+    targets = {t for t in (s.color_by or s.x for s in planned) if is_text(df, t)}
+    sketches = sketch_counts(df, sorted(slices | targets))
+    types = chart_types(df, planned, temporal_columns, sketches)
+    shared = {"tails": long_tails(df, planned, primary_metric, sketches)}
     tables, found = [], []
     for no, (spec, chart_type) in enumerate(zip(planned, types), start=1):
         result = run_chart(df, spec, temporal_columns, primary_metric, None, chart_type, shared=shared)

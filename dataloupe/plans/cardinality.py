@@ -11,6 +11,14 @@ def sketch(df: DataFrame, name: str) -> Column:
     return F.approx_count_distinct(without_nan(df, name))
 
 
+def sketch_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Estimated distinct counts of several columns, in one scan."""
+    if not names:
+        return {}
+    row = df.agg(*[sketch(df, n).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    return dict(zip(names, row))
+
+
 def distinct_up_to(
     df: DataFrame, names: list[str], limit: int, sketches: dict[str, int] | None = None
 ) -> dict[str, int | None]:
@@ -25,9 +33,7 @@ def distinct_up_to(
         raise ValueError("limit must be between 1 and 100")
     if not names:
         return {}
-    if sketches is None:
-        row = df.agg(*[sketch(df, n).alias(f"c{i}") for i, n in enumerate(names)]).first()
-        sketches = dict(zip(names, row))
+    sketches = sketch_counts(df, names) if sketches is None else sketches
     unsure = [n for n in names if sketches[n] <= 2 * limit]
     found: dict[str, int | None] = {n: None for n in names}
     if unsure:
