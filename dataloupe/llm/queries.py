@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dataloupe.llm import pieces, simhash, token_counts
+from dataloupe.llm import pieces, simhash, token_counts, token_store, toxicity
 from dataloupe.llm.frames import whole_text
+from dataloupe.plans.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +42,27 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
+    scored = toxicity.with_toxicity(docs, model, name="score")
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_tokens(spark, path, with_ids=False)
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")

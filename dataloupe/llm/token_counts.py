@@ -67,7 +67,7 @@ class BpeCounter:
                 self.of_byte[byte] = vocabulary[mark]
         longest_first = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, longest_first))) if added else None
-        self.table = ChunkTable(self._of_chunks, NEXT_TO_SPACE.split, _stands_alone)
+        self.table = ChunkTable(self._of_chunks, NEXT_TO_SPACE.split, stands_alone)
         if any(" " in t["content"] for t in added):  # such a token spans chunks
             self.table.cuts, self.table.plain = (lambda text: [text]), (lambda chunk: False)
 
@@ -122,7 +122,7 @@ class BpeCounter:
         return size - merges
 
 
-def _stands_alone(chunk: str) -> bool:
+def stands_alone(chunk: str) -> bool:
     return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
