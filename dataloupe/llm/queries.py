@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dataloupe.llm import pieces, simhash, token_counts, token_store, toxicity
+from dataloupe.llm import decontaminate, pieces, simhash, token_counts, token_store, toxicity
 from dataloupe.llm.frames import whole_text
 from dataloupe.plans.storage import scratch_path
 
@@ -79,3 +79,10 @@ def piece_digests(decoded: DataFrame) -> DataFrame:
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of a document and a benchmark item that it contains."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.benchmark_matches(docs, items)
