@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dataloupe.llm import decontaminate, pieces, simhash, token_counts, token_store, toxicity
+from dataloupe.llm import (
+    decontaminate, html_extract, pieces, simhash, token_counts, token_store, toxicity,
+)
 from dataloupe.llm.frames import whole_text
 from dataloupe.plans.storage import scratch_path
 
@@ -55,6 +57,13 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_extract.with_main_text(pages, name="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
