@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloupe.llm import (
-    decontaminate, html_extract, pieces, simhash, token_counts, token_store, toxicity,
+    decontaminate, html_extract, pieces, pseudo_likelihood, simhash, token_counts, token_store,
+    toxicity,
 )
 from dataloupe.llm.frames import whole_text
 from dataloupe.plans.storage import scratch_path
@@ -95,3 +96,13 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     """The pairs of a document and a benchmark item that it contains."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.benchmark_matches(docs, items)
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and summed log-probability of the words of each document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = pseudo_likelihood.fit_language_model(docs)
+    scored = pseudo_likelihood.with_pseudo_likelihood(docs, model)
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", "log_likelihood", mean.alias("per_word"))
