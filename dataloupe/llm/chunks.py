@@ -17,7 +17,7 @@ class ChunkTable:
     ``plain(chunk)`` is whether a piece between two spaces is a chunk by itself: texts made
     of such pieces are cut by ``str.split``, the others by ``cuts``.
 
-    The table only saves work. When it holds ``MOST_CHUNKS`` entries or ``MOST_CHARS``
+    The table only saves work. When it holds ``most`` entries or ``MOST_CHARS``
     characters it is emptied, so its memory does not follow the vocabulary.
     """
 
@@ -26,8 +26,10 @@ class ChunkTable:
         compute: Callable[[list[str], bool], list],
         cuts: Callable[[str], list[str]],
         plain: Callable[[str], bool],
+        most: int = MOST_CHUNKS,
     ):
         self.compute, self.cuts, self.plain = compute, cuts, plain
+        self.most = most
         self.inner: dict[str, object] = {}
         self.odd: dict[str, object] = {}
         self.first: dict[str, object] = {}
@@ -59,6 +61,6 @@ class ChunkTable:
 
     def _forget(self) -> None:
         held = len(self.inner) + len(self.odd) + len(self.first)
-        if held > MOST_CHUNKS or self.chars > MOST_CHARS:
+        if held > self.most or self.chars > MOST_CHARS:
             self.inner.clear(), self.odd.clear(), self.first.clear()
             self.chars = 0

@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dataloupe.functions.columns import col
@@ -67,3 +71,17 @@ def input_bytes(df: DataFrame, *texts: str) -> int:
     """UTF-8 bytes of the text columns over all rows: one scan."""
     sizes = [F.coalesce(F.sum(F.octet_length(col(t))), F.lit(0)) for t in texts]
     return int(df.agg(sum(sizes, F.lit(0)).alias("n")).first()[0])
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces whose texts have up to ``most_bytes``, or one longer text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False)
+        ends, first = np.cumsum(sizes.astype(np.int64)), 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(first, last - first)
+            first = last

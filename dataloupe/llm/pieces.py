@@ -8,14 +8,16 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
-from dataloupe.functions.columns import col, require_columns
+from dataloupe.functions.columns import require_columns
 from dataloupe.llm.chunks import ChunkTable
-from dataloupe.llm.frames import guarded, model_file, ship, ship
+from dataloupe.llm.frames import guarded, model_file, ship, slices, ship
 
 MARKER = "▁"
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256  # texts or id lists in a task at a time
+MOST_WORDS = 200_000
 SINGLE_SPACE = re.compile(r"(?<=[^ ]) (?=[^ ])")
 CROSSING = re.compile(f"[^{MARKER}]{MARKER}")
 
@@ -37,7 +39,7 @@ class PieceTable:
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         plain = all(self.model.encode(t, out_type=str)[:1] == [e] for t, e in _PROBES)
         self.by_word = plain and not any(CROSSING.search(p) for p in pieces)
-        self.table = ChunkTable(self._of_words, SINGLE_SPACE.split, bool)
+        self.table = ChunkTable(self._of_words, SINGLE_SPACE.split, bool, MOST_WORDS)
 
     def _of_words(self, words: list[str], first: bool) -> list[bytes]:
         return [array("i", ids).tobytes() for ids in self.model.encode(words, num_threads=1)]
@@ -66,27 +68,36 @@ def _pieces(model: bytes) -> PieceTable:
 
 
 def encode_pieces(
-    docs: DataFrame, model: str, text: str = "text", ids: str = "piece_ids"
+    docs: DataFrame,
+    model: str,
+    text: str = "text",
+    ids: str = "piece_ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """``docs`` with the piece ids of each text as an array of ints ``ids``.
 
     ``model`` is the path of a SentencePiece model. The ids are those of its library without
-    begin and end ids and without sampling. A null or empty text has the empty array. One
+    begin and end ids and without sampling. With ``decoded``, the text that the library makes
+    of the ids is a further column. A null or empty text has the empty array and ''. One
     scan without a shuffle: the table of distinct words is kept per task and bounded, as
     joining 10^13 words with a distributed table would move the corpus several times.
     """
     require_columns(docs, text)
-    guarded(docs, ids)
-    ship(docs.sparkSession)
-    file = docs.sparkSession.sparkContext.broadcast(model_file(model))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType()))
+    place = docs.columns.index(text)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = _pieces(file.value)
-        for texts in batches:
-            yield pd.Series([table.encode(t) for t in texts], dtype="object")
+    def encode(table: PieceTable, batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [table.encode(t) for t in batch.column(place).to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *found])
+        columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        if decoded:
+            columns.append(pa.array([table.decode(x.tolist()) for x in found], pa.string()))
+        return columns
 
-    return docs.withColumn(ids, encode(col(text)))
+    return _in_slices(docs, model, place, encode, added)
 
 
 def decode_pieces(
@@ -94,16 +105,36 @@ def decode_pieces(
 ) -> DataFrame:
     """``docs`` with the text of the array ``ids`` as ``text``; null or no ids give ''."""
     require_columns(docs, ids)
-    guarded(docs, text)
+    place = docs.columns.index(ids)
+
+    def decode(table: PieceTable, batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = [table.decode(x or []) for x in batch.column(place).to_pylist()]
+        return [pa.array(texts, pa.string())]
+
+    return _in_slices(docs, model, place, decode, [T.StructField(text, T.StringType())])
+
+
+def _in_slices(docs: DataFrame, model: str, place: int, work, added: list) -> DataFrame:
+    """``docs`` with columns that ``work`` makes of small pieces of the Arrow batches."""
+    guarded(docs, *[f.name for f in added])
     ship(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(model_file(model))
+    schema = T.StructType([*docs.schema.fields, *added])
+    is_text = isinstance(docs.schema[place].dataType, T.StringType)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _pieces(file.value)
-        for lists in batches:
-            yield pd.Series(
-                ["" if x is None else table.decode(x.tolist()) for x in lists], dtype="object"
-            )
+        column = docs_names[place]
+        few = slices(batches, column, SLICE_BYTES) if is_text else _rows(batches)
+        for batch in few:
+            columns = [*batch.columns, *work(table, batch)]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+
+    docs_names = docs.columns
+    return docs.mapInArrow(pieces, schema)
+
 
-    return docs.withColumn(text, decode(col(ids)))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)

@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import forget, guarded, ship, written
+from dataloupe.llm.frames import forget, guarded, ship, slices, written
 from dataloupe.llm.words import mixed, word_hashes, words
 
 
+COUNT_BYTES = 24 << 20  # texts whose words a task counts at a time
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sizes of the network and of its training.
@@ -176,7 +179,7 @@ def count_words(docs: DataFrame, text: str, settings: Settings) -> Vocabulary:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "t", COUNT_BYTES):
             every = [word_hashes(words(t)) for t in batch.column(0).to_pylist()]
             found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *every]), return_counts=True)
             arrays = [pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))]

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloupe.llm import (
-    decontaminate, html_extract, pieces, pseudo_likelihood, simhash, token_counts, token_store,
-    toxicity,
+    decontaminate, html_extract, pieces, pseudo_likelihood, simhash, suffix_dedup, token_counts,
+    token_store, toxicity,
 )
 from dataloupe.llm.frames import whole_text
 from dataloupe.plans.storage import scratch_path
@@ -45,6 +45,19 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = suffix_dedup.with_cut(docs, suffix_dedup.shared_spans(docs))
+    return cut.select(
+        "doc_id",
+        F.octet_length(whole_text("text")).cast("long").alias("n_bytes"),
+        "kept.n_removed",
+        "kept.n_spans",
+        F.sha2("kept.kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -77,8 +90,7 @@ def op7_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = pieces.encode_pieces(docs, model).drop("text")
-    return piece_digests(pieces.decode_pieces(encoded, model))
+    return piece_digests(pieces.encode_pieces(docs, model, decoded="decoded"))
 
 
 def piece_digests(decoded: DataFrame) -> DataFrame:

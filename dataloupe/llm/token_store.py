@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from dataloupe.functions.columns import col, require_columns
 from dataloupe.llm.chunks import ChunkTable
-from dataloupe.llm.frames import model_file, ship
+from dataloupe.llm.frames import model_file, ship, slices
 from dataloupe.llm.huffman import Codebook, code_lengths
 from dataloupe.llm.token_counts import NEXT_TO_SPACE, stands_alone
 from dataloupe.plans.ordering import part_offsets
 from dataloupe.plans.storage import scratch_path
 
 BLOCK_IDS = 1 << 18
+SLICE_BYTES = 1 << 20  # texts tokenized at a time
+MOST_CHUNKS = 300_000
 
 
 class IdTable:
@@ -42,7 +44,7 @@ class IdTable:
         odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         spaced = any(re.search(r"\s", t["content"]) for t in added)
         self.by_chunk = plain and not (spec["normalizer"] or odd or spaced)
-        self.table = ChunkTable(self._of_chunks, NEXT_TO_SPACE.split, stands_alone)
+        self.table = ChunkTable(self._of_chunks, NEXT_TO_SPACE.split, stands_alone, MOST_CHUNKS)
 
     def _of_chunks(self, chunks: list[str], first: bool) -> list[bytes]:
         texts = chunks if first else [" " + c for c in chunks]
@@ -158,7 +160,7 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, start = _ids(definition.value), 0
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             data = [table.encode(t) + end for t in batch.column("text").to_pylist()]
             sizes = np.asarray([len(d) // 4 for d in data], np.int64)
             starts = start + np.cumsum(sizes) - sizes
