@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloupe.llm import (
-    decontaminate, html_extract, pieces, pseudo_likelihood, simhash, suffix_dedup, token_counts,
-    token_store, toxicity,
+    decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, simhash, suffix_dedup,
+    token_counts, token_store, toxicity,
 )
 from dataloupe.llm.frames import whole_text
 from dataloupe.plans.storage import scratch_path
@@ -45,6 +45,12 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = nn_descent.near_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @query
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
