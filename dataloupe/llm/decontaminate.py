@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import input_bytes, ship
+from dataloupe.llm.frames import input_bytes, ship, unused
 from dataloupe.llm.words import gram_hashes, word_hashes, words
 
 BLOCK_BYTES = 16 << 20  # benchmark texts that one scan of the corpus looks for
@@ -232,5 +232,6 @@ def _search(sent, seed: int, threshold: float, kinds: list[pa.DataType]):
 
 def without_benchmark(docs: DataFrame, matches: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key is in none of ``matches``; null keys match each other."""
-    hits = matches.select(col(key).alias("_hit")).distinct()
-    return docs.join(hits, col(key).eqNullSafe(F.col("_hit")), "left_anti")
+    hit = unused(docs, "hit")
+    hits = matches.select(col(key).alias(hit)).distinct()
+    return docs.join(hits, col(key).eqNullSafe(col(hit)), "left_anti")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dataloupe.functions.columns import col
+from dataloupe.functions.columns import col, fresh
 from dataloupe.plans.storage import materialize
 
 MOST_MODEL_BYTES = 64 << 20
@@ -30,11 +30,15 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def guarded(df: DataFrame, *names: str) -> None:
-    """Reject result names that the frame already has; Spark compares them without case."""
-    taken = {n.lower() for n in df.columns}
-    if clash := [n for n in names if n.lower() in taken]:
-        raise ValueError(f"the frame already has the columns {clash}")
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` that ``names`` do not replace; Spark compares without case."""
+    replaced = {n.lower() for n in names}
+    return [n for n in df.columns if n.lower() not in replaced]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A helper's name that no column of ``df`` has in any case."""
+    return fresh(name, *map(str.lower, df.columns))
 
 
 def model_file(path: str) -> bytes:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import guarded, ship
+from dataloupe.llm.frames import ship
 
 # Names of HTML.
 BLOCK_TAGS = frozenset(
@@ -276,11 +276,10 @@ def with_main_text(
 ) -> DataFrame:
     """``pages`` with the main text of each whole page as a string ``name``.
 
-    Null, empty and text-free pages give ''. One scan without a shuffle; a page is the unit
+    Null, empty and text-free pages give ''; a column ``name`` is replaced. One scan without a shuffle; a page is the unit
     of work.
     """
     require_columns(pages, markup)
-    guarded(pages, name)
     ship(pages.sparkSession)
 
     @F.pandas_udf("string")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, types as T
 
 from dataloupe.functions.columns import require_columns
 from dataloupe.llm.chunks import ChunkTable
-from dataloupe.llm.frames import guarded, model_file, ship, slices, ship
+from dataloupe.llm.frames import model_file, others, ship, slices, ship
 
 MARKER = "▁"
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 256  # texts or id lists in a task at a time
@@ -78,8 +78,8 @@ def encode_pieces(
 
     ``model`` is the path of a SentencePiece model. The ids are those of its library without
     begin and end ids and without sampling. With ``decoded``, the text that the library makes
-    of the ids is a further column. A null or empty text has the empty array and ''. One
-    scan without a shuffle: the table of distinct words is kept per task and bounded, as
+    of the ids is a further column. A null or empty text has the empty array and ''. Columns
+    of these names are replaced. One scan without a shuffle: the table of distinct words is kept per task and bounded, as
     joining 10^13 words with a distributed table would move the corpus several times.
     """
     require_columns(docs, text)
@@ -116,10 +116,10 @@ def decode_pieces(
 
 def _in_slices(docs: DataFrame, model: str, place: int, work, added: list) -> DataFrame:
     """``docs`` with columns that ``work`` makes of small pieces of the Arrow batches."""
-    guarded(docs, *[f.name for f in added])
     ship(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(model_file(model))
-    schema = T.StructType([*docs.schema.fields, *added])
+    kept = [docs.columns.index(n) for n in others(docs, *[f.name for f in added])]
+    schema = T.StructType([*[docs.schema[i] for i in kept], *added])
     is_text = isinstance(docs.schema[place].dataType, T.StringType)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _in_slices(docs: DataFrame, model: str, place: int, work, added: list) -> Da
         column = docs_names[place]
         few = slices(batches, column, SLICE_BYTES) if is_text else _rows(batches)
         for batch in few:
-            columns = [*batch.columns, *work(table, batch)]
+            columns = [*map(batch.column, kept), *work(table, batch)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     docs_names = docs.columns

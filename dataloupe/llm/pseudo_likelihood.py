@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import forget, guarded, ship, slices, written
+from dataloupe.llm.frames import forget, others, ship, slices, unused, written
 from dataloupe.llm.words import mixed, word_hashes, words
 
 
@@ -285,11 +285,11 @@ def with_pseudo_likelihood(
     """``docs`` with the summed conditional log-probabilities (natural) of all words of each
     whole text as a double ``name`` and their number as a long ``count``.
 
-    Null and empty texts, and those of punctuation only, get 0.0 and 0. One scan without a
+    Null and empty texts, and those of punctuation only, get 0.0 and 0. Columns of these names
+    are replaced. One scan without a
     shuffle; the model (about 3 MB at the default sizes) is broadcast.
     """
     require_columns(docs, text)
-    guarded(docs, name, count)
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -307,9 +307,10 @@ def with_pseudo_likelihood(
                 }
             )
 
-    scored = docs.withColumn("_score", score(col(text)))
+    both = unused(docs, "score")
+    scored = docs.withColumn(both, score(col(text)))
     return scored.select(
-        *[col(n) for n in docs.columns],
-        F.col("_score.log_likelihood").alias(name),
-        F.col("_score.n_words").alias(count),
+        *map(col, others(docs, name, count)),
+        col(both)["log_likelihood"].alias(name),
+        col(both)["n_words"].alias(count),
     )

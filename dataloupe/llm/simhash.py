@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import guarded, ship, written
+from dataloupe.llm.frames import ship, unused, written
 from dataloupe.llm.graph import components
 
 BITS = 64
@@ -50,9 +50,9 @@ def fingerprint(text: str | None, words_per_shingle: int) -> int:
 def with_fingerprint(
     docs: DataFrame, text: str = "text", words_per_shingle: int = 3, name: str = "fingerprint"
 ) -> DataFrame:
-    """``docs`` with the SimHash of each whole text as a bigint ``name``; see ``fingerprint``."""
+    """``docs`` with the SimHash of each whole text as a bigint ``name``, which replaces a
+    column of that name; see ``fingerprint``."""
     require_columns(docs, text)
-    guarded(docs, name)
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -169,9 +169,10 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, key: str = "doc_id") ->
 
     Rows with a null key are kept if their whole component has no other key.
     """
+    name = unused(docs, "kept")
     kept = groups.where(col(key).eqNullSafe(F.col("component_id")))
-    kept = kept.select(col(key).alias("_kept")).distinct()
-    return docs.join(kept, col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = kept.select(col(key).alias(name)).distinct()
+    return docs.join(kept, col(key).eqNullSafe(col(name)), "left_semi")
 
 
 def hexadecimal(fingerprint_column: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import guarded, input_bytes, ship, slices, written
+from dataloupe.llm.frames import input_bytes, others, ship, slices, unused, written
 from dataloupe.llm.suffix_array import MARGIN, same_as_before, sort_windows
 from dataloupe.llm.words import mixed
 
@@ -466,10 +466,10 @@ def with_cut(
 ) -> DataFrame:
     """``docs`` with the struct ``name``: ``(kept binary, n_removed long, n_spans long)``.
 
-    ``spans`` is what ``shared_spans`` gives. Every row is kept; null texts count as empty.
+    ``spans`` is what ``shared_spans`` gives. Every row is kept; null texts count as empty. A
+    column ``name`` is replaced.
     """
     require_columns(docs, key, text)
-    guarded(docs, name, "_starts", "_ends")
     ship(docs.sparkSession)
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
@@ -477,13 +477,14 @@ def with_cut(
         parts = [cut(t, a, b) for t, a, b in zip(texts, starts, ends)]
         return pd.DataFrame(parts, columns=["kept", "n_removed", "n_spans"])
 
+    mine, digest, starts, ends = (unused(docs, n) for n in ("key", "hash", "starts", "ends"))
     found = spans.select(
-        col(key).alias("_key"),
-        F.col("text_hash").alias("_hash"),
-        F.col("starts").alias("_starts"),
-        F.col("ends").alias("_ends"),
+        col(key).alias(mine),
+        F.col("text_hash").alias(digest),
+        F.col("starts").alias(starts),
+        F.col("ends").alias(ends),
     )
-    same = (col(key) == F.col("_key")) & (F.xxhash64(col(text)) == F.col("_hash"))
+    same = (col(key) == col(mine)) & (F.xxhash64(col(text)) == col(digest))
     joined = docs.join(found, same, "left")
-    cut_rows = joined.withColumn(name, apply(col(text), F.col("_starts"), F.col("_ends")))
-    return cut_rows.select(*[col(n) for n in docs.columns], name)
+    result = apply(col(text), col(starts), col(ends)).alias(name)
+    return joined.select(*map(col, others(docs, name)), result)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
 from dataloupe.llm.chunks import ChunkTable
-from dataloupe.llm.frames import guarded, model_file, ship
+from dataloupe.llm.frames import model_file, ship
 
 SYMBOL_BITS = 20
 NEXT_TO_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -139,10 +139,9 @@ def token_counts(
     ``tokenizer`` is the path of a ``tokenizers`` file with a byte-level BPE. Counts are those
     of its library without added begin or end tokens. A null or empty text has 0 tokens. One
     scan, no shuffle; the file (a few MB, checked) travels as a broadcast. Texts of any
-    length are counted whole. An existing column ``name`` is rejected.
+    length are counted whole. An existing column ``name`` is replaced.
     """
     require_columns(docs, text)
-    guarded(docs, name)
     ship(docs.sparkSession)
     return docs.withColumn(name, _count_udf(docs, tokenizer)(col(text)))
 

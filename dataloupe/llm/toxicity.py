@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import guarded, ship
+from dataloupe.llm.frames import ship
 from dataloupe.llm.words import mixed, word_hashes, words
 
 FOLDS = 5
@@ -149,10 +149,9 @@ def with_toxicity(
     """``docs`` with the probability of label 1 as a double ``name``.
 
     One scan without a shuffle; the model's non-zero weights are broadcast. Null and empty
-    texts get the probability that the bias alone gives.
+    texts get the probability that the bias alone gives. A column ``name`` is replaced.
     """
     require_columns(docs, text)
-    guarded(docs, name)
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.key())
 
