@@ -166,7 +166,8 @@ def benchmark_matches(
     ``docs`` and item of which at least ``threshold`` of the words are covered by tiles:
     matches of ``seed_words`` or more words (all words of shorter items) that overlap
     neither in the item nor in the text. ``tiles`` has their places ``(item_start, text_start,
-    length)`` in words. Words are compared without ASCII case and punctuation.
+    length)`` in words. Words are compared without case and ASCII punctuation,
+    by 32-bit hashes of which five or more must agree in a row.
 
     The words of the corpus stay where they are: the seeds of the benchmark are broadcast and
     joined to those of each text in its own task, and only rows that match are returned. A

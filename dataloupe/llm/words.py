@@ -6,15 +6,15 @@ from zlib import crc32
 
 import numpy as np
 
-# A-Z to lower case, other ASCII that is no letter or digit to a space, the rest unchanged.
+# ASCII that is no letter or digit becomes a space, the rest is unchanged.
 _TABLE = bytes(
-    b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256)
+    b if b > 127 or chr(b).isalnum() else 32 for b in range(256)
 )
 
 
 def words(text: str | None) -> list[bytes]:
     """The lower-cased words of a text: what is left between ASCII punctuation and white space."""
-    return (text or "").encode().translate(_TABLE).split()
+    return (text or "").lower().encode().translate(_TABLE).split()
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
