@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 MOST_CHUNKS = 600_000
-MOST_CHARS = 16_000_000
+MOST_CHARS = 24_000_000
 
 
 class ChunkTable:
@@ -17,7 +17,7 @@ class ChunkTable:
     ``plain(chunk)`` is whether a piece between two spaces is a chunk by itself: texts made
     of such pieces are cut by ``str.split``, the others by ``cuts``.
 
-    The table only saves work. When it holds ``most`` entries or ``MOST_CHARS``
+    The table only saves work. When, after some texts, it holds ``most`` entries or ``MOST_CHARS``
     characters it is emptied, so its memory does not follow the vocabulary.
     """
 
@@ -37,27 +37,39 @@ class ChunkTable:
 
     def values(self, text: str) -> list:
         """One value per chunk, in order; none for an empty text."""
-        if not text:
-            return []
-        pieces = text.split(" ")
-        table = self.inner
-        if not self._known(pieces[1:], table, check=True) or not self.plain(pieces[0]):
-            pieces, table = self.cuts(text), self.odd
-            self._known(pieces[1:], table)
-        self._known(pieces[:1], self.first, first=True)
-        out = [self.first[pieces[0]]]
-        out.extend(map(table.__getitem__, pieces[1:]))
+        return self.all_values([text])[0]
+
+    def all_values(self, texts: list[str]) -> list[list]:
+        """The values of several texts; their new chunks are computed together."""
+        split = [t.split(" ") if t else [] for t in texts]
+        inner, plain = self.inner, self.plain
+        new: set[str] = set()
+        tables = [inner] * len(texts)
+        for i, pieces in enumerate(split):
+            if not pieces:
+                continue
+            missing = [p for p in pieces[1:] if p not in inner]
+            if all(map(plain, missing)) and plain(pieces[0]):
+                new.update(missing)
+            else:
+                split[i], tables[i] = self.cuts(texts[i]), self.odd
+        odd = (p for pieces, t in zip(split, tables) if t is self.odd for p in pieces[1:])
+        self._learn(inner, new, False)
+        self._learn(self.odd, {p for p in odd if p not in self.odd}, False)
+        heads = {pieces[0] for pieces in split if pieces}
+        self._learn(self.first, {p for p in heads if p not in self.first}, True)
+        out = [
+            [self.first[pieces[0]], *map(table.__getitem__, pieces[1:])] if pieces else []
+            for pieces, table in zip(split, tables)
+        ]
         self._forget()
         return out
 
-    def _known(self, pieces: list[str], table: dict, check: bool = False, first: bool = False) -> bool:
-        missing = [p for p in set(pieces) if p not in table]
-        if check and not all(map(self.plain, missing)):
-            return False
-        if missing:
-            table.update(zip(missing, self.compute(missing, first), strict=True))
-            self.chars += sum(map(len, missing))
-        return True
+    def _learn(self, table: dict, new: set[str], first: bool) -> None:
+        if new:
+            chunks = list(new)
+            table.update(zip(chunks, self.compute(chunks, first), strict=True))
+            self.chars += sum(map(len, chunks))
 
     def _forget(self) -> None:
         held = len(self.inner) + len(self.odd) + len(self.first)

@@ -44,14 +44,13 @@ class PieceTable:
     def _of_words(self, words: list[str], first: bool) -> list[bytes]:
         return [array("i", ids).tobytes() for ids in self.model.encode(words, num_threads=1)]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text as 32-bit integers."""
-        if not text:
-            return np.empty(0, np.int32)
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as 32-bit integers."""
         if not self.by_word:
-            return np.asarray(self.model.encode(text), np.int32)
-        spaced = text.replace(MARKER, " ") if MARKER in text else text
-        return np.frombuffer(b"".join(self.table.values(spaced)), np.int32)
+            return [np.asarray(self.model.encode(t or ""), np.int32) for t in texts]
+        spaced = [t.replace(MARKER, " ") if t and MARKER in t else t or "" for t in texts]
+        found = self.table.all_values(spaced)
+        return [np.frombuffer(b"".join(v), np.int32) for v in found]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
@@ -89,7 +88,7 @@ def encode_pieces(
     place = docs.columns.index(text)
 
     def encode(table: PieceTable, batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [table.encode(t) for t in batch.column(place).to_pylist()]
+        found = table.encode(batch.column(place).to_pylist())
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         flat = np.concatenate([np.empty(0, np.int32), *found])
         columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]

@@ -16,6 +16,7 @@ from dataloupe.llm.chunks import ChunkTable
 from dataloupe.llm.frames import model_file, ship
 
 SYMBOL_BITS = 20
+FEW = 256  # texts counted together
 NEXT_TO_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # The pre-tokenizer's pattern for characters below U+0250, whose classes no Unicode version
 # changes; other words go through the library's own pre-tokenizer.
@@ -71,8 +72,8 @@ class BpeCounter:
         if any(" " in t["content"] for t in added):  # such a token spans chunks
             self.table.cuts, self.table.plain = (lambda text: [text]), (lambda chunk: False)
 
-    def count(self, text: str | None) -> int:
-        return sum(self.table.values(text or ""))
+    def counts(self, texts: list[str | None]) -> list[int]:
+        return [sum(v) for v in self.table.all_values([t or "" for t in texts])]
 
     def _of_chunks(self, chunks: list[str], first: bool) -> list[int]:
         return [self._of_chunk(c if first else " " + c) for c in chunks]
@@ -153,7 +154,9 @@ def _count_udf(docs: DataFrame, tokenizer: str):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _counter(definition.value)
         for texts in batches:
-            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
+            listed = texts.tolist()
+            parts = (counter.counts(listed[i : i + FEW]) for i in range(0, len(listed), FEW))
+            yield pd.Series([n for part in parts for n in part], dtype="int64")
 
     return count
 

@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -23,7 +24,7 @@ from dataloupe.plans.storage import scratch_path
 
 BLOCK_IDS = 1 << 18
 SLICE_BYTES = 1 << 20  # texts tokenized at a time
-MOST_CHUNKS = 300_000
+MOST_CHUNKS = 1_000_000
 
 
 class IdTable:
@@ -49,12 +50,13 @@ class IdTable:
     def _of_chunks(self, chunks: list[str], first: bool) -> list[bytes]:
         texts = chunks if first else [" " + c for c in chunks]
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(self.table.values(text) if self.by_chunk else self._of_chunks([text], True))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        whole = [t or "" for t in texts]
+        if not self.by_chunk:
+            return self._of_chunks(whole, True)
+        return [b"".join(v) for v in self.table.all_values(whole)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,7 +163,7 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, start = _ids(definition.value), 0
         for batch in slices(batches, "text", SLICE_BYTES):
-            data = [table.encode(t) + end for t in batch.column("text").to_pylist()]
+            data = [d + end for d in table.encode(batch.column("text").to_pylist())]
             sizes = np.asarray([len(d) // 4 for d in data], np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
