@@ -54,10 +54,11 @@ def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    cut = suffix_dedup.with_cut(docs, suffix_dedup.shared_spans(docs))
+    sized = docs.withColumn("n_bytes", F.octet_length(whole_text("text")).cast("long"))
+    cut = suffix_dedup.with_cut(sized, suffix_dedup.shared_spans(docs))
     return cut.select(
         "doc_id",
-        F.octet_length(whole_text("text")).cast("long").alias("n_bytes"),
+        "n_bytes",
         "kept.n_removed",
         "kept.n_spans",
         F.sha2("kept.kept", 256).alias("kept_sha256"),

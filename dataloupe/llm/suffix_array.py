@@ -22,18 +22,18 @@ def sort_windows(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     depends are left out of both stages. ``data`` has ``MARGIN`` bytes after the last of them.
     """
     n = len(data)
-    places = np.arange(n - 1)
     differs = np.flatnonzero(data[:-1] != data[1:])
-    # The first place at or after each position where a byte differs from the next one.
-    after = np.minimum(np.searchsorted(differs, places), max(len(differs) - 1, 0))
-    at = differs[after] if len(differs) else places
-    small = np.append(data[at] < data[at + 1], True)
+    # All positions up to a place where a byte differs from the next one compare as that does.
+    runs = np.diff(differs, prepend=-1)
+    small = np.repeat(data[differs] < data[differs + 1], runs)
+    small = np.append(small, np.ones(n - len(small), bool))
     smalls = np.flatnonzero(small)
     next_small = smalls[np.searchsorted(smalls, wanted)]
-    steps = np.zeros(n + 1, np.int64)
+    steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, wanted, 1)
     np.add.at(steps, next_small + 1, -1)
-    needed = np.cumsum(steps[:n]) > 0
+    needed = np.cumsum(steps[:n], dtype=np.int32) > 0
+    del steps, smalls, next_small, differs, runs
     direct = np.flatnonzero(needed & small)
     words = word_view(data)
     keys = [words[direct + offset] for offset in range(0, depth, 8)]

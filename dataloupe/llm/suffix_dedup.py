@@ -7,17 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
 from dataloupe.llm.frames import input_bytes, others, ship, slices, unused, written
 from dataloupe.llm.suffix_array import MARGIN, same_as_before, sort_windows
 from dataloupe.llm.words import mixed
 
-TASK_BYTES = 12 << 20  # text that a task packs at a time
+TASK_BYTES = 8 << 20  # text that a task packs at a time
 PIECE = 1 << 20  # bytes in which anchors are looked for at a time
-DETECT_BYTES = 24 << 20  # text whose anchors are compared in one task
-SORT_BYTES = 4 << 20  # text whose shared windows are sorted in one task
+DETECT_BYTES = 6 << 20  # text whose anchors are compared in one task
+SORT_BYTES = 1 << 20  # text whose shared windows are sorted in one task
 KEY_BITS = 40
 MOST_HOT = 1 << 21  # entries of the list of frequent anchors
 LEAST_HOT = 1000
@@ -151,7 +151,8 @@ def shared_spans(
     sent = spark.sparkContext.broadcast(hot.tobytes())
     listed = hits.where("NOT frequent").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
     bins = 1 + size // SORT_BYTES
-    windows = rows.join(listed, "key").mapInArrow(
+    compact = rows.select("key", packed_text(F.col("text")).alias("packed"))
+    windows = compact.join(listed, "key").mapInArrow(
         _pack_windows(length, buckets, bins, sent), "bucket long, size long, payload binary"
     )
     spans = windows.groupBy("bucket").applyInPandas(
@@ -163,6 +164,27 @@ def shared_spans(
     return gathered.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
 
 
+def packed_text(text: Column) -> Column:
+    """Texts compressed for a shuffle, with their size in front; nulls stay null."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            small = [None if t is None else packed(t.encode()) for t in batch]
+            yield pd.Series(small, dtype="object")
+
+    return pack(text)
+
+
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(value: bytes) -> bytes:
+    size = int.from_bytes(value[:8], "little")
+    return pa.decompress(value[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def _pack_anchors(length: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TASK_BYTES):
@@ -256,11 +278,11 @@ def _text_hash(text: bytes) -> int:
 def _pack_windows(length: int, buckets: int, bins: int, sent):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(sent.value, np.int64)
-        for batch in slices(batches, "text", TASK_BYTES):
+        for batch in slices(batches, "packed", TASK_BYTES // 2):
             keys = batch.column("key").to_numpy()
             ascending = np.argsort(keys, kind="stable")
             batch, keys = batch.take(pa.array(ascending)), keys[ascending]
-            texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
+            texts = [unpacked(t) for t in batch.column("packed").to_pylist()]
             lists = batch.column("anchors").flatten()
             shared = np.unique(
                 np.concatenate([np.empty(0, np.int64), *(_buffer(x.as_buffer()) for x in lists)])
@@ -437,9 +459,8 @@ def _span_frame(keys, hashes, starts, ends) -> pd.DataFrame:
     )
 
 
-def cut(text: str | None, starts, ends) -> tuple[bytes, int, int]:
+def cut(data: bytes, starts, ends) -> tuple[bytes, int, int]:
     """What is left of a text, the number of bytes removed, and of maximal removed runs."""
-    data = (text or "").encode()
     if starts is None or not len(starts):
         return data, 0, 0
     a = np.concatenate([_buffer(x) for x in starts])
@@ -474,7 +495,8 @@ def with_cut(
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
     def apply(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        parts = [cut(t, a, b) for t, a, b in zip(texts, starts, ends)]
+        whole = (b"" if t is None else unpacked(t) for t in texts)
+        parts = [cut(t, a, b) for t, a, b in zip(whole, starts, ends)]
         return pd.DataFrame(parts, columns=["kept", "n_removed", "n_spans"])
 
     mine, digest, starts, ends = (unused(docs, n) for n in ("key", "hash", "starts", "ends"))
@@ -484,7 +506,23 @@ def with_cut(
         F.col("starts").alias(starts),
         F.col("ends").alias(ends),
     )
-    same = (col(key) == col(mine)) & (F.xxhash64(col(text)) == col(digest))
-    joined = docs.join(found, same, "left")
-    result = apply(col(text), col(starts), col(ends)).alias(name)
-    return joined.select(*map(col, others(docs, name)), result)
+    # Texts travel compressed.
+    hashed, small = unused(docs, "text_hash"), unused(docs, "packed")
+    shuffled = docs.withColumn(hashed, F.xxhash64(col(text))).withColumn(small, packed_text(col(text)))
+    rest = [n for n in docs.columns if n != text]
+    same = (col(key) == col(mine)) & (col(hashed) == col(digest))
+    joined = shuffled.select(*map(col, [*rest, hashed, small])).join(found, same, "left")
+    result = apply(col(small), col(starts), col(ends)).alias(name)
+    whole = _unpacked_text(col(small)).alias(text)
+    shown = {n: whole if n == text else col(n) for n in others(docs, name)}
+    return joined.select(*shown.values(), result)
+
+
+def _unpacked_text(small: Column) -> Column:
+    @F.pandas_udf("string")
+    def unpack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            whole = [None if t is None else unpacked(t).decode() for t in batch]
+            yield pd.Series(whole, dtype="object")
+
+    return unpack(small)
