@@ -27,7 +27,10 @@ from dataloupe.operators.profile import (
 )
 from dataloupe.operators.summary import concentration, forensic_summary, normalized_entropy
 from dataloupe.operators.topk import category_pareto, category_totals, top_categories, top_k_others
-from dataloupe.operators.triage import finding_outcome, triage_findings
+from dataloupe.operators.triage import (
+    finding_outcome, triage_findings, unfinished_runs, with_tweak_history,
+)
+from dataloupe.plans.storage import release
 from dataloupe.sources import (
     clean_names, preview, read_table, require_min_rows, sample_rows, sanitize_columns, write_results,
 )

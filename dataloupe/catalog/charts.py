@@ -81,6 +81,50 @@ def histogram_by_hue(t: Tables) -> DataFrame:
     return ops.histogram(t.lineitem, "l_extendedprice", "l_returnflag")
 
 
+_WIDE = "(SELECT CASE event_id % 97 WHEN 0 THEN value * 100000 ELSE value END AS wide FROM events)"
+
+
+@query(_histogram(_WIDE, "wide"))
+def histogram_with_many_bins(t: Tables) -> DataFrame:
+    """Far outliers ask for hundreds of thousands of bins, of which few are filled."""
+    wide = F.when(F.col("event_id") % 97 == 0, F.col("value") * 100000).otherwise(F.col("value"))
+    return ops.histogram(t.events.select(wide.alias("wide")), "wide")
+
+
+@query(_histogram("(SELECT value FROM events WHERE event_id % 50 > 1)", "value"))
+def histogram_without_infinite_values(t: Tables) -> DataFrame:
+    endless = F.when(F.col("event_id") % 50 == 0, F.lit(float("inf"))).when(F.col("event_id") % 50 == 1, F.lit(float("-inf")))
+    return ops.histogram(t.events.select(F.coalesce(endless, "value").alias("value")), "value")
+
+
+@query(_histogram("lineitem", "l_quantity", "l_returnflag"))
+def facet_histogram(t: Tables) -> DataFrame:
+    return battery.facet(t.lineitem, "l_quantity", None, "l_returnflag")[1]
+
+
+@query(f"""
+SELECT l_returnflag, l_linestatus, count(*) AS n,
+       {r("count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus) * 100", "pct")} FROM lineitem GROUP BY 1, 2""")
+def run_chart_facet_counts(t: Tables) -> DataFrame:
+    """A chart without y is split too."""
+    tweak = Tweak("facet_grid", facet_by="l_linestatus")
+    return battery.run_chart(t.lineitem, ChartSpec("l_returnflag"), [], "l_extendedprice", tweak).data
+
+
+@query(f"""
+SELECT l_linenumber, l_returnflag AS x, l_linestatus AS segment, count(*) AS n,
+       {r("count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber, l_returnflag) * 100", "pct")},
+       count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber, l_returnflag) * 100 > 5 AS show_label
+FROM lineitem GROUP BY 1, 2, 3""")
+def facet_composition(t: Tables) -> DataFrame:
+    return battery.facet(t.lineitem, "l_returnflag", "l_linestatus", "l_linenumber")[1]
+
+
+@query("SELECT event_type AS n, count(*) AS _n FROM events GROUP BY 1")
+def count_plot_of_a_column_called_n(t: Tables) -> DataFrame:
+    return ops.count_plot(t.events.withColumnRenamed("event_type", "n"), "n")
+
+
 def _density(table: str, x: str, by: str, points: int, adjust: float, cut: float, common: bool) -> str:
     """The same cells of 1/32 bandwidth, each added to every grid point."""
     ends = "min(low - {c} * h) OVER () AS first, max(high + {c} * h) OVER () AS last" if common else (
@@ -96,11 +140,11 @@ shape AS (SELECT k, grid_no, grid_x, sum(m * exp(-pow((grid_x - mid) / h, 2) / 2
           AS density FROM pts JOIN cells USING (k) GROUP BY ALL)"""
 
 
-def _kde(table: str, x: str, by: str = "") -> str:
+def _kde(table: str, x: str, by: str = "", digits: int = 8) -> str:
     shown = f"k AS {by}, " if by else ""
     return f"""
 WITH {_density(table, x, by or "'all'", 200, 1.0, 0, True)}
-SELECT {shown}grid_no, {r("grid_x", "grid_x", 8)}, {r("density", "density", 8)} FROM shape"""
+SELECT {shown}grid_no, {r("grid_x", "grid_x", digits)}, {r("density", "density", digits)} FROM shape"""
 
 
 @query(_kde("events", "value"), digits=8)
@@ -343,6 +387,8 @@ MEAN = ["mean", "ci_low", "ci_high", "n"]
               "l_returnflag", "NULL", ["n", "pct"]),
         _tidy(2, "univariate", "histogram", _histogram("lineitem", "l_quantity"), "bin", "NULL",
               ["bin_start", "bin_end", "n"]),
+        _tidy(2, "univariate", "histogram", _kde("lineitem", "l_quantity", digits=4), "grid_no", "NULL",
+              ["grid_x", "density"]),
         _tidy(3, "bivariate", "line", mean_sql("lineitem", "l_shipdate", "l_extendedprice"), "l_shipdate", "NULL", MEAN),
         _tidy(4, "bivariate", "stacked_bar", _composition("lineitem", "l_returnflag", "l_linestatus"), "x", "segment",
               ["n", "pct"]),
@@ -388,7 +434,8 @@ def chart_battery_with_clipping(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT n.chart_no, "group", n, p99, max, outlier_count, outlier_sum, total_sum, impact_pct, original_max, clipped_at,
+SELECT n.chart_no, CASE n.chart_no WHEN 1 THEN 'non_numeric' ELSE 'numeric' END AS data_type,
+       summary IS NOT NULL AS outlier_clipped, "group", n, p99, max, outlier_count, outlier_sum, total_sum, impact_pct, original_max, clipped_at,
        hidden_impact_pct, coalesce(summary, 'No significant outliers.') AS summary
 FROM (SELECT CAST(i AS INTEGER) AS chart_no FROM generate_series(1, 3) s(i)) n
 LEFT JOIN (SELECT CAST(3 AS INTEGER) AS chart_no, * FROM ({_evidence("event_type", _SQUARED, "energy")})) e
@@ -434,3 +481,26 @@ def triage_findings(t: Tables) -> DataFrame:
         ((F.col("l_linestatus") == "O") & asks).alias("tweak_repeated"),
     )
     return triage.triage_findings(findings, "run")
+
+
+_ROUNDS = """
+(SELECT l_partkey AS chart, l_linenumber AS round, l_orderkey, CAST(l_quantity AS INTEGER) % 10 AS strategic_score,
+        l_tax > 0.07 AS is_spurious, CASE WHEN l_returnflag <> 'N' THEN 'log_scale' END AS suggested_tweak FROM lineitem)"""
+
+
+@query(f"""
+WITH plain AS (SELECT *, CASE WHEN is_spurious THEN 'drop' ELSE 'stay' END AS first_look FROM {_ROUNDS}),
+first AS (SELECT chart, suggested_tweak, min(round) AS first_round FROM plain WHERE first_look = 'stay' GROUP BY 1, 2)
+SELECT p.chart, p.round, p.l_orderkey, coalesce(first_round < p.round, false) AS tweak_repeated
+FROM plain p LEFT JOIN first f ON p.chart = f.chart AND p.suggested_tweak IS NOT DISTINCT FROM f.suggested_tweak""")
+def triage_findings_with_history(t: Tables) -> DataFrame:
+    findings = t.lineitem.select(
+        F.col("l_partkey").alias("chart"),
+        F.col("l_linenumber").alias("round"),
+        "l_orderkey",
+        (F.col("l_quantity").cast("int") % 10).alias("strategic_score"),
+        (F.col("l_tax") > 0.07).alias("is_spurious"),
+        F.when(F.col("l_returnflag") != "N", "log_scale").alias("suggested_tweak"),
+    )
+    known = triage.with_tweak_history(findings, ["chart"], "round")
+    return known.select("chart", "round", "l_orderkey", "tweak_repeated")

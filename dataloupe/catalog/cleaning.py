@@ -75,6 +75,22 @@ def coerce_timestamp(t: Tables) -> DataFrame:
     return ops.coerce_timestamp(texts, ["seen"], ["MM/dd/yyyy"])
 
 
+@query("""
+SELECT o_orderkey, try_strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y') AS dotted,
+       try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS slashed, o_orderdate AS mixed
+FROM orders""")
+def coerce_timestamp_common_formats(t: Tables) -> DataFrame:
+    """No format is given; the cells tell day first from month first."""
+    texts = t.orders.select(
+        "o_orderkey",
+        F.date_format("o_orderdate", "dd.MM.yyyy").alias("dotted"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("slashed"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .otherwise(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("mixed"),
+    )
+    return ops.coerce_timestamp(texts, ["dotted", "slashed", "mixed"])
+
+
 @query("""
 SELECT o_orderkey AS "Order", o_totalprice AS price, o_orderstatus, o_orderdate AS placed, o_orderpriority
 FROM orders""")

@@ -38,10 +38,14 @@ def outliers_by_group(t: Tables) -> DataFrame:
     return ops.outliers_by_group(squared(t), "energy", "event_type")
 
 
-@query(_evidence("user_id", _SQUARED, "energy"))
+_COHORTS = "(SELECT user_id % 25 AS cohort, pow(value / 100, 8) AS spike FROM events)"
+
+
+@query(_evidence("cohort", _COHORTS, "spike"))
 def outliers_by_numeric_group(t: Tables) -> DataFrame:
-    """A number as the group: many small groups."""
-    return ops.outliers_by_group(squared(t), "energy", "user_id")
+    """A number as the group; several of the groups have outliers."""
+    rows = t.events.select((F.col("user_id") % 25).alias("cohort"), F.pow(F.col("value") / 100, F.lit(8.0)).alias("spike"))
+    return ops.outliers_by_group(rows, "spike", "cohort")
 
 
 @query(_evidence("'Global'", _SQUARED, "energy"))
@@ -50,10 +54,13 @@ def outliers_global(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT CAST(NULL AS VARCHAR) AS "group", CAST(NULL AS BIGINT) AS n FROM events GROUP BY event_type HAVING count(*) < 0""")
+SELECT event_type, count(*) AS n_rows, CAST(NULL AS DOUBLE) AS p99, 'none' AS found FROM events GROUP BY event_type""")
 def outliers_of_text(t: Tables) -> DataFrame:
-    """A text metric: no evidence, no error."""
-    return ops.outliers_by_group(t.events, "props", "event_type").select("group", "n")
+    """A text metric: each group stands without evidence, and there is no error."""
+    evidence = ops.outliers_by_group(t.events, "props", "event_type").select("group", "p99", "summary")
+    groups = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
+    joined = groups.join(evidence, F.col("event_type") == F.col("group"), "left")
+    return joined.select("event_type", "n_rows", "p99", F.coalesce("summary", F.lit("none")).alias("found"))
 
 
 def _clip(by: str, table: str, y: str) -> str:

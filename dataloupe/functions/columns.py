@@ -101,8 +101,10 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return (F.datediff(later, earlier) - F.when(early_clock, 1).otherwise(0)).cast("long")
 
 
-def fresh(name: str, *taken: str) -> str:
-    """``name``, underscored until it clashes with none of ``taken``."""
-    while name in taken:
+def fresh(name: str, *taken: str | None) -> str:
+    """``name``, underscored until it clashes with none of ``taken``; Spark looks names up
+    without case. Helpers are named by it, and figures of a result beside the key columns."""
+    used = {t.lower() for t in taken if t is not None}
+    while name.lower() in used:
         name = "_" + name
     return name

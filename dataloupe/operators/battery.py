@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions import wording
 from dataloupe.functions.columns import (
-    col, is_numeric, is_text, number, quoted, require_columns, without_nan,
+    col, fresh, is_numeric, is_text, number, quoted, require_columns, without_nan,
 )
 from dataloupe.operators import charts
 from dataloupe.operators.chart_choice import chart_types
@@ -27,34 +27,23 @@ log = logging.getLogger(__name__)
 FACET_VALUES = 10
 MIN_SCORE = 6
 
-# The mark an explorer draws for each chart type, and the marks that show
-# rows as they are.
-MARKS = {
-    "histogram": "histogram",
-    "bar": "bar",
-    "countplot": "bar",
-    "line": "line",
-    "scatter": "point",
-    "box": "boxplot",
-    "heatmap": "rect",
-    "violin": "boxplot",
-    "twin_line": "twin_line",
-    "stacked_bar": "stacked_bar",
-    "rolling_mean": "line",
-    "facet_grid": "facet_grid",
-    "pie": "arc",
-}
-ROW_MARKS = ("boxplot", "point", "line", "histogram")
+# How the explorer queries a chart: its rows, its counts per x, or else sums.
+ROW_CHARTS = ("histogram", "line", "rolling_mean", "scatter", "box", "violin")
+COUNTING_CHARTS = ("pie",)
+# Charts whose bars count rows if y is no number; one of them is coloured by y itself.
+BAR_CHARTS = ("bar", "countplot", "stacked_bar")
 
 
 @dataclass(frozen=True)
 class ChartResult:
-    """One chart: its type, its table, its outlier evidence, and axis advice if asked for."""
+    """One chart: its type, its table, its outlier evidence (none if there is no numeric y),
+    axis advice if asked for, and the density curve of a histogram."""
 
     chart_type: str
     data: DataFrame
     evidence: DataFrame | None
     axis: DataFrame | None = None
+    curve: DataFrame | None = None
 
 
 def chart_data(
@@ -115,11 +104,13 @@ def facet(
     match chart_type:
         case "violin":
             return chart_type, charts.violin(df, x, y, facet_col)
-        case "line" | "scatter" | "box" | "bar" | "countplot":
-            if y is None and chart_type == "line":
-                return chart_type, charts.count_plot(df, x, facet_col)
-            return chart_type, chart_data(df, ChartSpec(x, y, facet_col), chart_type)
-    raise ValueError(f"a {chart_type} chart cannot be split into facets")
+        case "line" if y is None:
+            return chart_type, charts.count_plot(df, x, facet_col)
+        case "pie":
+            return chart_type, charts.category_share(df, x, facet_col)
+        case "stacked_bar":
+            return chart_type, charts.composition(df, x, y, facet=facet_col)
+    return chart_type, chart_data(df, ChartSpec(x, y, facet_col), chart_type)
 
 
 def fold_tail(df: DataFrame, spec: ChartSpec, primary_metric: str | None) -> DataFrame:
@@ -154,48 +145,52 @@ def run_chart(
 ) -> ChartResult:
     """One chart from a spec: choose its type, fold the tail, find and clip outliers, aggregate.
 
-    The type is chosen on the rows as given, and axis advice is taken from them too. Charts of
-    one table can share what they find out about it by passing the same ``shared`` dictionary.
+    The type is chosen on the rows as given, and axis advice is taken from them too. A tweak
+    that does not apply, such as axis advice without a numeric y, a rolling mean of a chart
+    that is no line, or facets without a column, leaves the chart as it is. Charts of one table
+    can share what they find out about it by passing the same ``shared`` dictionary.
     """
     shared = {} if shared is None else shared
     require_columns(df, spec.x, spec.y, spec.color_by)
     axis = None
     if tweak is not None:
-        if tweak.kind != "color_by_segment" and spec.y is None:
-            raise ValueError(f"tweak {tweak.kind!r} needs a chart with y")
         if tweak.kind == "color_by_segment" and spec.color_by is None:
             spec = replace(spec, color_by=tweak.color_by)
         elif tweak.kind in ("unpin_y_zero", "log_scale"):
-            if is_numeric(df, spec.y):
+            if spec.y is not None and is_numeric(df, spec.y):
                 advice = charts.axis_limits if tweak.kind == "unpin_y_zero" else charts.scale_kind
                 axis = advice(df, spec.y)
             else:
-                log.warning("tweak %s skipped: %s is not numeric", tweak.kind, spec.y)
+                log.warning("tweak %s skipped: y (%s) is not numeric", tweak.kind, spec.y)
     chart_type = chart_type or chart_types(df, [spec], temporal_columns)[0]
     if tweak is not None and tweak.kind == "rolling_mean" and chart_type == "line":
         chart_type = "rolling_mean"
         if span_days is None and temporal_columns:
             span_days = day_span(df, temporal_columns)
-    if "tails" not in shared:
-        shared["tails"] = long_tails(df, [spec], primary_metric)
-    if (spec.color_by or spec.x) in shared["tails"]:
-        df = top_k_others(df, spec.color_by or spec.x, primary_metric)
+    target = spec.color_by or spec.x
+    if ("tail", target, primary_metric) not in shared:
+        folds = target in long_tails(df, [spec], primary_metric)
+        shared["tail", target, primary_metric] = folds
+    if shared["tail", target, primary_metric]:
+        df = top_k_others(df, target, primary_metric)
     evidence = None
     if spec.y is not None and is_numeric(df, spec.y):
-        # Folding x leaves y alone and folding the colour always gives the same labels,
-        # so the limits depend on y and the colour only.
-        key = ("limits", spec.y, spec.color_by)
+        # Folding x leaves y alone; what folding the colour gives depends on the metric.
+        key = ("limits", spec.y, spec.color_by, spec.color_by and primary_metric)
         if key not in shared:
             shared[key] = materialize(clip_thresholds(df, spec.y, spec.color_by))
         limits = shared[key]
         evidence = outliers_by_group(df, spec.y, spec.color_by, limits)
         df = clip_outliers(df, spec.y, spec.color_by, limits)
+    facet_col = None
     if tweak is not None and tweak.kind == "facet_grid":
         facet_col = spec.color_by or tweak.facet_by or spec.y
+    if facet_col is not None:
         chart_type, data = facet(df, spec.x, spec.y, facet_col, temporal_columns)
     else:
         data = chart_data(df, spec, chart_type, span_days)
-    return ChartResult(chart_type, data, evidence, axis)
+    curve = charts.kde(df, spec.x, facet_col or spec.color_by) if chart_type == "histogram" else None
+    return ChartResult(chart_type, data, evidence, axis, curve)
 
 
 # ---------------------------------------------------------------- explorer queries
@@ -234,27 +229,22 @@ def explorer_query(df: DataFrame, spec: ChartSpec, chart_type: str) -> DataFrame
     non-numeric y count; a heatmap averages its colour; other numbers are summed;
     boxes, points, lines and histograms show rows.
     """
-    mark = MARKS.get(chart_type, "bar")
     given = [n for n in (spec.x, spec.y, spec.color_by) if n is not None]
     require_columns(df, *given)
-    if mark in ROW_MARKS:
+    if chart_type in ROW_CHARTS:
         return run_chart_query(df, given, [], None)
-    if mark == "arc":
+    if chart_type in COUNTING_CHARTS:
         return run_chart_query(df, [spec.x], [spec.x], "count")
     measures = [n for n in given if is_numeric(df, n)]
     dims = [n for n in given if n not in measures]
-    if mark == "rect":
-        if spec.color_by in measures:
-            return run_chart_query(df, dims, [spec.color_by], "mean")
+    if chart_type == "heatmap" and spec.color_by in measures:
+        return run_chart_query(df, dims, [spec.color_by], "mean")
+    known = chart_type in (*BAR_CHARTS, "heatmap", "twin_line", "facet_grid")
+    bars = chart_type in BAR_CHARTS or not known
+    if not bars or spec.y is None or spec.y in measures:
         return run_chart_query(df, dims, measures, "sum")
-    counted = spec.y is not None and not is_numeric(df, spec.y) and mark in ("bar", "stacked_bar")
-    if not counted:
-        return run_chart_query(df, dims, measures, "sum")
-    # A stacked bar is coloured by y; a plain bar keeps its own colour.
-    keys = dims if mark == "stacked_bar" else [n for n in dims if n != spec.y]
-    if mark == "stacked_bar":
-        keys = [n for n in keys if n != spec.color_by]
-    return run_chart_query(df, keys, [spec.y], "count")
+    left = (spec.y,) if chart_type != "stacked_bar" else (spec.color_by,)
+    return run_chart_query(df, [n for n in dims if n not in left], [spec.y], "count")
 
 
 # ---------------------------------------------------------------- batteries
@@ -281,9 +271,10 @@ def chart_battery(
 ) -> tuple[DataFrame, DataFrame]:
     """All planned charts as one tidy table, and their outlier evidence as another.
 
-    Data: ``(chart_no, level, chart_type, x, series, stat, value)``. Evidence: ``chart_no``
-    and the columns of ``outliers_by_group``; a chart without outliers has one row that says
-    so. Each chart reads only its own columns; a parquet input is better scanned per chart
+    Data: ``(chart_no, level, chart_type, x, series, stat, value)``; histograms also have their
+    density curve, under the number of the grid point. Evidence: ``chart_no``, ``data_type`` of
+    y ('numeric' or 'non_numeric'), ``outlier_clipped``, and the columns of ``outliers_by_group``;
+    a chart without outliers has one row that says so. Each chart reads only its own columns; a parquet input is better scanned per chart
     than cached whole.
     """
     planned = plan_battery(specs, min_score)
@@ -294,32 +285,43 @@ def chart_battery(
     targets = {t for t in (s.color_by or s.x for s in planned) if is_text(df, t)}
     sketches = sketch_counts(df, sorted(slices | targets))
     types = chart_types(df, planned, temporal_columns, sketches)
-    shared = {"tails": long_tails(df, planned, primary_metric, sketches)}
+    tails = long_tails(df, planned, primary_metric, sketches)
+    shared = {("tail", s.color_by or s.x, primary_metric): (s.color_by or s.x) in tails for s in planned}
     tables, found = [], []
     for no, (spec, chart_type) in enumerate(zip(planned, types), start=1):
         result = run_chart(df, spec, temporal_columns, primary_metric, None, chart_type, shared=shared)
-        tidy = tidy_chart(result.data, spec, chart_type)
         labels = [F.lit(no).alias("chart_no"), F.lit(spec.level).alias("level"),
                   F.lit(chart_type).alias("chart_type")]
-        tables.append(tidy.select(*labels, "x", "series", "stat", "value"))
+        for table in filter(None, (result.data, result.curve)):
+            tidy = tidy_chart(table, spec, chart_type)
+            tables.append(tidy.select(*labels, "x", "series", "stat", "value"))
         if result.evidence is not None:
             found.append(result.evidence.withColumn("chart_no", F.lit(no)))
     data = reduce(DataFrame.unionByName, tables)
-    numbers = df.sparkSession.range(1, len(planned) + 1).select(F.col("id").cast("int").alias("chart_no"))
+    kinds = [
+        (no, "numeric" if s.y is not None and is_numeric(df, s.y) else "non_numeric")
+        for no, s in enumerate(planned, start=1)
+    ]
+    numbers = df.sparkSession.createDataFrame(kinds, "chart_no int, data_type string")
     if not found:
-        return data, numbers.withColumn("summary", F.lit(wording.NO_OUTLIERS))
+        clipped = F.lit(False).alias("outlier_clipped")
+        return data, numbers.select("*", clipped, F.lit(wording.NO_OUTLIERS).alias("summary"))
     evidence = numbers.join(reduce(DataFrame.unionByName, found), "chart_no", "left")
-    return data, evidence.withColumn("summary", F.coalesce("summary", F.lit(wording.NO_OUTLIERS)))
+    return data, evidence.withColumn("outlier_clipped", F.col("summary").isNotNull()).withColumn(
+        "summary", F.coalesce("summary", F.lit(wording.NO_OUTLIERS))
+    )
 
 
 def tidy_chart(data: DataFrame, spec: ChartSpec, chart_type: str) -> DataFrame:
-    """``(x, series, stat, value)`` rows of one chart's table."""
+    """``(x, series, stat, value)`` rows of one chart's table. ``stat`` names a figure without
+    the underscores that tell it from a column of the same name."""
     color = spec.color_by
+    figures = {n.lstrip("_") for n in data.columns if n not in (spec.x, color)}
     match chart_type:
         case "histogram":
-            x, series = "bin", color
+            x, series = fresh("bin" if "n" in figures else "grid_no", color), color
         case "box":
-            x, series = "group", color
+            x, series = fresh("group", color), color
         case "violin":
             x, series = "group", "grid_no"
         case "stacked_bar":
@@ -332,7 +334,7 @@ def tidy_chart(data: DataFrame, spec: ChartSpec, chart_type: str) -> DataFrame:
             x, series = spec.x, color if spec.y or chart_type == "countplot" else None
     stats = [n for n in data.columns if n not in (x, series, "show_label", "window")]
     cells = F.array(
-        *[F.struct(F.lit(n).alias("stat"), col(n).cast("double").alias("value")) for n in stats]
+        *[F.struct(F.lit(n.lstrip("_")).alias("stat"), col(n).cast("double").alias("value")) for n in stats]
     )
     name = col(series).cast("string") if series else F.lit(None).cast("string")
     return data.select(col(x).cast("string").alias("x"), name.alias("series"), F.inline(cells))

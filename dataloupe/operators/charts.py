@@ -12,12 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dataloupe.functions.columns import (
-    col, is_numeric, is_temporal, number, present, quoted, require_columns, wall_clock,
+    col, fresh, is_numeric, is_temporal, number, present, quoted, require_columns, wall_clock,
 )
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.ordering import with_position
 from dataloupe.plans.quantiles import exact_quantiles
-from dataloupe.plans.storage import is_small, materialize
+from dataloupe.plans.storage import materialize
 
 # Interval width, whisker length, smallest share that gets a label, bandwidth
 # factor and grid of violins, axis margins.
@@ -29,11 +29,11 @@ VIOLIN_POINTS = 100
 VIOLIN_CUT = 2
 AXIS_LOW, AXIS_HIGH = 0.95, 1.05
 
-# Last span in days (exclusive for the first) of each smoothing window, in rows.
-SMOOTHING = ((13, 3), (90, 7), (365, 14))
+# Spans in days below which each smoothing window, in rows, is used.
+SMOOTHING = ((14, 3), (91, 7), (366, 14))
 LONG_SMOOTHING = 30
 
-MAX_BINS = 10_000
+INFINITY = float("inf")
 CELLS_PER_BANDWIDTH = 32
 KERNEL_REACH = 8.5  # bandwidths; beyond it a kernel adds less than one part in 10^15
 
@@ -55,27 +55,35 @@ def _group(df: DataFrame, *names: str | None):
 # ---------------------------------------------------------------- distributions
 
 
-def histogram(df: DataFrame, x: str, hue: str | None = None, max_bins: int = MAX_BINS) -> DataFrame:
+def histogram(
+    df: DataFrame, x: str, hue: str | None = None, max_bins: int | None = None
+) -> DataFrame:
     """``([hue], bin, bin_start, bin_end, n)``: equal bins shared by all hues, empty ones left out.
 
     The bin width is the smaller of 2 IQR / n^(1/3) and range / (log2 n + 1), the latter alone
-    if the IQR is 0. Outlying values can ask for any number of bins; beyond ``max_bins`` they
-    are made wider.
+    if the IQR is 0. Outlying values can ask for any number of bins, of which at most one
+    per row is not empty; a caller may set ``max_bins``, beyond which they are made wider.
+    Infinite values have no bin and are left out. Figures whose name the hue has are underscored.
     """
     rows, _ = _known(df, x, hue)
-    values = rows.select(number(df, x).alias("_y"))
-    facts = exact_quantiles(values, "_y", [], {"q1": 0.25, "q3": 0.75}).first()
-    low, width, bins = _bins(facts, max_bins)
-    place = F.least(F.floor((number(df, x) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-    keys = [col(hue)] if hue else []
-    counted = rows.select(*keys, place.alias("bin")).groupBy(*map(quoted, [hue] if hue else []), "bin")
-    edge = F.lit(low) + F.col("bin") * F.lit(width)
-    return counted.agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, "bin", edge.alias("bin_start"), (edge + F.lit(width)).alias("bin_end"), "n"
+    value = number(df, x)
+    rows = rows.where(F.abs(value) < INFINITY)
+    facts = exact_quantiles(rows.select(value.alias("_y")), "_y", [], {"q1": 0.25, "q3": 0.75})
+    low, width, bins = _bins(facts.first(), max_bins)
+    place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+    keys = [col(hue).alias("_hue")] if hue else []
+    counted = rows.select(*keys, place.alias("_bin")).groupBy(*["_hue"] * bool(hue), "_bin")
+    edge = F.lit(low) + F.col("_bin") * F.lit(width)
+    return counted.agg(F.count(F.lit(1)).alias("_m")).select(
+        *[F.col("_hue").alias(h) for h in [hue] if h],
+        F.col("_bin").alias(fresh("bin", hue)),
+        edge.alias(fresh("bin_start", hue)),
+        (edge + F.lit(width)).alias(fresh("bin_end", hue)),
+        F.col("_m").alias(fresh("n", hue)),
     )
 
 
-def _bins(facts, max_bins: int) -> tuple[float, float, int]:
+def _bins(facts, max_bins: int | None) -> tuple[float, float, int]:
     n, low, high = facts["n"], facts["min"], facts["max"]
     if not n:
         return 0.0, 1.0, 1
@@ -84,7 +92,8 @@ def _bins(facts, max_bins: int) -> tuple[float, float, int]:
     width = (high - low) / (math.log2(n) + 1)
     if facts["q3"] > facts["q1"]:
         width = min(width, 2 * (facts["q3"] - facts["q1"]) / n ** (1 / 3))
-    bins = min(max_bins, math.ceil((high - low) / width))
+    bins = math.ceil(min((high - low) / width, 2.0**62))
+    bins = min(max_bins, bins) if max_bins else bins
     return low, (high - low) / bins, bins
 
 
@@ -108,6 +117,7 @@ def kde(
     keys = [by] if isinstance(by, str) else list(by or [])
     rows, _ = _known(df, x, *keys)
     rows = rows.select(*[col(k) for k in keys], number(df, x).alias("_y"))
+    rows = rows.where(F.abs("_y") < INFINITY)  # infinite values have no place on the grid
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     names = [quoted(k) for k in keys]
@@ -118,8 +128,7 @@ def kde(
         F.max("_y").alias("_high"),
         F.stddev_samp("_y").alias("_sd"),
     )
-    if not is_small(rows):
-        groups = materialize(groups)
+    groups = materialize(groups)
     groups = groups.where(F.col("_sd") > 0).withColumn(
         "_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)) * F.lit(bw_adjust)
     )
@@ -159,44 +168,55 @@ def box_stats(df: DataFrame, x: str, y: str, hue: str | list[str] | None = None)
     """``(group, [hue], n, q1, median, q3, whisker_low, whisker_high, n_fliers)``.
 
     The categorical axis is the group: ``x``, or ``y`` if only ``x`` is numeric. Whiskers
-    end at the outermost values within 1.5 IQR of the box.
+    end at the outermost values within 1.5 IQR of the box. Columns whose name a hue has
+    are underscored.
     """
     group, value = (y, x) if is_numeric(df, x) and not is_numeric(df, y) else (x, y)
     hues = [hue] if isinstance(hue, str) else list(hue or [])
     rows, _ = _known(df, group, value, *hues)
+    inner = [f"_hue{i}" for i in range(len(hues))]
     rows = rows.select(
-        col(group).alias("group"), *[col(h) for h in hues], number(df, value).alias("_y")
+        col(group).alias("_group"),
+        *[col(h).alias(i) for h, i in zip(hues, inner)],
+        number(df, value).alias("_y"),
     )
-    keys = ["group", *hues]
+    keys = ["_group", *inner]
     levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     boxes = exact_quantiles(rows, "_y", keys, levels).drop("min", "max", "sum")
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     inside = F.col("_y").between(F.col("q1") - reach, F.col("q3") + reach)
-    return (
+    found = (
         lookup_join(rows, boxes, keys, "n")
-        .groupBy(*map(quoted, keys), "n", "q1", "median", "q3")
+        .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_y"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("_y"))).alias("whisker_high"),
             F.count_if(~inside).alias("n_fliers"),
         )
     )
+    figures = [fresh(n, *hues) for n in found.columns[len(keys) :]]
+    return found.toDF(fresh("group", *hues), *hues, *figures)
 
 
 def violin(df: DataFrame, x: str, y: str, facet: str | None = None) -> DataFrame:
     """``(group, [facet], grid_no, grid_x, density, q1, median, q3)``: half-bandwidth
     densities per category, each on its own grid, with the quartile lines."""
     rows, given = _known(df, x, y, facet)
+    facets = given[2:]
     rows = rows.select(
-        col(x).alias("group"), *[col(f) for f in given[2:]], number(df, y).alias("_value")
-    )
-    keys = ["group", *given[2:]]
+        col(x).alias("_group"),
+        *[col(f).alias("_facet") for f in facets],
+        number(df, y).alias("_value"),
+    ).where(F.abs("_value") < INFINITY)
+    keys = ["_group", *["_facet"] * len(facets)]
     shape = kde(
         rows, "_value", keys, VIOLIN_POINTS, VIOLIN_BANDWIDTH, VIOLIN_CUT, common_grid=False
     )
     levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     quartiles = exact_quantiles(rows, "_value", keys, levels).drop("n", "min", "max", "sum")
-    return shape.join(quartiles, keys)
+    found = shape.join(quartiles, keys)
+    figures = [fresh(n, *facets) for n in found.columns[len(keys) :]]
+    return found.toDF(fresh("group", *facets), *facets, *figures)
 
 
 # ---------------------------------------------------------------- means and trends
@@ -204,19 +224,21 @@ def violin(df: DataFrame, x: str, y: str, facet: str | None = None) -> DataFrame
 
 def _means(df: DataFrame, x: str, y: str, hue: str | None) -> DataFrame:
     rows, given = _known(df, x, y, hue)
-    keys = [col(n) for n in dict.fromkeys([x, *given[2:]])]
-    stats = rows.select(*keys, number(df, y).alias("_y")).groupBy(*keys).agg(
-        F.avg("_y").alias("mean"),
+    names = list(dict.fromkeys([x, *given[2:]]))
+    inner = [f"_key{i}" for i in range(len(names))]
+    keys = [col(n).alias(i) for n, i in zip(names, inner)]
+    stats = rows.select(*keys, number(df, y).alias("_y")).groupBy(*inner).agg(
+        F.avg("_y").alias("_mean"),
         F.stddev_samp("_y").alias("_sd"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    half = F.lit(CONFIDENCE) * F.col("_sd") / F.sqrt("n")
+    half = F.lit(CONFIDENCE) * F.col("_sd") / F.sqrt("_n")
     return stats.select(
-        *keys,
-        "mean",
-        (F.col("mean") - half).alias("ci_low"),
-        (F.col("mean") + half).alias("ci_high"),
-        "n",
+        *[F.col(i).alias(n) for i, n in zip(inner, names)],
+        F.col("_mean").alias(fresh("mean", *names)),
+        (F.col("_mean") - half).alias(fresh("ci_low", *names)),
+        (F.col("_mean") + half).alias(fresh("ci_high", *names)),
+        F.col("_n").alias(fresh("n", *names)),
     )
 
 
@@ -241,7 +263,7 @@ def twin_line(df: DataFrame, x: str, y: str, y2: str) -> DataFrame:
 
 def rolling_window(span_days: int) -> int:
     """Smoothing window in rows for data that spans so many days."""
-    return next((rows for last, rows in SMOOTHING if span_days <= last), LONG_SMOOTHING)
+    return next((rows for end, rows in SMOOTHING if span_days < end), LONG_SMOOTHING)
 
 
 def rolling_mean(
@@ -250,9 +272,9 @@ def rolling_mean(
     """``([by], x, y, rolling_y, window)``: mean of y over the current and the preceding rows.
 
     The window counts rows, starts with whatever is there, and restarts per group; rows
-    with equal x are ordered by y. Small tables use a plain window. Otherwise rows get
-    their global position, are cut into blocks of equal length, and each block is
-    handed the last rows of the one before, so that no group or table is held by one task.
+    with equal x are ordered by y. Rows get their global position, are cut into blocks of
+    equal length, and each block is handed the last rows of the one before, so that no group
+    or table is held by one task.
     """
     require_columns(df, x, y, by)
     rows, _ = _known(df, x, by)
@@ -260,23 +282,19 @@ def rolling_mean(
     keys = [quoted(by)] if by else []
     picked = rows.select(*keys, col(x), number(df, y).alias("_y"))
     order = [*[F.asc(k) for k in keys], F.asc(quoted(x)), F.asc_nulls_first("_y")]
-    if is_small(picked):
-        within = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order[len(keys) :])
-        done = picked.withColumn("_mean", _trailing(within, size))
-    else:
-        block = _block_rows(size)
-        placed = with_position(picked, order, "_pos").withColumn(
-            "_block", F.floor(F.col("_pos") / block)
-        )
-        tail = F.col("_pos") % block >= block - (size - 1)
-        copies = F.when(tail, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(
-            F.array(F.col("_block"))
-        )
-        spread = placed.withColumn("_home", F.col("_block")).withColumn("_block", F.explode(copies))
-        within = W.partitionBy("_block", *keys).orderBy("_pos")
-        done = spread.withColumn("_mean", _trailing(within, size)).where(
-            F.col("_home") == F.col("_block")
-        )
+    block = _block_rows(size)
+    placed = with_position(picked, order, "_pos").withColumn(
+        "_block", F.floor(F.col("_pos") / block)
+    )
+    tail = F.col("_pos") % block >= block - (size - 1)
+    copies = F.when(tail, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(
+        F.array(F.col("_block"))
+    )
+    spread = placed.withColumn("_home", F.col("_block")).withColumn("_block", F.explode(copies))
+    within = W.partitionBy("_block", *keys).orderBy("_pos")
+    done = spread.withColumn("_mean", _trailing(within, size)).where(
+        F.col("_home") == F.col("_block")
+    )
     return done.select(
         *keys,
         col(x),
@@ -301,7 +319,8 @@ def events_over_time(df: DataFrame, x: str, unit: str | None = None) -> DataFram
         raise ValueError(f"column {x!r} holds no dates or timestamps")
     rows, _ = _known(df, x)
     when = F.date_trunc(unit, wall_clock(x)).cast("timestamp_ntz") if unit else col(x)
-    counted = rows.select(when.alias(x)).groupBy(quoted(x)).agg(F.count(F.lit(1)).alias("n"))
+    count = F.count(F.lit(1)).alias(fresh("n", x))
+    counted = rows.select(when.alias(x)).groupBy(quoted(x)).agg(count)
     return counted.orderBy(quoted(x))
 
 
@@ -324,32 +343,49 @@ def scatter_points(
 
 def count_plot(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
     """``(x, [hue], n)``: rows per category."""
-    return _group(df, x, hue).agg(F.count(F.lit(1)).alias("n"))
+    return _group(df, x, hue).agg(F.count(F.lit(1)).alias(fresh("n", x, hue)))
 
 
-def category_share(df: DataFrame, x: str) -> DataFrame:
-    """``(x, n, pct)``: rows per category and their share in %."""
-    counts = count_plot(df, x)
-    rows, _ = _known(df, x)
-    total = rows.count()
-    return counts.withColumn("pct", F.col("n") / F.lit(max(total, 1)) * 100)
+def category_share(df: DataFrame, x: str, facet: str | None = None) -> DataFrame:
+    """``(x, [facet], n, pct)``: rows per category and their share in %, in each facet."""
+    counts = count_plot(df, x, facet)
+    n = fresh("n", x, facet)
+    pct = fresh("pct", x, facet)
+    if facet is not None:
+        total = F.sum(col(n)).over(W.partitionBy(quoted(facet)))
+        return counts.withColumn(pct, col(n) / total * 100)
+    # The counts are shuffled once: the total reads the same exchange.
+    total = counts.agg(F.sum(col(n))).scalar()
+    return counts.withColumn(pct, col(n) / total * 100)
 
 
-def composition(df: DataFrame, x: str, segment: str, zero_cells: bool = False) -> DataFrame:
-    """``(x, segment, n, pct, show_label)``: how each x divides into segments, in % of that x.
+def composition(
+    df: DataFrame, x: str, segment: str, zero_cells: bool = False, facet: str | None = None
+) -> DataFrame:
+    """``([facet], x, segment, n, pct, show_label)``: how each x divides into segments, in % of
+    that x.
 
-    ``zero_cells`` adds a row for every segment an x lacks; it needs a modest number of
-    segments, which are read by the driver (at most ``spark.sql.pivotMaxValues``).
+    ``zero_cells`` adds a row for every segment an x lacks: all pairs of an x and a segment,
+    so it is meant for few of either.
     """
+    if facet is not None:
+        rows, _ = _known(df, x, segment, facet)
+        keys = [col(facet).alias("facet"), col(x).alias("x"), col(segment).alias("segment")]
+        counts = rows.select(*keys).groupBy("facet", "x", "segment").agg(F.count(F.lit(1)).alias("n"))
+        share = F.col("n") / F.sum("n").over(W.partitionBy("facet", "x")) * 100
+        label = (share > LABEL_SHARE).alias("show_label")
+        return counts.select(
+            F.col("facet").alias(fresh(facet, "x", "segment")), "x", "segment", "n", share.alias("pct"), label
+        )
     require_columns(df, x, segment)
     rows, _ = _known(df, x, segment)
     pairs = rows.select(col(x).alias("x"), col(segment).alias("segment"))
     counts = pairs.groupBy("x", "segment").agg(F.count(F.lit(1)).alias("n"))
     if zero_cells:
-        wide = pairs.groupBy("x").pivot("segment").agg(F.count(F.lit(1)))
-        labels = [n for n in wide.columns if n != "x"]
-        filled = wide.fillna(0, [quoted(n) for n in labels])
-        counts = filled.unpivot("x", [quoted(n) for n in labels], "segment", "n")
+        labels = counts.agg(F.collect_set("segment").alias("_all"))
+        every = counts.select("x").distinct().join(F.broadcast(labels), F.lit(True))
+        every = every.select("x", F.explode("_all").alias("segment"))
+        counts = every.join(counts, ["x", "segment"], "left").fillna(0, ["n"])
     totals = counts.groupBy("x").agg(F.sum("n").alias("_total"), F.count("n").alias("_segments"))
     share = F.col("n") / F.col("_total") * 100
     joined = lookup_join(counts, totals, ["x"], "_segments")

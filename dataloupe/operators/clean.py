@@ -50,32 +50,69 @@ def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename all at once, so names may be swapped. Names the frame lacks are ignored,
     colliding results are rejected."""
     names = [mapping.get(n, n) for n in df.columns]
-    repeated = sorted({n for n in names if names.count(n) > 1})
+    plain = [n.lower() for n in names]  # Spark looks columns up without case
+    repeated = sorted({n for n in names if plain.count(n.lower()) > 1})
     if repeated:
         raise ValueError(f"renaming gives several columns the names {repeated}")
     return df.toDF(*names)
 
 
+# Public date layouts, tried per column where no format is given. Month first comes before day
+# first, as the usual reader of the surveyed files has it.
+COMMON_FORMATS = (
+    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd",
+    "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy", "d-MMM-yyyy", "M/d/yy", "d/M/yy",
+    "M/d/yyyy H:mm", "d/M/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss", "M/d/yyyy h:mm a",
+    "d.M.yyyy H:mm", "d MMMM yyyy H:mm", "yyyy/M/d H:mm:ss",
+)
+
+
 def coerce_timestamp(
     df: DataFrame, columns: list[str], formats: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:
     """Parse columns to wall-clock timestamps; what does not parse becomes NULL.
 
-    ISO texts parse without a format; further ``formats`` are tried in order.
-    Columns that already hold dates or timestamps are only converted.
+    ISO texts parse without a format; further ``formats`` are tried in order. Without
+    ``formats``, each text column is given the layout of ``COMMON_FORMATS`` that parses most of
+    its cells that are not ISO, the earlier one in a tie (so 03/04/2021 is the 4th of March
+    unless other cells speak against it); one aggregate decides for all columns. Columns
+    that already hold dates or timestamps are only converted.
     """
     require_columns(df, *columns)
+    texts = [n for n in columns if not is_temporal(df, n)]
+    chosen = {n: tuple(formats) for n in columns} if formats else _likely_formats(df, texts)
 
     def parsed(name: str) -> Column:
         if is_temporal(df, name):
             return col(name).cast("timestamp_ntz")
-        text = col(name).cast("string")
-        tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+        text = F.trim(col(name).cast("string"))
+        tries = [_tried(text, f) for f in chosen[name]]
         return F.coalesce(text.try_cast("timestamp_ntz"), *tries)
 
     return df.withColumns({n: parsed(n) for n in columns}) if columns else df
 
 
+def _tried(text: Column, layout: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")
+
+
+def _likely_formats(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]:
+    if not names:
+        return {}
+    counts = []
+    for i, n in enumerate(names):
+        text = F.trim(col(n).cast("string"))
+        rest = F.when(text.try_cast("timestamp_ntz").isNull(), text)
+        counts += [F.count(_tried(rest, f)).alias(f"c{i}_{j}") for j, f in enumerate(COMMON_FORMATS)]
+    row = df.agg(*counts).first()
+    found = {}
+    for i, n in enumerate(names):
+        mine = row[i * len(COMMON_FORMATS) : (i + 1) * len(COMMON_FORMATS)]
+        best = max(range(len(mine)), key=lambda j: (mine[j], -j))
+        found[n] = (COMMON_FORMATS[best],) if mine[best] else ()
+    return found
+
+
 def apply_processing_plan(df: DataFrame, plan: ProcessingPlan) -> DataFrame:
     """Parse times, drop, rename: in this order, all by original names."""
     timed = coerce_timestamp(df, list(plan.temporal_columns), plan.time_formats)

@@ -32,18 +32,19 @@ def add_ratio(df: DataFrame, new: str, num: str, den: str) -> DataFrame:
 
 
 def add_sum(df: DataFrame, new: str, a: str, b: str) -> DataFrame:
+    """a + b; NULL where the sum does not fit its type. The same holds for the next two."""
     left, right = _operands(df, a, b)
-    return df.withColumn(new, left + right)
+    return df.withColumn(new, F.try_add(left, right))
 
 
 def add_difference(df: DataFrame, new: str, a: str, b: str) -> DataFrame:
     left, right = _operands(df, a, b)
-    return df.withColumn(new, left - right)
+    return df.withColumn(new, F.try_subtract(left, right))
 
 
 def add_product(df: DataFrame, new: str, a: str, b: str) -> DataFrame:
     left, right = _operands(df, a, b)
-    return df.withColumn(new, left * right)
+    return df.withColumn(new, F.try_multiply(left, right))
 
 
 def add_days_between(df: DataFrame, new: str, a: str, b: str) -> DataFrame:

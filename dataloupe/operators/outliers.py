@@ -137,16 +137,21 @@ def clip_outliers(
     return joined.where(inside).select([col(n) for n in df.columns])
 
 
-def numeric_facts(df: DataFrame, y: str) -> Row:
-    """Quartiles, moments and sum of one column: a single row, read by the driver."""
+LEVELS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def numeric_facts(
+    df: DataFrame, y: str, levels: tuple[str, ...] = tuple(LEVELS), moments: bool = True
+) -> Row:
+    """The quartiles asked for, moments and sum of one column: a single row, read by the driver."""
     rows = _values(df, y, None)
     extra = [
         F.avg("_y").alias("mean"),
         F.stddev_samp("_y").alias("std"),
         F.kurtosis("_y").alias("kurtosis"),
     ]
-    levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    return exact_quantiles(rows, "_y", [], levels, extra).first()
+    asked = {n: LEVELS[n] for n in levels}
+    return exact_quantiles(rows, "_y", [], asked, extra if moments else None).first()
 
 
 def iqr_outliers(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
@@ -155,7 +160,7 @@ def iqr_outliers(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
     Only the upper fence q3 + 1.5 IQR counts. The fence is a literal in the second
     scan, so row groups below it are skipped.
     """
-    facts = facts or numeric_facts(df, y)
+    facts = facts or numeric_facts(df, y, ("q1", "q3"), moments=False)
     if facts["n"] == 0:
         nothing = F.lit(None).cast("double")
         return df.sparkSession.range(1).select(
@@ -177,7 +182,7 @@ def iqr_outliers(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
 
 def dispersion(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
     """One row ``(median, mean, cv, kurtosis)``; kurtosis is the excess of the population."""
-    facts = facts or numeric_facts(df, y)
+    facts = facts or numeric_facts(df, y, ("median",))
     values = {
         "median": facts["median"],
         "mean": facts["mean"],

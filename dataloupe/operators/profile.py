@@ -18,7 +18,7 @@ from dataloupe.functions.columns import (
 from dataloupe.plans.cardinality import distinct_up_to, short_key, sketch
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.quantiles import exact_quantiles
-from dataloupe.plans.storage import is_small, materialize
+from dataloupe.plans.storage import materialize
 
 # Class names and the limits between them.
 TEMPORAL, NUMERICAL, CATEGORICAL = "TEMPORAL", "NUMERICAL", "CATEGORICAL"
@@ -137,6 +137,11 @@ def categorical_profile(
     names = facts.of_class(CATEGORICAL)
     if not names:
         return _table(df, [], "`column` string, value string, n long, rank int, n_unique long")
+    found = materialize(_top_values(df, names, top))
+    return _full_values(df, found, [n for n in names if is_text(df, n)])
+
+
+def _top_values(df: DataFrame, names: list[str], top: int) -> DataFrame:
     counts = _value_counts(df, names)
     # The rank limit is applied inside each partition before the shuffle.
     best = W.partitionBy("column").orderBy(F.desc("n"), F.asc("key"))
@@ -144,16 +149,14 @@ def categorical_profile(
     # Reading n here too keeps both branches equal up to their shuffle, which is then shared.
     sizes = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_unique"))
     # At most one row per column on one side, `top` per column on the other.
-    found = ranked.join(F.broadcast(sizes), "column")
-    if not is_small(counts):
-        found = materialize(found)
-    return _full_values(df, found, [n for n in names if is_text(df, n)])
+    return ranked.join(F.broadcast(sizes), "column")
 
 
 def _full_values(df: DataFrame, found: DataFrame, texts: list[str]) -> DataFrame:
     out = ["column", "value", "n", "rank", "n_unique"]
-    longest = df.agg(*[F.max(F.length(col(n))) for n in texts]).first() if texts else []
-    long_names = [n for n, size in zip(texts, longest) if size is not None and size >= 64]
+    # A key of 64 characters is a digest; the reported rows are few per column.
+    digests = found.where(F.length("key") == 64).select("column").distinct().collect()
+    long_names = [n for n in texts if n in {r[0] for r in digests}]
     if not long_names:
         return found.withColumnRenamed("key", "value").select(out)
     pairs = [

@@ -1,20 +1,22 @@
 """Exact quantiles with linear interpolation, per group, at any group size.
 
-``percentile`` keeps every distinct value of a group in one task. That is the
-cheapest exact plan for tiny inputs and impossible for a group with 10^11 rows,
-so everything else takes a bracketing plan:
-
-1. ``percentile_approx`` per (group, salt) gives each salt's rank bounds a little
-   left and right of the wanted one. The smallest left and the largest right bound
-   over the salts enclose the group's quantile: if at least a share p of every part
-   lies at or below a value, so does a share p of the whole.
-2. One more scan counts rows per distinct value inside the bracket, and only totals
-   outside it. About 0.1 % of the rows reach the shuffle.
-3. The values in the brackets are put in order. On large inputs each bracket is first
-   cut into equal cells; cell totals locate the cell of each wanted rank, and only the
-   values of those cells are sorted.
-
-The result is exact. A rank outside its bracket raises instead of returning a wrong value.
+The rows of every group are counted first, together with its other totals. Groups of up to
+``SHORT_GROUP`` rows are put in order as one bounded list each. The others, of which there
+can be one per ``SHORT_GROUP`` rows of the table at most, take a bracketing plan:
+
+1. ``percentile_approx`` per (group, part of the input) gives each part's rank bounds a little
+   left and right of the wanted one. A task belongs to one part only, so that it builds one
+   sketch per group. The smallest left and the largest right bound over the parts enclose
+   the group's quantile: if at least a share p of every part lies at or below a value, so
+   does a share p of the whole.
+2. One more scan counts rows per distinct value inside the bracket, and only totals outside
+   it. About 0.1 % of the rows of these groups reach the shuffle.
+3. The values in the brackets are put in order. Each bracket is first cut into equal cells;
+   cell totals locate the cell of each wanted rank, and only the values of those cells are
+   sorted.
+
+The result is exact, and infinite values keep their place in the order. A group whose rank
+fell outside its bracket would be taken once more with all its values in the bracket.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from dataloupe.functions.columns import quoted
+from dataloupe.functions.columns import fresh, quoted
 from dataloupe.plans.joins import lookup_join
-from dataloupe.plans.storage import estimated_bytes, is_small, materialize
+from dataloupe.plans.storage import materialize
 
 ACCURACY = 10_000  # rank error of the sketch is at most n / ACCURACY
 MARGIN = 4 / ACCURACY
+SHORT_GROUP = 10_000
 CELLS = 4096
-SINGLE_PASS = 1 / 32  # of the small limit
-BYTES_PER_SALT = 8 << 30  # 64 input splits, so that one task merges few sketches
-MOST_SALTS = 256
+PARTS = 256  # of the input; each merges the sketches of its tasks
+INFINITY = float("inf")
 
 
 def exact_quantiles(
@@ -45,129 +47,130 @@ def exact_quantiles(
     """One row per group: ``by``, ``n``, ``min``, ``max``, ``sum``, one column per entry of
     ``probs``, and ``extra``.
 
-    ``value`` must be a double column without NULL and NaN, ``by`` columns without
-    NULL. ``extra`` are further aggregates over the same rows; on large inputs they cost
-    one more scan. Without ``by`` the result is one row, also for an empty input (n = 0).
+    ``value`` must be a double column without NULL and NaN, ``by`` columns without NULL.
+    ``extra`` are further aggregates over the same rows, taken with the counts. Without ``by``
+    the result is one row, also for an empty input (n = 0).
     """
-    extra = extra or []
-    if is_small(df, SINGLE_PASS):
-        return _single_pass(df, value, by, probs, extra)
-    if by:
-        quantiles = _bracketed(df, value, by, probs)
-        return quantiles.join(df.groupBy(*map(quoted, by)).agg(*extra), by) if extra else quantiles
-    quantiles = _bracketed(df.withColumn("_all", F.lit(0)), value, ["_all"], probs)
-    names = [c for c in quantiles.columns if c != "_all"]
-    one = quantiles.agg(*[F.max(quoted(c)).alias(c) for c in names])
-    one = one.withColumn("n", F.coalesce("n", F.lit(0)))
-    if not extra:
-        return one
-    rest = df.agg(F.lit(0).alias("_all"), *extra)
-    return one.withColumn("_all", F.lit(0)).join(rest, "_all").drop("_all")
-
-
-def _single_pass(df, value, by, probs, extra) -> DataFrame:
-    y = F.col(quoted(value))
-    levels = ", ".join(f"{p!r}D" for p in probs.values())
-    found = df.groupBy(*map(quoted, by)).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(y).alias("min"),
-        F.max(y).alias("max"),
-        F.sum(y).alias("sum"),
-        F.expr(f"percentile({quoted(value)}, array({levels}))").alias("_q"),
-        *extra,
-    )
-    return found.select(
-        *map(quoted, by), "n", "min", "max", "sum",
-        *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)],
-        *map(quoted, found.columns[len(by) + 5 :]),
-    )
-
-
-def _bracketed(df: DataFrame, value: str, by: list[str], probs: dict[str, float]) -> DataFrame:
-    large = not is_small(df)
+    if not by:
+        every = fresh("_all", *df.columns)
+        one = exact_quantiles(df.withColumn(every, F.lit(0)), value, [every], probs, extra)
+        none = df.limit(0).agg(F.count(F.lit(1)).alias("_none"))
+        row = none.join(one, F.lit(True), "left").drop("_none", every)
+        return row.withColumn("n", F.coalesce("n", F.lit(0)))
     keys = [quoted(b) for b in by]
-    rows = df.select(*keys, F.col(quoted(value)).alias("_y"))
+    y = F.col(quoted(value))
+    totals = [
+        F.count(F.lit(1)).alias("n"), F.min(y).alias("min"), F.max(y).alias("max"),
+        F.sum(y).alias("sum"), *(extra or []),
+    ]
+    facts = materialize(df.groupBy(*keys).agg(*totals))
+    sizes = facts.agg(
+        F.max("n"), F.min("n"), F.sum(F.when(F.col("n") > SHORT_GROUP, F.col("n")))
+    ).first()
+    rows = df.select(*keys, y.alias("_y"))
     ordered = sorted(set(probs.values()))
-    brackets = _brackets(rows, keys, ordered).withColumn("_n", F.col("_t")["n"])
-    located = lookup_join(rows, materialize(brackets) if large else brackets, by, "_n")
-
+    long_groups = facts.where(F.col("n") > SHORT_GROUP).select(*keys, F.col("n").alias("_n"))
+    found = []
+    if (sizes[0] or 0) <= SHORT_GROUP:
+        found.append(_listed(rows, keys, ordered))
+    else:
+        if sizes[1] <= SHORT_GROUP:
+            found.append(_listed(rows.join(long_groups, by, "left_anti"), keys, ordered))
+            rows = rows.join(long_groups.drop("_n"), by, "left_semi")
+        found.append(_bracketed(rows, by, ordered))
+    ranked = facts.join(reduce(DataFrame.unionByName, found), by)
+    levels = [_between(ordered.index(p), p).alias(name) for name, p in probs.items()]
+    others = facts.columns[len(by) + 4 :]
+    return ranked.select(*keys, "n", "min", "max", "sum", *levels, *map(quoted, others))
+
+
+def _between(i: int, p: float) -> Column:
+    """The interpolated value of level ``p`` from the two that enclose it."""
+    position = (F.col("n") - 1) * F.lit(p)
+    share = position - F.floor(position)
+    low, high = F.col(f"_{i}_0"), F.col(f"_{i}_1")
+    plain = (share == 0) | (low == high)
+    return F.when(plain, low).otherwise(low * (1 - share) + high * share)
+
+
+def _listed(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFrame:
+    """The enclosing values of each level, for groups short enough to be one sorted list."""
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_y")).alias("_list"))
+    ranks = [r for p in ordered for r in _ranks(F.size("_list"), p)]
+    names = [f"_{i}_{side}" for i in range(len(ordered)) for side in (0, 1)]
+    return lists.select(*keys, *[F.get("_list", r.cast("int")).alias(n) for r, n in zip(ranks, names)])
+
+
+def _bracketed(rows: DataFrame, by: list[str], ordered: list[float]) -> DataFrame:
+    """The same for long groups."""
+    keys = [quoted(b) for b in by]
+    brackets = materialize(_brackets(rows, keys, ordered))
+    picked = materialize(_picked(rows, brackets, by, ordered))
+    names = [n for n in picked.columns if n not in by]
+    missed = picked.where(reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names]))
+    if missed.isEmpty():
+        return picked
+    # Cannot happen as long as the sketches keep their promise.
+    again = [quoted(k) for k in by]
+    whole = F.transform("_b", lambda _: F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi")))
+    wide = brackets.join(missed.select(*again), by, "left_semi").withColumn("_b", whole)
+    repeated = rows.join(wide.select(*again), by, "left_semi")
+    return picked.join(wide, by, "left_anti").unionByName(_picked(repeated, wide, by, ordered))
+
+
+def _picked(rows: DataFrame, brackets: DataFrame, by: list[str], ordered: list[float]) -> DataFrame:
+    keys = [quoted(b) for b in by]
+    located = lookup_join(rows, brackets, by, "_n")
     # Segment 2i lies below bracket i, segment 2i + 1 is bracket i itself.
-    segment = _segment(len(ordered))
-    inside = located.withColumn("_s", segment).where(F.col("_s").isNotNull())
+    inside = located.withColumn("_s", _segment(len(ordered))).where(F.col("_s").isNotNull())
     in_bracket = F.col("_s") % 2 == 1
-    counted = (
-        inside.withColumn("_c", _cell(in_bracket) if large else F.lit(0))
+    counted = materialize(
+        inside.withColumn("_c", _cell(in_bracket))
         .withColumn("_v", F.when(in_bracket, F.col("_y")))
-        .groupBy(*keys, "_t", "_s", "_c", "_v")
+        .groupBy(*keys, "_n", "_s", "_c", "_v")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
-    if large:
-        counted = materialize(counted)
-        cells = _wanted_cells(counted, keys, [r for p in ordered for r in _ranks(p)])
-        within = W.partitionBy(*keys, "_s", "_c").orderBy("_v")
-        placed = counted.join(cells, [*by, "_s", "_c"])
-        before = F.col("_start")
-    else:
-        within = W.partitionBy(*keys).orderBy("_s", "_v")
-        placed, before = counted, F.lit(0)
-    end = before + F.sum("_m").over(within.rowsBetween(W.unboundedPreceding, 0))
-    hits = placed.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_m"))
+    ranks = [_ranks(F.col("_n"), p) for p in ordered]
+    cells = _wanted_cells(counted, keys, [r for pair in ranks for r in pair])
+    within = W.partitionBy(*keys, "_s", "_c").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = counted.join(cells, [*by, "_s", "_c"])
+    hits = placed.withColumn("_end", F.col("_start") + F.sum("_m").over(within))
+    hits = hits.withColumn("_start", F.col("_end") - F.col("_m"))
 
     def value_at(rank: Column) -> Column:
         here = (F.col("_start") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(here, _checked(F.col("_v"))))
-
-    picked = hits.groupBy(*keys, "_t").agg(
-        *[
-            value_at(rank).alias(f"_{i}_{side}")
-            for i, p in enumerate(ordered)
-            for side, rank in enumerate(_ranks(p))
-        ]
+        return F.max(F.when(here, F.col("_v")))
+
+    return hits.groupBy(*keys).agg(
+        *[value_at(r).alias(f"_{i}_{side}") for i, pair in enumerate(ranks) for side, r in enumerate(pair)]
     )
-    found = []
-    for name, p in probs.items():
-        i = ordered.index(p)
-        position = (F.col("_t")["n"] - 1) * F.lit(p)
-        share = position - F.floor(position)
-        found.append((F.col(f"_{i}_0") * (1 - share) + F.col(f"_{i}_1") * share).alias(name))
-    return picked.select(*keys, "_t.n", "_t.min", "_t.max", "_t.sum", *found)
 
 
 def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFrame:
-    """Per group: its totals ``_t`` and an array ``_b`` of (lo, hi), one per level."""
+    """Per group: its size ``_n``, its ends, and an array ``_b`` of (lo, hi), one per level."""
     bounds = [b for p in ordered for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    size = estimated_bytes(rows)
-    salts = MOST_SALTS if size is None else min(MOST_SALTS, 1 + size // BYTES_PER_SALT)
     parts = (
-        rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        .groupBy(*keys, "_salt")
+        rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+        .groupBy(*keys, "_part")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("_y").alias("min"),
             F.max("_y").alias("max"),
-            F.sum("_y").alias("sum"),
             F.percentile_approx("_y", bounds, ACCURACY).alias("_a"),
         )
     )
     merged = parts.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-        F.sum("sum").alias("sum"),
+        F.sum("n").alias("_n"),
+        F.min("min").alias("_min"),
+        F.max("max").alias("_max"),
         *[F.min(F.col("_a")[2 * i]).alias(f"_lo{i}") for i in range(len(ordered))],
         *[F.max(F.col("_a")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(ordered))],
     )
-    # In a group this short the margin is less than a rank: take all of it.
-    whole = F.col("n") <= ACCURACY
     pairs = [
-        F.struct(
-            F.when(whole, F.col("min")).otherwise(F.col(f"_lo{i}")).alias("lo"),
-            F.when(whole, F.col("max")).otherwise(F.col(f"_hi{i}")).alias("hi"),
-        )
+        F.struct(F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
         for i in range(len(ordered))
     ]
-    totals = F.struct("n", "min", "max", "sum")
-    return merged.select(*keys, totals.alias("_t"), F.array(*pairs).alias("_b"))
+    return merged.select(*keys, "_n", "_min", "_max", F.array(*pairs).alias("_b"))
 
 
 def _segment(levels: int) -> Column:
@@ -180,17 +183,25 @@ def _segment(levels: int) -> Column:
 
 
 def _cell(in_bracket: Column) -> Column:
-    """The cell of a value in its bracket; the order of cells is the order of values."""
+    """The cell of a value in its bracket; the order of cells is the order of values.
+
+    A bracket with an infinite end is divided on a logarithmic scale, which is finite.
+    """
     edge = F.col("_b")[(F.col("_s") / 2).cast("int")]
-    width = edge["hi"] - edge["lo"]
-    place = F.least(F.floor((F.col("_y") - edge["lo"]) / width * CELLS), F.lit(CELLS - 1))
+    endless = (F.abs(edge["lo"]) == INFINITY) | (F.abs(edge["hi"]) == INFINITY)
+
+    def scaled(v: Column) -> Column:
+        return F.when(endless, F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(800.0))).otherwise(v)
+
+    low, width = scaled(edge["lo"]), scaled(edge["hi"]) - scaled(edge["lo"])
+    place = F.least(F.floor((scaled(F.col("_y")) - low) / width * CELLS), F.lit(CELLS - 1))
     return F.when(in_bracket & (width > 0), place).otherwise(F.lit(0)).cast("int")
 
 
 def _wanted_cells(counted: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
     """``(keys, _s, _c, _start)`` of the cells that hold a wanted rank. At most CELLS + 1
     totals per level and group are put in order, whatever the group's size."""
-    totals = counted.groupBy(*keys, "_t", "_s", "_c").agg(F.sum("_m").alias("_w"))
+    totals = counted.groupBy(*keys, "_n", "_s", "_c").agg(F.sum("_m").alias("_w"))
     so_far = W.partitionBy(*keys).orderBy("_s", "_c").rowsBetween(W.unboundedPreceding, 0)
     totals = totals.withColumn("_end", F.sum("_w").over(so_far))
     totals = totals.withColumn("_start", F.col("_end") - F.col("_w"))
@@ -198,13 +209,7 @@ def _wanted_cells(counted: DataFrame, keys: list[str], ranks: list[Column]) -> D
     return totals.where(reduce(lambda a, b: a | b, holds)).select(*keys, "_s", "_c", "_start")
 
 
-def _ranks(p: float) -> list[Column]:
+def _ranks(n: Column, p: float) -> list[Column]:
     """Zero-based ranks of the two values that enclose level ``p``."""
-    position = (F.col("_t")["n"] - 1) * F.lit(p)
+    position = (n - 1) * F.lit(p)
     return [F.floor(position), F.ceil(position)]
-
-
-def _checked(v: Column) -> Column:
-    return F.when(v.isNotNull(), v).otherwise(
-        F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-    )

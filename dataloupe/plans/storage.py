@@ -1,4 +1,4 @@
-"""Size estimates and written intermediate tables."""
+"""Written intermediate tables, and the estimates Catalyst has of them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SMALL_BYTES_CONF = "spark.dataloupe.smallBytes"
-SMALL_BYTES = 8 << 20
+# Paths written per application, to be removed by ``release``.
+_written: dict[str, list[str]] = {}
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -19,23 +19,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame, share: float = 1.0) -> bool:
-    """Whether one task could hold the frame. Only chooses between two exact plans.
-
-    The limit is ``spark.dataloupe.smallBytes`` (0 makes every frame large), times ``share``.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(SMALL_BYTES)))
-    size = estimated_bytes(df)
-    return size is not None and size <= limit * share
-
-
 def rows_up_to(df: DataFrame, n: int) -> int:
     """The number of rows, but at most ``n``; reads partitions only until n are found."""
     return len(df.select(F.lit(1)).take(n))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode."""
+    """The cluster's checkpoint folder, ``spark.checkpoint.dir``. Only in local mode, where
+    all tasks share a disk, a temporary folder is set if there is none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -48,7 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, kind: str = "table") -> str:
-    return f"{shared_folder(spark)}/dataloupe-{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/dataloupe-{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,3 +53,19 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written; returns their number.
+
+    Frames that were built from them cannot be read afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
+def delete_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

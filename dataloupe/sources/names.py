@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 
 
 def clean_names(names: list[str]) -> list[str]:
-    """Strip, turn blanks and dots into underscores, number repeats from _1 in order."""
-    taken: dict[str, None] = {}
+    """Strip, turn blanks and dots into underscores, number repeats from _1 in order.
+
+    Spark looks columns up without case, so names that differ by case only are repeats too.
+    """
+    taken: dict[str, str] = {}
     for raw in names:
         base = raw.strip().translate(str.maketrans(" .", "__"))
         numbered = (base if not i else f"{base}_{i}" for i in range(len(names) + 1))
-        taken[next(n for n in numbered if n not in taken)] = None
-    return list(taken)
+        name = next(n for n in numbered if n.lower() not in taken)
+        taken[name.lower()] = name
+    return list(taken.values())
 
 
 def sanitize_columns(df: DataFrame) -> DataFrame:

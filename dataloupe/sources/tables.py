@@ -6,7 +6,7 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from dataloupe.functions.columns import col, nan_to_null
+from dataloupe.functions.columns import col, fresh, nan_to_null
 from dataloupe.plans.storage import rows_up_to
 from dataloupe.sources.names import clean_names
 
@@ -35,6 +35,9 @@ def read_table(
     its cells, decided in one pass over the file. Give ``schema`` to skip that pass.
     Headers go through :func:`clean_names`. ``multiline`` allows line breaks inside
     quotes, at the price of one task per file.
+
+    What would lose cells is refused: a row with more cells than the header, files of a
+    folder with different headers, and cells that do not fit a given ``schema``.
     """
     if fmt == "parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -47,46 +50,76 @@ def read_table(
     else:
         schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         names, types = schema.names, {f.name: f.dataType for f in schema.fields}
+    extra = fresh("_more", *names)
     raw = (
-        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in (*names, extra)]))
         .option("header", True)
+        .option("enforceSchema", True)
         .option("multiLine", multiline)
         .option("escape", '"')
         .csv(path)
     )
-    cells = raw.select([_cell(n).alias(n) for n in names])
-    types = types or _fitting_types(cells)
+    cells = raw.select([_cell(n).alias(n) for n in names] + [col(extra)])
+    types = _fitting_types(cells, extra) if types is None else _fitting(cells, types, extra)
     typed = cells.select([col(n).try_cast(types[n]).alias(n) for n in names])
     return nan_to_null(typed)
 
 
+def _fitting(
+    cells: DataFrame, types: dict[str, T.DataType], extra: str
+) -> dict[str, T.DataType]:
+    """The given types, if every cell fits them, in one aggregate."""
+    lost = [
+        F.count_if(col(n).isNotNull() & col(n).try_cast(t).isNull()).alias(n) for n, t in types.items()
+    ]
+    counts = cells.agg(F.count(col(extra)).alias(extra), *lost).first().asDict()
+    _refuse_more(counts.pop(extra), types)
+    if wrong := {n: c for n, c in counts.items() if c}:
+        raise ValueError(f"cells that do not fit the schema: {wrong}")
+    return types
+
+
+def _refuse_more(rows: int, names) -> None:
+    if rows:
+        raise ValueError(f"{rows} rows have more than {len(names)} cells")
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
-    """The first line of the file, or of the first file of a folder."""
-    first = spark.read.text(path).first()
-    if first is None:
+    """The first line of the file, which all files of a folder must share."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    # A file's first line has its smallest number; only distinct headers reach the driver.
+    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    headers = [r[0] for r in firsts.select("header").distinct().limit(2).collect()]
+    if not headers:
         raise ValueError(f"{path} is empty")
-    return next(csv.reader([first[0].lstrip("﻿")]))
+    if len(headers) > 1:
+        raise ValueError(f"the files of {path} have different headers: {headers}")
+    return next(csv.reader([headers[0].lstrip("\ufeff").rstrip("\r")]))
 
 
 def _cell(name: str) -> Column:
     return F.when(~col(name).isin(*MISSING), col(name))
 
 
-def _fitting_types(cells: DataFrame) -> dict[str, T.DataType]:
+def _fitting_types(cells: DataFrame, extra: str) -> dict[str, T.DataType]:
     """The narrowest type every non-missing cell of a column fits, in one aggregate."""
+    names = [n for n in cells.columns if n != extra]
 
     def every(test: Column) -> Column:
         return F.coalesce(F.every(test), F.lit(True))
 
     checks = []
-    for n in cells.columns:
+    for n in names:
         c = col(n)
         whole = c.rlike(WHOLE) & c.try_cast("bigint").isNotNull()
         checks += [every(F.when(c.isNotNull(), t)) for t in (whole, c.rlike(REAL), c.rlike(TRUTH))]
         checks.append(F.count(c) == 0)
+    checks.append(F.count(col(extra)))
     row = cells.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
+    _refuse_more(row[-1], names)
     types = {}
-    for i, n in enumerate(cells.columns):
+    for i, n in enumerate(names):
         is_whole, is_real, is_truth, is_empty = row[4 * i : 4 * i + 4]
         if is_empty:
             types[n] = T.DoubleType()

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-SMALL = "spark.dataloupe.smallBytes"
+from dataloupe.plans import quantiles  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,19 +27,17 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["small", "large"])
-def plans(request, spark):
-    """Runs a test twice: with the plans for small inputs and with those for large ones."""
-    spark.conf.set(SMALL, str(8 << 20) if request.param == "small" else "0")
+@pytest.fixture(params=["short", "long"])
+def plans(request, monkeypatch):
+    """Runs a test twice: with sorted lists for short groups, and with brackets for all groups."""
+    if request.param == "long":
+        monkeypatch.setattr(quantiles, "SHORT_GROUP", 0)
     yield request.param
-    spark.conf.unset(SMALL)
 
 
 @pytest.fixture
-def large_plans(spark):
-    spark.conf.set(SMALL, "0")
-    yield
-    spark.conf.unset(SMALL)
+def long_groups(monkeypatch):
+    monkeypatch.setattr(quantiles, "SHORT_GROUP", 0)
 
 
 @pytest.fixture(scope="session")

@@ -104,9 +104,11 @@ def test_tweaks(table, caplog):
     assert "cat2" in already.data.columns
     with caplog.at_level(logging.WARNING):
         assert dl.run_chart(table, ChartSpec("cat", "cat2"), [], "num", Tweak("log_scale")).axis is None
+        assert dl.run_chart(table, ChartSpec("cat"), [], "num", Tweak("log_scale")).axis is None
     assert "not numeric" in caplog.text
-    with pytest.raises(ValueError, match="needs a chart with y"):
-        dl.run_chart(table, ChartSpec("cat"), [], "num", Tweak("log_scale"))
+    kept = dl.run_chart(table, ChartSpec("cat"), [], "num", Tweak("rolling_mean"))
+    assert kept.chart_type == "pie"
+    assert dl.run_chart(table, ChartSpec("cat"), [], "num", Tweak("facet_grid")).chart_type == "pie"
     with pytest.raises(ValueError, match="unknown tweak"):
         Tweak("sparkle")
 
@@ -120,8 +122,15 @@ def test_facets(table):
     assert dl.facet(table, "t", "num", "num2", ["t"])[0] == "scatter"
     assert dl.facet(table, "t", "num", "few", ["t"])[0] == "line"
     assert dl.facet(table, "cat", "num", "num")[0] == "scatter"
-    with pytest.raises(ValueError, match="facets"):
-        dl.facet(table, "cat", "cat2", "few")
+    kind, data = dl.facet(table, "cat", "cat2", "few")
+    assert kind == "stacked_bar" and data.columns == ["few", "x", "segment", "n", "pct", "show_label"]
+    assert data.groupBy("few", "x").agg(F.sum("pct").alias("p")).where("abs(p - 100) > 1e-9").count() == 0
+    kind, data = dl.facet(table, "num", None, "cat")
+    assert kind == "histogram" and data.select("cat").distinct().count() == 3
+    kind, data = dl.facet(table, "cat", None, "cat2")
+    assert kind == "pie" and data.groupBy("cat2").agg(F.sum("pct").alias("p")).where("abs(p - 100) > 1e-9").count() == 0
+    counted = dl.run_chart(table, ChartSpec("wide"), [], "num", Tweak("facet_grid", facet_by="cat"))
+    assert counted.chart_type == "countplot" and counted.data.columns == ["wide", "cat", "n"]
     split = dl.run_chart(table, ChartSpec("t", "num"), ["t"], "num", Tweak("facet_grid", facet_by="cat"))
     assert split.chart_type == "line" and "cat" in split.data.columns
     own = dl.run_chart(table, ChartSpec("t", "num"), ["t"], "num", Tweak("facet_grid"))
@@ -231,3 +240,84 @@ def test_whole_analysis(spark, tmp_path):
     assert found == {1: None, 2: "Global", 3: "k3"}
     assert data.where("chart_type = 'line' AND stat = 'mean'").agg(F.max("value")).first()[0] < 200
     assert dl.forensic_summary(table, "revenue").count() == 3
+
+
+def test_sharing_changes_no_chart(table):
+    """A dictionary shared by charts of other columns and metrics gives what each gives alone."""
+    shared = {}
+    for spec, metric in (
+        (ChartSpec("wide"), "num"), (ChartSpec("long"), "num"), (ChartSpec("cat", "num", "long"), "num"),
+        (ChartSpec("cat", "num", "long"), "num2"), (ChartSpec("long"), None),
+    ):
+        together = dl.run_chart(table, spec, [], metric, shared=shared)
+        alone = dl.run_chart(table, spec, [], metric)
+        assert sorted(map(str, together.data.collect())) == sorted(map(str, alone.data.collect()))
+
+
+def test_names_of_figures_and_helpers_may_be_columns(spark):
+    """Result columns step aside for key columns of the same name."""
+    df = spark.range(60).selectExpr(
+        "concat('c', id % 3) AS n", "concat('g', id % 2) AS `group`", "concat('b', id % 2) AS bin",
+        "concat('t', id % 4) AS total", "concat('x', id % 2) AS x", "double(id % 7) AS v",
+        "timestamp_ntz '2024-01-01' + make_dt_interval(id % 9) AS mean",
+    )
+    assert dl.count_plot(df, "n").columns == ["n", "_n"]
+    assert dl.line_mean(df, "n", "v").columns == ["n", "mean", "ci_low", "ci_high", "_n"]
+    assert dl.line_mean(df, "mean", "v", "n").count() == 9 * 1 * 1 * 3 - 18
+    assert dl.category_share(df, "n").columns == ["n", "_n", "pct"]
+    assert dl.box_stats(df, "x", "v", "group").columns[:2] == ["_group", "group"]
+    assert dl.violin(df, "x", "v", "group").columns[:2] == ["_group", "group"]
+    assert dl.histogram(df, "v", "bin").columns == ["bin", "_bin", "bin_start", "bin_end", "n"]
+    assert dl.category_pareto(df, "total", "v").columns[:2] == ["total", "_total"]
+    assert dl.top_k_others(df, "total", "v").count() == 60
+    whole = dl.composition(df, "x", "n", zero_cells=True)
+    assert whole.count() == 6 and dict(whole.dtypes)["segment"] == "string"
+    specs = [ChartSpec("n"), ChartSpec("n", "v"), ChartSpec("v", color_by="bin"), ChartSpec("x", "v", "group"),
+             ChartSpec("x", "n", "total")]
+    data, _ = dl.chart_battery(df, specs, [], "v")
+    assert {"n", "pct", "density", "median"} <= {r[0] for r in data.select("stat").distinct().collect()}
+
+
+def test_segments_that_differ_by_case(frame):
+    df = frame("x int, s string", [(1, "a"), (1, "A"), (2, "x")])
+    got = dl.composition(df, "x", "s", zero_cells=True)
+    assert got.count() == 6 and got.where("n = 0").count() == 3
+    numbers = frame("x int, s int", [(1, 7), (2, 8)])
+    assert dict(dl.composition(numbers, "x", "s", zero_cells=True).dtypes)["segment"] == "int"
+
+
+def test_histograms_carry_their_density(table):
+    data, evidence = dl.chart_battery(table, [ChartSpec("num"), ChartSpec("cat", "num"), ChartSpec("cat", "cat2")], [], "num")
+    curve = data.where("chart_type = 'histogram' AND stat = 'density'").toPandas()
+    want = dl.kde(table, "num").toPandas()
+    assert sorted(curve["value"]) == pytest.approx(sorted(want["density"]))
+    flags = {r["chart_no"]: (r["data_type"], r["outlier_clipped"]) for r in evidence.collect()}
+    assert flags == {1: ("non_numeric", False), 2: ("numeric", False), 3: ("non_numeric", False)}
+
+
+def test_triage_rules_and_history(frame):
+    schema = ("run string, round int, x string, y string, chart_color string, suggested_tweak string, "
+              "color_by string, facet_by string, quality_score int, strategic_score int, is_spurious boolean")
+    rows = [
+        ("r1", 1, "a", "b", None, "log_scale", None, None, 7, 7, False),        # retry
+        ("r1", 2, "a", "b", None, "log_scale", None, None, 7, 7, False),        # repeated: complete
+        ("r1", 3, "a", "b", None, "log_scale", None, None, 7, 3, False),        # repeated, weak: drop
+        ("r1", 1, "c", "d", None, "color_by_segment", "c", None, 7, 7, False),  # already x: drop
+        ("r1", 2, "c", "d", None, "color_by_segment", "c", None, 7, 7, False),  # a drop leaves no trace
+        ("r2", 1, "e", None, None, "facet_grid", None, "e", 7, 7, False),       # splits by x: drop
+        ("r2", 1, "e", None, "z", "facet_grid", None, "e", 7, 7, False),        # coloured: retry
+        ("r3", 1, "f", "g", None, None, None, None, 2, 2, False),               # complete
+    ]
+    findings = frame(schema, rows)
+    known = dl.with_tweak_history(findings, ["run", "x", "y", "chart_color"], "round")
+    got = known.withColumn("o", dl.finding_outcome(known)).collect()
+    outcomes = sorted((r["run"], r["x"], r["round"], r["chart_color"] or "", r["o"]) for r in got)
+    assert [o[-1] for o in outcomes] == ["retry", "complete", "drop", "drop", "drop", "drop", "retry", "complete"]
+    assert [r[0] for r in dl.unfinished_runs(known, "run").collect()] == ["r2"]
+
+
+def test_rows_without_a_run_are_one_run(frame):
+    schema = "run string, quality_score int, strategic_score int, is_spurious boolean"
+    findings = frame(schema, [(None, 9, 9, False), (None, 2, 2, False), ("a", 3, 3, False)])
+    got = sorted(map(str, dl.triage_findings(findings, "run").select("run", "quality_score").collect()))
+    assert got == ["Row(run='a', quality_score=3)", "Row(run=None, quality_score=9)"]

@@ -55,7 +55,7 @@ def test_coerce_timestamp(frame):
     df = frame("d string", rows)
     plain = [r[0] for r in dl.coerce_timestamp(df, ["d"]).collect()]
     day = dt.datetime(2021, 3, 4)
-    assert plain == [day, dt.datetime(2021, 3, 4, 5, 6, 7), None, None, None, None]
+    assert plain == [day, dt.datetime(2021, 3, 4, 5, 6, 7), day, None, None, None]
     assert [r[0] for r in dl.coerce_timestamp(df, ["d"], ["MM/dd/yyyy"]).collect()][2] == day
     dates = frame("d date", [(dt.date(2020, 1, 2),)])
     assert dl.coerce_timestamp(dates, ["d"]).dtypes == [("d", "timestamp_ntz")]
@@ -152,3 +152,29 @@ def test_recipes_skip_what_does_not_fit(frame, caplog):
     assert added == ["sum", "half", "span", "t_day"]
     assert done.columns == ["t", "v", "w", *added]
     assert len(caplog.records) == 5
+
+
+def test_common_date_layouts(frame):
+    def days(values, **options):
+        df = dl.coerce_timestamp(frame("d string", [(v,) for v in values]), ["d"], **options)
+        return [str(r[0])[:10] if r[0] else None for r in df.collect()]
+
+    assert days(["03/14/2021", "03/04/2021", None, "junk"]) == ["2021-03-14", "2021-03-04", None, None]
+    assert days(["14/03/2021", "04/03/2021"]) == ["2021-03-14", "2021-03-04"]  # other cells decide
+    assert days(["14 March 2021", "2021-03-05"]) == ["2021-03-14", "2021-03-05"]
+    assert days(["14.03.2021 10:30", "Mar 5, 2021"]) == [None, "2021-03-05"]  # one layout per column
+    assert days(["03/14/2021"], formats=["d/M/yyyy"]) == [None]
+
+
+def test_overflow_is_null(frame):
+    df = frame("a bigint, b bigint", [(2**62, 4), (3, 5)])
+    got = dl.add_product(dl.add_sum(dl.add_difference(df, "d", "b", "a"), "s", "a", "a"), "p", "a", "b")
+    rows = [tuple(r)[2:] for r in got.orderBy("a").collect()]
+    assert rows == [(2, 6, 15), (4 - 2**62, None, None)]
+
+
+def test_names_that_differ_by_case_collide(frame):
+    import pytest
+
+    with pytest.raises(ValueError, match="several"):
+        dl.rename_columns(frame("a int, b int", [(1, 2)]), {"b": "A"})

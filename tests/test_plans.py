@@ -1,6 +1,8 @@
 """The scale helpers, against numpy and pandas and on skewed groups."""
 
 import io
+import math
+import os
 from contextlib import redirect_stdout
 
 import numpy as np
@@ -8,11 +10,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dataloupe.plans import joins, quantiles
+import dataloupe as dl
+from dataloupe.plans import joins, quantiles, storage
 from dataloupe.plans.cardinality import distinct_up_to, short_key
 from dataloupe.plans.ordering import range_parts, with_position
 from dataloupe.plans.quantiles import exact_quantiles
-from dataloupe.plans.storage import estimated_bytes, is_small, materialize, rows_up_to
+from dataloupe.plans.storage import estimated_bytes, materialize, rows_up_to
 
 LEVELS = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99, "high": 1.0}
 
@@ -39,7 +42,6 @@ def test_exact_quantiles_match_numpy(spark, plans, monkeypatch, accuracy):
     """With accuracy 100 the groups exceed the sketch, so real brackets are at work."""
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     monkeypatch.setattr(quantiles, "MARGIN", 4 / accuracy)
-    monkeypatch.setattr(quantiles, "SINGLE_PASS", 0)
     monkeypatch.setattr(quantiles, "CELLS", 16)
     data = skewed(spark)
     df = spark.createDataFrame(data).repartition(6)
@@ -56,10 +58,9 @@ def test_exact_quantiles_match_numpy(spark, plans, monkeypatch, accuracy):
     assert whole["n"] == len(data) and whole["max"] == data["y"].max()
 
 
-def test_many_salts_still_enclose_the_quantile(spark, large_plans, monkeypatch):
+def test_many_parts_still_enclose_the_quantile(spark, long_groups, monkeypatch):
     monkeypatch.setattr(quantiles, "ACCURACY", 100)
     monkeypatch.setattr(quantiles, "MARGIN", 4 / 100)
-    monkeypatch.setattr(quantiles, "BYTES_PER_SALT", 1)
     data = skewed(spark, 20_000).sort_values("y")
     df = spark.createDataFrame(data).repartitionByRange(8, "y")
     got = exact_quantiles(df, "y", ["g"], {"q": 0.5}).toPandas().set_index("g")["q"].sort_index()
@@ -76,8 +77,12 @@ def test_quantiles_of_nothing(spark, plans, frame):
 def test_infinite_values_keep_their_place(spark, plans):
     y = [float("-inf"), 1.0, 2.0, 3.0, float("inf")]
     df = spark.createDataFrame([(v,) for v in y], "y double")
-    row = exact_quantiles(df, "y", [], {"median": 0.5, "q3": 0.75}).first()
+    levels = {"low": 0.0, "between": 0.9, "median": 0.5, "q3": 0.75, "high": 1.0}
+    row = exact_quantiles(df, "y", [], levels).first()
     assert (row["median"], row["q3"]) == (2.0, 3.0)
+    assert (row["low"], row["between"], row["high"]) == (-math.inf, math.inf, math.inf)
+    more = spark.createDataFrame([(v,) for v in (0.0, 1.0, 2.0, math.inf, math.inf)], "y double")
+    assert exact_quantiles(more, "y", [], {"q3": 0.75}).first()["q3"] == math.inf
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -141,8 +146,38 @@ def test_short_keys_separate_texts(spark):
 
 def test_sizes(spark, tmp_path):
     df = materialize(spark.range(1000))
-    assert estimated_bytes(df) > 0 and is_small(df)
+    assert estimated_bytes(df) > 0
     assert rows_up_to(df, 5) == 5 and rows_up_to(df.limit(3), 5) == 3
-    spark.conf.set("spark.dataloupe.smallBytes", "0")
-    assert not is_small(df)
-    spark.conf.unset("spark.dataloupe.smallBytes")
+
+
+def test_written_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "_written", {})
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    for _ in range(3):
+        materialize(spark.range(10))
+    assert len(os.listdir(tmp_path)) == 3
+    assert storage.release(spark) == 3 and os.listdir(tmp_path) == []
+    assert storage.release(spark) == 0
+
+
+def test_one_sketch_per_group_and_task(spark):
+    """All rows of a task belong to one part, so that a group has a sketch per task at most."""
+    rows = spark.range(4000).repartition(4).selectExpr("0 AS g", "double(id) AS _y")
+    plan = quantiles._brackets(rows, ["g"], [0.5])
+    parts = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(quantiles.PARTS)))
+    assert parts.select("_part").distinct().count() == 4
+    assert "spark_partition_id" in explained(plan).lower()
+
+
+def test_no_window_over_all_rows(spark):
+    """The only one-partition windows go over one row per range partition."""
+    df = spark.range(5000).selectExpr("id % 7 AS k", "id", "double(id % 91) AS v")
+    for frame in (
+        dl.rolling_mean(df, "id", "v", span_days=20), dl.category_pareto(df, "id", "v"),
+        dl.histogram(df, "v"), dl.box_stats(df, "k", "v"), dl.category_share(df, "k"),
+    ):
+        plan = explained(frame)
+        for window in plan.split("Window [")[1:]:
+            below = window.split("\n")[1:4]
+            single = any("SinglePartition" in line for line in below)
+            assert not single or "_part" in window or "_base" in window

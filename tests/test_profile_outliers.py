@@ -150,7 +150,7 @@ def test_text_metric_has_no_evidence(frame):
         dl.outliers_by_group(df, "z", "g")
 
 
-def test_one_hot_group(spark, large_plans):
+def test_one_hot_group(spark, long_groups):
     """A group with most of the rows, next to many groups of one."""
     df = spark.range(30_000).select(
         F.when(F.col("id") % 3 != 0, "hot").otherwise(F.col("id").cast("string")).alias("g"),

@@ -9,6 +9,7 @@ def test_clean_names():
     assert dl.clean_names(["a", "a", "a_1"]) == ["a", "a_1", "a_1_1"]
     assert dl.clean_names(["a_1", "a", "a"]) == ["a_1", "a", "a_2"]
     assert dl.clean_names([]) == []
+    assert dl.clean_names(["a", "A", "a_1", "B"]) == ["a", "A_1", "a_1_1", "B"]
 
 
 def test_sanitize_columns_only_renames(frame):
@@ -91,3 +92,33 @@ def test_write_results(spark, tmp_path):
         assert sorted(back.collect()) == sorted(df.collect())
     with pytest.raises(ValueError):
         dl.write_results(df, str(tmp_path / "x"), "xml")
+
+
+def test_headers_that_differ_by_case(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,A\n1,x\n2,y\n")
+    df = dl.read_table(spark, str(path))
+    assert df.columns == ["a", "A_1"] and sorted(map(tuple, df.collect())) == [(1, "x"), (2, "y")]
+
+
+def test_lost_cells_are_refused(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(ValueError, match="1 rows have more than 2 cells"):
+        dl.read_table(spark, str(path))
+    with pytest.raises(ValueError, match="more than 2"):
+        dl.read_table(spark, str(path), schema="a int, b int")
+    path.write_text("a,b\n1,2\n3,x\nNA,9\n")
+    with pytest.raises(ValueError, match=r"\{'b': 1\}"):
+        dl.read_table(spark, str(path), schema="a int, b int")
+
+
+def test_folders_need_one_header(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("a,b\n3,4\n")
+    assert sorted(map(tuple, dl.read_table(spark, str(folder)).collect())) == [(1, 2), (3, 4)]
+    (folder / "3.csv").write_text("b,a\n5,6\n")
+    with pytest.raises(ValueError, match="different headers"):
+        dl.read_table(spark, str(folder))
