@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dataloupe.functions.columns import col, fresh
-from dataloupe.plans.storage import materialize
+from dataloupe.plans.storage import delete_path, materialize
 
 MOST_MODEL_BYTES = 64 << 20
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -63,12 +63,7 @@ def forget(*frames: DataFrame) -> None:
     """Delete the files of frames that ``written`` returned and that nothing needs any more."""
     for df in frames:
         for file in df.inputFiles()[:1]:
-            _delete(df.sparkSession, file.rsplit("/", 1)[0])
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def input_bytes(df: DataFrame, *texts: str) -> int:
