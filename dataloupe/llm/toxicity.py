@@ -71,7 +71,7 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
     """
     size = 1 << settings.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    found = [np.append(features(t, settings), size) for t in texts]
+    found = [np.append(features(t, settings), size).astype(np.int32) for t in texts]
     for _ in range(settings.epochs):
         for active, label in zip(found, labels, strict=True):
             za, na = z[active], n[active]
