@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from dataloupe.functions.columns import fresh, quoted
+from dataloupe.functions.columns import quoted
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.storage import materialize
 
@@ -51,36 +51,49 @@ def exact_quantiles(
     ``extra`` are further aggregates over the same rows, taken with the counts. Without ``by``
     the result is one row, also for an empty input (n = 0).
     """
-    if not by:
-        every = fresh("_all", *df.columns)
-        one = exact_quantiles(df.withColumn(every, F.lit(0)), value, [every], probs, extra)
-        none = df.limit(0).agg(F.count(F.lit(1)).alias("_none"))
-        row = none.join(one, F.lit(True), "left").drop("_none", every)
-        return row.withColumn("n", F.coalesce("n", F.lit(0)))
-    keys = [quoted(b) for b in by]
     y = F.col(quoted(value))
     totals = [
         F.count(F.lit(1)).alias("n"), F.min(y).alias("min"), F.max(y).alias("max"),
         F.sum(y).alias("sum"), *(extra or []),
     ]
+    if not by:
+        return _of_all(df, y, totals, probs)
+    keys = [quoted(b) for b in by]
     facts = materialize(df.groupBy(*keys).agg(*totals))
-    sizes = facts.agg(
-        F.max("n"), F.min("n"), F.sum(F.when(F.col("n") > SHORT_GROUP, F.col("n")))
-    ).first()
+    shortest, longest = facts.agg(F.min("n"), F.max("n")).first()
     rows = df.select(*keys, y.alias("_y"))
     ordered = sorted(set(probs.values()))
-    long_groups = facts.where(F.col("n") > SHORT_GROUP).select(*keys, F.col("n").alias("_n"))
     found = []
-    if (sizes[0] or 0) <= SHORT_GROUP:
+    if (longest or 0) <= SHORT_GROUP:
         found.append(_listed(rows, keys, ordered))
     else:
-        if sizes[1] <= SHORT_GROUP:
+        if shortest <= SHORT_GROUP:
+            long_groups = facts.where(F.col("n") > SHORT_GROUP).select(*keys)
             found.append(_listed(rows.join(long_groups, by, "left_anti"), keys, ordered))
-            rows = rows.join(long_groups.drop("_n"), by, "left_semi")
+            rows = rows.join(long_groups, by, "left_semi")
         found.append(_bracketed(rows, by, ordered))
     ranked = facts.join(reduce(DataFrame.unionByName, found), by)
+    return _levels(ranked, keys, probs, facts.columns[len(by) + 4 :])
+
+
+def _of_all(df: DataFrame, y: Column, totals: list[Column], probs: dict[str, float]) -> DataFrame:
+    """The whole frame as one group, whose totals are a single row."""
+    counted = df.agg(*totals)
+    row = counted.first()
+    ordered = sorted(set(probs.values()))
+    rows = df.select(F.lit(0).alias("_all"), y.alias("_y"))
+    if row["n"] <= SHORT_GROUP:
+        found = _listed(rows, ["_all"], ordered)
+    else:
+        found = _bracketed(rows, ["_all"], ordered)
+    facts = df.sparkSession.createDataFrame([row], counted.schema).withColumn("_all", F.lit(0))
+    ranked = facts.join(F.broadcast(found), "_all", "left")  # one row
+    return _levels(ranked, [], probs, counted.columns[4:])
+
+
+def _levels(ranked: DataFrame, keys: list[str], probs: dict[str, float], others: list[str]) -> DataFrame:
+    ordered = sorted(set(probs.values()))
     levels = [_between(ordered.index(p), p).alias(name) for name, p in probs.items()]
-    others = facts.columns[len(by) + 4 :]
     return ranked.select(*keys, "n", "min", "max", "sum", *levels, *map(quoted, others))
 
 
@@ -105,16 +118,15 @@ def _bracketed(rows: DataFrame, by: list[str], ordered: list[float]) -> DataFram
     """The same for long groups."""
     keys = [quoted(b) for b in by]
     brackets = materialize(_brackets(rows, keys, ordered))
-    picked = materialize(_picked(rows, brackets, by, ordered))
+    picked = _picked(rows, brackets, by, ordered)
     names = [n for n in picked.columns if n not in by]
     missed = picked.where(reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names]))
     if missed.isEmpty():
         return picked
     # Cannot happen as long as the sketches keep their promise.
-    again = [quoted(k) for k in by]
     whole = F.transform("_b", lambda _: F.struct(F.col("_min").alias("lo"), F.col("_max").alias("hi")))
-    wide = brackets.join(missed.select(*again), by, "left_semi").withColumn("_b", whole)
-    repeated = rows.join(wide.select(*again), by, "left_semi")
+    wide = brackets.join(missed.select(*keys), by, "left_semi").withColumn("_b", whole)
+    repeated = rows.join(wide.select(*keys), by, "left_semi")
     return picked.join(wide, by, "left_anti").unionByName(_picked(repeated, wide, by, ordered))
 
 
