@@ -20,8 +20,19 @@ PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
 
+# Rows of text are large. Where the session has Spark's default sizes for the batches that go to
+# Python, smaller ones keep the workers' memory low whatever the length of the texts.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+}
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per application."""
+    """Give this package to the Python workers, once per application, and set ``BATCHES``."""
+    for name, (default, smaller) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, smaller)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         base = os.path.join(tempfile.mkdtemp(prefix="package-"), os.path.basename(PACKAGE))

@@ -14,7 +14,7 @@ from dataloupe.llm.frames import input_bytes, others, ship, slices, unused, writ
 from dataloupe.llm.suffix_array import MARGIN, same_as_before, sort_windows
 from dataloupe.llm.words import mixed
 
-TASK_BYTES = 8 << 20  # text that a task packs at a time
+TASK_BYTES = 4 << 20  # text that a task packs at a time
 PIECE = 1 << 20  # bytes in which anchors are looked for at a time
 DETECT_BYTES = 6 << 20  # text whose anchors are compared in one task
 SORT_BYTES = 1 << 20  # text whose shared windows are sorted in one task
