@@ -24,11 +24,17 @@ from dataloupe.plans.storage import scratch_path
 
 BLOCK_IDS = 1 << 18
 SLICE_BYTES = 1 << 20  # texts tokenized at a time
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 1_600_000
+
+
+def id_code(model) -> str:
+    """The type code of the ids of a vocabulary, for ``array`` and numpy alike."""
+    return "H" if model.get_vocab_size() <= 1 << 16 else "I"
 
 
 class IdTable:
-    """The ids that a ``tokenizers`` file gives a text, as the bytes of 32-bit integers.
+    """The ids that a ``tokenizers`` file gives a text, as the bytes of unsigned integers: of 16
+    bits if the vocabulary allows (``code``), else of 32.
 
     With a plain byte-level BPE no token spans a space between two other characters, so that
     the library is asked once per distinct chunk; with any other file, once per text.
@@ -39,6 +45,7 @@ class IdTable:
         from tokenizers import Tokenizer
 
         spec, self.model = json.loads(definition), Tokenizer.from_str(definition)
+        self.code = id_code(self.model)
         before = spec["pre_tokenizer"] or {}
         added = spec["added_tokens"]
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
@@ -50,7 +57,7 @@ class IdTable:
     def _of_chunks(self, chunks: list[str], first: bool) -> list[bytes]:
         texts = chunks if first else [" " + c for c in chunks]
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [t or "" for t in texts]
@@ -98,7 +105,8 @@ def write_tokens(
     spark = docs.sparkSession
     ship(spark)
     parts = spark.read.parquet(_write_ids(docs, tokenizer, key, text, end_id))
-    counted = parts.select("ids").mapInArrow(_count_ids, "id long, n long")
+    form = _code_of(tokenizer, end_id)
+    counted = parts.select("ids").mapInArrow(_count_ids(form), "id long, n long")
     # One row per id of the vocabulary.
     found = counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow().to_pydict()
     ids = np.asarray(found["id"], np.int64)
@@ -125,7 +133,7 @@ def write_tokens(
                     yield _block(book, part, held, batch.schema.field("key").type)
                     held, size = [], 0
                 part = p.as_py()
-                held.append((start.as_py(), k.as_py(), np.frombuffer(data.as_buffer(), "<u4")))
+                held.append((start.as_py(), k.as_py(), np.frombuffer(data.as_buffer(), form)))
                 size += len(held[-1][2])
                 if size >= BLOCK_IDS:
                     yield _block(book, part, held, batch.schema.field("key").type)
@@ -146,7 +154,9 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
     """Writes ``(part, start, n, key, ids)`` in order of the key and returns the path."""
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(model_file(tokenizer).decode())
-    end = np.asarray([end_id], "<u4").tobytes()
+    code = _code_of(tokenizer, end_id)
+    end = array(code, [end_id]).tobytes()
+    width = len(end)
     rows = docs.select(col(key).alias("key"), col(text).alias("text"))
     # Equal keys are told apart by where they come from, so that they need not share a task.
     order = [F.asc("key"), F.asc("_from")]
@@ -164,7 +174,7 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
         table, start = _ids(definition.value), 0
         for batch in slices(batches, "text", SLICE_BYTES):
             data = [d + end for d in table.encode(batch.column("text").to_pylist())]
-            sizes = np.asarray([len(d) // 4 for d in data], np.int64)
+            sizes = np.asarray([len(d) // width for d in data], np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
@@ -180,16 +190,28 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
     return path
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for data in batch.column("ids"):
-            found = np.bincount(np.frombuffer(data.as_buffer(), "<u4"))
-            if len(found) > len(counts):
-                counts, found = found, counts
-            counts[: len(found)] += found
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+def _code_of(tokenizer: str, end_id: int) -> str:
+    from tokenizers import Tokenizer
+
+    code = id_code(Tokenizer.from_file(tokenizer))
+    if not 0 <= end_id < 1 << 8 * array(code).itemsize:
+        raise ValueError(f"the end id {end_id} does not fit the ids of the vocabulary")
+    return code
+
+
+def _count_ids(form: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for data in batch.column("ids"):
+                found = np.bincount(np.frombuffer(data.as_buffer(), form))
+                if len(found) > len(counts):
+                    counts, found = found, counts
+                counts[: len(found)] += found
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+
+    return count
 
 
 def _block(book: Codebook, part: int, held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
