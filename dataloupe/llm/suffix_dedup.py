@@ -14,13 +14,14 @@ from dataloupe.llm.frames import input_bytes, others, ship, slices, unused, writ
 from dataloupe.llm.suffix_array import MARGIN, same_as_before, sort_windows
 from dataloupe.llm.words import mixed
 
-TASK_BYTES = 4 << 20  # text that a task packs at a time
+TASK_BYTES = 12 << 20  # text that a task packs at a time
 PIECE = 1 << 20  # bytes in which anchors are looked for at a time
-DETECT_BYTES = 6 << 20  # text whose anchors are compared in one task
-SORT_BYTES = 1 << 20  # text whose shared windows are sorted in one task
+DETECT_BYTES = 2 << 20  # text whose anchors are compared in one task
+SORT_BYTES = 3 << 20  # text whose shared windows are sorted in one task
 KEY_BITS = 40
 MOST_HOT = 1 << 21  # entries of the list of frequent anchors
 LEAST_HOT = 1000
+COPY = -1  # stands before the hash of a text that is a copy; anchors are not negative
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -114,7 +115,8 @@ def shared_spans(
        by hash bucket; a bucket finds those that occur in several documents. Within a task
        only the smallest key with an anchor is sent, so that an anchor of a third of all
        documents is one entry per task.
-    2. The texts with shared anchors write down the windows of these, packed by anchor.
+    2. Whole texts that a smaller key has too are spans as they are. The other texts with
+       shared anchors write down the windows of these, packed by anchor.
        Windows that a smaller key in the same task has too are settled there. The
        windows of very frequent anchors (a list of at most 2^21) are dealt by their own content
        instead, so that no bucket gathers a frequent passage with all its surroundings.
@@ -149,7 +151,8 @@ def shared_spans(
     frequent = [r[0] for r in hits.where("frequent").select("anchors").collect()]
     hot = np.sort(np.concatenate([np.empty(0, np.int64), *map(_buffer, frequent)]))
     sent = spark.sparkContext.broadcast(hot.tobytes())
-    listed = hits.where("NOT frequent").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    known = hits.where("NOT frequent").select("key", "anchors").union(_whole_copies(rows))
+    listed = known.groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
     bins = 1 + size // SORT_BYTES
     compact = rows.select("key", packed_text(F.col("text")).alias("packed"))
     windows = compact.join(listed, "key").mapInArrow(
@@ -164,6 +167,26 @@ def shared_spans(
     return gathered.withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
 
 
+def _whole_copies(rows: DataFrame) -> DataFrame:
+    """``(key, anchors)``: the mark and the text hash of rows whose whole text a smaller key has.
+
+    Only keys and digests are shuffled, and a group of copies of any size is one minimum.
+    """
+    prints = rows.select("key", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("h"))
+    first = prints.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    copies = prints.join(first.where("first < last"), "digest").where("key > first")
+    mark = _pair_udf()
+    return copies.select("key", mark(F.col("h")).alias("anchors"))
+
+
+def _pair_udf():
+    @F.pandas_udf("binary")
+    def pair(hashes: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray([COPY, h], np.int64).tobytes() for h in hashes], dtype="object")
+
+    return pair
+
+
 def packed_text(text: Column) -> Column:
     """Texts compressed for a shuffle, with their size in front; nulls stay null."""
 
@@ -283,11 +306,16 @@ def _pack_windows(length: int, buckets: int, bins: int, sent):
             ascending = np.argsort(keys, kind="stable")
             batch, keys = batch.take(pa.array(ascending)), keys[ascending]
             texts = [unpacked(t) for t in batch.column("packed").to_pylist()]
-            lists = batch.column("anchors").flatten()
-            shared = np.unique(
-                np.concatenate([np.empty(0, np.int64), *(_buffer(x.as_buffer()) for x in lists)])
+            prints = [_text_hash(t) for t in texts]
+            lists = [[_buffer(x) for x in xs] for xs in batch.column("anchors").to_pylist()]
+            marked = [{int(x[1]) for x in xs if x[0] == COPY} for xs in lists]
+            copy = np.asarray([h in m for h, m in zip(prints, marked)], bool)
+            some = [x for xs in lists for x in xs if x[0] != COPY]
+            shared = np.unique(np.concatenate([np.empty(0, np.int64), *some]))
+            # A copy stands for its windows as a whole.
+            owner, start, count, hashes = anchors(
+                [b"" if c else t for t, c in zip(texts, copy)], length
             )
-            owner, start, count, hashes = anchors(texts, length)
             values = _values(hashes, buckets)
             mine = np.isin(values, shared)
             owner, start, count, values = owner[mine], start[mine], count[mine], values[mine]
@@ -298,19 +326,22 @@ def _pack_windows(length: int, buckets: int, bins: int, sent):
             owner, values, split = (np.repeat(x, times) for x in (owner, values, split))
             start = np.repeat(start, times) + np.arange(len(owner)) - first
             count = np.where(split, 1, np.repeat(count, times))
-            yield _window_rows(keys, texts, owner, start, count, values, split, length, bins)
+            settled = [(i, 0, len(texts[i])) for i in np.flatnonzero(copy).tolist()]
+            yield _window_rows(
+                keys, texts, prints, owner, start, count, values, split, length, bins, settled
+            )
 
     return pack
 
 
-def _window_rows(keys, texts, owner, start, count, values, split, length, bins) -> pa.RecordBatch:
+def _window_rows(
+    keys, texts, hashes, owner, start, count, values, split, length, bins, settled
+) -> pa.RecordBatch:
     """Texts come in ascending order of their keys, so that the first to have a stretch of
     windows has the smallest key of the task."""
     ends = start + count + length - 1
     seen: dict[bytes, int] = {}
-    hashes = [_text_hash(t) for t in texts]
     sent: dict[int, list[tuple]] = {}
-    settled: list[tuple[int, int, int]] = []
     spread = mixed(values.astype(np.uint64)) % np.uint64(bins)
     key_of = keys.tolist()
     columns = (owner.tolist(), start.tolist(), ends.tolist(), spread.tolist(), split.tolist())
@@ -324,24 +355,12 @@ def _window_rows(keys, texts, owner, start, count, values, split, length, bins)
         sent.setdefault(place, []).append((i, a, stretch))
     rows = []
     for place, entries in sent.items():
-        rows.append((place, *_packed(entries, key_of, hashes)))
+        text = b"".join(stretch for *_, stretch in entries)
+        sized = [(i, a, len(stretch)) for i, a, stretch in entries]
+        rows.append((place, *_packed(sized, key_of, hashes, text, False)))
     if settled:
         merged = _merged(settled)
-        numbers = np.asarray([i for i, *_ in merged])
-        rows.append(
-            (
-                key_of[merged[0][0]] % bins,
-                *_compressed(
-                    [
-                        keys[numbers],
-                        np.asarray(hashes, np.int64)[numbers],
-                        np.asarray([a for _, a, _ in merged]),
-                        np.asarray([-b for *_, b in merged]),
-                    ],
-                    b"",
-                ),
-            )
-        )
+        rows.append((key_of[merged[0][0]] % bins, *_packed(merged, key_of, hashes, b"", True)))
     columns = zip(*rows) if rows else ([], [], [])
     kinds = (pa.int64(), pa.int64(), pa.binary())
     arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
@@ -359,44 +378,49 @@ def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _packed(entries: list[tuple], key_of: list[int], hashes: list[int]) -> tuple[int, bytes]:
-    numbers = [i for i, *_ in entries]
-    return _compressed(
-        [
-            np.asarray([key_of[i] for i in numbers]),
-            np.asarray([hashes[i] for i in numbers]),
-            np.asarray([a for _, a, _ in entries]),
-            np.asarray([len(s) for *_, s in entries]),
-        ],
-        b"".join(s for *_, s in entries),
-    )
+def _packed(
+    entries: list[tuple[int, int, int]], key_of: list[int], hashes: list[int], text: bytes, settled: bool
+) -> tuple[int, bytes]:
+    """Entries ``(number of the text, start, size or end)`` and their bytes, compressed: the
+    keys and hashes of the texts once, then the three columns. ``settled`` tells that the third
+    holds the ends of spans."""
+    numbers, starts, third = np.asarray(entries, np.int64).T
+    used, place = np.unique(numbers, return_inverse=True)
+    texts = np.asarray([[key_of[i] for i in used], [hashes[i] for i in used]], np.int64)
+    head = np.asarray([len(used), len(entries), int(settled)], np.int64)
+    parts = [head, texts, place.astype(np.int32), starts, third if settled else third.astype(np.int32)]
+    whole = b"".join(p.tobytes() for p in parts) + text
+    return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
 
 
-def _compressed(columns: list[np.ndarray], text: bytes) -> tuple[int, bytes]:
-    """Four columns of equal length, that length first, and the text: its size and itself."""
-    head = np.concatenate([[len(columns[0])], *columns]).astype(np.int64).tobytes()
-    whole = head + text
-    return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
+def _unpack(payload: bytes, size: int) -> tuple[bool, list[np.ndarray], bytes]:
+    """What ``_packed`` was given: settled or not, ``[keys, hashes, starts, third]``, the text."""
+    whole = pa.decompress(payload, size, codec="zstd", asbytes=True)
+    used, n, settled = np.frombuffer(whole, np.int64, 3).tolist()
+    at, columns = 24, []
+    sizes = (used, used, n, n, n)
+    kinds = (np.int64, np.int64, np.int32, np.int64, np.int64 if settled else np.int32)
+    for count, kind in zip(sizes, kinds):
+        columns.append(np.frombuffer(whole, kind, count, at))
+        at += columns[-1].nbytes
+    keys, hashes, place, starts, third = columns
+    return bool(settled), [keys[place], hashes[place], starts, third.astype(np.int64)], whole[at:]
 
 
 def _sorted_spans(length: int):
-    """A length below zero marks a settled span, whose end it is."""
-
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        texts, settled = [], []
+        texts, done = [], []
         for size, payload in zip(rows["size"], rows["payload"]):
-            whole = pa.decompress(payload, size, codec="zstd", asbytes=True)
-            n = int(np.frombuffer(whole, np.int64, 1)[0])
-            parts = np.frombuffer(whole, np.int64, 4 * n, 8).reshape(4, n)
-            if n and parts[3, 0] < 0:
-                settled.append(parts)
+            settled, parts, text = _unpack(payload, size)
+            if settled:
+                done.append(tuple(parts))
                 continue
             for column, part in zip(columns, parts):
                 column.append(part)
-            texts.append(whole[8 + 32 * n :])
+            texts.append(text)
         found = [_repeated(columns, b"".join(texts), length)] if texts else []
-        found += [(k, h, a, -e) for k, h, a, e in settled]
+        found += done
         keys, hashes, starts, ends = (np.concatenate(c) for c in zip(*found))
         return _span_frame(keys, hashes, starts, ends)
 
