@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import input_bytes, ship, unused
+from dataloupe.llm.frames import input_bytes, ship, trim, unused
 from dataloupe.llm.words import gram_hashes, word_hashes, words
 
 BLOCK_BYTES = 16 << 20  # benchmark texts that one scan of the corpus looks for
@@ -227,6 +227,7 @@ def _search(sent, seed: int, threshold: float, kinds: list[pa.DataType]):
             columns = zip(*out) if out else [()] * len(kinds)
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, NAMES)
+        trim()
 
     return search
 

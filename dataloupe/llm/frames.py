@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -52,6 +53,17 @@ def unused(df: DataFrame, name: str) -> str:
     return fresh(name, *map(str.lower, df.columns))
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the machine.
+
+    Spark keeps Python workers for later tasks, several per core after a chain of operators, and
+    what each of them holds on to adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    if trimming := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries
+        trimming(0)
+
+
 def model_file(path: str) -> bytes:
     """A model file, read on the driver to be broadcast, and checked to be small."""
     if (size := os.path.getsize(path)) > MOST_MODEL_BYTES:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import ship, unused, written
+from dataloupe.llm.frames import ship, trim, unused, written
 from dataloupe.llm.graph import components
 
 BITS = 64
@@ -60,6 +60,7 @@ def with_fingerprint(
         one = partial(fingerprint, words_per_shingle=words_per_shingle)
         for texts in batches:
             yield pd.Series(list(map(one, texts)), dtype="int64")
+        trim()
 
     return docs.withColumn(name, simhash(col(text)))
 

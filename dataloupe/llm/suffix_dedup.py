@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import input_bytes, others, ship, slices, unused, written
+from dataloupe.llm.frames import input_bytes, others, ship, slices, trim, unused, written
 from dataloupe.llm.suffix_array import MARGIN, same_as_before, sort_windows
 from dataloupe.llm.words import mixed
 
@@ -195,6 +195,7 @@ def packed_text(text: Column) -> Column:
         for batch in texts:
             small = [None if t is None else packed(t.encode()) for t in batch]
             yield pd.Series(small, dtype="object")
+        trim()
 
     return pack(text)
 
@@ -222,6 +223,7 @@ def _pack_anchors(length: int, buckets: int):
             values, owners, new = values[once], owners[once], new[once]
             repeats = np.diff(np.append(np.flatnonzero(new), len(new)))
             yield _anchor_rows(values[new], owners[new], repeats, values[~new], owners[~new], buckets)
+        trim()
 
     return pack
 
@@ -330,6 +332,7 @@ def _pack_windows(length: int, buckets: int, bins: int, sent):
             yield _window_rows(
                 keys, texts, prints, owner, start, count, values, split, length, bins, settled
             )
+        trim()
 
     return pack
 
@@ -422,6 +425,7 @@ def _sorted_spans(length: int):
         found = [_repeated(columns, b"".join(texts), length)] if texts else []
         found += done
         keys, hashes, starts, ends = (np.concatenate(c) for c in zip(*found))
+        trim()
         return _span_frame(keys, hashes, starts, ends)
 
     return sort
@@ -548,5 +552,6 @@ def _unpacked_text(small: Column) -> Column:
         for batch in texts:
             whole = [None if t is None else unpacked(t).decode() for t in batch]
             yield pd.Series(whole, dtype="object")
+        trim()
 
     return unpack(small)

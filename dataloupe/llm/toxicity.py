@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
-from dataloupe.llm.frames import ship
+from dataloupe.llm.frames import ship, trim
 from dataloupe.llm.words import mixed, word_hashes, words
 
 FOLDS = 5
@@ -132,7 +132,10 @@ def fit_toxicity(
     # At most most_rows pairs of a key and a label: 200 kB.
     rows = texts.join(F.broadcast(chosen), "k").orderBy(*order, "t").limit(most_rows)
     sample = rows.select("t", "y").toArrow().to_pydict()
-    return train(sample["t"], sample["y"], settings)
+    model = train(sample["t"], sample["y"], settings)
+    del sample
+    trim()
+    return model
 
 
 @functools.lru_cache(maxsize=1)
@@ -162,5 +165,6 @@ def with_toxicity(
         for texts in batches:
             sums = [bias + float(weights[features(t, settings)].sum()) for t in texts]
             yield pd.Series([_sigmoid(x) for x in sums], dtype="float64")
+        trim()
 
     return docs.withColumn(name, score(col(text)))
