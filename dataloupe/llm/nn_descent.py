@@ -14,6 +14,9 @@ from dataloupe.llm.frames import forget, ship, written
 from dataloupe.llm.graph import components
 
 
+SEVERAL_CREWS = "first_crew < last_crew"
+
+
 @dataclass(frozen=True)
 class Settings:
     """``neighbours`` per list; ``tables`` of random hyperplanes start the graph, their buckets
@@ -72,8 +75,10 @@ def near_vectors(
     3. Rounds of NN-descent (Dong and others, 2011): the neighbours of a node, in either
        direction, are compared with each other if one of them is new there, and better ones
        replace the worst in the lists.
-    4. A list that is full of links is saturated: it is enlarged to the whole component of its
-       node, compared block by block, of which only counts are sent on.
+    4. A list that is full of links is saturated: its node may have links beyond it. Saturated
+       nodes search again, each for the nearest outside its component, and components that a
+       link joins become one, until no search finds a further link. Components with a
+       saturated node are then compared block by block, of which only counts are sent on.
     5. The audit measures recall against brute force for a bounded sample of nodes.
 
     No group is collected beyond a crowd or a block, and each round is written.
@@ -85,11 +90,12 @@ def near_vectors(
     )
     usable = rows.where(_usable(F.col("x"), F.col("label")) & F.col("key").isNotNull())
     copies = usable.groupBy("label", "x").agg(F.min("key").alias("id"), F.count("key").alias("n"))
-    nodes = written(copies.withColumn("d", F.size("x")))
+    nodes = copies.withColumns({"d": F.size("x"), "crew": F.col("id")})
+    nodes = written(nodes)
     total = nodes.count()
     graph = _descend(nodes, None, settings, 0, total)
     for repair in range(settings.repairs + 1):
-        linked, counted = _count_links(nodes, graph, threshold, settings)
+        linked, counted = _count_links(nodes, graph, threshold, settings, repair)
         recall = _audit(nodes, counted, threshold, settings)
         if recall >= settings.recall or repair == settings.repairs:
             break
@@ -118,13 +124,22 @@ def near_vectors(
 
 
 def _descend(
-    nodes: DataFrame, graph: DataFrame | None, settings: Settings, turn: int, total: int
+    nodes: DataFrame,
+    graph: DataFrame | None,
+    settings: Settings,
+    turn: int,
+    total: int,
+    inner: DataFrame | None = None,
 ) -> DataFrame:
-    """The neighbour graph ``(u, v, s, fresh)`` after a start from hyperplanes and rounds."""
+    """The neighbour graph ``(u, v, s, fresh)`` after a start from hyperplanes and rounds.
+
+    Nodes of one ``crew`` are not compared with each other; ``inner`` has edges that are walked
+    beside those of the graph.
+    """
     started = _first_neighbours(nodes, settings, turn)
     graph = written(_best(graph, started, settings))
     for number in range(settings.rounds):
-        found = _local_joins(nodes, graph, settings, turn * settings.rounds + number)
+        found = _local_joins(nodes, graph, settings, turn * settings.rounds + number, inner)
         later = written(_best(graph, found, settings))
         forget(graph)
         graph = later
@@ -178,10 +193,11 @@ def _first_neighbours(nodes: DataFrame, settings: Settings, turn: int) -> DataFr
     signed = written(
         sized.select("id", "x", "d", "bits").mapInArrow(sign, "id long, t long, sign long")
     )
-    labels = nodes.select("id", "label", "d")
+    labels = nodes.select("id", "label", "d", "crew")
     placed = signed.join(labels, "id")
     bucket = ["label", "d", "t", "sign"]
-    sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size"), *_crews())
+    sizes = sizes.where(SEVERAL_CREWS).select(*bucket, "size")
     crowds = placed.join(sizes, bucket).withColumn(
         "part", _deal("id", F.col("size"), settings.crowd, F.col("t"))
     )
@@ -189,15 +205,27 @@ def _first_neighbours(nodes: DataFrame, settings: Settings, turn: int) -> DataFr
     return _compared(nodes, met, settings, settings.neighbours // 2)
 
 
+def _crews() -> list[Column]:
+    return [F.min("crew").alias("first_crew"), F.max("crew").alias("last_crew")]
+
+
 def _deal(member: str, size: Column, crowd: int, salt: Column) -> Column:
     parts = F.ceil(size / F.lit(float(crowd))).cast("long")
     return F.pmod(F.xxhash64(F.col(member), salt), parts)
 
 
-def _local_joins(nodes: DataFrame, graph: DataFrame, settings: Settings, number: int) -> DataFrame:
+def _local_joins(
+    nodes: DataFrame,
+    graph: DataFrame,
+    settings: Settings,
+    number: int,
+    inner: DataFrame | None = None,
+) -> DataFrame:
     """Pairs ``(u, v, s)`` of neighbours, in either direction, of a common node. Nodes with
     more neighbours than a crowd have them dealt into several, differently each round."""
     walked = graph.where(F.col("s") >= settings.walk)
+    if inner is not None:
+        walked = walked.select("u", "v", "fresh").union(inner.select("u", "v", F.lit(False)))
     both = walked.select("u", "v", "fresh").union(walked.select("v", "u", "fresh"))
     lists = both.groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
     sizes = lists.groupBy("u").agg(
@@ -212,12 +240,13 @@ def _local_joins(nodes: DataFrame, graph: DataFrame, settings: Settings, number:
 
 
 def _compared(nodes: DataFrame, met: DataFrame, settings: Settings, most: int) -> DataFrame:
-    """The nearest ``most`` of each member of a crowd, if one of the two is fresh there."""
-    vectors = nodes.select("id", "x", "label", "d")
+    """The nearest ``most`` of each member of a crowd that are of another crew, if one of the
+    two is fresh there."""
+    vectors = nodes.select("id", "x", "label", "d", "crew")
     members = met.join(vectors, "id").groupBy("place", "label", "d").agg(
-        F.collect_list(F.struct("id", "fresh", "x")).alias("members")
+        F.collect_list(F.struct("id", "fresh", "crew", "x")).alias("members"), *_crews()
     )
-    crowds = members.where(F.size("members") > 1).select("members")
+    crowds = members.where(SEVERAL_CREWS).select("members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +257,9 @@ def _compared(nodes: DataFrame, met: DataFrame, settings: Settings, most: int) -
                 fresh = parts.field("fresh").to_numpy(False)
                 rows = unit_rows(parts.field("x"))
                 s = rows @ rows.T
+                crew = parts.field("crew").to_numpy()
                 s[~(fresh[:, None] | fresh[None, :])] = -2
-                np.fill_diagonal(s, -2)
+                s[crew[:, None] == crew[None, :]] = -2
                 keep = min(most, len(ids) - 1)
                 near = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
                 u = np.repeat(np.arange(len(ids)), keep)
@@ -243,16 +273,59 @@ def _compared(nodes: DataFrame, met: DataFrame, settings: Settings, most: int) -
     return crowds.mapInArrow(compare, "u long, v long, s double")
 
 
+def _join_saturated(
+    nodes: DataFrame,
+    graph: DataFrame,
+    full: DataFrame,
+    linked: DataFrame,
+    threshold: float,
+    settings: Settings,
+    turn: int,
+) -> DataFrame:
+    """``linked`` with components joined that have a link between their saturated nodes.
+
+    A link that neither end's list holds has two saturated ends. Their nodes search for the
+    nearest of other components, walking also the lists they have. A component whose
+    nearest others are of one other component only meets the rest in the next step, when the
+    two are one.
+    """
+    step = 0
+    while True:
+        step += 1
+        crews = linked.select(F.col("node").alias("id"), F.col("component").alias("crew"))
+        outer = nodes.drop("crew").join(full, "id").join(crews, "id")
+        several = outer.groupBy("label", "d").agg(*_crews()).where(SEVERAL_CREWS)
+        outer = written(outer.join(several, ["label", "d"], "left_semi"))
+        if not (total := outer.count()):
+            return linked
+        # Seeds that no repair uses.
+        seeded = 100 * (turn + 1) + step
+        found = _descend(outer, None, settings, seeded, total, graph)
+        met = found.where(F.col("s") >= threshold).select("u", "v")
+        ends = [
+            linked.select(F.col("node").alias(e), F.col("component").alias(c))
+            for e, c in (("u", "a"), ("v", "b"))
+        ]
+        bridges = written(met.join(ends[0], "u").join(ends[1], "v").select("a", "b").distinct())
+        if bridges.isEmpty():
+            return linked
+        roots = components(bridges, "a", "b").withColumnRenamed("component", "root")
+        moved = linked.join(roots.withColumnRenamed("node", "component"), "component", "left")
+        linked = written(moved.select("node", F.coalesce("root", "component").alias("component")))
+        forget(outer, found, bridges)
+
+
 def _count_links(
-    nodes: DataFrame, graph: DataFrame, threshold: float, settings: Settings
+    nodes: DataFrame, graph: DataFrame, threshold: float, settings: Settings, turn: int
 ) -> tuple[DataFrame, DataFrame]:
     """``(node, component)`` of linked nodes, and ``(id, links, distinct)``: the rows and the
     nodes that each is linked to."""
     links = graph.where(F.col("s") >= threshold)
     linked = written(components(links, "u", "v"))
-    full = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    full = full.where(F.col("n") >= settings.neighbours)
-    dense = full.join(linked, full["u"] == linked["node"]).select("component").distinct()
+    full = links.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    full = written(full.where(F.col("n") >= settings.neighbours).select("id"))
+    linked = _join_saturated(nodes, graph, full, linked, threshold, settings, turn)
+    dense = full.join(linked, full["id"] == linked["node"]).select("component").distinct()
     dense = written(dense)
     both = links.select("u", "v").union(links.select("v", "u")).distinct()
     open_nodes = linked.join(dense, "component", "left_anti").select("node")

@@ -88,3 +88,21 @@ def test_empty_and_clashing_columns(spark, rows):
     assert nn_descent.near_vectors(more)[0].columns == ["vec_id", "n_links", "component_id"]
     only_bad = frame.selectExpr("vec_id", "CAST(NULL AS array<float>) embedding", "label")
     assert {r.n_links for r in nn_descent.near_vectors(only_bad)[0].collect()} == {0}
+
+
+def test_groups_whose_links_are_beyond_full_lists(spark):
+    """Every vector has more near ones in its own group than its list holds; groups are linked
+    in a chain, and the last one stays apart."""
+    random_ = np.random.default_rng(8)
+    centres = np.linalg.qr(random_.normal(size=(64, 4)))[0].T
+    angle = np.arccos(0.945)
+    turned = [
+        np.cos(i * angle) * centres[0] + np.sin(i * angle) * centres[1] for i in range(3)
+    ] + [centres[2]]
+    rows = [
+        (100 * i + j, noisy(random_, c, 0.005), 1) for i, c in enumerate(turned) for j in range(30)
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, recall = nn_descent.near_vectors(frame)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    assert recall == 1.0 and {c for _, _, c in brute(rows)} == {0, 300}
