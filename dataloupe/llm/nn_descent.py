@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,14 +15,16 @@ from dataloupe.llm.frames import forget, ship, written
 from dataloupe.llm.graph import components
 
 
+FEW_BITS, MOST_BITS, WHOLE = 7, 40, 4
 SEVERAL_CREWS = "first_crew < last_crew"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``neighbours`` per list; ``tables`` of random hyperplanes start the graph, their buckets
-    and the lists that meet in a local join are dealt into crowds of about ``crowd``
-    vectors. Edges below ``walk`` are kept but not walked. Rounds end when fewer than
+    """``neighbours`` per list; ``tables`` of random hyperplanes start the graph of a label of
+    2^7 crowds, and larger labels have as many more as keep the recall of the start; their
+    buckets and the lists that meet in a local join are dealt into crowds of about ``crowd``
+    vectors. Edges below ``walk`` are kept but not walked; by default all are walked. Rounds end when fewer than
     ``calm`` of all edges are new, or after ``rounds``. The audit compares ``audited`` vectors
     with all others; below ``recall`` the graph gets new tables and rounds, ``repairs`` times.
     """
@@ -29,7 +32,7 @@ class Settings:
     neighbours: int = 12
     tables: int = 8
     crowd: int = 96
-    walk: float = 0.5
+    walk: float = -1.0
     calm: float = 0.001
     rounds: int = 8
     block: int = 512
@@ -93,13 +96,13 @@ def near_vectors(
     nodes = copies.withColumns({"d": F.size("x"), "crew": F.col("id")})
     nodes = written(nodes)
     total = nodes.count()
-    graph = _descend(nodes, None, settings, 0, total)
+    graph = _descend(nodes, None, threshold, settings, 0, total)
     for repair in range(settings.repairs + 1):
         linked, counted = _count_links(nodes, graph, threshold, settings, repair)
         recall = _audit(nodes, counted, threshold, settings)
         if recall >= settings.recall or repair == settings.repairs:
             break
-        graph = _descend(nodes, graph, settings, repair + 1, total)
+        graph = _descend(nodes, graph, threshold, settings, repair + 1, total)
     known = nodes.join(counted, "id", "left").join(
         linked.withColumnRenamed("node", "id"), "id", "left"
     )
@@ -126,6 +129,7 @@ def near_vectors(
 def _descend(
     nodes: DataFrame,
     graph: DataFrame | None,
+    threshold: float,
     settings: Settings,
     turn: int,
     total: int,
@@ -136,7 +140,7 @@ def _descend(
     Nodes of one ``crew`` are not compared with each other; ``inner`` has edges that are walked
     beside those of the graph.
     """
-    started = _first_neighbours(nodes, settings, turn)
+    started = _first_neighbours(nodes, threshold, settings, turn)
     graph = written(_best(graph, started, settings))
     for number in range(settings.rounds):
         found = _local_joins(nodes, graph, settings, turn * settings.rounds + number, inner)
@@ -160,46 +164,74 @@ def _best(graph: DataFrame | None, found: DataFrame, settings: Settings) -> Data
     return ranked.where(F.col("rank") <= settings.neighbours).drop("rank")
 
 
-def _first_neighbours(nodes: DataFrame, settings: Settings, turn: int) -> DataFrame:
+def tables_for(bits: int, threshold: float, settings: Settings) -> int:
+    """How many tables of so many bits find a pair of cosine ``threshold`` as surely as
+    ``settings.tables`` tables of ``FEW_BITS``: all bits of a table agree with chance p^bits."""
+    if bits <= FEW_BITS:
+        return settings.tables
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    if not 0 < agree < 1:
+        return settings.tables
+    return math.ceil(settings.tables * math.log1p(-(agree**FEW_BITS)) / math.log1p(-(agree**bits)))
+
+
+def _first_neighbours(
+    nodes: DataFrame, threshold: float, settings: Settings, turn: int
+) -> DataFrame:
     """Pairs ``(u, v, s)`` from buckets of random hyperplanes, of each table its nearest.
 
-    A label of n nodes has about n / crowd buckets per table. A bucket of more than a crowd,
-    as a large group of near copies makes, is dealt into several by hash.
+    A label of n nodes has about n / crowd buckets per table, and the more bits these take the
+    more tables. Buckets of up to ``WHOLE`` crowds are compared whole. Larger ones are divided
+    by further bits, and what these cannot divide, as a large group of near copies, is dealt
+    into crowds by hash.
     """
-    # One bit more for each doubling of a label; 40 bits at most.
+    # One bit more for each doubling of a label; MOST_BITS at most.
     per_label = nodes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("of_label"))
     ratio = F.greatest(F.lit(1.0), F.col("of_label") / F.lit(float(settings.crowd)))
-    bits = F.least(F.lit(40), F.ceil(F.log2(ratio)).cast("int")).alias("bits")
+    bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2(ratio)).cast("int")).alias("bits")
     sized = nodes.join(per_label.select("label", "d", bits), ["label", "d"])
-    tables, seed = settings.tables, settings.seed + 1000 * turn
+    seed = settings.seed + 1000 * turn
+    needed = [tables_for(b, threshold, settings) for b in range(MOST_BITS + 1)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(MOST_BITS, dtype=np.int64)
         for batch in batches:
-            out = [[], [], []]
-            lengths = batch.column("d").to_numpy()
-            for d in np.unique(lengths).tolist():
-                part = batch.filter(pa.array(lengths == d))
-                planes = np.random.default_rng([seed, d]).normal(size=(d, tables * 40))
-                above = (unit_rows(part.column("x")) @ planes > 0).reshape(-1, tables, 40)
-                kept = np.arange(40) < part.column("bits").to_numpy()[:, None, None]
-                signs = (above & kept) @ (1 << np.arange(40, dtype=np.int64))
-                out[0].append(np.repeat(part.column("id").to_numpy(), tables))
-                out[1].append(np.tile(np.arange(tables), len(part)))
-                out[2].append(signs.reshape(-1))
-            if lengths.size:
-                arrays = [pa.array(np.concatenate(c)) for c in out]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "t", "sign"])
+            lengths, most = batch.column("d").to_numpy(), batch.column("bits").to_numpy()
+            for d, b in np.unique(np.stack([lengths, most], axis=1), axis=0).tolist():
+                part = batch.filter(pa.array((lengths == d) & (most == b)))
+                rows, ids = unit_rows(part.column("x")), part.column("id")
+                random_ = np.random.default_rng([seed, d])
+                for first in range(0, needed[b], 8):
+                    count = min(8, needed[b] - first)
+                    planes = random_.normal(size=(d, count * MOST_BITS))
+                    above = (rows @ planes > 0).reshape(-1, count, MOST_BITS)
+                    arrays = [
+                        pa.array(np.repeat(ids.to_numpy(), count)),
+                        pa.array(np.tile(np.arange(first, first + count), len(part))),
+                        pa.array((above @ powers).reshape(-1)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "t", "sign"])
 
     signed = written(
         sized.select("id", "x", "d", "bits").mapInArrow(sign, "id long, t long, sign long")
     )
-    labels = nodes.select("id", "label", "d", "crew")
-    placed = signed.join(labels, "id")
-    bucket = ["label", "d", "t", "sign"]
+    placed = signed.join(sized.select("id", "label", "d", "crew", "bits"), "id")
+    bucket, whole = ["label", "d", "t", "bucket"], WHOLE * settings.crowd
+    low = "sign & (shiftleft(1L, bits) - 1)"
+    placed = placed.withColumn("bucket", F.expr(low))
     sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size"), *_crews())
     sizes = sizes.where(SEVERAL_CREWS).select(*bucket, "size")
-    crowds = placed.join(sizes, bucket).withColumn(
-        "part", _deal("id", F.col("size"), settings.crowd, F.col("t"))
+    more = F.ceil(F.log2(F.col("size") / F.lit(float(settings.crowd)))).cast("int")
+    deeper = F.when(F.col("size") <= whole, F.col("bits"))
+    deeper = deeper.otherwise(F.least(F.lit(MOST_BITS), F.col("bits") + more))
+    divided = placed.join(sizes, bucket).withColumn("bits", deeper).drop("size")
+    # The low bits stay, so that parts of different buckets stay apart.
+    divided = divided.withColumn("bucket", F.expr(low))
+    sizes = divided.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size"), *_crews())
+    sizes = sizes.where(SEVERAL_CREWS).select(*bucket, "size")
+    dealt = _deal("id", F.col("size"), settings.crowd, F.col("t"))
+    crowds = divided.join(sizes, bucket).withColumn(
+        "part", F.when(F.col("size") <= whole, F.lit(0).cast("long")).otherwise(dealt)
     )
     met = crowds.select("id", F.struct(*bucket, "part").alias("place"), F.lit(True).alias("fresh"))
     return _compared(nodes, met, settings, settings.neighbours // 2)
@@ -300,7 +332,7 @@ def _join_saturated(
             return linked
         # Seeds that no repair uses.
         seeded = 100 * (turn + 1) + step
-        found = _descend(outer, None, settings, seeded, total, graph)
+        found = _descend(outer, None, threshold, settings, seeded, total, graph)
         met = found.where(F.col("s") >= threshold).select("u", "v")
         ends = [
             linked.select(F.col("node").alias(e), F.col("component").alias(c))

@@ -106,3 +106,26 @@ def test_groups_whose_links_are_beyond_full_lists(spark):
     got, recall = nn_descent.near_vectors(frame)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
     assert recall == 1.0 and {c for _, _, c in brute(rows)} == {0, 300}
+
+
+def test_scattered_pairs_are_found_at_every_size(spark):
+    """Isolated pairs of a label of 2^11 crowds; the start alone finds what it finds in small
+    labels, and far neighbours are walked too."""
+    assert nn_descent.Settings().walk <= -1
+    settings = nn_descent.Settings()
+    few = 1 - (1 - 0.88**7) ** 8
+    for bits in range(41):
+        tables = nn_descent.tables_for(bits, 0.93, settings)
+        assert 1 - (1 - 0.88**bits) ** tables > few - 0.01
+    random_ = np.random.default_rng(3)
+    rows = random_.normal(size=(6000, 24))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for i in range(0, 800, 2):  # cosine 0.935 to the row before
+        off = rows[i + 1] - (rows[i + 1] @ rows[i]) * rows[i]
+        rows[i + 1] = 0.935 * rows[i] + (1 - 0.935**2) ** 0.5 * off / np.linalg.norm(off)
+    frame = spark.createDataFrame(
+        [(i, r.tolist(), 1) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int"
+    )
+    start = nn_descent.Settings(neighbours=6, crowd=3, rounds=0, repairs=0)
+    got = nn_descent.near_vectors(frame, settings=start)[0]
+    assert got.where("n_links > 0 AND vec_id < 800").count() / 800 > 0.96
