@@ -25,8 +25,10 @@ class Settings:
     2^7 crowds, and larger labels have as many more as keep the recall of the start; their
     buckets and the lists that meet in a local join are dealt into crowds of about ``crowd``
     vectors. Edges below ``walk`` are kept but not walked; by default all are walked. Rounds end when fewer than
-    ``calm`` of all edges are new, or after ``rounds``. The audit compares ``audited`` vectors
-    with all others; below ``recall`` the graph gets new tables and rounds, ``repairs`` times.
+    ``calm`` of all edges are new, or after ``rounds``. The audit compares nodes with all
+    others, in blocks from ``audited`` nodes on that double up to ``audit_block``, until it has
+    seen ``seen`` true links, all nodes or ``most_audited``; below ``recall`` the graph gets new
+    tables and rounds, ``repairs`` times.
     """
 
     neighbours: int = 12
@@ -37,6 +39,9 @@ class Settings:
     rounds: int = 8
     block: int = 512
     audited: int = 256
+    audit_block: int = 4096
+    most_audited: int = 1 << 16
+    seen: int = 500
     recall: float = 0.99
     repairs: int = 2
     seed: int = 11
@@ -82,7 +87,8 @@ def near_vectors(
        nodes search again, each for the nearest outside its component, and components that a
        link joins become one, until no search finds a further link. Components with a
        saturated node are then compared block by block, of which only counts are sent on.
-    5. The audit measures recall against brute force for a bounded sample of nodes.
+    5. The audit measures recall against brute force on nodes in the order of their hashes until
+       enough true links were seen. Callers decide what a low recall after all repairs means.
 
     No group is collected beyond a crowd or a block, and each round is written.
     """
@@ -99,7 +105,7 @@ def near_vectors(
     graph = _descend(nodes, None, threshold, settings, 0, total)
     for repair in range(settings.repairs + 1):
         linked, counted = _count_links(nodes, graph, threshold, settings, repair)
-        recall = _audit(nodes, counted, threshold, settings)
+        recall = _audit(nodes, counted, threshold, settings, total)
         if recall >= settings.recall or repair == settings.repairs:
             break
         graph = _descend(nodes, graph, threshold, settings, repair + 1, total)
@@ -418,34 +424,59 @@ def _block_counts(
     )
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, settings: Settings) -> float:
-    """The share of the true links of a sample of nodes that were found.
+def _audit(
+    nodes: DataFrame, counted: DataFrame, threshold: float, settings: Settings, total: int
+) -> float:
+    """The share of the true links of sampled nodes that were found; 1.0 if they have none."""
+    hashed = written(nodes.select("id", "label", "d", "x", F.xxhash64("id").alias("hash")))
+    expected = got = done = 0
+    size, last = settings.audited, None
+    most = min(total, settings.most_audited)
+    while done < most and expected < settings.seen:
+        left = hashed if last is None else hashed.where(last)
+        asked = left.orderBy("hash", "id").limit(min(size, most - done)).toArrow()
+        true, found = _audit_block(hashed, counted, asked, threshold)
+        expected, got, done = expected + true, got + found, done + len(asked)
+        end = asked.slice(len(asked) - 1).to_pylist()[0]
+        later, same = F.col("hash") > F.lit(end["hash"]), F.col("hash") == F.lit(end["hash"])
+        last = later | (same & (F.col("id") > F.lit(end["id"])))
+        size = min(2 * size, settings.audit_block)
+    forget(hashed)
+    return got / expected if expected else 1.0
 
-    The sample is the ``audited`` nodes with the smallest hashes; it is compared with every
-    node in one scan, in which each task sends one count per sampled node.
-    """
-    spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(settings.audited)
-    sample = sample.select("id", "label", "d", "x").toArrow()
-    asked: dict[tuple, list[tuple[int, list]]] = {}
-    for row in sample.to_pylist():
-        asked.setdefault((row["label"], row["d"]), []).append((row["id"], row["x"]))
-    sent = spark.sparkContext.broadcast(asked)
+
+def _audit_block(
+    nodes: DataFrame, counted: DataFrame, asked: pa.Table, threshold: float
+) -> tuple[int, int]:
+    """How many links the asked nodes have, and how many of these were counted: one scan, in
+    which each task sends one count per asked node."""
+    kinds: dict[tuple, list[int]] = {}
+    pairs = zip(asked.column("label").to_pylist(), asked.column("d").to_pylist())
+    for row, kind in enumerate(pairs):
+        kinds.setdefault(kind, []).append(row)
+    ids, vectors = asked.column("id").to_numpy(), asked.column("x").combine_chunks()
+    packed = {
+        kind: (ids[rows], unit_rows(vectors.take(pa.array(rows)))) for kind, rows in kinds.items()
+    }
+    sent = nodes.sparkSession.sparkContext.broadcast(packed)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
         for batch in batches:
-            kinds = list(zip(batch.column("label").to_pylist(), batch.column("d").to_pylist()))
-            for kind, mine in sent.value.items():
-                rows = np.flatnonzero([k == kind for k in kinds])
-                if not len(rows):
+            places: dict[tuple, list[int]] = {}
+            pairs = zip(batch.column("label").to_pylist(), batch.column("d").to_pylist())
+            for row, kind in enumerate(pairs):
+                places.setdefault(kind, []).append(row)
+            for kind, rows in places.items():
+                if kind not in sent.value:
                     continue
+                mine, queries = sent.value[kind]
                 part = batch.take(pa.array(rows))
-                queries = unit_rows(pa.array([x for _, x in mine]))
                 near = queries @ unit_rows(part.column("x")).T >= threshold
-                ids = part.column("id").to_numpy()
-                for (query, _), found in zip(mine, near):
-                    totals[query] = totals.get(query, 0) + int((found & (ids != query)).sum())
+                near &= part.column("id").to_numpy()[None, :] != mine[:, None]
+                for query, n in zip(mine.tolist(), near.sum(axis=1).tolist()):
+                    if n:
+                        totals[query] = totals.get(query, 0) + n
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())],
             ["id", "true"],
@@ -456,4 +487,5 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float, settings: Set
     found = F.coalesce("distinct", F.lit(0))
     sums = true.join(counted, "id", "left").agg(F.sum("true"), F.sum(F.least(found, "true")))
     expected, got = sums.first()
-    return got / expected if expected else 1.0
+    sent.unpersist()
+    return expected or 0, got or 0

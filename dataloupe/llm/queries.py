@@ -14,6 +14,8 @@ from dataloupe.llm import (
 from dataloupe.llm.frames import whole_text
 from dataloupe.plans.storage import scratch_path
 
+LEAST_RECALL = 0.9  # of the links between embeddings, as audited
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -47,7 +49,9 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = nn_descent.near_vectors(table(spark, folder, "embeddings"))
+    found, recall = nn_descent.near_vectors(table(spark, folder, "embeddings"))
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall of links is {recall:.3f}, less than {LEAST_RECALL}")
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

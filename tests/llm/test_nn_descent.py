@@ -129,3 +129,25 @@ def test_scattered_pairs_are_found_at_every_size(spark):
     start = nn_descent.Settings(neighbours=6, crowd=3, rounds=0, repairs=0)
     got = nn_descent.near_vectors(frame, settings=start)[0]
     assert got.where("n_links > 0 AND vec_id < 800").count() / 800 > 0.96
+
+
+def test_audit_goes_on_until_it_has_seen_links(spark):
+    """Few nodes have a link, and a blind search loses most of these."""
+    random_ = np.random.default_rng(4)
+    rows = [(i, random_.normal(size=16).tolist(), 1) for i in range(600)]
+    rows += [(9000 + i, noisy(random_, np.asarray(rows[i][1]), 0.25), 1) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    blind = dict(neighbours=6, tables=1, crowd=2, rounds=0, repairs=0)
+    found, recall = nn_descent.near_vectors(frame, settings=nn_descent.Settings(**blind))
+    got = found.selectExpr("sum(n_links)").first()[0]
+    true = sum(n for _, n, _ in brute(rows))
+    assert 0 <= got < true and recall == got / true
+
+
+def test_query_refuses_a_low_recall(spark, monkeypatch):
+    from dataloupe.llm import queries
+
+    frame = spark.createDataFrame([(1, 0, 1)], "vec_id long, n_links long, component_id long")
+    monkeypatch.setattr(nn_descent, "near_vectors", lambda vectors: (frame, 0.5))
+    with pytest.raises(RuntimeError, match="0.500"):
+        queries.op3_embedding_near_dedup(spark, "/root/testdata/sf0.001")
