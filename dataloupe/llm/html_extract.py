@@ -74,9 +74,10 @@ def blocks(page: str) -> list[Block]:
     one space inside a block.
     """
     found: list[Block] = []
-    # Open block elements: number, tag, bias.
-    stack: list[tuple[int, str, float]] = [(0, "", 0.0)]
-    numbers, links, position, end = 1, 0, 0, len(page)
+    # Open block elements, and all of them in order: number and tag; tag, names and parent.
+    stack: list[tuple[int, str]] = [(0, "")]
+    elements: list[tuple[str, set[str], int]] = [("", set(), 0)]
+    links, position, end = 0, 0, len(page)
     current: Block | None = None
     while position < end:
         token = TOKEN.match(page, position)
@@ -87,7 +88,7 @@ def blocks(page: str) -> list[Block]:
             if piece[0] != "<" or piece == "<":
                 if current is None:
                     path = tuple(e[0] for e in stack)
-                    current = Block(path, stack[-1][1], stack[-1][2])
+                    current = Block(path, stack[-1][1], 0.0)
                     found.append(current)
                 current.parts.append(piece)
                 if links:
@@ -118,21 +119,25 @@ def blocks(page: str) -> list[Block]:
             continue
         _open(stack, name)
         if name not in VOID_TAGS:
-            stack.append((numbers, name, _bias(name, attributes, stack[-1][2])))
-            numbers += 1
+            elements.append((name, _names(attributes), stack[-1][0]))
+            stack.append((len(elements) - 1, name))
     for block in found:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
-    return [b for b in found if b.text]
+    found = [b for b in found if b.text]
+    biases = _biases(elements, _holders(elements, found))
+    for block in found:
+        block.bias = biases[block.path[-1]]
+    return found
 
 
-def _close(stack: list[tuple[int, str, float]], name: str) -> None:
+def _close(stack: list[tuple[int, str]], name: str) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth][1] == name:
             del stack[depth:]
             return
 
 
-def _open(stack: list[tuple[int, str, float]], name: str) -> None:
+def _open(stack: list[tuple[int, str]], name: str) -> None:
     """Ends what cannot hold the new element: a paragraph, or an open item of its kind."""
     if stack[-1][1] == "p":
         stack.pop()
@@ -140,24 +145,71 @@ def _open(stack: list[tuple[int, str, float]], name: str) -> None:
         stack.pop()
 
 
-def _bias(name: str, attributes: str, outer: float) -> float:
-    """Evidence for content of an element: that of its own tag and names decides if there
-    is any, except that nothing inside boilerplate turns into content."""
+def _names(attributes: str) -> set[str]:
     names = set()
     if attributes:
         for value in NAMED.findall(attributes):
             names.update(p.lower() for p in NAME_PARTS.findall("".join(value)))
-    if name in BOILERPLATE_TAGS and not (name == "header" and outer > 0):
-        own = -6.0
-    elif names & BOILERPLATE_NAMES:
-        own = -6.0
-    elif name in CONTENT_TAGS:
-        own = 4.0
-    elif names & CONTENT_NAMES:
-        own = 2.0
-    else:
-        own = 0.0
-    return min(outer, own) if outer < 0 else own or outer
+    return names
+
+
+def _doubtful(tag: str, names: set[str]) -> bool:
+    """Whether an element is boilerplate by its names, or a form, which may also hold a page."""
+    return tag == "form" or (tag != "main" and bool(names & BOILERPLATE_NAMES))
+
+
+def _holders(elements: list[tuple[str, set[str], int]], found: list[Block]) -> set[int]:
+    """The elements that hold at least half of what is most likely the main text: the text of
+    articles, or else of the main element, of elements with names of content, of the page."""
+    kinds: list[set[int]] = [set() for _ in range(4)]
+    hard, soft = [False], [False]
+    for i, (tag, names, parent) in enumerate(elements[1:], 1):
+        hard.append(hard[parent] or tag in BOILERPLATE_TAGS - {"form"})
+        soft.append(soft[parent] or _doubtful(tag, names))
+        if hard[i]:
+            continue
+        if tag == "article" and not soft[i]:
+            kinds[0].add(i)
+        elif tag == "main":
+            kinds[1].add(i)
+        elif tag == "article":
+            kinds[2].add(i)
+        elif names & CONTENT_NAMES and not soft[i] and tag not in ("html", "body"):
+            kinds[3].add(i)
+    for core in (*kinds, {0}):
+        sizes: dict[int, int] = {}
+        for block in found:
+            if not hard[block.path[-1]] and not core.isdisjoint(block.path):
+                for i in block.path:
+                    sizes[i] = sizes.get(i, 0) + len(block.text)
+        if sizes:
+            return {i for i, size in sizes.items() if 2 * size >= sizes[0]}
+    return set()
+
+
+def _biases(elements: list[tuple[str, set[str], int]], holders: set[int]) -> list[float]:
+    """Evidence for content of each element: that of its own tag and names decides if there is
+    any. Nothing inside a tag of boilerplate turns into content; inside a form or an element
+    with such names only <main> and <article> do, and neither counts for an element that
+    holds the main text."""
+    biases, hard = [0.0], [False]
+    for i, (tag, names, parent) in enumerate(elements[1:], 1):
+        outer, closed = biases[parent], hard[parent]
+        if tag in BOILERPLATE_TAGS - {"form"} and not (tag == "header" and outer > 0):
+            own, closed = -6.0, True
+        elif closed:
+            own = outer
+        elif _doubtful(tag, names) and i not in holders:
+            own = -6.0
+        elif tag in CONTENT_TAGS:
+            own = 4.0 if outer >= 0 else 1.0
+        elif names & CONTENT_NAMES and outer >= 0:
+            own = 2.0
+        else:
+            own = outer
+        biases.append(own)
+        hard.append(closed)
+    return biases
 
 
 def content_cost(block: Block) -> float:

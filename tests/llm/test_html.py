@@ -73,3 +73,27 @@ def test_given_pages_give_their_articles(spark):
         blocks = re.split(r"</?(?:p|h1)>", article)
         plain = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in blocks)
         assert main_text(r.html) == "\n".join(b for b in plain if b)
+
+
+def test_wrappers_with_boilerplate_names():
+    """Names and forms around a page do not take its article away, and still take the rest."""
+    article = "<article><h1>A title</h1><p>The first paragraph of it.</p><p>And a second one.</p></article>"
+    plain = "<p>The first paragraph, longer than the rest of it all.</p><p>And a second one.</p>"
+    rest = '<div class="comments"><p>Great, I love it.</p></div><nav><a href=/>Home</a></nav>'
+    for wrapper in (
+        '<body class="post has-sidebar">{}</body>',
+        '<body><div class="page no-comments">{}</div></body>',
+        '<body><form action="/">{}</form></body>',
+        '<body class="has-sidebar"><form><div id="header-wrap">{}</div></form></body>',
+    ):
+        expected = "A title\nThe first paragraph of it.\nAnd a second one."
+        assert main_text(wrapper.format(article + rest)) == expected, wrapper
+        assert main_text(wrapper.format(f"<main>{article}</main>{rest}")) == expected, wrapper
+        found = main_text(wrapper.format(plain + rest))
+        assert found.split("\n") == [
+            "The first paragraph, longer than the rest of it all.", "And a second one.",
+        ], wrapper
+    named = article.replace("<article>", '<article class="post comments-open">')
+    assert main_text(f"<body><main>{named}</main>{rest}</body>").startswith("A title\nThe first")
+    long = '<section class="comments">' + "<p>A comment of some length.</p>" * 30 + "</section>"
+    assert main_text(f"<body><main>{article}{long}</main></body>").count("\n") == 2
