@@ -27,8 +27,8 @@ class Settings:
     ``width`` numbers, go through ``hidden`` units, and give a class: one class for each of the
     ``frequent`` most frequent words and ``hashed`` classes for all others. ``buckets`` is
     the hash space of words. Training goes through the corpus ``rounds`` times; each round
-    takes every ``stride``-th word of every document as a target, so that it grows with the
-    corpus.
+    takes every ``stride``-th word of every document as a target, from the next place on, so
+    that every word is a target; a ``stride`` beyond ``rounds`` is refused.
     """
 
     window: int = 2
@@ -39,11 +39,15 @@ class Settings:
     hashed: int = 64
     buckets: int = 1 << 18
     rounds: int = 2
-    stride: int = 16
+    stride: int = 2
     batch: int = 1024
     rate: float = 0.1
     seed: int = 7
 
+    def __post_init__(self):
+        if not 1 <= self.stride <= self.rounds:
+            raise ValueError("the stride must be from 1 to the number of rounds")
+
     @property
     def classes(self) -> int:
         return self.frequent + self.hashed
@@ -100,6 +104,12 @@ def contexts(hashes: np.ndarray, settings: Settings) -> np.ndarray:
     return np.stack([rows[i : i + len(hashes)] for i in sides], axis=1)
 
 
+def targets_of_round(hashes: np.ndarray, turn: int, settings: Settings) -> np.ndarray:
+    """The places of a text that a round trains on; ``stride`` rounds take each place once."""
+    first = (turn + int(hashes[0]) if len(hashes) else 0) % settings.stride
+    return np.arange(first, len(hashes), settings.stride)
+
+
 class Network:
     """The window network; its parameters are five arrays, kept in one flat vector."""
 
@@ -137,16 +147,19 @@ class Network:
         error /= len(rows)
         back = error @ outer.T * (1 - hidden * hidden)
         into = (back @ inner.T).reshape(-1, self.settings.width)
-        looked_up = np.zeros_like(embedding)
-        np.add.at(looked_up, rows.reshape(-1), into)
-        gradient = np.concatenate(
-            [
-                g.reshape(-1)
-                for g in (looked_up, seen.T @ back, back.sum(0), hidden.T @ error, error.sum(0))
-            ]
-        )
-        squares += gradient * gradient
-        self.flat -= self.settings.rate * gradient / (np.sqrt(squares) + 1e-6)
+        # Only the embeddings that were looked up have a gradient.
+        places = rows.reshape(-1)
+        order = np.argsort(places, kind="stable")
+        touched, starts = np.unique(places[order], return_index=True)
+        looked_up = np.add.reduceat(into[order], starts, axis=0)
+        rate, cut = self.settings.rate, embedding.size
+        past = squares[:cut].reshape(embedding.shape)
+        past[touched] += looked_up * looked_up
+        dense = (seen.T @ back, back.sum(0), hidden.T @ error, error.sum(0))
+        gradient = np.concatenate([g.reshape(-1) for g in dense])
+        squares[cut:] += gradient * gradient
+        embedding[touched] -= rate * looked_up / (np.sqrt(past[touched]) + 1e-6)
+        self.flat[cut:] -= rate * gradient / (np.sqrt(squares[cut:]) + 1e-6)
 
     def score(self, hashes: np.ndarray, vocabulary: Vocabulary, rows_at_once: int = 4096) -> float:
         """The sum over a text of the log-probability of each word given those around it."""
@@ -241,13 +254,12 @@ def _train_task(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
     network = Network(settings, np.frombuffer(model.parameters, np.float32))
     squares = np.full(len(network.flat), 1e-4, np.float32)
     rows, kinds, held, n = [], [], 0, 0
-    # Rounds and documents begin at different words, so that no place in a text is left out.
-    phase = turn * settings.stride // max(1, settings.rounds)
+    # The first word of a document depends on the document only, so that the rounds between them
+    # take every place of a text, whatever the order of documents.
     for batch in batches:
         for text in batch.column(0).to_pylist():
             hashes = word_hashes(words(text))
-            chosen = np.arange(phase % settings.stride, len(hashes), settings.stride)
-            phase += 5
+            chosen = targets_of_round(hashes, turn, settings)
             if not len(chosen):
                 continue
             rows.append(contexts(hashes, settings)[chosen])

@@ -172,3 +172,13 @@ def test_scores_of_odd_tables(corpus, empty, clashing):
         assert len(rows) == docs.count()
         assert all(r.log_likelihood <= 0 and r.n_words >= 0 for r in rows)
         assert all(r.log_likelihood == 0 for r in rows if not r.n_words)
+
+
+def test_every_word_is_a_target_once():
+    settings = pseudo_likelihood.Settings()
+    for seed in range(40):
+        hashes = word_hashes(words(prose(seed, seed)))
+        rounds = [pseudo_likelihood.targets_of_round(hashes, t, settings) for t in range(settings.rounds)]
+        assert sorted(np.concatenate(rounds).tolist()) == list(range(len(hashes)))
+    with pytest.raises(ValueError):
+        pseudo_likelihood.Settings(rounds=2, stride=16)
