@@ -24,6 +24,7 @@ from dataloupe.plans.storage import materialize
 CONFIDENCE = 1.96
 WHISKER = 1.5
 LABEL_SHARE = 5
+PAIR_BLOCK = 512  # values of either side that meet in one task when all pairs are asked for
 VIOLIN_BANDWIDTH = 0.5
 VIOLIN_POINTS = 100
 VIOLIN_CUT = 2
@@ -359,6 +360,23 @@ def category_share(df: DataFrame, x: str, facet: str | None = None) -> DataFrame
     return counts.withColumn(pct, col(n) / total * 100)
 
 
+def _all_pairs(xs: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(x, segment)`` for every two of them, met block by block: values are dealt by hash into
+    blocks of about ``PAIR_BLOCK``, and each block goes once to every block of the other side."""
+    xs, segments = materialize(xs), materialize(segments)
+    n_x, n_s = (max(1, -(-df.count() // PAIR_BLOCK)) for df in (xs, segments))
+
+    def blocks(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def dealt(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n).cast("long"))
+
+    left = xs.select("x", dealt("x", n_x).alias("_a"), blocks(n_s).alias("_b"))
+    right = segments.select("segment", blocks(n_x).alias("_a"), dealt("segment", n_s).alias("_b"))
+    return left.join(right.hint("shuffle_hash"), ["_a", "_b"]).select("x", "segment")
+
+
 def composition(
     df: DataFrame, x: str, segment: str, zero_cells: bool = False, facet: str | None = None
 ) -> DataFrame:
@@ -382,9 +400,8 @@ def composition(
     pairs = rows.select(col(x).alias("x"), col(segment).alias("segment"))
     counts = pairs.groupBy("x", "segment").agg(F.count(F.lit(1)).alias("n"))
     if zero_cells:
-        labels = counts.agg(F.collect_set("segment").alias("_all"))
-        every = counts.select("x").distinct().join(F.broadcast(labels), F.lit(True))
-        every = every.select("x", F.explode("_all").alias("segment"))
+        counts = materialize(counts)
+        every = _all_pairs(counts.select("x").distinct(), counts.select("segment").distinct())
         counts = every.join(counts, ["x", "segment"], "left").fillna(0, ["n"])
     totals = counts.groupBy("x").agg(F.sum("n").alias("_total"), F.count("n").alias("_segments"))
     share = F.col("n") / F.col("_total") * 100

@@ -201,3 +201,18 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, tmp_path):
     for table in (dl.box_stats(df, "k", "y"), dl.violin(df, "k", "y"), dl.profile(df), dl.clip_outliers(df, "y", "k")):
         plan = explained(table)
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_zero_cells_meet_block_by_block(frame, monkeypatch):
+    from dataloupe.operators import charts
+
+    rows = [(f"x{i % 11}", f"s{i % 13}") for i in range(100)]
+    df = frame("x string, s string", rows)
+    monkeypatch.setattr(charts, "PAIR_BLOCK", 3)
+    full = dl.composition(df, "x", "s", zero_cells=True)
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "Cross" not in plan
+    found = {(r["x"], r["segment"]): r["n"] for r in full.collect()}
+    assert full.count() == len(found) == 11 * 13
+    assert all(found[f"x{i}", f"s{j}"] == rows.count((f"x{i}", f"s{j}")) for i in range(11) for j in range(13))
+    assert dl.composition(df.where("false"), "x", "s", zero_cells=True).count() == 0
