@@ -8,16 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloupe.llm import (
-    decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, simhash, suffix_dedup,
+    conversation_repair, decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, simhash, suffix_dedup,
     token_counts, token_store, toxicity,
 )
 from dataloupe.llm.frames import whole_text
+from dataloupe.llm.oracles import SQL  # noqa: F401
 from dataloupe.plans.storage import scratch_path
 
 LEAST_RECALL = 0.9  # of the links between embeddings, as audited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -129,3 +129,21 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     scored = pseudo_likelihood.with_pseudo_likelihood(docs, model)
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return scored.select("doc_id", "n_words", "log_likelihood", mean.alias("per_word"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of each conversation, after damage that follows from its ids."""
+    turns = table(spark, folder, "conversations")
+    report, repaired = conversation_repair.repair_conversations(conversation_repair.crc_damage(turns))
+    key = conversation_repair.conversation_key("conv_id")
+    ids = turns.select(key.alias("key"), "conv_id").dropDuplicates(["key"])
+    found = report.drop("conv_id").join(conversation_repair.line_digests(repaired), "key", "left")
+    none = F.lit(0).cast("long")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(found, "key", "left").select(
+        "conv_id",
+        *[F.coalesce(n, none).alias(n) for n in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
