@@ -197,8 +197,10 @@ def _chained(blocks: DataFrame, most: int) -> DataFrame:
             out["audits"] = [[None if x is None else x[1] for x in f] for f in found]
             yield out
 
-    # Blocks of a conversation are dealt evenly over the tasks.
-    leaf = written(blocks.repartition(F.xxhash64("key", "at")).mapInPandas(search, matrix))
+    # A block is few bytes and much work: dealt evenly over a fixed number of tasks.
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(tasks, "key", "at")
+    leaf = written(dealt.mapInPandas(search, matrix))
     levels = [leaf.select("key", "at", "costs", "places")]
     while most > 1:
         groups = levels[-1].groupBy("key", F.expr(f"at div {FAN}").alias("up"))

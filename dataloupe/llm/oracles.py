@@ -95,3 +95,43 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN ended e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
 """
+
+# ASCII letters in either case; DuckDB's own flag would also take "\u017f" for an s.
+_NAME = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+# Fixed values, as in ``secret_ledger``: kind, least characters, their group, pattern.
+_SECRETS = (
+    ("assign", 6, 2, rf"""({_NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", 20, 0, r"AKIA[A-Z0-9]+"),
+    ("hex", 24, 0, r"[0-9a-f]+"),
+    ("pem", 1, 0, r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    ("forge", 40, 0, r"gh[pousr]_[A-Za-z0-9]+"),
+)
+
+
+def _parts_of(rank: int, kind: str, least: int, group: int, pattern: str) -> str:
+    text = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, {rank} AS rank, '{kind}' AS kind, {least} AS least, string_split_regex(text, {text}) AS gaps,
+      regexp_extract_all(text, {text}) AS found, regexp_extract_all(text, {text}, {group}) AS val FROM texts"""
+
+
+# Each rule's matches split a text; the lengths of the parts give the places.
+SQL["op12_secret_scans"] = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT r, rank, kind, least, unnest(range(1, len(found) + 1)) AS k,
+    unnest(found) AS found, unnest(val) AS val, unnest(gaps[:len(found)]) AS gap
+  FROM ({" UNION ALL ".join(_parts_of(i, *rule) for i, rule in enumerate(_SECRETS, 1))})),
+spans AS (
+  SELECT r, rank, kind, ends - length(found) AS start, ends FROM (
+    SELECT *, (sum(length(gap) + length(found)) OVER (PARTITION BY r, rank ORDER BY k))::BIGINT AS ends FROM parts)
+  WHERE length(val) >= least),
+told AS (
+  SELECT r, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access,
+    count(*) FILTER (rank = 3) AS n_hex,
+    string_agg(kind || ':' || start || ':' || ends, ',' ORDER BY start, rank) FILTER (rank <= 3) AS base,
+    string_agg(kind || ':' || start || ':' || ends, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (r)
+"""

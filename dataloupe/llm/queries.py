@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloupe.llm import (
-    conversation_repair, decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, simhash, suffix_dedup,
-    token_counts, token_store, toxicity,
+    conversation_repair, decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, secret_ledger,
+    simhash, suffix_dedup, token_counts, token_store, toxicity,
 )
-from dataloupe.llm.frames import whole_text
+from dataloupe.llm.frames import whole_text, written
 from dataloupe.llm.oracles import SQL  # noqa: F401
 from dataloupe.plans.storage import scratch_path
 
@@ -147,3 +147,24 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query
+def op12_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in each document, from a new ledger; its documents are paths of one version."""
+    docs, ledger = table(spark, folder, "documents"), scratch_path(spark, "ledger")
+    secret_ledger.scan(docs.select("text"), ledger)
+    versions = written(docs.select("doc_id", secret_ledger.blob("text").alias("blob")))
+    found = secret_ledger.with_findings(versions, ledger)
+    kinds = [r.kind for r in secret_ledger.BASE_RULES]
+    base = F.filter("secrets", lambda x: x["kind"].isin(kinds))
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in kinds],
+        F.sha2(secret_ledger.listed(base), 256).alias("base_sha256"),
+        secret_ledger.listed(F.col("secrets")).alias("spans"),
+    )
