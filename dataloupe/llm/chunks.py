@@ -74,5 +74,8 @@ class ChunkTable:
     def _forget(self) -> None:
         held = len(self.inner) + len(self.odd) + len(self.first)
         if held > self.most or self.chars > MOST_CHARS:
-            self.inner.clear(), self.odd.clear(), self.first.clear()
-            self.chars = 0
+            self.clear()
+
+    def clear(self) -> None:
+        self.inner.clear(), self.odd.clear(), self.first.clear()
+        self.chars = 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dataloupe.llm import (
-    conversation_repair, decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, secret_ledger,
+    alignment, conversation_repair, decontaminate, html_extract, nn_descent, pieces, pseudo_likelihood, secret_ledger,
     simhash, suffix_dedup, token_counts, token_store, toxicity,
 )
 from dataloupe.llm.frames import whole_text, written
@@ -168,3 +168,13 @@ def op12_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secret_ledger.listed(base), 256).alias("base_sha256"),
         secret_ledger.listed(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Linked tokens of a byte-level BPE and a piece model in each document, with corpus counts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    files = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.with_alignment(docs, *files)
+    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, "groups_sha256")
