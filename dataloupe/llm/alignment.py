@@ -31,7 +31,7 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 CROSSING = re.compile(f"[^{MARKER}]{MARKER}")
 NEXT_TO_SPACE = re.compile(r"(?<=\S) (?=\S)")
 TEXT_BYTES, ID_BYTES = 1 << 20, 1 << 19  # texts and ids of A in a task at a time
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 400_000
 MOST_PAIRS = 1 << 18  # kept in a task before they are handed on
 SEGMENT = 1 << 15  # pairs per segment, about
 MOST_KEYS = 1 << 22  # pairs that are hashed and broadcast at a time: 20 MB and 32 MB of counts
@@ -83,35 +83,37 @@ class PairTable:
         alone = _stands_alone if by_chunk else lambda chunk: False
         self.table = ChunkTable(self._of_chunks, cuts, alone, MOST_CHUNKS)
 
-    def _of_chunks(self, chunks: list[str], first: bool) -> list[tuple | None]:
-        """(ids of A, ids of B, groups as text, number of groups); None if bytes do not match."""
-        found = self.first.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
+    def _of_chunks(self, chunks: list[str], first: bool) -> list[tuple[bytes, bytes] | None]:
+        """The ids of A and of B as 16-bit integers; None if the tokens do not give the chunk."""
+        spaced = [" " + c for c in chunks]
+        found = self.first.encode_batch_fast(spaced, add_special_tokens=False)
+        a = [array("H", e.ids).tobytes() for e in found]
+        b = [array("H", ids).tobytes() for ids in self.second.encode(chunks, num_threads=1)]
+        want = [c.encode() for c in spaced]
+        pairs = list(zip(a, b))
+        if self._give(want, a, self.first_bytes) and self._give(want, b, self.second_bytes):
+            return pairs
         return [
-            self._aligned((" " + c).encode(), a.ids, b)
-            for c, a, b in zip(chunks, found, self.second.encode(chunks, num_threads=1))
+            p if self._give([w], p[:1], self.first_bytes) and self._give([w], p[1:], self.second_bytes) else None
+            for w, p in zip(want, pairs)
         ]
 
-    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple | None:
-        first = [self.first_bytes[i] for i in a]
-        second = [self.second_bytes[i] for i in b]
-        if b"".join(first) != text or b"".join(second) != text:
-            return None
-        groups, ends_a, ends_b = [], _ends(first), _ends(second)
-        both = set(ends_a) & set(ends_b)
-        i = j = 0
-        while i < len(a):
-            k, m = i + 1, j + 1
-            while ends_a[k - 1] not in both:
-                k += 1
-            while ends_b[m - 1] not in both:
-                m += 1
-            groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            i, j = k, m
-        return array("H", a).tobytes(), array("H", b).tobytes(), ";".join(groups), len(groups)
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple | None]]:
-        """The aligned chunks of each text; a text with the marker itself has none."""
-        return self.table.all_values([t if t and MARKER not in t else "" for t in texts])
+    def _give(self, want: list[bytes], ids: list[bytes] | tuple[bytes], tokens: list[bytes]) -> bool:
+        """Whether the bytes of the tokens are the texts, each for its own."""
+        parts = list(map(tokens.__getitem__, np.frombuffer(b"".join(ids), np.uint16).tolist()))
+        ends = np.cumsum([0, *map(len, parts)])[np.cumsum([len(i) // 2 for i in ids])]
+        return b"".join(parts) == b"".join(want) and bool((ends == np.cumsum(list(map(len, want)))).all())
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """The ids of each text; none if the tokens do not give it back, as with the marker itself."""
+        out = []
+        for chunks in self.table.all_values([t if t and MARKER not in t else "" for t in texts]):
+            if not chunks or None in chunks:
+                out.append((b"", b""))
+            else:
+                a, b = zip(*chunks)
+                out.append((b"".join(a), b"".join(b)))
+        return out
 
 
 def _stands_alone(chunk: str) -> bool:
@@ -124,44 +126,78 @@ def _piece_bytes(piece: str) -> bytes:
     return piece.replace(MARKER, " ").encode()
 
 
-def _ends(tokens: list[bytes]) -> list[int]:
-    out, end = [], 0
-    for t in tokens:
-        end += len(t)
-        out.append(end)
-    return out
-
-
 @functools.lru_cache(maxsize=1)
 def _table(definition: str, model: bytes) -> PairTable:
     return PairTable(definition, model)
 
 
 class Links:
-    """The links of texts from the ids of their tokens, all texts of a batch at once.
+    """The tokens of the texts of a batch, and their links, all texts at once.
 
     The ends of the tokens of A and B cut a text into pieces, and each piece is what one token of A
     and one of B have in common, so pieces and links are the same in number.
     """
 
-    def __init__(self, first_sizes: np.ndarray, second_sizes: np.ndarray):
-        self.sizes = first_sizes, second_sizes
+    def __init__(self, a: pa.Array, b: pa.Array, sizes: tuple[np.ndarray, np.ndarray]):
+        (self.a, self.rows_a), (self.b, self.rows_b) = _ids(a), _ids(b)
+        ends_a, ends_b = np.cumsum(sizes[0][self.a]), np.cumsum(sizes[1][self.b])
+        length = int(ends_a[-1]) if len(ends_a) else 0
+        marks = np.zeros(length + 1, np.uint8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        cuts = np.flatnonzero(marks)
+        self.marks = marks[cuts]
+        is_a, is_b = self.marks & 1, self.marks >> 1
+        self.of_a = np.cumsum(is_a, dtype=np.int64) - is_a
+        self.of_b = np.cumsum(is_b, dtype=np.int64) - is_b
+        last = np.concatenate([[0], ends_a])[self.rows_a]
+        self.ends = np.searchsorted(cuts, last, "right")  # links up to the end of each row
+
+    def pairs(self) -> np.ndarray:
+        """A's id * 2^16 + B's id of each link."""
+        return self.a[self.of_a].astype(np.uint32) << np.uint32(16) | self.b[self.of_b]
+
+    def groups(self, letters: list[str]) -> list[str]:
+        """``a1,a2|b1;a3|b2`` of each row, a group ending where tokens of both end."""
+        both = self.marks == 3
+        group = np.cumsum(both) - both
+        size = len(self.a) + len(self.b)
+        codes = np.empty(size, np.int64)
+        # A token of A stands behind the tokens of B of all groups before, one of B behind those of
+        # A of its own group too.
+        before_b = np.concatenate([[0], self.of_b[both] + 1])
+        upto_a = self.of_a[both] + 1
+        at_a, at_b = self.marks & 1 == 1, self.marks & 2 == 2
+        here_a = np.arange(len(self.a)) + before_b[group[at_a]]
+        here_b = np.arange(len(self.b)) + upto_a[group[at_b]]
+        codes[here_a] = self.a + np.where(both[at_a], 1 << 16, 0)
+        codes[here_b] = self.b + np.where(both[at_b], 3 << 16, 2 << 16)
+        said, ends = list(map(letters.__getitem__, codes.tolist())), (self.rows_a + self.rows_b).tolist()
+        return ["".join(said[x:y])[:-1] for x, y in zip([0, *ends], ends)]
+
+    def n_groups(self) -> np.ndarray:
+        return _by_row(self.marks == 3, self.ends)
+
+
+def letters_of(ids: int = 1 << 16) -> list[str]:
+    """What stands in ``Links.groups`` for a token of A inside and at the end of a group, and of B."""
+    return [f"{i}{mark}" for mark in (",", "|", ",", ";") for i in range(ids)]
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of 16-bit integers, without a copy, and the ids up to each row's end."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if data is None or not len(column):
+        return np.zeros(0, np.uint16), np.zeros(len(column), np.int64)
+    ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint16)
+    return ids, (ends[1:] - ends[0]) // 2
 
-    def of(self, a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(pairs, ends)``: A's id * 2^16 + B's id of each link, and the links up to each row."""
-        (ids_a, ends_a, rows_a), (ids_b, ends_b, _) = (self._tokens(x, s) for x, s in zip((a, b), self.sizes))
-        cuts = np.union1d(ends_a, ends_b)
-        of_a, of_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        pairs = ids_a[of_a].astype(np.uint32) << np.uint32(16) | ids_b[of_b]
-        return pairs, np.searchsorted(cuts, rows_a, "right")
 
-    def _tokens(self, column: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, the byte at which each ends, and the bytes up to the end of each row."""
-        data = [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
-        ids = np.concatenate([np.zeros(0, np.uint16), *data])
-        ends = np.cumsum(sizes[ids])
-        rows = np.cumsum([len(d) for d in data], dtype=np.int64)
-        return ids, ends, np.concatenate([[0], ends])[rows]
+def _by_row(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return np.diff(total[ends], prepend=0)
 
 
 @functools.lru_cache(maxsize=1)
@@ -203,27 +239,27 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text") -> Align
     handed = fresh("pairs", *map(str.lower, known.names))
     row = fresh("row", *map(str.lower, known.names), handed)
     schema = T.StructType([*known, T.StructField(handed, T.BinaryType())])
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, links = _table(*files.value), Links(*_sizes(*files.value))
+        table, sizes, letters = _table(*files.value), _sizes(*files.value), letters_of()
         seen, last = np.zeros(0, np.uint32), None
-        for batch in slices(batches, batch_text, TEXT_BYTES):
-            rows = [_row(chunks) for chunks in table.encode(batch.column(place).to_pylist())]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
-            seen = np.union1d(seen, links.of(columns[0], columns[1])[0])
+        for batch in slices(batches, text, TEXT_BYTES):
+            a, b = (pa.array(x, pa.binary()) for x in zip(*table.encode(batch.column(place).to_pylist())))
+            links = Links(a, b, sizes)
+            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in links.groups(letters)]
+            counts = (np.diff(links.rows_a, prepend=0), np.diff(links.rows_b, prepend=0), links.n_groups())
+            seen = np.union1d(seen, links.pairs())
             pairs = [None] * batch.num_rows
             if len(seen) > MOST_PAIRS:
                 pairs[0], seen = seen.astype("<u4").tobytes(), seen[:0]
-            whole = [*map(batch.column, kept), *columns, pa.array(pairs, pa.binary())]
-            last = pa.RecordBatch.from_arrays(whole, schema.names)
+            columns = [a, b, *map(pa.array, counts), pa.array(groups), pa.array(pairs, pa.binary())]
+            last = pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], schema.names)
             yield last
         if len(seen):
             yield _only_pairs(last, seen)
         table.table.clear()
         trim()
 
-    batch_text = text
     done = docs.mapInArrow(tokenize, schema)
     table = written(done.withColumn(row, F.monotonically_increasing_id()))
     lists = table.where(col(handed).isNotNull()).select(col(handed).alias("pairs"))
@@ -232,15 +268,6 @@ def align(docs: DataFrame, first: str, second: str, text: str = "text") -> Align
     return Aligned(rows, row, distinct, spark.sparkContext.broadcast(_sizes(*files.value)))
 
 
-def _row(chunks: list[tuple | None]) -> tuple:
-    if not chunks or None in chunks:
-        return b"", b"", 0, 0, 0, ""
-    a, b, groups, counts = zip(*chunks)
-    a, b = b"".join(a), b"".join(b)
-    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-    return a, b, len(a) // 2, len(b) // 2, sum(counts), digest
-
-
 def _only_pairs(batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
     """A row that is no document: without ids, with the pairs of a task."""
     columns = [pa.nulls(1, f.type) for f in batch.schema]
@@ -328,12 +355,12 @@ def _counting(sent, sizes):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (hash_, chosen, ends), links = sent.value, Links(*sizes.value)
+        hash_, chosen, ends = sent.value
         counts = np.zeros(len(hash_.stored), np.int64)
         for batch in slices(batches, "a", ID_BYTES):
-            pairs, rows = links.of(batch.column("a"), batch.column("b"))
-            of_row = np.repeat(np.arange(len(rows), dtype=np.uint64), np.diff(rows, prepend=0))
-            once = np.unique(of_row << np.uint64(32) | pairs)
+            links = Links(batch.column("a"), batch.column("b"), sizes.value)
+            of_row = np.repeat(np.arange(len(links.ends), dtype=np.uint64), np.diff(links.ends, prepend=0))
+            once = np.unique(of_row << np.uint64(32) | links.pairs())
             numbers = hash_.numbers(once.astype(np.uint32))
             numbers = numbers[numbers >= 0]
             counts += np.bincount(numbers, minlength=len(counts))
@@ -377,7 +404,7 @@ COUNTS = {"n_links": "long", "n_best": "long", "count_sum": "long"}
 
 
 def with_alignment(docs: DataFrame, first: str, second: str, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with the alignment of each text and its counts, written.
+    """``docs`` without ``text``, with the alignment of each text and its counts.
 
     Added: ``a`` and ``b`` (ids as little-endian 16-bit integers), ``n_a``, ``n_b``, ``n_groups``,
     ``groups_sha256`` (of ``a1,a2|b1;...``; '' without tokens), ``n_links``, ``n_best`` (links whose pair is in
@@ -408,10 +435,7 @@ def with_alignment(docs: DataFrame, first: str, second: str, text: str = "text")
         each = [_look_up(narrow, aligned, s, best).drop("a", "b") for s in sent]
         sums = [F.sum(n).alias(n) for n in (*_SUMS, _known(narrow))]
         totals = rows.join(functools.reduce(DataFrame.unionByName, each).groupBy(aligned.row).agg(*sums), aligned.row)
-    done = written(_checked(totals, _known(rows)).drop(aligned.row))
-    for broadcast in (*sent, best, aligned.sizes):
-        broadcast.destroy()
-    return done
+    return _checked(totals, _known(rows)).drop(aligned.row)
 
 
 _SUMS = ("n_best", "count_sum")
@@ -438,25 +462,21 @@ def _look_up(rows: DataFrame, aligned: Aligned, sent, best) -> DataFrame:
     sizes = aligned.sizes
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hash_, counts), links = sent.value, Links(*sizes.value)
+        hash_, counts = sent.value
         for batch in slices(batches, "a", ID_BYTES):
-            pairs, ends = links.of(*map(batch.column, at))
+            links = Links(*map(batch.column, at), sizes.value)
+            pairs = links.pairs()
             numbers = hash_.numbers(pairs)
             known = numbers >= 0
             count = np.where(known, counts[np.where(known, numbers, 0)], 0)
             top = known & (count == best.value[pairs >> np.uint32(16)])
-            sums = [_by_row(x, ends) for x in (top, count, known)]
+            sums = [_by_row(x, links.ends) for x in (top, count, known)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sums)], schema.names)
         trim()
 
     return rows.mapInArrow(look_up, schema)
 
 
-def _by_row(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return np.diff(total[ends], prepend=0)
-
-
 def _checked(rows: DataFrame, known: str) -> DataFrame:
     """Without the number of known links, which must be all of them."""
     lost = F.raise_error(F.lit("links without a count: the input has changed between two passes"))
