@@ -13,11 +13,12 @@ from dataloupe.functions.columns import (
     col, fresh, is_numeric, is_text, number, quoted, require_columns, without_nan,
 )
 from dataloupe.operators import charts
-from dataloupe.operators.chart_choice import chart_types
+from dataloupe.operators.chart_choice import PIE_SLICES, chart_types
 from dataloupe.operators.features import day_span
 from dataloupe.operators.outliers import clip_outliers, clip_thresholds, outliers_by_group
+from dataloupe.operators.shared_scan import Chart, Shared, shared_evidence, shared_limits, shared_tops
 from dataloupe.operators.topk import MAX_K, top_k_others
-from dataloupe.plans.cardinality import distinct_up_to, sketch_counts
+from dataloupe.plans.cardinality import distinct_up_to
 from dataloupe.plans.storage import materialize
 from dataloupe.specs import ChartSpec, Tweak
 
@@ -124,13 +125,15 @@ def long_tails(
     df: DataFrame,
     specs: list[ChartSpec],
     primary_metric: str | None,
-    sketches: dict[str, int] | None = None,
+    counts: dict[str, int | None] | None = None,
 ) -> list[str]:
-    """The columns of the specs whose tail is to be folded, found with one distinct count."""
+    """The columns of the specs whose tail is to be folded, found with one distinct count if
+    ``counts`` (see ``distinct_up_to``) are not known already."""
     if primary_metric is None or not is_numeric(df, primary_metric):
         return []
     targets = sorted({t for t in (s.color_by or s.x for s in specs) if is_text(df, t)})
-    return [t for t, n in distinct_up_to(df, targets, MAX_K, sketches).items() if n is None]
+    counts = distinct_up_to(df, targets, MAX_K) if counts is None else counts
+    return [t for t in targets if counts[t] is None or counts[t] > MAX_K]
 
 
 def run_chart(
@@ -213,10 +216,13 @@ def run_chart_query(
 
     def measured(name: str) -> Column:
         value = without_nan(df, name) if agg == "count" else number(df, name)
-        return AGGREGATES[agg](value).alias(f"{agg}_{name}")
+        return AGGREGATES[agg](value)
 
-    keys = [col(d) for d in dict.fromkeys(dims)]
-    found = [measured(m) for m in dict.fromkeys(measures)]
+    names = list(dict.fromkeys(dims))
+    keys, found = [col(d) for d in names], []
+    for m in dict.fromkeys(measures):
+        names.append(fresh(f"{agg}_{m}", *names))
+        found.append(measured(m).alias(names[-1]))
     if not found:
         return df.select(keys).distinct()
     return df.groupBy(*keys).agg(*found) if keys else df.agg(*found)
@@ -274,8 +280,8 @@ def chart_battery(
     Data: ``(chart_no, level, chart_type, x, series, stat, value)``; histograms also have their
     density curve, under the number of the grid point. Evidence: ``chart_no``, ``data_type`` of
     y ('numeric' or 'non_numeric'), ``outlier_clipped``, and the columns of ``outliers_by_group``;
-    a chart without outliers has one row that says so. Each chart reads only its own columns; a parquet input is better scanned per chart
-    than cached whole.
+    a chart without outliers has one row that says so. The table is scanned a fixed number of times,
+    reading only the columns that charts use (see ``shared_scan``).
     """
     planned = plan_battery(specs, min_score)
     if not planned:
@@ -283,21 +289,29 @@ def chart_battery(
     require_columns(df, *{n for s in planned for n in (s.x, s.color_by)})
     slices = {s.x for s in planned if s.x not in (temporal_columns or []) and not is_numeric(df, s.x)}
     targets = {t for t in (s.color_by or s.x for s in planned) if is_text(df, t)}
-    sketches = sketch_counts(df, sorted(slices | targets))
-    types = chart_types(df, planned, temporal_columns, sketches)
-    tails = long_tails(df, planned, primary_metric, sketches)
-    shared = {("tail", s.color_by or s.x, primary_metric): (s.color_by or s.x) in tails for s in planned}
-    tables, found = [], []
+    counts = distinct_up_to(df, sorted(slices | targets), max(MAX_K, PIE_SLICES))
+    types = chart_types(df, planned, temporal_columns, counts)
+    tops = shared_tops(df, long_tails(df, planned, primary_metric, counts), primary_metric)
+    pairs: list[tuple[str, str | None]] = []
+    plan = []
     for no, (spec, chart_type) in enumerate(zip(planned, types), start=1):
-        result = run_chart(df, spec, temporal_columns, primary_metric, None, chart_type, shared=shared)
-        labels = [F.lit(no).alias("chart_no"), F.lit(spec.level).alias("level"),
-                  F.lit(chart_type).alias("chart_type")]
-        for table in filter(None, (result.data, result.curve)):
-            tidy = tidy_chart(table, spec, chart_type)
-            tables.append(tidy.select(*labels, "x", "series", "stat", "value"))
-        if result.evidence is not None:
-            found.append(result.evidence.withColumn("chart_no", F.lit(no)))
-    data = reduce(DataFrame.unionByName, tables)
+        limit = None
+        if spec.y is not None and is_numeric(df, spec.y):
+            if (spec.y, spec.color_by) not in pairs:
+                pairs.append((spec.y, spec.color_by))
+            limit = pairs.index((spec.y, spec.color_by))
+        plan.append(Chart(no, spec, chart_type, limit))
+    used = {n for s in planned for n in (s.x, s.y, s.color_by) if n is not None}
+    narrow = df.select([col(n) for n in df.columns if n in used])
+    rows, limits = shared_limits(narrow, pairs, tops) if pairs else (None, None)
+    shared = Shared(narrow, plan, pairs, tops, limits)
+    tables = [*shared.grouped(), *shared.points(), *shared.spread()]
+    marks = df.sparkSession.createDataFrame(
+        [(c.no, c.spec.level, c.kind) for c in plan], "no int, level string, chart_type string"
+    )
+    data = reduce(DataFrame.unionByName, tables).join(F.broadcast(marks), "no")  # one row per chart
+    data = data.withColumnRenamed("no", "chart_no").select(TIDY)
+    found = [] if rows is None else [shared_evidence(rows, limits, pairs, plan)]
     kinds = [
         (no, "numeric" if s.y is not None and is_numeric(df, s.y) else "non_numeric")
         for no, s in enumerate(planned, start=1)

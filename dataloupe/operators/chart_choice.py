@@ -18,18 +18,19 @@ def chart_types(
     df: DataFrame,
     specs: list[ChartSpec],
     temporal_columns: list[str] | None = None,
-    sketches: dict[str, int] | None = None,
+    counts: dict[str, int | None] | None = None,
 ) -> list[str]:
     """The chart type of each spec. All specs share one distinct count and one row test,
-    and neither runs if the column types already decide. ``sketches`` are estimated distinct
-    counts, if they are known already."""
+    and neither runs if the column types already decide. ``counts`` are distinct counts, if they
+    are known already, None for many."""
     times = temporal_columns or []
     kinds = [_kinds(df, s, times) for s in specs]
     pies = {s.x for s, k in zip(specs, kinds) if k[:2] == ("category", None)}
-    slices = distinct_up_to(df, sorted(pies), PIE_SLICES, sketches)
+    counts = distinct_up_to(df, sorted(pies), PIE_SLICES) if counts is None else counts
+    slices = {n for n in pies if counts[n] is not None and counts[n] <= PIE_SLICES}
     violins = ("category", "number", None) in kinds
     many = violins and rows_up_to(df, VIOLIN_ROWS + 1) > VIOLIN_ROWS
-    return [_choice(k, slices.get(s.x) is not None, many) for s, k in zip(specs, kinds)]
+    return [_choice(k, s.x in slices, many) for s, k in zip(specs, kinds)]
 
 
 def _kinds(df: DataFrame, spec: ChartSpec, times: list[str]) -> tuple[str | None, ...]:

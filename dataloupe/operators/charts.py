@@ -25,6 +25,7 @@ CONFIDENCE = 1.96
 WHISKER = 1.5
 LABEL_SHARE = 5
 PAIR_BLOCK = 512  # values of either side that meet in one task when all pairs are asked for
+POINTS = 200  # of a density curve
 VIOLIN_BANDWIDTH = 0.5
 VIOLIN_POINTS = 100
 VIOLIN_CUT = 2
@@ -70,7 +71,7 @@ def histogram(
     value = number(df, x)
     rows = rows.where(F.abs(value) < INFINITY)
     facts = exact_quantiles(rows.select(value.alias("_y")), "_y", [], {"q1": 0.25, "q3": 0.75})
-    low, width, bins = _bins(facts.first(), max_bins)
+    low, width, bins = bins_of(facts.first(), max_bins)
     place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     keys = [col(hue).alias("_hue")] if hue else []
     counted = rows.select(*keys, place.alias("_bin")).groupBy(*["_hue"] * bool(hue), "_bin")
@@ -84,7 +85,7 @@ def histogram(
     )
 
 
-def _bins(facts, max_bins: int | None) -> tuple[float, float, int]:
+def bins_of(facts, max_bins: int | None) -> tuple[float, float, int]:
     n, low, high = facts["n"], facts["min"], facts["max"]
     if not n:
         return 0.0, 1.0, 1
@@ -102,7 +103,7 @@ def kde(
     df: DataFrame,
     x: str,
     by: str | list[str] | None = None,
-    points: int = 200,
+    points: int = POINTS,
     bw_adjust: float = 1.0,
     cut: float = 0.0,
     common_grid: bool = True,
@@ -115,54 +116,64 @@ def kde(
     within its kernel's reach. The work after the first aggregate depends on the spread
     of the data, not on the number of rows. Groups without spread are left out.
     """
-    keys = [by] if isinstance(by, str) else list(by or [])
-    rows, _ = _known(df, x, *keys)
-    rows = rows.select(*[col(k) for k in keys], number(df, x).alias("_y"))
+    given = [by] if isinstance(by, str) else list(by or [])
+    rows, _ = _known(df, x, *given)
+    keys = [f"_by{i}" for i in range(len(given))]
+    rows = rows.select(*[col(k).alias(i) for k, i in zip(given, keys)], number(df, x).alias("_y"))
     rows = rows.where(F.abs("_y") < INFINITY)  # infinite values have no place on the grid
-    if not keys:
+    if not given:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
-    names = [quoted(k) for k in keys]
-
-    groups = rows.groupBy(*names).agg(
+    groups = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_y").alias("_low"),
         F.max("_y").alias("_high"),
         F.stddev_samp("_y").alias("_sd"),
     )
-    groups = materialize(groups)
-    groups = groups.where(F.col("_sd") > 0).withColumn(
-        "_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)) * F.lit(bw_adjust)
+    settings = {"_bw": F.lit(bw_adjust), "_cut": F.lit(float(cut)), "_points": F.lit(points)}
+    shape = densities(rows, keys, groups.withColumns(settings), [] if common_grid else keys)
+    figures = ("grid_no", "grid_x", "density")
+    return shape.select(
+        *[F.col(i).alias(k) for k, i in zip(given, keys)], *[F.col(f).alias(fresh(f, *given)) for f in figures]
     )
-    margin = F.lit(cut) * F.col("_h")
-    start, stop = F.col("_low") - margin, F.col("_high") + margin
-    if common_grid:
-        ends = groups.agg(F.min(start), F.max(stop)).first()
-        start, stop = F.lit(ends[0]).cast("double"), F.lit(ends[1]).cast("double")
-    groups = groups.withColumn("_start", start).withColumn("_step", (stop - start) / (points - 1))
-    groups = groups.select(*names, "_n", "_low", "_h", "_start", "_step")
 
+
+def densities(rows: DataFrame, keys: list[str], groups: DataFrame, grid: list[str]) -> DataFrame:
+    """``(keys, grid_no, grid_x, density)`` of the values ``_y`` of groups with bandwidth factor ``_bw``,
+    ``_cut`` and ``_points`` of their own. Groups that are alike in ``grid`` share their grid."""
+    spread = groups.where(F.col("_sd") > 0).withColumn(
+        "_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)) * F.col("_bw")
+    )
+    margin = F.col("_cut") * F.col("_h")
+    start, stop = F.col("_low") - margin, F.col("_high") + margin
+    spread = materialize(spread.withColumns({"_start": start, "_stop": stop}))
+    if set(grid) < set(keys) or not set(grid) <= set(keys):
+        ends = [F.min("_start").alias("_start"), F.max("_stop").alias("_stop")]
+        inner = spread.drop("_start", "_stop")
+        if grid:
+            shared = spread.groupBy(*grid).agg(*ends, F.count(F.lit(1)).alias("_groups"))
+            spread = materialize(lookup_join(inner, shared, grid, "_groups").drop("_groups"))
+        else:
+            told = spread.agg(*ends).select(F.struct("_start", "_stop")).scalar()
+            spread = inner.withColumn("_e", told).select("*", "_e.*").drop("_e")
+    groups = spread.withColumn("_step", (F.col("_stop") - F.col("_start")) / (F.col("_points") - 1))
+    groups = groups.select(*keys, "_n", "_low", "_h", "_start", "_step", "_points")
     cell = F.floor((F.col("_y") - F.col("_low")) / F.col("_h") * CELLS_PER_BANDWIDTH)
     cells = (
-        lookup_join(rows, groups, keys, "_n")
-        .groupBy(*names, "_h", "_start", "_step", cell.alias("_cell"))
+        lookup_join(rows.select(*keys, "_y"), groups, keys, "_n")
+        .groupBy(*keys, "_h", "_start", "_step", "_points", cell.alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_m"), F.avg("_y").alias("_at"))
     )
     reach = F.lit(KERNEL_REACH) * F.col("_h")
     first = F.greatest(F.ceil((F.col("_at") - reach - F.col("_start")) / F.col("_step")), F.lit(0))
-    last = F.least(
-        F.floor((F.col("_at") + reach - F.col("_start")) / F.col("_step")), F.lit(points - 1)
-    )
+    last = F.least(F.floor((F.col("_at") + reach - F.col("_start")) / F.col("_step")), F.col("_points") - 1)
     near = cells.where(first <= last).withColumn("grid_no", F.explode(F.sequence(first, last)))
     grid_x = F.col("_start") + F.col("grid_no") * F.col("_step")
     offset = (grid_x - F.col("_at")) / F.col("_h")
-    sums = near.groupBy(*names, "grid_no").agg(
-        F.sum(F.col("_m") * F.exp(-offset * offset / 2)).alias("_w")
-    )
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))
-    grid = groups.withColumn("grid_no", F.explode(numbers)).join(sums, [*keys, "grid_no"], "left")
+    sums = near.groupBy(*keys, "grid_no").agg(F.sum(F.col("_m") * F.exp(-offset * offset / 2)).alias("_w"))
+    numbers = F.sequence(F.lit(0).cast("long"), (F.col("_points") - 1).cast("long"))
+    every = groups.withColumn("grid_no", F.explode(numbers)).join(sums, [*keys, "grid_no"], "left")
     density = F.coalesce("_w", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
-    shown = [] if keys == ["_all"] else names
-    return grid.select(*shown, "grid_no", grid_x.alias("grid_x"), density.alias("density"))
+    return every.select(*keys, "grid_no", grid_x.alias("grid_x"), density.alias("density"))
 
 
 def box_stats(df: DataFrame, x: str, y: str, hue: str | list[str] | None = None) -> DataFrame:
@@ -257,9 +268,9 @@ def twin_line(df: DataFrame, x: str, y: str, y2: str) -> DataFrame:
     """``(x, y_mean, y2_mean)``: two means over the same x."""
     rows, _ = _known(df, x)
     require_columns(df, y, y2)
-    picked = rows.select(col(x), number(df, y).alias("_a"), number(df, y2).alias("_b"))
-    means = picked.groupBy(quoted(x)).agg(F.avg("_a").alias("y_mean"), F.avg("_b").alias("y2_mean"))
-    return means.orderBy(quoted(x))
+    picked = rows.select(col(x).alias("_x"), number(df, y).alias("_a"), number(df, y2).alias("_b"))
+    means = picked.groupBy("_x").agg(F.avg("_a").alias("_mean_a"), F.avg("_b").alias("_mean_b"))
+    return means.orderBy("_x").toDF(x, fresh("y_mean", x), fresh("y2_mean", x))
 
 
 def rolling_window(span_days: int) -> int:
@@ -280,9 +291,10 @@ def rolling_mean(
     require_columns(df, x, y, by)
     rows, _ = _known(df, x, by)
     size = rolling_window(span_days)
-    keys = [quoted(by)] if by else []
-    picked = rows.select(*keys, col(x), number(df, y).alias("_y"))
-    order = [*[F.asc(k) for k in keys], F.asc(quoted(x)), F.asc_nulls_first("_y")]
+    keys = ["_by"] if by else []
+    group = [col(by).alias("_by")] if by else []
+    picked = rows.select(*group, col(x).alias("_x"), number(df, y).alias("_y"))
+    order = [*[F.asc(k) for k in keys], F.asc("_x"), F.asc_nulls_first("_y")]
     block = _block_rows(size)
     placed = with_position(picked, order, "_pos").withColumn(
         "_block", F.floor(F.col("_pos") / block)
@@ -296,13 +308,10 @@ def rolling_mean(
     done = spread.withColumn("_mean", _trailing(within, size)).where(
         F.col("_home") == F.col("_block")
     )
-    return done.select(
-        *keys,
-        col(x),
-        F.col("_y").alias(y),
-        F.col("_mean").alias("rolling_y"),
-        F.lit(size).alias("window"),
-    )
+    names = [by, x] if by else [x]
+    for figure in (y, "rolling_y", "window"):
+        names.append(fresh(figure, *names))
+    return done.select(*keys, "_x", "_y", "_mean", F.lit(size)).toDF(*names)
 
 
 def _trailing(within, size: int) -> Column:
@@ -353,8 +362,13 @@ def category_share(df: DataFrame, x: str, facet: str | None = None) -> DataFrame
     n = fresh("n", x, facet)
     pct = fresh("pct", x, facet)
     if facet is not None:
-        total = F.sum(col(n)).over(W.partitionBy(quoted(facet)))
-        return counts.withColumn(pct, col(n) / total * 100)
+        inner = counts.toDF(*["_x", "_f"][: len(counts.columns) - 1], "_n")
+        inner = inner if "_f" in inner.columns else inner.withColumn("_f", F.col("_x"))
+        totals = inner.groupBy("_f").agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_cells"))
+        share = (F.col("_n") / F.col("_total") * 100).alias(pct)
+        names = ["_x", "_f"][: len(counts.columns) - 1]
+        found = lookup_join(inner, totals, ["_f"], "_cells").select(*names, "_n", share)
+        return found.toDF(*counts.columns, pct)
     # The counts are shuffled once: the total reads the same exchange.
     total = counts.agg(F.sum(col(n))).scalar()
     return counts.withColumn(pct, col(n) / total * 100)
@@ -390,9 +404,10 @@ def composition(
         rows, _ = _known(df, x, segment, facet)
         keys = [col(facet).alias("facet"), col(x).alias("x"), col(segment).alias("segment")]
         counts = rows.select(*keys).groupBy("facet", "x", "segment").agg(F.count(F.lit(1)).alias("n"))
-        share = F.col("n") / F.sum("n").over(W.partitionBy("facet", "x")) * 100
+        totals = counts.groupBy("facet", "x").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_cells"))
+        share = F.col("n") / F.col("_total") * 100
         label = (share > LABEL_SHARE).alias("show_label")
-        return counts.select(
+        return lookup_join(counts, totals, ["facet", "x"], "_cells").select(
             F.col("facet").alias(fresh(facet, "x", "segment")), "x", "segment", "n", share.alias("pct"), label
         )
     require_columns(df, x, segment)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from dataloupe.functions import wording
-from dataloupe.functions.columns import col, is_numeric, number, present, require_columns
+from dataloupe.functions.columns import col, fresh, is_numeric, number, present, require_columns
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.quantiles import exact_quantiles
 from dataloupe.plans.storage import materialize
@@ -15,7 +17,7 @@ CLIP_LEVEL = 0.99
 TRIGGER = 3
 FENCE = 1.5
 
-FEW_GROUPS = 32
+INFINITY = float("inf")
 
 EVIDENCE_SCHEMA = (
     "`group` string, n long, p99 double, max double, outlier_count long, outlier_sum double, "
@@ -75,11 +77,16 @@ def outliers_by_group(
             .agg(_count(), F.sum("_y").alias("outlier_sum"))
             .withColumnRenamed("_group", "group")
         )
+    text = wording.template(wording.OUTLIER_SUMMARY, y)
+    return evidence_columns(hidden, lambda *args: F.format_string(text, *args))
+
+
+def evidence_columns(hidden: DataFrame, summary: Callable[..., Column], *more: str) -> DataFrame:
+    """Evidence from ``(group, n, p99, max, sum, outlier_count, outlier_sum)``; ``summary`` puts the
+    sentence together from count, maximum and share."""
     share = F.when(F.col("sum") > 0, F.col("outlier_sum") / F.col("sum") * 100).otherwise(0.0)
-    summary = F.format_string(
-        wording.template(wording.OUTLIER_SUMMARY, y), "outlier_count", "max", share
-    )
     return hidden.select(
+        *more,
         F.col("group").cast("string").alias("group"),
         "n",
         "p99",
@@ -91,7 +98,7 @@ def outliers_by_group(
         F.bround("max", 2).alias("original_max"),
         F.bround("p99", 2).alias("clipped_at"),
         F.bround(share, 1).alias("hidden_impact_pct"),
-        summary.alias("summary"),
+        summary("outlier_count", "max", share).alias("summary"),
     )
 
 
@@ -115,25 +122,24 @@ def clip_outliers(
     """Drop rows above the p99 of their own triggered group; every other row stays,
     also those without a value or a group.
 
-    Groups trigger rarely, so up to ``FEW_GROUPS`` limits become a plain filter; more of
-    them are joined.
+    The limits of groups are joined, whatever the type of the group and the number of limits;
+    a single limit is a plain comparison.
     """
     require_columns(df, y, by)
     if not is_numeric(df, y):
         return df
+    if by is None:
+        thresholds = clip_thresholds(df, y) if thresholds is None else thresholds
+        limit = thresholds.select("p99").scalar()  # one row or none
+        return df.where(~(present(df, y) & (col(y) > F.coalesce(limit, F.lit(INFINITY)))))
     if thresholds is None:
         thresholds = materialize(clip_thresholds(df, y, by))
-    few = thresholds.take(FEW_GROUPS + 1)
-    if len(few) <= FEW_GROUPS:
-        for found in few:
-            above = present(df, y) & (col(y) > F.lit(found["p99"]))
-            if by is not None:
-                above = above & col(by).eqNullSafe(F.lit(found["_group"]))
-            df = df.where(~above)
-        return df
-    limits = thresholds.select("_group", F.col("p99").alias("_limit"), F.col("n").alias("_rows"))
-    joined = lookup_join(df.withColumn("_group", col(by)), limits, ["_group"], "_rows", "left")
-    inside = F.col("_limit").isNull() | ~present(df, y) | (col(y) <= F.col("_limit"))
+    group, limit, rows = (fresh(n, *df.columns) for n in ("_group", "_limit", "_rows"))
+    limits = thresholds.select(
+        F.col("_group").alias(group), F.col("p99").alias(limit), F.col("n").alias(rows)
+    )
+    joined = lookup_join(df.withColumn(group, col(by)), limits, [group], rows, "left")
+    inside = F.col(limit).isNull() | ~present(df, y) | (col(y) <= F.col(limit))
     return joined.where(inside).select([col(n) for n in df.columns])
 
 
@@ -142,8 +148,8 @@ LEVELS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def numeric_facts(
     df: DataFrame, y: str, levels: tuple[str, ...] = tuple(LEVELS), moments: bool = True
-) -> Row:
-    """The quartiles asked for, moments and sum of one column: a single row, read by the driver."""
+) -> DataFrame:
+    """The quartiles asked for, moments and sum of one column: one row, lazy."""
     rows = _values(df, y, None)
     extra = [
         F.avg("_y").alias("mean"),
@@ -151,16 +157,16 @@ def numeric_facts(
         F.kurtosis("_y").alias("kurtosis"),
     ]
     asked = {n: LEVELS[n] for n in levels}
-    return exact_quantiles(rows, "_y", [], asked, extra if moments else None).first()
+    return exact_quantiles(rows, "_y", [], asked, extra if moments else None)
 
 
 def iqr_outliers(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
     """One row ``(q1, q3, upper_fence, outlier_count, outlier_impact_pct)``.
 
-    Only the upper fence q3 + 1.5 IQR counts. The fence is a literal in the second
-    scan, so row groups below it are skipped.
+    Only the upper fence q3 + 1.5 IQR counts. The quartiles are read first, by one query, so that
+    the fence is a literal in the scan that counts, and row groups below it are skipped.
     """
-    facts = facts or numeric_facts(df, y, ("q1", "q3"), moments=False)
+    facts = facts or numeric_facts(df, y, ("q1", "q3"), moments=False).first()
     if facts["n"] == 0:
         nothing = F.lit(None).cast("double")
         return df.sparkSession.range(1).select(
@@ -180,21 +186,12 @@ def iqr_outliers(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
     )
 
 
-def dispersion(df: DataFrame, y: str, facts: Row | None = None) -> DataFrame:
-    """One row ``(median, mean, cv, kurtosis)``; kurtosis is the excess of the population."""
-    facts = facts or numeric_facts(df, y, ("median",))
-    values = {
-        "median": facts["median"],
-        "mean": facts["mean"],
-        "cv": _cv(facts),
-        "kurtosis": facts["kurtosis"],
-    }
-    return df.sparkSession.range(1).select(
-        [F.lit(v).cast("double").alias(n) for n, v in values.items()]
-    )
+def dispersion(df: DataFrame, y: str) -> DataFrame:
+    """One row ``(median, mean, cv, kurtosis)``; kurtosis is the excess of the population. Lazy."""
+    return numeric_facts(df, y, ("median",)).select("median", "mean", variation(), "kurtosis")
 
 
-def _cv(facts: Row) -> float | None:
-    if facts["mean"] is None or facts["std"] is None:
-        return None
-    return facts["std"] / facts["mean"] if facts["mean"] else 0.0
+def variation() -> Column:
+    """Standard deviation by mean, 0 if that is 0."""
+    ratio = F.col("std") / F.nullif(F.col("mean"), F.lit(0.0))
+    return F.when((F.col("mean") == 0) & F.col("std").isNotNull(), 0.0).otherwise(ratio).alias("cv")

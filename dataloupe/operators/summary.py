@@ -8,7 +8,7 @@ from dataloupe.functions import wording
 from dataloupe.functions.columns import (
     col, is_numeric, is_text, present, require_columns, without_nan,
 )
-from dataloupe.operators.outliers import dispersion, iqr_outliers, numeric_facts
+from dataloupe.operators.outliers import iqr_outliers, numeric_facts, variation
 from dataloupe.plans.cardinality import short_key
 
 # Share in % that means imbalance, entropy above which a column is fragmented.
@@ -75,18 +75,17 @@ def forensic_summary(df: DataFrame, metric: str) -> DataFrame:
     """
     require_columns(df, metric)
     if is_numeric(df, metric):
-        known = numeric_facts(df, metric)
+        known = numeric_facts(df, metric).select("*", variation()).first()
         if known["n"] == 0:
             raise ValueError(f"column {metric!r} has no values")
-        spread = dispersion(df, metric, known).first()
         fence = iqr_outliers(df, metric, known).first()
         count, limit = fence["outlier_count"], fence["upper_fence"]
         return _acts(
             df,
             metric,
             wording.NUMERIC_ACTS,
-            (spread["median"], _shown(spread["cv"])),
-            (count, fence["outlier_impact_pct"], _shown(spread["kurtosis"])),
+            (known["median"], _shown(known["cv"])),
+            (count, fence["outlier_impact_pct"], _shown(known["kurtosis"])),
             (count, limit, limit),
         )
     facts = _category_facts(df, metric)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,9 +31,15 @@ def lookup_join(
     size = estimated_bytes(table)
     if size is not None and size <= limit:
         return big.join(table, on, how)
-    table = materialize(table)
-    written = estimated_bytes(table) or 0
-    if written <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS:
+    return written_join(big, materialize(table), on, weight, how)
+
+
+def written_join(
+    big: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner"
+) -> DataFrame:
+    """The same for a table that is read from files, whose size is a fact."""
+    size = estimated_bytes(table)
+    if size is not None and size <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(table), on, how)
     return salted_join(big, table, on, weight, how)
 
@@ -64,6 +71,8 @@ def salted_join(
 
 
 def _broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    digits = text.lower().rstrip("b")
-    return int(digits) if digits.lstrip("-").isdigit() else 10 << 20
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m")
+    found = re.fullmatch(r"(-?\d+)([kmgt]?)b?", text.strip().lower())
+    if found is None:
+        return 0
+    return int(found[1]) << 10 * " kmgt".index(found[2] or " ")

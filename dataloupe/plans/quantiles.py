@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation, per group, at any group size.
 
-The rows of every group are counted first, together with its other totals. Groups of up to
-``SHORT_GROUP`` rows are put in order as one bounded list each. The others, of which there
-can be one per ``SHORT_GROUP`` rows of the table at most, take a bracketing plan:
+The rows of every group are counted first, together with its other totals, and each row is
+told the size of its group by a join that divides heavy groups (see ``joins``). Groups of up to
+``SHORT_GROUP`` rows are put in order as one bounded list each. The others take a bracketing plan:
 
 1. ``percentile_approx`` per (group, part of the input) gives each part's rank bounds a little
    left and right of the wanted one. A task belongs to one part only, so that it builds one
@@ -17,6 +17,9 @@ can be one per ``SHORT_GROUP`` rows of the table at most, take a bracketing plan
 
 The result is exact, and infinite values keep their place in the order. A group whose rank
 fell outside its bracket would be taken once more with all its values in the bracket.
+
+A whole column takes the bracketing plan as one lazy plan, in which the totals and the brackets are
+one-row subqueries, so that nothing runs before the result is read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dataloupe.functions.columns import quoted
-from dataloupe.plans.joins import lookup_join
+from dataloupe.plans.joins import written_join
 from dataloupe.plans.storage import materialize
 
 ACCURACY = 10_000  # rank error of the sketch is at most n / ACCURACY
@@ -68,27 +71,31 @@ def exact_quantiles(
         found.append(_listed(rows, keys, ordered))
     else:
         if shortest <= SHORT_GROUP:
-            long_groups = facts.where(F.col("n") > SHORT_GROUP).select(*keys)
-            found.append(_listed(rows.join(long_groups, by, "left_anti"), keys, ordered))
-            rows = rows.join(long_groups, by, "left_semi")
+            sized = written_join(rows, facts.select(*keys, F.col("n").alias("_rows")), by, "_rows")
+            found.append(_listed(sized.where(F.col("_rows") <= SHORT_GROUP), keys, ordered))
+            rows = sized.where(F.col("_rows") > SHORT_GROUP).drop("_rows")
         found.append(_bracketed(rows, by, ordered))
     ranked = facts.join(reduce(DataFrame.unionByName, found), by)
     return _levels(ranked, keys, probs, facts.columns[len(by) + 4 :])
 
 
 def _of_all(df: DataFrame, y: Column, totals: list[Column], probs: dict[str, float]) -> DataFrame:
-    """The whole frame as one group, whose totals are a single row."""
+    """The whole frame as one group. One row, and lazy: totals and brackets are subqueries."""
     counted = df.agg(*totals)
-    row = counted.first()
     ordered = sorted(set(probs.values()))
     rows = df.select(F.lit(0).alias("_all"), y.alias("_y"))
-    if row["n"] <= SHORT_GROUP:
-        found = _listed(rows, ["_all"], ordered)
-    else:
-        found = _bracketed(rows, ["_all"], ordered)
-    facts = df.sparkSession.createDataFrame([row], counted.schema).withColumn("_all", F.lit(0))
-    ranked = facts.join(F.broadcast(found), "_all", "left")  # one row
-    return _levels(ranked, [], probs, counted.columns[4:])
+    brackets = _brackets(rows, ["_all"], ordered)
+    told = brackets.select(F.struct("_n", "_b").alias("f")).agg(F.max("f")).scalar()
+    placed = rows.withColumn("_f", told).select("*", "_f.*").drop("_f")
+    found = _ranked(_in_brackets(placed, ["_all"], ordered), ["_all"], ordered)
+    names = [n for n in found.columns if n != "_all"]
+    # An empty frame has no row here, and NULLs then.
+    values = found.agg(F.max(F.struct(*names))).scalar()
+    ranked = counted.withColumn("_f", values).select(*counted.columns, *[F.col("_f")[n].alias(n) for n in names])
+    lost = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names]) & (F.col("n") > 0)
+    # Cannot happen as long as the sketches keep their promise.
+    checked = F.when(lost, F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(F.col(names[0]))
+    return _levels(ranked.withColumn(names[0], checked), [], probs, counted.columns[4:])
 
 
 def _levels(ranked: DataFrame, keys: list[str], probs: dict[str, float], others: list[str]) -> DataFrame:
@@ -131,17 +138,28 @@ def _bracketed(rows: DataFrame, by: list[str], ordered: list[float]) -> DataFram
 
 
 def _picked(rows: DataFrame, brackets: DataFrame, by: list[str], ordered: list[float]) -> DataFrame:
-    keys = [quoted(b) for b in by]
-    located = lookup_join(rows, brackets, by, "_n")
-    # Segment 2i lies below bracket i, segment 2i + 1 is bracket i itself.
+    counted = _in_brackets(written_join(rows, brackets, by, "_n"), by, ordered)
+    return _ranked(materialize(counted), by, ordered)
+
+
+def _in_brackets(located: DataFrame, by: list[str], ordered: list[float]) -> DataFrame:
+    """Rows per segment, cell and value; values only inside the brackets.
+
+    Segment 2i lies below bracket i, segment 2i + 1 is bracket i itself.
+    """
     inside = located.withColumn("_s", _segment(len(ordered))).where(F.col("_s").isNotNull())
     in_bracket = F.col("_s") % 2 == 1
-    counted = materialize(
+    return (
         inside.withColumn("_c", _cell(in_bracket))
         .withColumn("_v", F.when(in_bracket, F.col("_y")))
-        .groupBy(*keys, "_n", "_s", "_c", "_v")
+        .groupBy(*[quoted(b) for b in by], "_n", "_s", "_c", "_v")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
+
+
+def _ranked(counted: DataFrame, by: list[str], ordered: list[float]) -> DataFrame:
+    """The values at the wanted ranks, ``_{level}_0`` and ``_{level}_1`` per group."""
+    keys = [quoted(b) for b in by]
     ranks = [_ranks(F.col("_n"), p) for p in ordered]
     cells = _wanted_cells(counted, keys, [r for pair in ranks for r in pair])
     within = W.partitionBy(*keys, "_s", "_c").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)

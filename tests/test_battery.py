@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import dataloupe as dl
 from dataloupe import ChartSpec, Tweak
+from dataloupe.operators import battery
 
 
 @pytest.fixture(scope="module")
@@ -321,3 +322,48 @@ def test_rows_without_a_run_are_one_run(frame):
     findings = frame(schema, [(None, 9, 9, False), (None, 2, 2, False), ("a", 3, 3, False)])
     got = sorted(map(str, dl.triage_findings(findings, "run").select("run", "quality_score").collect()))
     assert got == ["Row(run='a', quality_score=3)", "Row(run=None, quality_score=9)"]
+
+
+def _jobs(spark, build):
+    """Jobs that building starts, and the result; counted by Spark's own job group."""
+    tracker, group = spark.sparkContext.statusTracker(), f"battery-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    result = build()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group)), result
+
+
+def test_jobs_and_scans_do_not_grow_with_the_specs(spark, table):
+    kinds = [
+        ChartSpec("t", "num"), ChartSpec("t"), ChartSpec("cat"), ChartSpec("cat", "cat2"), ChartSpec("num"),
+        ChartSpec("cat", "num", "cat2"), ChartSpec("cat", "num"), ChartSpec("num", "num2"),
+    ]
+    more = [
+        ChartSpec("t", "num2"), ChartSpec("t", "num", "cat"), ChartSpec("cat2"), ChartSpec("cat2", "cat"),
+        ChartSpec("num2"), ChartSpec("cat2", "num2", "cat"), ChartSpec("num2", "num", "cat"),
+    ]
+    few, (some, _) = _jobs(spark, lambda: dl.chart_battery(table, kinds, ["t"], "num"))
+    many, (all_, _) = _jobs(spark, lambda: dl.chart_battery(table, kinds + more, ["t"], "num"))
+    assert abs(few - many) <= 2 and many < 60
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert scans(some) == scans(all_)
+
+
+def test_battery_equals_its_single_charts(table):
+    specs = [ChartSpec(*c) for c, _ in CHOICES if c[1] != "flag"]
+    specs += [ChartSpec("long"), ChartSpec("long", "num", "cat"), ChartSpec("cat", "num", "long")]
+    data, _ = dl.chart_battery(table, specs, ["t"], "num")
+    planned = dl.plan_battery(specs)
+    rows = data.collect()
+    for no, spec in enumerate(planned, start=1):
+        alone = dl.run_chart(table, spec, ["t"], "num")
+        tables = [t for t in (alone.data, alone.curve) if t is not None]
+        want = [tuple(r) for t in tables for r in battery.tidy_chart(t, spec, alone.chart_type).collect()]
+        got = [(r["x"], r["series"], r["stat"], r["value"]) for r in rows if r["chart_no"] == no]
+        key = lambda r: tuple(map(str, r[:3]))
+        assert sorted(map(key, got)) == sorted(map(key, want)), (spec, alone.chart_type)
+        for a, b in zip(sorted(got, key=str), sorted(want, key=str)):
+            assert a[3] is None and b[3] is None or a[3] == pytest.approx(b[3], nan_ok=True)

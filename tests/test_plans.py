@@ -181,3 +181,22 @@ def test_no_window_over_all_rows(spark):
             below = window.split("\n")[1:4]
             single = any("SinglePartition" in line for line in below)
             assert not single or "_part" in window or "_base" in window
+
+
+def test_rows_of_hot_groups_are_never_dealt_by_the_bare_group(spark, monkeypatch):
+    """A third of the rows in one group beside 10^5 short ones: the sizes of the groups are joined
+    by a salted key."""
+    from dataloupe.plans import joins
+
+    monkeypatch.setattr(quantiles, "SHORT_GROUP", 100)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1000)
+    df = spark.range(300_000).selectExpr("IF(id % 3 = 0, -1, id % 100000) AS g", "double(id % 1009) AS y")
+    found = quantiles.exact_quantiles(df, "y", ["g"], {"m": 0.5})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.split("\n") if "Join" in line]
+    assert not any("LeftSemi" in line or "LeftAnti" in line for line in joined)
+    assert any("_salt" in line for line in joined)
+    rows = {r["g"]: (r["n"], r["m"]) for r in found.where("g < 5").collect()}
+    assert rows[-1][0] == 100_000 and len(rows) == 6
+    hot = sorted(float(i % 1009) for i in range(0, 300_000, 3))
+    assert rows[-1][1] == (hot[49_999] + hot[50_000]) / 2

@@ -108,10 +108,7 @@ def test_outliers_by_group(frame, plans):
     )
 
 
-@pytest.mark.parametrize("few", [32, 0])
-def test_clip_removes_only_values_above_their_own_limit(frame, plans, monkeypatch, few):
-    """By a filter, and by a join."""
-    monkeypatch.setattr(outliers, "FEW_GROUPS", few)
+def test_clip_removes_only_values_above_their_own_limit(frame, plans):
     rows = grouped()
     df = frame("g string, y double", rows)
     p99 = pd.Series([v for g, v in rows if g == "a" and v is not None]).quantile(0.99)
@@ -131,6 +128,31 @@ def test_clip_groups_of_any_type(spark, kind):
     assert dl.clip_outliers(df, "y", "g").count() == 199
 
 
+def test_clip_groups_that_are_structs_and_columns_called_like_helpers(spark):
+    """Few and many triggered groups, by a struct and beside columns with the names of helpers."""
+    for groups in (3, 50):
+        df = spark.range(groups * 100).selectExpr(
+            f"named_struct('a', id % {groups}) AS g", f"id % {groups} AS k", "'mine' AS _group", "1 AS _limit", "2 AS _rows",
+            f"CASE WHEN id < {groups} THEN 1000.0D ELSE 1.0D END AS y",
+        )
+        for by in ("g", "k"):
+            clipped = dl.clip_outliers(df, "y", by)
+            assert clipped.columns == df.columns and clipped.count() == groups * 99
+            assert [tuple(r) for r in clipped.select("_group", "_limit", "_rows").distinct().collect()] == [("mine", 1, 2)]
+
+
+def test_facts_of_a_column_are_lazy(spark):
+    df = spark.range(30_000).selectExpr("double(id % 977) AS y", "CAST(NULL AS DOUBLE) AS none")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy-facts", "counted")
+    frames = [dl.dispersion(df, n) for n in ("y", "none")]
+    assert len(tracker.getJobIdsForGroup("lazy-facts")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = [f.first() for f in frames]
+    assert rows[0]["median"] == 483.0 and rows[1] == (None, None, None, None)
+    assert dl.iqr_outliers(df, "none").first()[3:] == (0, 0.0)
+
+
 def test_global_outliers(frame, plans):
     rows = [(float(i % 9 + 1),) for i in range(500)] + [(100.0,), (None,)]
     df = frame("y double", rows)
