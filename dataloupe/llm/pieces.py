@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, types as T
 
 from dataloupe.functions.columns import require_columns
 from dataloupe.llm.chunks import ChunkTable
-from dataloupe.llm.frames import model_file, others, ship, slices, trim, ship
+from dataloupe.llm.frames import model_file, others, ship, slices, trim
 
 MARKER = "▁"
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 256  # texts or id lists in a task at a time
@@ -128,6 +128,7 @@ def _in_slices(docs: DataFrame, model: str, place: int, work, added: list) -> Da
         for batch in few:
             columns = [*map(batch.column, kept), *work(table, batch)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+        table.table.clear()  # the worker stays, for tasks of other stages
         trim()
 
     docs_names = docs.columns

@@ -59,7 +59,7 @@ def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     sized = docs.withColumn("n_bytes", F.octet_length(whole_text("text")).cast("long"))
-    cut = suffix_dedup.with_cut(sized, suffix_dedup.shared_spans(docs))
+    cut = suffix_dedup.with_cut(sized, suffix_dedup.shared_spans(docs), with_text=False)
     return cut.select(
         "doc_id",
         "n_bytes",

@@ -168,7 +168,8 @@ def simhash_groups(
 def first_of_groups(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that carry the smallest key of their component in ``groups``.
 
-    Rows with a null key are kept if their whole component has no other key.
+    Rows with a null key are kept if their whole component has no other key. Several rows of one
+    key are all kept; ``one_of_each_group`` tells them apart.
     """
     name = unused(docs, "kept")
     kept = groups.where(col(key).eqNullSafe(F.col("component_id")))
@@ -176,6 +177,32 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, key: str = "doc_id") ->
     return docs.join(kept, col(key).eqNullSafe(col(name)), "left_semi")
 
 
+def one_of_each_group(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 3, radius: int = 2
+) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest key, nulls last, and of those the
+    smallest by a digest of key and text. Rows that are equal in both are copies, of which any one stays.
+
+    Components are those of ``simhash_groups``. A row is known by its digest and not by its key, so a
+    key on rows with different texts, or no key, belongs to several components. An empty
+    table gives an empty one. Equal rows are put together before the shuffle, task by task.
+    """
+    require_columns(docs, key, text)
+    mark = unused(docs, "mark")
+    owner = F.coalesce(F.concat(F.lit("="), col(key).cast("string")), F.lit(""))
+    digest = F.unhex(F.sha2(F.concat(owner, F.lit(":"), F.coalesce(col(text), F.lit(""))), 256))
+    rows = docs.select(col(key).alias("key"), col(text).alias("text"), digest.alias("mark"))
+    rank = F.struct(F.col("key").isNull().alias("last"), "key", "mark")
+    prints = with_fingerprint(rows, "text", words_per_shingle, "f")
+    distinct = written(prints.groupBy("f").agg(F.min(rank).alias("first")))
+    roots = components(near_fingerprints(distinct.select("f"), "f", radius), "a", "b")
+    linked = distinct.join(roots.withColumnRenamed("node", "f"), "f", "left")
+    component = F.coalesce("component", "f").alias("component")  # without links: its own
+    kept = linked.groupBy(component).agg(F.min("first").alias("first")).select(F.col("first.mark").alias(mark))
+    alone = docs.withColumn(mark, digest).dropDuplicates([mark])
+    return alone.join(kept, mark, "left_semi").drop(mark)
+
+
 def hexadecimal(fingerprint_column: Column) -> Column:
     """A fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fingerprint_column), 16, "0"))

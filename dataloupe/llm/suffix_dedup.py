@@ -21,7 +21,7 @@ SORT_BYTES = 3 << 20  # text whose shared windows are sorted in one task
 KEY_BITS = 40
 MOST_HOT = 1 << 21  # entries of the list of frequent anchors
 LEAST_HOT = 1000
-COPY = -1  # stands before the hash of a text that is a copy; anchors are not negative
+COPY = -1  # stands before the hash (high byte first) of a text that is a copy; no anchor is negative
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -175,16 +175,8 @@ def _whole_copies(rows: DataFrame) -> DataFrame:
     prints = rows.select("key", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("h"))
     first = prints.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     copies = prints.join(first.where("first < last"), "digest").where("key > first")
-    mark = _pair_udf()
-    return copies.select("key", mark(F.col("h")).alias("anchors"))
-
-
-def _pair_udf():
-    @F.pandas_udf("binary")
-    def pair(hashes: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray([COPY, h], np.int64).tobytes() for h in hashes], dtype="object")
-
-    return pair
+    mark = F.concat(F.unhex(F.lit("F" * 16)), F.unhex(F.lpad(F.hex("h"), 16, "0")))
+    return copies.select("key", mark.alias("anchors"))
 
 
 def packed_text(text: Column) -> Column:
@@ -310,7 +302,7 @@ def _pack_windows(length: int, buckets: int, bins: int, sent):
             texts = [unpacked(t) for t in batch.column("packed").to_pylist()]
             prints = [_text_hash(t) for t in texts]
             lists = [[_buffer(x) for x in xs] for xs in batch.column("anchors").to_pylist()]
-            marked = [{int(x[1]) for x in xs if x[0] == COPY} for xs in lists]
+            marked = [{int(x[1].byteswap()) for x in xs if x[0] == COPY} for xs in lists]
             copy = np.asarray([h in m for h, m in zip(prints, marked)], bool)
             some = [x for xs in lists for x in xs if x[0] != COPY]
             shared = np.unique(np.concatenate([np.empty(0, np.int64), *some]))
@@ -512,20 +504,26 @@ def with_cut(
     key: str = "doc_id",
     text: str = "text",
     name: str = "kept",
+    with_text: bool = True,
 ) -> DataFrame:
     """``docs`` with the struct ``name``: ``(kept binary, n_removed long, n_spans long)``.
 
     ``spans`` is what ``shared_spans`` gives. Every row is kept; null texts count as empty. A
-    column ``name`` is replaced.
+    column ``name`` is replaced; the text itself is left out on request.
     """
     require_columns(docs, key, text)
     ship(docs.sparkSession)
 
-    @F.pandas_udf("kept binary, n_removed long, n_spans long")
-    def apply(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        whole = (b"" if t is None else unpacked(t) for t in texts)
-        parts = [cut(t, a, b) for t, a, b in zip(whole, starts, ends)]
-        return pd.DataFrame(parts, columns=["kept", "n_removed", "n_spans"])
+    # One Python function per stage, as each needs a worker of its own.
+    @F.pandas_udf("kept binary, n_removed long, n_spans long, whole string")
+    def apply(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, ends in rows:
+            done = []
+            for small, a, b in zip(texts, starts, ends):
+                whole = None if small is None else unpacked(small)
+                done.append((*cut(whole or b"", a, b), whole.decode() if with_text and small is not None else None))
+            yield pd.DataFrame(done, columns=["kept", "n_removed", "n_spans", "whole"])
+        trim()
 
     mine, digest, starts, ends = (unused(docs, n) for n in ("key", "hash", "starts", "ends"))
     found = spans.select(
@@ -540,18 +538,9 @@ def with_cut(
     rest = [n for n in docs.columns if n != text]
     same = (col(key) == col(mine)) & (col(hashed) == col(digest))
     joined = shuffled.select(*map(col, [*rest, hashed, small])).join(found, same, "left")
-    result = apply(col(small), col(starts), col(ends)).alias(name)
-    whole = _unpacked_text(col(small)).alias(text)
-    shown = {n: whole if n == text else col(n) for n in others(docs, name)}
-    return joined.select(*shown.values(), result)
-
-
-def _unpacked_text(small: Column) -> Column:
-    @F.pandas_udf("string")
-    def unpack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            whole = [None if t is None else unpacked(t).decode() for t in batch]
-            yield pd.Series(whole, dtype="object")
-        trim()
-
-    return unpack(small)
+    place = unused(docs, "cut")
+    cut_ = joined.withColumn(place, apply(col(small), col(starts), col(ends)))
+    shown = {n: col(place)["whole"].alias(n) if n == text else col(n) for n in others(docs, name)}
+    if not with_text:
+        shown.pop(text, None)
+    return cut_.select(*shown.values(), F.struct(*[col(place)[n].alias(n) for n in ("kept", "n_removed", "n_spans")]).alias(name))

@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from dataloupe.llm import graph, simhash
+from llm.conftest import prose
 
 
 def brute_fingerprint(text):
@@ -103,3 +104,13 @@ def test_components_of_chains_loops_and_nulls(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (200, 201), (201, 200), (None, 5)]
     found = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert found == {**{i: 1 for i in range(1, 41)}, 200: 200, 201: 200}
+
+
+def test_one_row_of_each_group_with_repeated_and_missing_ids(spark):
+    a, b, c = (prose(i, 60) for i in (901, 902, 903))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, a), (None, c), (None, c), (5, None), (6, ""), (7, b + " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' AS mark", "'x' AS f")
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in simhash.one_of_each_group(docs).collect())))
+    assert kept == sorted(map(str, [(1, a), (1, b), (None, c), (5, None)]))
+    assert simhash.one_of_each_group(docs).columns == docs.columns
+    assert simhash.one_of_each_group(docs.where("false")).count() == 0
