@@ -27,12 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Repeated rows of that id
-    are copies too, of which any one stays."""
-    groups = simhash.simhash_groups(docs)
-    kept = simhash.first_of_groups(docs, groups)
-    numbered = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return numbered.unionByName(kept.where(F.col("doc_id").isNull()))
+    """One document of each group: the one with the smallest id, and of several rows with that id
+    the one with the smallest digest of id and text. Documents without an id come last."""
+    return simhash.one_of_each_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
