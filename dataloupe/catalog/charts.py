@@ -504,3 +504,11 @@ def triage_findings_with_history(t: Tables) -> DataFrame:
     )
     known = triage.with_tweak_history(findings, ["chart"], "round")
     return known.select("chart", "round", "l_orderkey", "tweak_repeated")
+
+
+@query(f"""
+SELECT l_returnflag AS sum_l_quantity, {r("sum(l_quantity)", "_sum_l_quantity")} FROM lineitem GROUP BY ALL""")
+def run_chart_query_with_sum_name(t: Tables) -> DataFrame:
+    """A measure steps aside for a dimension that has its name."""
+    renamed = t.lineitem.withColumnRenamed("l_returnflag", "sum_l_quantity")
+    return battery.run_chart_query(renamed, ["sum_l_quantity"], ["l_quantity"])

@@ -246,3 +246,10 @@ def top_k_others_negative_sums(t: Tables) -> DataFrame:
     niche = F.concat("c_mktsegment", (F.col("c_nationkey") % 5).cast("string"))
     mixed = t.customer.select("c_custkey", niche.alias("niche"), "c_acctbal")
     return topk.top_k_others(mixed, "niche", "c_acctbal").select("c_custkey", "niche")
+
+
+@query(f"""SELECT *, 'mine' AS _group, 1 AS _limit FROM ({_clip("event_type", _SQUARED, "energy")})""")
+def clip_outliers_with_helper_names(t: Tables) -> DataFrame:
+    """Columns with the names of the operator's helpers are untouched."""
+    named = squared(t).select("event_id", "event_type", "energy", F.lit("mine").alias("_group"), F.lit(1).alias("_limit"))
+    return ops.clip_outliers(named, "energy", "event_type")

@@ -99,3 +99,12 @@ def facet_falls_back_to_scatter(t: Tables) -> DataFrame:
     """Eleven different discounts: too many numbers for facets."""
     _, data = battery.facet(t.lineitem, "l_quantity", "l_extendedprice", "l_discount")
     return data
+
+
+@query(f"""
+SELECT o_orderstatus AS "window", o_orderdate, {r("o_totalprice", "o_totalprice")},
+       {r("avg(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_totalprice ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)", "rolling_y")},
+       CAST(14 AS INTEGER) AS _window FROM orders""")
+def rolling_mean_of_a_column_called_window(t: Tables) -> DataFrame:
+    renamed = t.orders.withColumnRenamed("o_orderstatus", "window")
+    return ops.rolling_mean(renamed, "o_orderdate", "o_totalprice", "window", span_days=200)
