@@ -25,6 +25,7 @@ from dataloupe.operators.profile import (
     cardinality_warning, categorical_profile, distinct_counts, null_percent, numeric_profile,
     profile, semantic_types, skew_hint,
 )
+from dataloupe.operators.repair import impute, zscore_filter
 from dataloupe.operators.summary import concentration, forensic_summary, normalized_entropy
 from dataloupe.operators.topk import category_pareto, category_totals, top_categories, top_k_others
 from dataloupe.operators.triage import (

@@ -7,5 +7,5 @@ because sums over partitions come in another order.
 
 from dataloupe.catalog.registry import QUERIES, SQL
 from dataloupe.catalog import (  # noqa: F401  (importing registers)
-    charts, cleaning, features, outliers, profiling, sources, trends,
+    charts, cleaning, features, outliers, profiling, repair, sources, trends,
 )
