@@ -1,13 +1,14 @@
 """Column profile: semantic class, nulls, ranges, medians, top values.
 
-The work is done for all columns together: one aggregate with sketches settles most
-classes, an exact count over the few small columns settles the rest, and two unpivoted
-group-bys give the medians and the value counts.
+The work is done for all columns together. One scan keeps a small state per column and part of the
+input: counts, ends, sums, a distinct sketch and a quantile sketch. Merged, they settle most
+classes and enclose every median; an exact count over the few small columns settles the rest. The
+exact medians and the value counts are two lazy plans: one reads the numbers, one the categories.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -15,9 +16,9 @@ from dataloupe.functions import wording
 from dataloupe.functions.columns import (
     col, is_flat, is_numeric, is_temporal, is_text, number, present, quoted, wall_clock, without_nan,
 )
-from dataloupe.plans.cardinality import distinct_up_to, short_key, sketch
+from dataloupe.plans.cardinality import distinct_up_to, merged_estimate, part_sketch, short_key
 from dataloupe.plans.joins import lookup_join
-from dataloupe.plans.quantiles import exact_quantiles
+from dataloupe.plans.quantiles import PARTS, bracket_sketch, merged_sketches, quantiles_in_brackets
 from dataloupe.plans.storage import materialize
 
 # Class names and the limits between them.
@@ -27,38 +28,68 @@ MANY_DISTINCT = 15
 TOP_VALUES = 5
 SKEW_RATIO = 50
 SKEW_GUARD = 1e-6
+MEDIAN = 0.5
+LONG_TEXT = 64  # characters, from which a text is counted by its digest
+
+
+@dataclass(frozen=True)
+class NumberFacts:
+    """Exact figures of a numeric column, and two values that enclose its median."""
+
+    n: int
+    min: float
+    max: float
+    sum: float
+    low: float
+    high: float
 
 
 @dataclass(frozen=True)
 class ColumnFacts:
-    """What one scan tells about every column."""
+    """What one scan tells about every column; ``numbers`` only if they were asked for."""
 
     rows: int
     nulls: dict[str, int]
     classes: dict[str, str]
     dates: dict[str, tuple[str | None, str | None]]
     skipped: list[str]
+    longest: dict[str, int]
+    numbers: dict[str, NumberFacts] | None = field(default=None)
 
     def of_class(self, wanted: str) -> list[str]:
         return [n for n, c in self.classes.items() if c == wanted]
 
 
-def column_facts(df: DataFrame) -> ColumnFacts:
-    """Rows, nulls and classes; reads one row per question, whatever the table's size."""
+def column_facts(df: DataFrame, numbers: bool = False) -> ColumnFacts:
+    """Rows, nulls, classes and, if asked for, ``numbers``.
+
+    One scan, in which each of at most 256 parts of the input merges the states of its tasks, so
+    that no task is handed the sketches of all others. One more reads the numeric columns
+    that may have ten values or fewer. Two rows reach the driver.
+    """
     flat = [n for n in df.columns if is_flat(df, n)]
     numeric = [n for n in flat if is_numeric(df, n)]
     times = [n for n in flat if is_temporal(df, n)]
-    row = df.agg(
-        F.count(F.lit(1)),
-        *[F.count_if(~present(df, n)) for n in df.columns],
-        *[sketch(df, n) for n in numeric],
-        *[f(wall_clock(n)).cast("date").cast("string") for n in times for f in (F.min, F.max)],
-    ).first()
-    values = iter(row)
+    texts = [n for n in flat if is_text(df, n)]
+    # The aggregate of a part, and how the parts are merged.
+    asked = [(F.count(F.lit(1)), _total)]
+    asked += [(F.count_if(~present(df, n)), _total) for n in df.columns]
+    asked += [(part_sketch(df, n), merged_estimate) for n in numeric]
+    asked += [(f(wall_clock(n)).cast("date").cast("string"), f) for n in times for f in (F.min, F.max)]
+    asked += [(F.max(F.length(col(n))), F.max) for n in texts]
+    for n in numeric if numbers else ():
+        y = number(df, n)
+        asked += [(F.count(y), _total), (F.min(y), F.min), (F.max(y), F.max), (F.sum(y), F.sum)]
+        asked.append((bracket_sketch(y, [MEDIAN]), lambda c: F.array(*merged_sketches(c, [MEDIAN]))))
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")
+    parts = df.groupBy(part).agg(*[a.alias(f"c{i}") for i, (a, _) in enumerate(asked)])
+    values = iter(parts.agg(*[merge(F.col(f"c{i}")) for i, (_, merge) in enumerate(asked)]).first())
     rows = next(values)
     nulls = {n: next(values) for n in df.columns}
     sketches = {n: next(values) for n in numeric}
     dates = {n: (next(values), next(values)) for n in times}
+    longest = {n: next(values) or 0 for n in texts}
+    facts = {n: NumberFacts(*[next(values) for _ in range(4)], *next(values)) for n in numeric} if numbers else None
     few = distinct_up_to(df, numeric, FEW_DISTINCT, sketches)
     classes = {}
     for n in flat:
@@ -66,7 +97,11 @@ def column_facts(df: DataFrame) -> ColumnFacts:
             classes[n] = TEMPORAL
         else:
             classes[n] = NUMERICAL if n in numeric and few[n] is None else CATEGORICAL
-    return ColumnFacts(rows, nulls, classes, dates, [n for n in df.columns if n not in flat])
+    return ColumnFacts(rows, nulls, classes, dates, [n for n in df.columns if n not in flat], longest, facts)
+
+
+def _total(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0).cast("long"))
 
 
 def _table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -92,14 +127,31 @@ def null_percent(df: DataFrame) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, facts: ColumnFacts | None = None) -> DataFrame:
-    """``(column, min, max, median, mean)`` of the NUMERICAL columns, medians exact."""
-    facts = facts or column_facts(df)
+    """``(column, min, max, median, mean)`` of the NUMERICAL columns, medians exact.
+
+    Lazy once the facts with their ``numbers`` are known: one scan of these columns, of which
+    only the values near the median are shuffled.
+    """
+    if facts is None or facts.numbers is None:
+        facts = column_facts(df, numbers=True)
     names = facts.of_class(NUMERICAL)
     if not names:
         return _table(df, [], "`column` string, min double, max double, median double, mean double")
-    cells = _unpivot(df, {n: number(df, n) for n in names})
-    stats = exact_quantiles(cells, "value", ["column"], {"median": 0.5})
-    return stats.select("column", "min", "max", "median", (F.col("sum") / F.col("n")).alias("mean"))
+    known = [facts.numbers[n] for n in names]
+    # The brackets are one constant, which a row finds by the number of its column.
+    brackets = F.array(
+        *[F.array(F.struct(F.lit(k.low).alias("lo"), F.lit(k.high).alias("hi"))) for k in known]
+    )
+    values = [(i, number(df, n), k) for i, (n, k) in enumerate(zip(names, known))]
+    cells = [F.struct(F.lit(i).alias("_i"), F.when(y <= k.high, y).alias("_y")) for i, y, k in values]
+    placed = df.select(F.inline(F.array(*cells))).where(F.col("_y").isNotNull())
+    sizes = F.array(*[F.lit(k.n).cast("long") for k in known])
+    placed = placed.withColumns({"_n": F.get(sizes, F.col("_i")), "_b": F.get(brackets, F.col("_i"))})
+    figures = [(i, n, k.n, k.min, k.max, k.sum / k.n) for i, (n, k) in enumerate(zip(names, known))]
+    table = _table(df, figures, "_i int, `column` string, n long, min double, max double, mean double")
+    # One row per column of the profiled table.
+    medians = quantiles_in_brackets(placed, F.broadcast(table), ["_i"], {"median": MEDIAN})
+    return medians.select("column", "min", "max", "median", "mean")
 
 
 def _unpivot(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -137,8 +189,14 @@ def categorical_profile(
     names = facts.of_class(CATEGORICAL)
     if not names:
         return _table(df, [], "`column` string, value string, n long, rank int, n_unique long")
-    found = materialize(_top_values(df, names, top))
-    return _full_values(df, found, [n for n in names if is_text(df, n)])
+    found = _top_values(df, names, top)
+    long_names = [n for n in names if facts.longest.get(n, 0) >= LONG_TEXT]
+    if not long_names:
+        return found.withColumnRenamed("key", "value").select(*TOP_COLUMNS)
+    return _full_values(df, materialize(found), long_names)
+
+
+TOP_COLUMNS = ("column", "value", "n", "rank", "n_unique")
 
 
 def _top_values(df: DataFrame, names: list[str], top: int) -> DataFrame:
@@ -152,22 +210,18 @@ def _top_values(df: DataFrame, names: list[str], top: int) -> DataFrame:
     return ranked.join(F.broadcast(sizes), "column")
 
 
-def _full_values(df: DataFrame, found: DataFrame, texts: list[str]) -> DataFrame:
-    out = ["column", "value", "n", "rank", "n_unique"]
-    # A key of 64 characters is a digest; the reported rows are few per column.
-    digests = found.where(F.length("key") == 64).select("column").distinct().collect()
-    long_names = [n for n in texts if n in {r[0] for r in digests}]
-    if not long_names:
-        return found.withColumnRenamed("key", "value").select(out)
+def _full_values(df: DataFrame, found: DataFrame, long_names: list[str]) -> DataFrame:
+    """With the texts behind the digests; ``found`` has few rows per column."""
     pairs = [
         F.struct(F.lit(n).alias("column"), short_key(n).alias("key"), col(n).alias("_text"))
         for n in long_names
     ]
-    cells = df.select(F.inline(F.array(*pairs))).where(F.length("_text") >= 64)
+    cells = df.select(F.inline(F.array(*pairs))).where(F.length("_text") >= LONG_TEXT)
     winners = found.where(F.col("column").isin(long_names)).select("column", "key", "n")
     texts_of = lookup_join(cells, winners, ["column", "key"], "n").drop("n").dropDuplicates(["column", "key"])
-    full = found.join(F.broadcast(texts_of), ["column", "key"], "left")
-    return full.withColumn("value", F.coalesce("_text", "key")).select(out)
+    # Whole texts have no size bound, so that they are broadcast only if found to be small.
+    full = found.join(texts_of, ["column", "key"], "left")
+    return full.withColumn("value", F.coalesce("_text", "key")).select(*TOP_COLUMNS)
 
 
 def distinct_counts(df: DataFrame, facts: ColumnFacts | None = None) -> DataFrame:
@@ -194,7 +248,7 @@ def profile(df: DataFrame) -> DataFrame:
     ``(position, column, semantic_type, null_pct, min, max, median, mean, hint, n_unique,
     top_values, high_cardinality, min_date, max_date, note)``
     """
-    facts = column_facts(df)
+    facts = column_facts(df, numbers=True)
     base = []
     for i, n in enumerate(df.columns):
         share = facts.nulls[n] / facts.rows * 100 if facts.rows else None

@@ -11,6 +11,20 @@ def sketch(df: DataFrame, name: str) -> Column:
     return F.approx_count_distinct(without_nan(df, name))
 
 
+def part_sketch(df: DataFrame, name: str) -> Column:
+    """A distinct sketch of one part of the input, to be merged by :func:`merged_estimate`.
+
+    Few values are kept as a plain list of hashes, so the estimate for up to 40 of them is never
+    above their number by one or more, which is what ``distinct_up_to`` needs.
+    """
+    value = without_nan(df, name)
+    return F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(9))
+
+
+def merged_estimate(sketches: Column) -> Column:
+    return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(sketches)), F.lit(0))
+
+
 def sketch_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     """Estimated distinct counts of several columns, in one scan."""
     if not names:

@@ -79,6 +79,37 @@ def exact_quantiles(
     return _levels(ranked, keys, probs, facts.columns[len(by) + 4 :])
 
 
+def bracket_sketch(y: Column, ordered: list[float]) -> Column:
+    """What one part of the input tells about the levels: two sketched values around each."""
+    bounds = [b for p in ordered for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    return F.percentile_approx(y, bounds, ACCURACY)
+
+
+def merged_sketches(sketch: Column, ordered: list[float]) -> list[Column]:
+    """The aggregates ``lo, hi`` of each level over the parts' sketches."""
+    pairs = ((F.min(sketch[2 * i]), F.max(sketch[2 * i + 1])) for i in range(len(ordered)))
+    return [end for pair in pairs for end in pair]
+
+
+def quantiles_in_brackets(
+    placed: DataFrame, facts: DataFrame, by: list[str], probs: dict[str, float]
+) -> DataFrame:
+    """``facts``, which has ``by`` and the groups' sizes ``n``, and one column per entry of
+    ``probs``, where the brackets are known before; lazy.
+
+    ``placed`` has ``by``, the values ``_y``, the group's size ``_n`` and its brackets ``_b``, an
+    array of (lo, hi) in the order of the levels. Rows above the last bracket may be left out.
+    """
+    ordered = sorted(set(probs.values()))
+    found = _ranked(_in_brackets(placed, by, ordered), by, ordered)
+    names = [n for n in found.columns if n not in by]
+    lost = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
+    # Cannot happen as long as the sketches keep their promise.
+    checked = F.when(lost, F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(F.col(names[0]))
+    levels = [_between(ordered.index(p), p).alias(name) for name, p in probs.items()]
+    return found.withColumn(names[0], checked).join(facts, by).select(*map(quoted, facts.columns), *levels)
+
+
 def _of_all(df: DataFrame, y: Column, totals: list[Column], probs: dict[str, float]) -> DataFrame:
     """The whole frame as one group. One row, and lazy: totals and brackets are subqueries."""
     counted = df.agg(*totals)
@@ -178,7 +209,6 @@ def _ranked(counted: DataFrame, by: list[str], ordered: list[float]) -> DataFram
 
 def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFrame:
     """Per group: its size ``_n``, its ends, and an array ``_b`` of (lo, hi), one per level."""
-    bounds = [b for p in ordered for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     parts = (
         rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
         .groupBy(*keys, "_part")
@@ -186,15 +216,15 @@ def _brackets(rows: DataFrame, keys: list[str], ordered: list[float]) -> DataFra
             F.count(F.lit(1)).alias("n"),
             F.min("_y").alias("min"),
             F.max("_y").alias("max"),
-            F.percentile_approx("_y", bounds, ACCURACY).alias("_a"),
+            bracket_sketch(F.col("_y"), ordered).alias("_a"),
         )
     )
+    ends = [f"_{side}{i}" for i in range(len(ordered)) for side in ("lo", "hi")]
     merged = parts.groupBy(*keys).agg(
         F.sum("n").alias("_n"),
         F.min("min").alias("_min"),
         F.max("max").alias("_max"),
-        *[F.min(F.col("_a")[2 * i]).alias(f"_lo{i}") for i in range(len(ordered))],
-        *[F.max(F.col("_a")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(ordered))],
+        *[c.alias(n) for c, n in zip(merged_sketches(F.col("_a"), ordered), ends)],
     )
     pairs = [
         F.struct(F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import dataloupe as dl
+from dataloupe.operators.profile import column_facts
+from dataloupe.plans import quantiles
 from dataloupe.operators import outliers
 
 NAN = float("nan")
@@ -277,3 +279,52 @@ def test_top_k_limits(frame):
     assert dl.top_categories(zero, "k", "v") == ["a", "c", "b"]
     folded = dl.top_k_others(df, "k", "v")
     assert folded.count() == 20 and folded.select("k").distinct().count() == 13
+
+
+def wide(spark, rows=20_000):
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({
+        "long_tail": rng.lognormal(2, 3, rows), "ends": rng.choice([-np.inf, 1.0, 2.5, np.inf], rows),
+        "steps": rng.integers(0, 11, rows), "few": rng.integers(0, 10, rows), "sorted": np.arange(rows) // 7,
+        "gaps": np.where(rng.random(rows) < 0.7, np.nan, rng.normal(1e9, 1, rows)),
+        "word": rng.choice(["a", "b"], rows),
+    })
+    data.loc[::50, "ends"] = rng.normal(size=len(data.loc[::50]))
+    return data, spark.createDataFrame(data).repartition(7)
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_medians_of_all_columns_in_one_plan(spark, monkeypatch, accuracy):
+    """With accuracy 40 the sketches are coarse, and the brackets hold many values."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "MARGIN", 4 / accuracy)
+    data, df = wide(spark)
+    got = {r["column"]: r for r in dl.numeric_profile(df).collect()}
+    assert set(got) == {"long_tail", "ends", "steps", "sorted", "gaps"}
+    for name, row in got.items():
+        values = data[name].dropna()
+        assert row["median"] == pytest.approx(values.median(), rel=1e-12), name
+        assert (row["min"], row["max"]) == (values.min(), values.max())
+    assert got["gaps"]["mean"] == pytest.approx(data["gaps"].mean(), rel=1e-12)
+
+
+def test_profile_starts_few_jobs(spark):
+    """They do not grow with the columns, and each column is read once more than its state."""
+    _, df = wide(spark, 2000)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(frame) -> int:
+        group = f"profile {len(frame.columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        dl.profile(frame)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    twice = df.select("*", *[(F.col(n) + 1).alias(n + "2") for n in ("long_tail", "steps", "few")])
+    assert jobs(df) == jobs(twice) <= 8
+
+
+def test_sketches_of_parts_settle_classes(spark):
+    """Ten values in each part of a column, but many over all of them."""
+    df = spark.range(0, 3000, 1, 300).select("id", (F.col("id") % 10).alias("ten"), (F.col("id") % 11).alias("eleven"))
+    assert column_facts(df).classes == {"id": "NUMERICAL", "ten": "CATEGORICAL", "eleven": "NUMERICAL"}
