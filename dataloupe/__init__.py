@@ -7,8 +7,8 @@ from dataloupe.operators.battery import (
 from dataloupe.operators.chart_choice import chart_types, choose_chart
 from dataloupe.operators.charts import (
     axis_limits, bar_mean, box_stats, category_share, composition, count_plot, events_over_time,
-    heatmap, histogram, kde, line_mean, rolling_mean, rolling_window, scale_kind, scatter_points,
-    twin_line, violin,
+    heatmap, histogram, kde, line_mean, rolling_mean, rolling_mean_by_days, rolling_window, scale_kind,
+    scatter_cells, scatter_points, scatter_sample, twin_line, violin,
 )
 from dataloupe.operators.clean import (
     CleanReport, apply_processing_plan, clean, coerce_timestamp, drop_columns, drop_duplicates,

@@ -204,6 +204,29 @@ def scatter_points(t: Tables) -> DataFrame:
     return ops.scatter_points(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag")
 
 
+@query("""
+SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_returnflag
+    ORDER BY md5(l_orderkey || chr(31) || l_linenumber), l_quantity, l_extendedprice) <= 500""")
+def scatter_sample_per_color(t: Tables) -> DataFrame:
+    key = ["l_orderkey", "l_linenumber"]
+    return ops.scatter_sample(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag", per_color=500, key=key)
+
+
+@query(f"""
+WITH ends AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0,
+                     max(l_extendedprice) AS y1 FROM lineitem),
+     cells AS (SELECT l_returnflag, CAST(least(floor((l_quantity - x0) / (x1 - x0) * 40), 39) AS INTEGER) AS x_cell,
+                      CAST(least(floor((l_extendedprice - y0) / (y1 - y0) * 40), 39) AS INTEGER) AS y_cell, ends.*
+               FROM lineitem, ends)
+SELECT l_returnflag, x_cell, y_cell, {r("x0 + x_cell * (x1 - x0) / 40", "x_start")},
+       {r("x0 + (x_cell + 1) * (x1 - x0) / 40", "x_end")}, {r("y0 + y_cell * (y1 - y0) / 40", "y_start")},
+       {r("y0 + (y_cell + 1) * (y1 - y0) / 40", "y_end")}, count(*) AS n
+FROM cells GROUP BY ALL""")
+def scatter_cells(t: Tables) -> DataFrame:
+    return ops.scatter_cells(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag", cells=40)
+
+
 @query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL")
 def count_plot(t: Tables) -> DataFrame:
     return ops.count_plot(t.part, "p_brand", "p_type")

@@ -73,6 +73,26 @@ def rolling_mean_by_group(t: Tables) -> DataFrame:
     return ops.rolling_mean(t.orders, "o_orderdate", "o_totalprice", "o_orderstatus", span_days=2404)
 
 
+def _by_days(table: str, x: str, y: str, days: int, by: str = "") -> str:
+    split, shown = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
+    return f"""
+WITH daily AS (SELECT {shown}date_trunc('day', {x}) AS {x}, sum({y}) AS total, count({y}) AS known, count(*) AS n
+               FROM {table} GROUP BY ALL)
+SELECT {shown}{x}, {r("total / known", "y_mean")}, n, {r("sum(total) OVER w / sum(known) OVER w", "rolling_y")},
+       CAST({days} AS INTEGER) AS days
+FROM daily WINDOW w AS ({split} ORDER BY {x} RANGE BETWEEN INTERVAL {days - 1} DAYS PRECEDING AND CURRENT ROW)"""
+
+
+@query(_by_days("orders", "o_orderdate", "o_totalprice", 7, "o_orderstatus"))
+def rolling_mean_by_days(t: Tables) -> DataFrame:
+    return ops.rolling_mean_by_days(t.orders, "o_orderdate", "o_totalprice", "o_orderstatus")
+
+
+@query(_by_days("events", "ts", "value", 30))
+def rolling_mean_by_days_of_timestamps(t: Tables) -> DataFrame:
+    return ops.rolling_mean_by_days(t.events, "ts", "value", days=30)
+
+
 @query("SELECT o_orderdate, count(*) AS n FROM orders GROUP BY 1")
 def events_over_time(t: Tables) -> DataFrame:
     return ops.events_over_time(t.orders, "o_orderdate")

@@ -12,11 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dataloupe.functions.columns import (
-    col, fresh, is_numeric, is_temporal, number, present, quoted, require_columns, wall_clock,
+    col, fresh, is_flat, is_numeric, is_temporal, number, present, quoted, require_columns, wall_clock,
 )
 from dataloupe.plans.joins import lookup_join
 from dataloupe.plans.ordering import with_position
-from dataloupe.plans.quantiles import exact_quantiles
+from dataloupe.plans.quantiles import PARTS, exact_quantiles
 from dataloupe.plans.storage import materialize
 
 # Interval width, whisker length, smallest share that gets a label, bandwidth
@@ -34,6 +34,7 @@ AXIS_LOW, AXIS_HIGH = 0.95, 1.05
 # Spans in days below which each smoothing window, in rows, is used.
 SMOOTHING = ((14, 3), (91, 7), (366, 14))
 LONG_SMOOTHING = 30
+DAY_BLOCK = 1024  # days that are put in order together
 
 INFINITY = float("inf")
 CELLS_PER_BANDWIDTH = 32
@@ -314,6 +315,47 @@ def rolling_mean(
     return done.select(*keys, "_x", "_y", "_mean", F.lit(size)).toDF(*names)
 
 
+def rolling_mean_by_days(
+    df: DataFrame, x: str, y: str, by: str | None = None, *, days: int = 7
+) -> DataFrame:
+    """``([by], x, y_mean, n, rolling_y, days)``: per day, the mean of its rows and the mean of all
+    rows of the ``days`` calendar days that end with it; ``n`` counts the day's rows.
+
+    Days without rows are no rows of the result, but they count as days of the window. Rows
+    without a y count in ``n`` only; a mean of none is NULL. ``x`` comes back as midnight of the day.
+
+    Rows are totalled per group and day on the map side first, so that a crowded day is one row
+    per task. The days are cut into blocks of fixed length in time, and each block is handed the
+    last days of the one before, so that no window holds more than ``DAY_BLOCK + days`` rows.
+    """
+    require_columns(df, x, y, by)
+    if not is_temporal(df, x):
+        raise ValueError(f"column {x!r} holds no dates or timestamps")
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    rows, _ = _known(df, x, by)
+    keys = ["_by"] if by else []
+    group = [col(by).alias("_by")] if by else []
+    day = F.unix_date(wall_clock(x).cast("date")).alias("_day")
+    totals = rows.select(*group, day, number(df, y).alias("_y")).groupBy(*keys, "_day").agg(
+        F.sum("_y").alias("_sum"), F.count("_y").alias("_known"), F.count(F.lit(1)).alias("_n")
+    )
+    block = max(days, DAY_BLOCK)
+    home = F.floor(F.col("_day") / block)
+    tail = F.pmod("_day", F.lit(block)) > block - days
+    copies = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = totals.withColumn("_home", home).withColumn("_block", F.explode(copies))
+    within = W.partitionBy("_block", *keys).orderBy("_day").rangeBetween(-(days - 1), 0)
+    rolled = F.sum("_sum").over(within) / F.nullif(F.sum("_known").over(within), F.lit(0))
+    done = spread.withColumn("_mean", rolled).where(F.col("_home") == F.col("_block"))
+    names = [by, x] if by else [x]
+    for figure in ("y_mean", "n", "rolling_y", "days"):
+        names.append(fresh(figure, *names))
+    own = F.col("_sum") / F.nullif(F.col("_known"), F.lit(0))
+    midnight = F.date_from_unix_date("_day").cast("timestamp_ntz")
+    return done.select(*keys, midnight, own, "_n", "_mean", F.lit(days)).toDF(*names)
+
+
 def _trailing(within, size: int) -> Column:
     return F.avg("_y").over(within.rowsBetween(-(size - 1), 0))
 
@@ -351,6 +393,88 @@ def scatter_points(
     return points if fraction is None else points.sample(fraction, seed)
 
 
+def scatter_sample(
+    df: DataFrame,
+    x: str,
+    y: str,
+    color: str | None = None,
+    *,
+    per_color: int = 1000,
+    key: list[str] | None = None,
+) -> DataFrame:
+    """``(x, y, [color])``: at most ``per_color`` points of each colour, the same at every run.
+
+    The points with the smallest MD5 of ``key`` are taken, whose columns should tell rows apart;
+    without it, of all columns but nested ones. Rows with one key are drawn together, in the
+    order of x and y. Colours with fewer points keep all of them.
+
+    Each task keeps the best of each colour, then each of at most 256 parts of the input, so that
+    no task meets the choices of all others. Beyond 1000 points per colour (Spark's
+    ``windowGroupLimitThreshold``) the tasks keep all, and the parts are sorted as a whole.
+    """
+    if per_color < 1:
+        raise ValueError("per_color must be at least 1")
+    require_columns(df, *(key or []))
+    rows, given = _known(df, x, y, color)
+    key = key or [n for n in df.columns if is_flat(df, n)]
+    digest = F.md5(F.concat_ws("\x1f", *[col(n).cast("string") for n in key]))
+    names = list(dict.fromkeys(given))
+    places = {n: f"_{i}" for i, n in enumerate(names)}
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part")
+    points = rows.select(*[col(n).alias(places[n]) for n in names], digest.alias("_key"), part)
+    order = [F.asc("_key"), F.asc(places[x]), F.asc(places[y])]
+    colors = [places[color]] if color else []
+
+    def best(frame: DataFrame, groups: list[str]) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
+        return frame.withColumn("_rank", rank).where(F.col("_rank") <= per_color).drop("_rank")
+
+    kept = best(points, [*colors, "_part"])
+    kept = best(kept, colors) if colors else kept.orderBy(*order).limit(per_color)
+    return kept.select(*[places[n] for n in names]).toDF(*names)
+
+
+def scatter_cells(
+    df: DataFrame, x: str, y: str, color: str | None = None, *, cells: int = 50
+) -> DataFrame:
+    """``([color], x_cell, y_cell, x_start, x_end, y_start, y_end, n)``: points per cell of a grid
+    of ``cells`` by ``cells`` between the smallest and the largest values; only filled cells.
+
+    Infinite values are in no cell. An axis with a single value has one cell, of width 0. The
+    limits are a one-row subquery, and points are counted on the map side, so that a task sends
+    at most ``cells * cells`` rows per colour.
+    """
+    if cells < 1:
+        raise ValueError("cells must be at least 1")
+    rows, _ = _known(df, x, y, color)
+    keys = ["_color"] if color else []
+    group = [col(color).alias("_color")] if color else []
+    points = rows.select(*group, number(df, x).alias("_x"), number(df, y).alias("_y"))
+    points = points.where((F.abs("_x") < INFINITY) & (F.abs("_y") < INFINITY))
+    ends = [f(a).alias(f"{a}{side}") for a in ("_x", "_y") for f, side in ((F.min, 0), (F.max, 1))]
+    limits = points.agg(F.struct(*ends).alias("_f")).scalar()
+    located = points.withColumn("_f", limits).select(*keys, "_x", "_y", "_f.*")
+
+    def cell(axis: str) -> Column:
+        low, width = F.col(f"{axis}0"), F.col(f"{axis}1") - F.col(f"{axis}0")
+        place = F.least(F.floor((F.col(axis) - low) / width * cells), F.lit(cells - 1))
+        return F.when(width > 0, place).otherwise(0).cast("int").alias(f"{axis}_cell")
+
+    ends = ["_x0", "_x1", "_y0", "_y1"]
+    filled = located.select(*keys, cell("_x"), cell("_y"), *ends)
+    counted = filled.groupBy(*keys, "_x_cell", "_y_cell", *ends).agg(F.count(F.lit(1)).alias("_n"))
+
+    def edge(axis: str, steps: int) -> Column:
+        low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
+        return low + (F.col(f"{axis}_cell") + steps) * (high - low) / cells
+
+    figures = ["_x_cell", "_y_cell", *[edge(a, i) for a in ("_x", "_y") for i in (0, 1)], "_n"]
+    names = [color] if color else []
+    for figure in ("x_cell", "y_cell", "x_start", "x_end", "y_start", "y_end", "n"):
+        names.append(fresh(figure, *names))
+    return counted.select(*keys, *figures).toDF(*names)
+
+
 def count_plot(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
     """``(x, [hue], n)``: rows per category."""
     return _group(df, x, hue).agg(F.count(F.lit(1)).alias(fresh("n", x, hue)))

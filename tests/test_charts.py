@@ -143,6 +143,81 @@ def test_rolling_mean_matches_pandas(spark, plans, monkeypatch, block):
         assert (got["window"] == 3).all()
 
 
+@pytest.mark.parametrize("block", [1, 9, 1024])
+def test_rolling_mean_by_days(spark, monkeypatch, block):
+    """Gaps, a crowded day, days before 1970, and missing values; blocks as short as the window."""
+    monkeypatch.setattr(charts, "DAY_BLOCK", block)
+    rng = np.random.default_rng(5)
+    n = 900
+    day = np.where(rng.random(n) < 0.3, 3, rng.integers(-60, 60, n))
+    data = pd.DataFrame({
+        "n": np.where(rng.random(n) < 0.6, "hot", rng.integers(0, 5, n).astype(str)),
+        "t": pd.Timestamp("1970-01-01") + pd.to_timedelta(day, "D") + pd.to_timedelta(rng.integers(0, 86_400, n), "s"),
+        "y": np.where(rng.random(n) < 0.2, np.nan, rng.normal(size=n)),
+    })
+    schema = "n string, t timestamp_ntz, y double"
+    rows = [(g, t.to_pydatetime(), y) for g, t, y in data.itertuples(index=False)]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    got = dl.rolling_mean_by_days(df, "t", "y", "n", days=5)
+    assert got.columns == ["n", "t", "y_mean", "_n", "rolling_y", "days"]
+    data["day"] = data["t"].dt.floor("D")
+    groups = {k: g for k, g in data.groupby("n")}
+    rows = got.collect()
+    assert sorted((r["n"], r["t"]) for r in rows) == sorted(set(zip(data["n"], data["day"])))
+    for r in rows:
+        mine = groups[r["n"]]
+        window = mine[(mine["day"] <= r["t"]) & (mine["day"] > r["t"] - dt.timedelta(days=5))]
+        assert r["_n"] == (mine["day"] == r["t"]).sum()
+        for value, want in ((r["rolling_y"], window["y"].mean()), (r["y_mean"], mine[mine["day"] == r["t"]]["y"].mean())):
+            assert value is None if np.isnan(want) else value == pytest.approx(want, rel=1e-9)
+
+
+def test_rolling_mean_by_days_holds_blocks_and_no_groups(spark, frame):
+    df = spark.range(100).selectExpr("CAST(timestamp_seconds(id * 7200) AS timestamp_ntz) AS t", "double(id) AS y", "'a' AS g")
+    plan = explained(dl.rolling_mean_by_days(df, "t", "y", "g"))
+    assert "hashpartitioning(_block" in plan and plan.count("Exchange") == 2
+    assert dl.rolling_mean_by_days(df.limit(0), "t", "y").collect() == []
+    for wrong in ({"x": "y", "y": "y"}, {"x": "t", "y": "y", "days": 0}):
+        with pytest.raises(ValueError):
+            dl.rolling_mean_by_days(df, **wrong)
+
+
+def test_scatter_sample(spark):
+    rows = spark.range(3000).selectExpr(
+        "id", "double(id % 50) AS x", "double(id) AS _key", "IF(id % 3 = 0, 'hot', string(id % 700)) AS `c.c`", "array(id) AS list"
+    )
+    got = [dl.scatter_sample(df, "x", "_key", "c.c", per_color=100).collect() for df in (rows, rows.repartition(13))]
+    assert sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
+    sizes = pd.Series([r["c.c"] for r in got[0]]).value_counts()
+    assert sizes["hot"] == 100 and (sizes.drop("hot") < 10).all() and len(got[0]) == 2100
+    assert 1000 < np.mean([r["_key"] for r in got[0] if r["c.c"] == "hot"]) < 2000
+    plain = dl.scatter_sample(rows, "x", "_key", per_color=7, key=["id"])
+    assert plain.count() == 7 and plain.columns == ["x", "_key"]
+    assert "WindowGroupLimit" in explained(dl.scatter_sample(rows, "x", "_key", "c.c", per_color=100))
+    same = spark.range(100).selectExpr("1.0D AS x", "2.0D AS y")
+    assert dl.scatter_sample(same, "x", "y", per_color=7).count() == 7
+    assert dl.scatter_sample(rows.limit(0), "x", "_key", "c.c").collect() == []
+    with pytest.raises(ValueError):
+        dl.scatter_sample(rows, "x", "_key", per_color=0)
+
+
+def test_scatter_cells(spark, frame):
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame({"x": rng.normal(size=2000), "n": rng.lognormal(size=2000)})
+    got = dl.scatter_cells(spark.createDataFrame(data), "x", "n", cells=12).toPandas()
+    want, xs, ys = np.histogram2d(data["x"], data["n"], bins=12)
+    table = np.zeros((12, 12))
+    table[got["x_cell"], got["y_cell"]] = got["n"]
+    assert (table == want).all() and (got["n"] > 0).all()
+    np.testing.assert_allclose(got["x_start"], xs[got["x_cell"]])
+    np.testing.assert_allclose(got["y_end"], ys[got["y_cell"] + 1])
+    odd = frame("x double, y double, n string", [(1.0, 2.0, "a"), (1.0, 4.0, "a"), (math.inf, 1.0, "a"), (NAN, 1.0, "b")])
+    cells = dl.scatter_cells(odd, "x", "y", "n", cells=2).collect()
+    assert cells[0].asDict().keys() >= {"n", "_n"}
+    assert sorted((r["x_cell"], r["y_cell"], r["x_start"], r["x_end"]) for r in cells) == [(0, 0, 1.0, 1.0), (0, 1, 1.0, 1.0)]
+    assert dl.scatter_cells(odd.limit(0), "x", "y").collect() == []
+
+
 def test_events_over_time(frame):
     day = dt.datetime(2020, 1, 1)
     df = frame("t timestamp_ntz", [(day,), (day + dt.timedelta(hours=5),), (None,), (day,)])
