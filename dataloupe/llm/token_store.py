@@ -25,6 +25,8 @@ from dataloupe.plans.storage import scratch_path
 BLOCK_IDS = 1 << 18
 SLICE_BYTES = 1 << 20  # texts tokenized at a time
 MOST_CHUNKS = 1_600_000
+JOINED = 512  # chunks that the library is given as one text
+SPACE = "\u0120"  # fixed value: how a byte-level vocabulary writes the space
 
 
 def id_code(model) -> str:
@@ -37,7 +39,9 @@ class IdTable:
     bits if the vocabulary allows (``code``), else of 32.
 
     With a plain byte-level BPE no token spans a space between two other characters, so that
-    the library is asked once per distinct chunk; with any other file, once per text.
+    each distinct chunk is tokenized once; with any other file, each text. A chunk between two
+    spaces holds no space but the one before it, so that chunks are given to the library joined,
+    and a token that begins with a space begins a chunk.
     """
 
     def __init__(self, definition: str):
@@ -52,17 +56,36 @@ class IdTable:
         odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         spaced = any(re.search(r"\s", t["content"]) for t in added)
         self.by_chunk = plain and not (spec["normalizer"] or odd or spaced)
+        self.begins = np.zeros(self.model.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.model.get_vocab().items() if token.startswith(SPACE)]] = True
+        self.begins[[t["id"] for t in added]] = False
         self.table = ChunkTable(self._of_chunks, NEXT_TO_SPACE.split, stands_alone, MOST_CHUNKS)
 
     def _of_chunks(self, chunks: list[str], first: bool) -> list[bytes]:
-        texts = chunks if first else [" " + c for c in chunks]
+        if first or not self.by_chunk:
+            return self._one_by_one(chunks)
+        out = []
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        joined = self.model.encode_batch_fast(["".join([" " + c for c in g]) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, joined):
+            ids = np.asarray(encoding.ids, self.code)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(group):
+                data, at = ids.tobytes(), starts * ids.itemsize
+                ends = [*at[1:].tolist(), len(data)]
+                out += [data[i:j] for i, j in zip(at.tolist(), ends)]
+            else:  # chunks with spaces of their own
+                out += self._one_by_one([" " + c for c in group])
+        return out
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [t or "" for t in texts]
         if not self.by_chunk:
-            return self._of_chunks(whole, True)
+            return self._one_by_one(whole)
         return [b"".join(v) for v in self.table.all_values(whole)]
 
 

@@ -153,3 +153,17 @@ def test_registered_digests(spark, corpus):
             assert r.n_tokens == len(ids)
             assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
             assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
+def test_joined_chunks_give_the_ids_of_whole_texts():
+    """Spaces of many kinds, special strings, and characters that look like the vocabulary's marks."""
+    with open(BPE) as file:
+        table = token_store.IdTable(file.read())
+    parts = ["a", " ", "  ", "\n", "\t", "\u0120", "\u010a", "\u00e9", "<|endoftext|>", "'s", "1", "\u4e2d", "\u00a0",
+             "\u3000", "\x1c", "\x85", "\U0001f44d", "x y", ".", "don't"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(5000)]
+    texts += [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(3000))]
+    wanted = [e.ids for e in table.model.encode_batch(texts, add_special_tokens=False)]
+    got = table.encode(texts[:2000]) + table.encode(texts[2000:])
+    assert [np.frombuffer(g, table.code).tolist() for g in got] == wanted
