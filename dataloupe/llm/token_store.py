@@ -56,8 +56,9 @@ class IdTable:
         odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         spaced = any(re.search(r"\s", t["content"]) for t in added)
         self.by_chunk = plain and not (spec["normalizer"] or odd or spaced)
-        self.begins = np.zeros(self.model.get_vocab_size(), bool)
-        self.begins[[i for token, i in self.model.get_vocab().items() if token.startswith(SPACE)]] = True
+        ids = self.model.get_vocab()
+        self.begins = np.zeros(max(ids.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in ids.items() if token.startswith(SPACE)]] = True
         self.begins[[t["id"] for t in added]] = False
         self.table = ChunkTable(self._of_chunks, NEXT_TO_SPACE.split, stands_alone, MOST_CHUNKS)
 
@@ -121,15 +122,16 @@ def write_tokens(
     * ``parts``: ``(part, base)``, the ids before each part.
 
     Texts are shuffled once, by range of the key, equal and null keys too (nulls come
-    first); the ids are written, counted per task, and coded from the written table. At most
-    one count per id of the vocabulary reaches the driver. An empty table gives no blocks.
+    first); the ids are written with what each task has counted of them, and coded from the
+    written table. At most one count per id of the vocabulary reaches the driver. An empty
+    table gives no blocks.
     """
     require_columns(docs, key, text)
     spark = docs.sparkSession
     ship(spark)
     parts = spark.read.parquet(_write_ids(docs, tokenizer, key, text, end_id))
     form = _code_of(tokenizer, end_id)
-    counted = parts.select("ids").mapInArrow(_count_ids(form), "id long, n long")
+    counted = parts.where(F.col("counts").isNotNull()).select(F.inline("counts"))
     # One row per id of the vocabulary.
     found = counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow().to_pydict()
     ids = np.asarray(found["id"], np.int64)
@@ -164,7 +166,8 @@ def write_tokens(
         if held:
             yield _block(book, part, held, batch.schema.field("key").type)
 
-    parts.select("part", "start", "key", "ids").mapInArrow(blocks, schema).write.option(
+    texts = parts.where(F.col("counts").isNull())
+    texts.select("part", "start", "key", "ids").mapInArrow(blocks, schema).write.option(
         "compression", "uncompressed"
     ).parquet(f"{path}/blocks")
     book = spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id long, bits long")
@@ -174,7 +177,11 @@ def write_tokens(
 
 
 def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int) -> str:
-    """Writes ``(part, start, n, key, ids)`` in order of the key and returns the path."""
+    """Writes ``(part, start, n, key, ids, counts)`` in order of the key and returns the path.
+
+    The last row of a task is no text: ``counts`` has ``(id, n)`` of all ids of the task's texts,
+    and is null in the others.
+    """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(model_file(tokenizer).decode())
     code = _code_of(tokenizer, end_id)
@@ -188,22 +195,32 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
         [
             T.StructField("start", T.LongType()),
             T.StructField("n", T.LongType()),
-            rows.schema["key"],
+            T.StructField("key", rows.schema["key"].dataType),
             T.StructField("ids", T.BinaryType()),
+            T.StructField("counts", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("id", "n")]))),
         ]
     )
+    pairs = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+    names = schema.names
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, start = _ids(definition.value), 0
+        table, start, kind = _ids(definition.value), 0, None
+        counts = np.zeros(max(len(table.begins), end_id + 1), np.int64)
         for batch in slices(batches, "text", SLICE_BYTES):
             data = [d + end for d in table.encode(batch.column("text").to_pylist())]
             sizes = np.asarray([len(d) // width for d in data], np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(starts), pa.array(sizes), batch.column("key"), pa.array(data, pa.binary())],
-                ["start", "n", "key", "ids"],
-            )
+            kind = batch.schema.field("key").type
+            counts += np.bincount(np.frombuffer(b"".join(data), code), minlength=len(counts))
+            columns = [pa.array(starts), pa.array(sizes), batch.column("key"), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(data), pairs)], names)
+        if kind is not None:
+            used = np.flatnonzero(counts)
+            found = pa.StructArray.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+            listed = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), found).cast(pairs)
+            none = [pa.array([start]), pa.array([0]), pa.nulls(1, kind), pa.array([b""], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, listed], names)
 
     numbered = ordered.sortWithinPartitions(*order).mapInArrow(tokenize, schema)
     path = scratch_path(spark, "ids")
@@ -222,21 +239,6 @@ def _code_of(tokenizer: str, end_id: int) -> str:
     return code
 
 
-def _count_ids(form: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for data in batch.column("ids"):
-                found = np.bincount(np.frombuffer(data.as_buffer(), form))
-                if len(found) > len(counts):
-                    counts, found = found, counts
-                counts[: len(found)] += found
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
-
-    return count
-
-
 def _block(book: Codebook, part: int, held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     payload, checkpoints = book.encode(np.concatenate([ids for _, _, ids in held]))
     return pa.RecordBatch.from_arrays(
