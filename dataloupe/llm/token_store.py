@@ -56,8 +56,6 @@ class IdTable:
         odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         spaced = any(re.search(r"\s", t["content"]) for t in added)
         self.by_chunk = plain and not (spec["normalizer"] or odd or spaced)
-        if self.by_chunk and hasattr(self.model.model, "_resize_cache"):
-            self.model.model._resize_cache(0)  # the table remembers what the library has done
         ids = self.model.get_vocab()
         self.begins = np.zeros(max(ids.values(), default=0) + 1, bool)
         self.begins[[i for token, i in ids.items() if token.startswith(SPACE)]] = True
