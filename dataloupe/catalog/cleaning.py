@@ -36,6 +36,26 @@ def drop_duplicates(t: Tables) -> DataFrame:
     return ops.drop_duplicates(t.documents.select("text", "lang"))
 
 
+_RETURNED_TWICE = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')"
+
+
+def returned_twice(t: Tables) -> DataFrame:
+    """lineitem with its returned lines a second time."""
+    return t.lineitem.union(t.lineitem.where("l_returnflag = 'R'"))
+
+
+@query(f"""
+SELECT (SELECT count(*) FROM {_RETURNED_TWICE}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem))
+  AS duplicate_rows""")
+def duplicate_row_count_wide(t: Tables) -> DataFrame:
+    return ops.duplicate_row_count(returned_twice(t))
+
+
+@query("SELECT DISTINCT * FROM lineitem")
+def drop_duplicates_wide(t: Tables) -> DataFrame:
+    return ops.drop_duplicates(returned_twice(t))
+
+
 @query(f"SELECT * FROM {_HOLES} WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL")
 def drop_null_rows(t: Tables) -> DataFrame:
     return ops.drop_null_rows(holes(t))

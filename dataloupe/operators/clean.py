@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import (
-    col, fresh, is_temporal, is_text, present, quoted, require_columns,
+    col, fresh, is_temporal, is_text, present, require_columns, type_of,
 )
 from dataloupe.plans.cardinality import short_key
+from dataloupe.plans.repeats import split_by_repeats
 from dataloupe.plans.storage import materialize
 from dataloupe.sources.names import sanitize_columns
 from dataloupe.sources.tables import require_min_rows
@@ -25,16 +26,26 @@ def null_cell_count(df: DataFrame) -> DataFrame:
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """One row ``(duplicate_rows)``: rows that repeat another one in every column.
 
-    Copies are combined before the shuffle, and long texts travel as digests.
+    Only rows whose digest occurs again are compared cell by cell. Copies are combined
+    before the shuffle, and long texts travel as digests.
     """
-    keys = [short_key(n) if is_text(df, n) else col(n) for n in df.columns]
-    copies = df.select([k.alias(f"k{i}") for i, k in enumerate(keys)])
+    _, again = split_by_repeats(df)
+    keys = [short_key(n) if _exact_text(again, n) else F.col(n) for n in again.columns]
+    copies = again.select([k.alias(n) for k, n in zip(keys, again.columns)])
     counted = copies.groupBy(*copies.columns).agg((F.count(F.lit(1)) - 1).alias("repeats"))
     return counted.agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_rows"))
 
 
+def _exact_text(df: DataFrame, name: str) -> bool:
+    return is_text(df, name) and "collate" not in type_of(df, name).simpleString()
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each group of equal rows. Rows that equal no other one are not shuffled."""
+    if not df.columns:
+        return df.dropDuplicates()
+    single, again = split_by_repeats(df)
+    return single.union(again.dropDuplicates()).toDF(*df.columns)
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
@@ -130,13 +141,15 @@ class CleanReport:
 def clean(df: DataFrame, min_rows: int = 5) -> tuple[DataFrame, CleanReport]:
     """Count nulls and repeats, drop both, check the size and tidy the column names.
 
-    One shuffle groups equal rows and counts the copies, and its result is written once.
-    Everything else, the report too, is read from there: nulls and repeats of the raw table
-    are sums weighted by the copies.
+    Rows that equal no other one are not shuffled; of the others, one shuffle groups equal rows and
+    counts the copies. The result is written once, and everything else, the report
+    too, is read from there: nulls and repeats of the raw table are sums weighted by the copies.
     """
     copies = fresh("copies", *df.columns)
-    grouped = df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias(copies))
-    written = materialize(grouped)
+    single, again = split_by_repeats(df)
+    counted = again.groupBy(*again.columns).agg(F.count(F.lit(1)).alias("n"))
+    grouped = single.withColumn("n", F.lit(1).cast("long")).union(counted)
+    written = materialize(grouped.toDF(*df.columns, copies))
     empty = sum((F.when(present(df, n), 0).otherwise(1) for n in df.columns), F.lit(0))
     figures = written.agg(
         *[
