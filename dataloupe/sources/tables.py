@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -84,18 +85,48 @@ def _refuse_more(rows: int, names) -> None:
         raise ValueError(f"{rows} rows have more than {len(names)} cells")
 
 
+# Files whose first lines are asked for in one job.
+FILES_A_JOB = 32
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
-    """The first line of the file, which all files of a folder must share."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = lines.withColumn("at", F.monotonically_increasing_id())
-    # A file's first line has its smallest number; only distinct headers reach the driver.
-    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    headers = [r[0] for r in firsts.select("header").distinct().limit(2).collect()]
+    """The first line of the file, which all files of a folder must share.
+
+    Each file is a read of its own that ends after one line, and the files of the path are
+    gone through in blocks up to the first that differs, so the cost follows their number, not their size.
+    """
+    # A file is not split, so that its first line is the first of its only task.
+    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.minPartitionNum": "1"}
+    session = _with_settings(spark, whole, without=("spark.sql.files.maxPartitionNum",))
+    lines = session.read.text(path)
+    place = F.col("_metadata.file_path")
+    # The list of files is on the driver for every scan; without their content none is opened.
+    listed = session.read.format("binaryFile").load(path).where("length > 0").select(place.alias("file"))
+    files = sorted(r["file"] for r in listed.collect())
+    headers: set[str] = set()
+    for start in range(0, len(files), FILES_A_JOB):
+        # A filter on the path leaves only that file to be opened.
+        firsts = [
+            lines.where(place == f).select("value").limit(1)
+            for f in files[start : start + FILES_A_JOB]
+        ]
+        headers.update(r[0] for r in reduce(DataFrame.union, firsts).distinct().limit(2).collect())
+        if len(headers) > 1:
+            raise ValueError(f"the files of {path} have different headers: {sorted(headers)[:2]}")
     if not headers:
         raise ValueError(f"{path} is empty")
-    if len(headers) > 1:
-        raise ValueError(f"the files of {path} have different headers: {headers}")
-    return next(csv.reader([headers[0].lstrip("\ufeff").rstrip("\r")]))
+    return next(csv.reader([headers.pop().lstrip("\ufeff").rstrip("\r")]))
+
+
+def _with_settings(
+    spark: SparkSession, settings: dict[str, str], without: tuple[str, ...] = ()
+) -> SparkSession:
+    """Another session of the application, set like ``spark`` but for ``settings``."""
+    session = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if key not in without and session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    return session
 
 
 def _cell(name: str) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,39 @@ def test_folders_need_one_header(spark, tmp_path):
     (folder / "3.csv").write_text("b,a\n5,6\n")
     with pytest.raises(ValueError, match="different headers"):
         dl.read_table(spark, str(folder))
+
+
+def test_header_stops_at_the_first_line(spark, tmp_path):
+    """The bytes read for the header do not follow the size of the files."""
+    from dataloupe.sources import tables
+
+    def read_so_far():
+        time.sleep(0.5)  # figures of executors arrive late
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(i).totalInputBytes() for i in range(found.size()))
+
+    for name in ("1.csv", "2.csv"):
+        (tmp_path / name).write_text('"a b",c\n' + "some text,1\n" * 2_000_000)
+    (tmp_path / "3.csv").write_text("")
+    for i in range(12):
+        (tmp_path / f"small{i}.csv").write_text('"a b",c\nx,1\n')
+    before = read_so_far()
+    assert tables._header(spark, str(tmp_path)) == ["a b", "c"]
+    assert 0 < read_so_far() - before < 1_000_000
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) < 1 << 40
+    with pytest.raises(ValueError, match="empty"):
+        tables._header(spark, str(tmp_path / "3.csv"))
+
+
+def test_headers_of_files_with_odd_names(spark, tmp_path, monkeypatch):
+    from dataloupe.sources import tables
+
+    monkeypatch.setattr(tables, "FILES_A_JOB", 2)
+    for name in ("a b.csv", "c%20d.csv", "e[1].csv", "f+g=h.csv", "é.csv"):
+        (tmp_path / name).write_text("a,b\n1,2\n")
+    assert tables._header(spark, str(tmp_path)) == ["a", "b"]
+    for name in ("a b.csv", "c%20d.csv", "e[1].csv", "f+g=h.csv", "é.csv"):
+        (tmp_path / name).write_text("a,c\n1,2\n")
+        with pytest.raises(ValueError, match="different"):
+            tables._header(spark, str(tmp_path))
+        (tmp_path / name).write_text("a,b\n1,2\n")
