@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from dataloupe.llm import html_extract
 from dataloupe.llm.html_extract import main_text
@@ -97,3 +98,64 @@ def test_wrappers_with_boilerplate_names():
     assert main_text(f"<body><main>{named}</main>{rest}</body>").startswith("A title\nThe first")
     long = '<section class="comments">' + "<p>A comment of some length.</p>" * 30 + "</section>"
     assert main_text(f"<body><main>{article}{long}</main></body>").count("\n") == 2
+
+
+ARTICLE = (
+    "<article>{}<h1>A title of it</h1><p>The first paragraph of it is rather long, as they are.</p>"
+    "{}<p>And a second one.</p></article>"
+)
+WRAPPERS = ("<body>{}</body>", "<body><main>{}</main></body>", "<body><div id=page>{}</div></body>")
+
+
+def test_names_inside_an_article_do_not_decide_alone():
+    kept = {
+        '<header class="entry-header"><h1>Head of it</h1></header>': "Head of it",
+        '<div class="entry-header"><h1>Head of it</h1></div>': "Head of it",
+        '<section id="related-work"><p>Work like it was done.</p></section>': "Work like it was done.",
+        '<div class="legal-history"><p>The law was made.</p></div>': "The law was made.",
+        '<blockquote class="notice">Take notice of it</blockquote>': "Take notice of it",
+        '<table><thead class="table-header"><tr><th>Year</th></tr></thead></table>': "Year",
+        "<p>We have <math><mi>x</mi></math> here.</p>": "We have x here.",
+        '<h2 id="comments-in-it">Comments in it</h2>': "Comments in it",
+    }
+    for piece, text in kept.items():
+        for wrapper in WRAPPERS:
+            for around in ((piece, ""), ("", piece)):
+                found = main_text(wrapper.format(ARTICLE.format(*around))).split("\n")
+                assert sorted(found) == sorted([*main_text(ARTICLE.format("", "")).split("\n"), text])
+    dropped = (
+        '<div class="ad">Buy this now, it is cheap!</div>',
+        '<div class="related-posts"><ul><li><a href=x>Another post</a></li><li><a href=y>More</a></li></ul></div>',
+        '<div class="share-buttons"><p>Share this with your friends.</p></div>',
+        '<section class="post-comments"><p>Great, I love it.</p></section>',
+        "<section><article><p>A reader says something about it.</p></article></section>",
+    )
+    for piece in dropped:
+        for wrapper in WRAPPERS:
+            assert main_text(wrapper.format(ARTICLE.format("", piece))).count("\n") == 2, piece
+
+
+def test_answers_after_an_article():
+    answers = (
+        '<div id="responses"><article class="response"><p>This is a good one, really.</p></article>'
+        "<article><p>I do not think so, not at all, my friend.</p></article></div>"
+    )
+    assert main_text(f"<body>{ARTICLE.format('', '')}{answers}").count("\n") == 2
+    listed = "".join(f"<article><p>Story number {i} of this day.</p></article>" for i in range(5))
+    assert main_text(f"<body><article>{listed}</article>").count("\n") == 4
+
+
+def test_time_is_linear_in_the_page():
+    for unit in (
+        "<p>Text here</p><div>abc def</div>", "<a 'b ", "<a '>' ", "<button>x ", "<div>x", "<div>x</p>", "<a <!-- ",
+    ):
+        start = time.process_time()
+        main_text(unit * (500_000 // len(unit)))
+        assert time.process_time() - start < 10, unit
+
+
+def test_ends_of_pages():
+    assert main_text("<p>one < two and a<b 'c") == "one < two and a<b 'c"
+    assert main_text("<p>One is here</p><p>and two <!-- three <p>") == "One is here\nand two"
+    many = "<a \"x'>y</a>" * 20
+    assert main_text(f"<p>Start of it.</p>{many}<p>The end is here.</p>").endswith("The end is here.")
