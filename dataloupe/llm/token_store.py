@@ -209,7 +209,7 @@ def _write_ids(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int
     numbered = ordered.sortWithinPartitions(*order).mapInArrow(tokenize, schema)
     path = scratch_path(spark, "ids")
     numbered.select(F.spark_partition_id().alias("part"), "*").write.option(
-        "compression", "zstd"
+        "compression", "lz4_raw"
     ).parquet(path)
     return path
 
