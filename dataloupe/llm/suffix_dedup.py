@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,8 @@ from dataloupe.llm.words import mixed
 TASK_BYTES = 12 << 20  # text that a task packs at a time
 PIECE = 1 << 20  # bytes in which anchors are looked for at a time
 DETECT_BYTES = 2 << 20  # text whose anchors are compared in one task
-SORT_BYTES = 3 << 20  # text whose shared windows are sorted in one task
+SORT_BYTES = 3 << 20  # text whose shared windows are sorted in one task, and windows sorted at a time
+PORTIONS = 64  # into which the windows of a bin can be split
 KEY_BITS = 40
 MOST_HOT = 1 << 21  # entries of the list of frequent anchors
 LEAST_HOT = 1000
@@ -121,7 +123,9 @@ def shared_spans(
        windows of very frequent anchors (a list of at most 2^21) are dealt by their own content
        instead, so that no bucket gathers a frequent passage with all its surroundings.
     3. In each bucket the windows are sorted by a two-stage suffix sort, and neighbours with
-       ``length`` bytes in common form groups, whose smallest key keeps its window.
+       ``length`` bytes in common form groups, whose smallest key keeps its window. Windows that
+       stand alone take up far more bytes than their texts, so a bucket with more than
+       ``SORT_BYTES`` is sorted in portions; equal windows are in the same one.
     """
     require_columns(docs, key, text)
     if length < 20:
@@ -337,7 +341,7 @@ def _window_rows(
     ends = start + count + length - 1
     seen: dict[bytes, int] = {}
     sent: dict[int, list[tuple]] = {}
-    spread = mixed(values.astype(np.uint64)) % np.uint64(bins)
+    spread = mixed(values.astype(np.uint64))
     key_of = keys.tolist()
     columns = (owner.tolist(), start.tolist(), ends.tolist(), spread.tolist(), split.tolist())
     for i, a, b, place, alone in zip(*columns):
@@ -346,16 +350,19 @@ def _window_rows(
             settled.append((i, a, b))
             continue
         if alone:
-            place = _text_hash(stretch) % bins
-        sent.setdefault(place, []).append((i, a, stretch))
+            place = _text_hash(stretch)
+        sent.setdefault(place % bins, []).append((place // bins % PORTIONS, i, a, stretch))
     rows = []
     for place, entries in sent.items():
+        entries.sort(key=itemgetter(0))
         text = b"".join(stretch for *_, stretch in entries)
-        sized = [(i, a, len(stretch)) for i, a, stretch in entries]
-        rows.append((place, *_packed(sized, key_of, hashes, text, False)))
+        sized = [(i, a, len(stretch)) for _, i, a, stretch in entries]
+        portions = np.asarray([portion for portion, *_ in entries], np.uint8)
+        rows.append((place, *_packed(sized, key_of, hashes, portions, text, False)))
     if settled:
         merged = _merged(settled)
-        rows.append((key_of[merged[0][0]] % bins, *_packed(merged, key_of, hashes, b"", True)))
+        none = np.zeros(len(merged), np.uint8)
+        rows.append((key_of[merged[0][0]] % bins, *_packed(merged, key_of, hashes, none, b"", True)))
     columns = zip(*rows) if rows else ([], [], [])
     kinds = (pa.int64(), pa.int64(), pa.binary())
     arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
@@ -374,47 +381,49 @@ def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _packed(
-    entries: list[tuple[int, int, int]], key_of: list[int], hashes: list[int], text: bytes, settled: bool
-) -> tuple[int, bytes]:
-    """Entries ``(number of the text, start, size or end)`` and their bytes, compressed: the
-    keys and hashes of the texts once, then the three columns. ``settled`` tells that the third
+    entries: list[tuple[int, int, int]], key_of: list[int], hashes: list[int], portions: np.ndarray,
+    text: bytes, settled: bool,
+) -> tuple[int, bytes]:
+    """Entries ``(number of the text, start, size or end)``, their portions and bytes, compressed:
+    the keys and hashes of the texts once, then the columns. ``settled`` tells that the third
     holds the ends of spans."""
     numbers, starts, third = np.asarray(entries, np.int64).T
     used, place = np.unique(numbers, return_inverse=True)
     texts = np.asarray([[key_of[i] for i in used], [hashes[i] for i in used]], np.int64)
     head = np.asarray([len(used), len(entries), int(settled)], np.int64)
-    parts = [head, texts, place.astype(np.int32), starts, third if settled else third.astype(np.int32)]
+    parts = [head, texts, place.astype(np.int32), starts, third if settled else third.astype(np.int32), portions]
     whole = b"".join(p.tobytes() for p in parts) + text
     return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
 
 
 def _unpack(payload: bytes, size: int) -> tuple[bool, list[np.ndarray], bytes]:
-    """What ``_packed`` was given: settled or not, ``[keys, hashes, starts, third]``, the text."""
+    """What ``_packed`` was given: settled or not, ``[keys, hashes, starts, third, portions]``, the
+    text."""
     whole = pa.decompress(payload, size, codec="zstd", asbytes=True)
     used, n, settled = np.frombuffer(whole, np.int64, 3).tolist()
     at, columns = 24, []
-    sizes = (used, used, n, n, n)
-    kinds = (np.int64, np.int64, np.int32, np.int64, np.int64 if settled else np.int32)
+    sizes = (used, used, n, n, n, n)
+    kinds = (np.int64, np.int64, np.int32, np.int64, np.int64 if settled else np.int32, np.uint8)
     for count, kind in zip(sizes, kinds):
         columns.append(np.frombuffer(whole, kind, count, at))
         at += columns[-1].nbytes
-    keys, hashes, place, starts, third = columns
-    return bool(settled), [keys[place], hashes[place], starts, third.astype(np.int64)], whole[at:]
+    keys, hashes, place, starts, third, portions = columns
+    return bool(settled), [keys[place], hashes[place], starts, third.astype(np.int64), portions], whole[at:]
 
 
 def _sorted_spans(length: int):
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         texts, done = [], []
         for size, payload in zip(rows["size"], rows["payload"]):
             settled, parts, text = _unpack(payload, size)
             if settled:
-                done.append(tuple(parts))
+                done.append(tuple(parts[:4]))
                 continue
             for column, part in zip(columns, parts):
                 column.append(part)
             texts.append(text)
-        found = [_repeated(columns, b"".join(texts), length)] if texts else []
+        found = [_in_portions(columns, b"".join(texts), length)] if texts else []
         found += done
         keys, hashes, starts, ends = (np.concatenate(c) for c in zip(*found))
         trim()
@@ -423,16 +432,31 @@ def _sorted_spans(length: int):
     return sort
 
 
-def _repeated(columns: list[list[np.ndarray]], text: bytes, length: int) -> tuple[np.ndarray, ...]:
+def _in_portions(columns: list[list[np.ndarray]], text: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """What ``_repeated`` finds, with about ``SORT_BYTES`` of the text sorted at a time."""
+    *entries, portions = (np.concatenate(c) for c in columns)
+    sizes, data = entries[3], np.frombuffer(text, np.uint8)
+    held = np.bincount(portions, sizes, PORTIONS)
+    turn = (np.cumsum(held) - held).astype(np.int64) // SORT_BYTES
+    if turn[-1] == 0:
+        return _repeated(entries, data, length)
+    turns, found = turn[portions], []
+    for now in np.unique(turns):
+        mine = turns == now
+        found.append(_repeated([e[mine] for e in entries], data[np.repeat(mine, sizes)], length))
+    return _joined(*map(np.concatenate, zip(*found)))
+
+
+def _repeated(entries: list[np.ndarray], text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """The windows that a smaller key has too, merged to spans ``(key, hash, start, end)``."""
-    keys, hashes, starts, sizes = (np.concatenate(c) for c in columns)
+    keys, hashes, starts, sizes = entries
     # A separator follows each stretch, so that none runs on into the next.
     data = np.full(len(text) + len(sizes) + MARGIN + length, SEPARATOR, np.uint8)
     begins = np.cumsum(sizes + 1) - sizes - 1
     count = sizes - length + 1
     body = np.ones(len(text) + len(sizes), bool)
     body[begins + sizes] = False
-    data[: len(body)][body] = np.frombuffer(text, np.uint8)
+    data[: len(body)][body] = text
     stretch = np.repeat(np.arange(len(sizes)), count)
     inside = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
     wanted = begins[stretch] + inside
@@ -450,13 +474,17 @@ def _repeated(columns: list[list[np.ndarray]], text: bytes, length: int) -> tupl
 
 
 def _joined(keys, hashes, starts, ends) -> tuple[np.ndarray, ...]:
-    """Spans by key and hash, with runs of overlapping ones of equal length joined."""
+    """Spans by key and hash, with runs of overlapping ones joined."""
     order = np.lexsort((starts, hashes, keys))
     keys, hashes, starts, ends = keys[order], hashes[order], starts[order], ends[order]
     new = np.ones(len(keys), bool)
     if len(keys):
         same = (keys[1:] == keys[:-1]) & (hashes[1:] == hashes[:-1])
-        new[1:] = ~(same & (starts[1:] <= ends[:-1]))
+        # The number of the text stands before the place, so that no end reaches the next text.
+        text = np.cumsum(np.append(False, ~same)) << 32
+        reach = np.maximum.accumulate(text | ends)
+        new[1:] = text[1:] | starts[1:] > reach[:-1]
+        ends = reach - text
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(keys))[: len(first)] - 1
     return keys[first], hashes[first], starts[first], ends[last]

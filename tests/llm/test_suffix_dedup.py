@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dataloupe.llm import suffix_array, suffix_dedup
@@ -121,3 +122,39 @@ def test_every_window_has_one_anchor_and_equal_windows_the_same():
             assert of_window.setdefault((text, i), value) is value
             assert anchor.setdefault(texts[text][i : i + 50], value) == value
     assert len(of_window) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_a_large_bin_is_sorted_in_portions(monkeypatch):
+    """Windows of frequent anchors stand alone, so that one bin can get many times its share."""
+    text = "".join(random.Random(4).choices("abcdefgh", k=6000)).encode()
+    keys, texts = np.asarray([3, 5, 8]), [text[:4000], text[1000:], text]
+    prints = [suffix_dedup._text_hash(t) for t in texts]
+    owner = np.repeat(np.arange(3), [len(t) - 49 for t in texts])
+    start = np.concatenate([np.arange(len(t) - 49) for t in texts])
+    alone = np.ones(len(owner), bool)
+    batches = [
+        suffix_dedup._window_rows(
+            keys, texts, prints, owner[m], start[m], alone[m].astype(int), owner[m], alone[m], 50, 1, []
+        )
+        for m in (owner == i for i in range(3))
+    ]
+    rows = pa.Table.from_batches(batches).to_pandas()
+
+    def spans():
+        frame = suffix_dedup._sorted_spans(50)(rows)
+        return [
+            (key, np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist())
+            for key, a, b in zip(frame["key"], frame["starts"], frame["ends"])
+        ]
+
+    assert spans() == [(5, [0], [3000]), (8, [0], [6000])]
+    sort, sorted_at_once = suffix_dedup.sort_windows, []
+
+    def counted(data, wanted, depth):
+        sorted_at_once.append(len(data))
+        return sort(data, wanted, depth)
+
+    monkeypatch.setattr(suffix_dedup, "sort_windows", counted)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 100_000)
+    assert spans() == [(5, [0], [3000]), (8, [0], [6000])]
+    assert len(sorted_at_once) > 3 and max(sorted_at_once) < 150_000 < rows["size"].sum()
