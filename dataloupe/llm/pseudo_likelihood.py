@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
 from dataloupe.llm.frames import forget, others, ship, slices, unused, written
-from dataloupe.llm.words import mixed, word_hashes, words
+from dataloupe.llm.words import hashes_of_texts, mixed
 
 
 COUNT_BYTES = 24 << 20  # texts whose words a task counts at a time
+HASH_CHARS = 1 << 19  # of texts whose words are hashed at a time, or one longer text
+BLOCK = 256  # rows whose logits are worked on at a time, so that they stay in a core's cache
+LARGEST = 40.0  # logits up to which the exponentials of all classes and their sum are far inside a float
 
 
 @dataclass(frozen=True)
@@ -93,15 +96,34 @@ def buckets(hashes: np.ndarray, settings: Settings) -> np.ndarray:
     return (mixed(hashes) % np.uint64(settings.buckets)).astype(np.int64)
 
 
-def contexts(hashes: np.ndarray, settings: Settings) -> np.ndarray:
-    """For each word the embeddings' rows of the words around it; row 0 is outside the text."""
+def hashed(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes of texts in order, many texts at a time, with the number of words of each."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= HASH_CHARS:
+            yield hashes_of_texts(held)
+            held, size = [], 0
+    if held:
+        yield hashes_of_texts(held)
+
+
+def contexts(
+    hashes: np.ndarray, settings: Settings, counts: np.ndarray | None = None,
+    chosen: np.ndarray | slice = slice(None),
+) -> np.ndarray:
+    """For each word, or the ``chosen`` ones, the embeddings' rows of the words around it; row 0 is
+    outside the text. ``counts`` has the words of each text, if there are several."""
     w = settings.window
-    rows = np.zeros(len(hashes) + 2 * w, np.int64)
-    rows[w : len(hashes) + w] = 1 + mixed(hashes + np.uint64(1 << 40)) % np.uint64(
-        settings.inputs - 1
-    )
-    sides = [i for i in range(2 * w + 1) if i != w]
-    return np.stack([rows[i : i + len(hashes)] for i in sides], axis=1)
+    counts = np.asarray([len(hashes)]) if counts is None else counts
+    # So many rows of zeros are between two texts that no window reaches both.
+    place = np.arange(len(hashes)) + w * np.repeat(np.arange(1, len(counts) + 1), counts)
+    rows = np.zeros(len(hashes) + w * (len(counts) + 1), np.int64)
+    rows[place] = 1 + mixed(hashes + np.uint64(1 << 40)) % np.uint64(settings.inputs - 1)
+    place = place[chosen]
+    sides = [i for i in range(-w, w + 1) if i]
+    return np.stack([np.take(rows, place + i) for i in sides], axis=1)
 
 
 def targets_of_round(hashes: np.ndarray, turn: int, settings: Settings) -> np.ndarray:
@@ -129,49 +151,89 @@ class Network:
         cuts = np.cumsum(sizes)[:-1]
         self.parts = [p.reshape(s) for p, s in zip(np.split(self.flat, cuts), shapes)]
 
+    @property
+    def last(self) -> np.ndarray:
+        """The weights between the hidden units and the classes; the last row is the biases."""
+        return self.flat[-(self.settings.hidden + 1) * self.settings.classes :].reshape(
+            -1, self.settings.classes
+        )
+
+    def hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the hidden units and a 1 for the biases, and the embeddings looked up."""
+        embedding, inner, inner_bias, *_ = self.parts
+        seen = np.take(embedding, rows.reshape(-1), axis=0).reshape(len(rows), -1)
+        into = seen @ inner
+        into += inner_bias
+        units = np.ones((len(rows), inner.shape[1] + 1), np.float32)
+        np.tanh(into, out=units[:, :-1])
+        return units, seen
+
+    def bounded(self) -> bool:
+        """Whether no logit can be too large to be exponentiated: hidden values are from -1 to 1."""
+        return bool(np.abs(self.last).sum(axis=0).max() <= LARGEST)
+
+    def logits(self, units: np.ndarray, bounded: bool) -> np.ndarray:
+        found = units @ self.last
+        if not bounded:
+            found -= found.max(axis=1, keepdims=True)
+        return found
+
     def log_softmax(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        embedding, inner, inner_bias, outer, outer_bias = self.parts
-        seen = embedding[rows].reshape(len(rows), -1)
-        hidden = np.tanh(seen @ inner + inner_bias)
-        logits = hidden @ outer + outer_bias
-        logits -= logits.max(axis=1, keepdims=True)
+        units, seen = self.hidden(rows)
+        logits = self.logits(units, self.bounded())
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits, hidden, seen
+        return logits, units[:, :-1], seen
 
     def train(self, rows: np.ndarray, kinds: np.ndarray, squares: np.ndarray) -> None:
         """One Adagrad step on a batch; ``squares`` sums the squared gradients."""
         embedding, inner, _, outer, _ = self.parts
-        logits, hidden, seen = self.log_softmax(rows)
-        error = np.exp(logits)
-        error[np.arange(len(rows)), kinds] -= 1
-        error /= len(rows)
-        back = error @ outer.T * (1 - hidden * hidden)
+        units, seen = self.hidden(rows)
+        n, classes, bounded = len(rows), self.settings.classes, self.bounded()
+        ones = np.ones(max(n, classes), np.float32)
+        back, of_last = np.empty((n, outer.shape[0]), np.float32), np.zeros_like(self.last)
+        for at in range(0, n, BLOCK):
+            inside = units[at : at + BLOCK]
+            error = self.logits(inside, bounded)
+            np.exp(error, out=error)
+            sums = error @ ones[:classes]
+            # The errors are left as multiples of the sums, and smaller arrays are divided by them.
+            error.reshape(-1)[np.arange(len(inside)) * classes + kinds[at : at + BLOCK]] -= sums
+            share = (1 / (n * sums))[:, None]
+            np.multiply(error @ outer.T, share, out=back[at : at + BLOCK])
+            of_last += (inside * share).T @ error
+        hidden = units[:, :-1]
+        back *= 1 - hidden * hidden
         into = (back @ inner.T).reshape(-1, self.settings.width)
         # Only the embeddings that were looked up have a gradient.
         places = rows.reshape(-1)
-        order = np.argsort(places, kind="stable")
-        touched, starts = np.unique(places[order], return_index=True)
-        looked_up = np.add.reduceat(into[order], starts, axis=0)
+        narrow = self.settings.inputs <= 1 << 16  # short integers are sorted by their bytes
+        order = np.argsort(places.astype(np.uint16) if narrow else places, kind="stable")
+        places = places[order]
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        touched = places[starts]
+        looked_up = np.add.reduceat(np.take(into, order, axis=0), starts, axis=0)
         rate, cut = self.settings.rate, embedding.size
         past = squares[:cut].reshape(embedding.shape)
-        past[touched] += looked_up * looked_up
-        dense = (seen.T @ back, back.sum(0), hidden.T @ error, error.sum(0))
+        summed = np.take(past, touched, axis=0) + looked_up * looked_up
+        past[touched] = summed
+        dense = (seen.T @ back, ones[:n] @ back, of_last)
         gradient = np.concatenate([g.reshape(-1) for g in dense])
         squares[cut:] += gradient * gradient
-        embedding[touched] -= rate * looked_up / (np.sqrt(past[touched]) + 1e-6)
+        embedding[touched] -= rate * looked_up / (np.sqrt(summed) + 1e-6)
         self.flat[cut:] -= rate * gradient / (np.sqrt(squares[cut:]) + 1e-6)
 
-    def score(self, hashes: np.ndarray, vocabulary: Vocabulary, rows_at_once: int = 4096) -> float:
-        """The sum over a text of the log-probability of each word given those around it."""
-        if not len(hashes):
-            return 0.0
-        kinds, inside = vocabulary.targets(hashes)
-        rows, total = contexts(hashes, self.settings), float(inside.sum())
-        for at in range(0, len(hashes), rows_at_once):
-            logits, _, _ = self.log_softmax(rows[at : at + rows_at_once])
-            here = kinds[at : at + rows_at_once]
-            total += float(logits[np.arange(len(here)), here].sum(dtype=np.float64))
-        return total
+    def scores(self, hashes: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """The log-probability of each word of several texts given those around it."""
+        kinds, found = vocabulary.targets(hashes)
+        rows, bounded = contexts(hashes, self.settings, counts), self.bounded()
+        classes = self.settings.classes
+        ones = np.ones(classes, np.float32)
+        for at in range(0, len(hashes), BLOCK):
+            logits = self.logits(self.hidden(rows[at : at + BLOCK])[0], bounded)
+            own = logits.reshape(-1)[np.arange(len(logits)) * classes + kinds[at : at + BLOCK]]
+            sums = np.exp(logits, out=logits) @ ones
+            found[at : at + BLOCK] += own - np.log(sums, dtype=np.float64)
+        return found
 
 
 @dataclass(frozen=True)
@@ -193,7 +255,7 @@ def count_words(docs: DataFrame, text: str, settings: Settings) -> Vocabulary:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", COUNT_BYTES):
-            every = [word_hashes(words(t)) for t in batch.column(0).to_pylist()]
+            every = [hashes for hashes, _ in hashed(batch.column(0).to_pylist())]
             found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *every]), return_counts=True)
             arrays = [pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, ["word", "n"])
@@ -257,13 +319,16 @@ def _train_task(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
     # The first word of a document depends on the document only, so that the rounds between them
     # take every place of a text, whatever the order of documents.
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            hashes = word_hashes(words(text))
-            chosen = targets_of_round(hashes, turn, settings)
+        for hashes, counts in hashed(batch.column(0).to_pylist()):
+            ends = np.cumsum(counts).tolist()
+            texts = zip(ends, counts.tolist())
+            chosen = np.concatenate(
+                [b - k + targets_of_round(hashes[b - k : b], turn, settings) for b, k in texts]
+            )
             if not len(chosen):
                 continue
-            rows.append(contexts(hashes, settings)[chosen])
-            kinds.append(vocabulary.targets(hashes)[0][chosen])
+            rows.append(contexts(hashes, settings, counts, chosen))
+            kinds.append(vocabulary.targets(hashes[chosen])[0])
             held += len(chosen)
             n += len(chosen)
             if held >= settings.batch:
@@ -309,14 +374,14 @@ def with_pseudo_likelihood(
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         network, vocabulary = sent.value.network, sent.value.vocabulary
         for texts in batches:
-            hashed = [word_hashes(words(t)) for t in texts]
+            sums, sizes = [np.empty(0)], [np.empty(0, np.int64)]
+            for hashes, counts in hashed(texts):
+                owner = np.repeat(np.arange(len(counts)), counts)
+                each = network.scores(hashes, counts, vocabulary)
+                sums.append(np.bincount(owner, each, len(counts)))
+                sizes.append(counts)
             yield pd.DataFrame(
-                {
-                    "log_likelihood": np.array(
-                        [network.score(h, vocabulary) for h in hashed], np.float64
-                    ),
-                    "n_words": np.array([len(h) for h in hashed], np.int64),
-                }
+                {"log_likelihood": np.concatenate(sums), "n_words": np.concatenate(sizes)}
             )
 
     both = unused(docs, "score")

@@ -11,6 +11,18 @@ _TABLE = bytes(
     b if b > 127 or chr(b).isalnum() else 32 for b in range(256)
 )
 
+SHORT = 24
+
+
+def _crc_table() -> np.ndarray:
+    values = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        values = np.where(values & 1, values >> 1 ^ np.uint32(0xEDB88320), values >> 1)
+    return values
+
+
+_CRC = _crc_table()
+
 
 def words(text: str | None) -> list[bytes]:
     """The lower-cased words of a text: what is left between ASCII punctuation and white space."""
@@ -22,6 +34,38 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(crc32, found), np.uint64, len(found))
 
 
+def hashes_of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``word_hashes`` of all words of several texts, and how many words each text has.
+
+    CRC-32 goes through the first byte of all words at once, then through the second one, and so
+    on. Words of more than ``SHORT`` bytes are hashed one by one.
+    """
+    found = [(t or "").lower().encode().translate(_TABLE) for t in texts]
+    whole = b" ".join([b"", *found, b""])
+    data = np.frombuffer(whole, np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    order = np.argsort((255 - np.minimum(sizes, 255)).astype(np.uint8), kind="stable")
+    first, ordered = starts[order], sizes[order]
+    longer = len(sizes) - np.cumsum(np.bincount(np.minimum(sizes, SHORT + 1), minlength=SHORT + 2))
+    sums = np.full(len(sizes), 0xFFFFFFFF, np.uint32)
+    for at, n in enumerate(longer[:SHORT].tolist()):  # n words have more than ``at`` bytes
+        if not n:
+            break
+        part = sums[:n]
+        place = np.take(data, first[:n] + at) ^ part.astype(np.uint8)
+        part >>= np.uint32(8)
+        part ^= np.take(_CRC, place)
+    sums ^= np.uint32(0xFFFFFFFF)
+    for i in range(int(longer[SHORT])):
+        sums[i] = crc32(whole[first[i] : first[i] + ordered[i]])
+    hashes = np.empty(len(sizes), np.uint64)
+    hashes[order] = sums
+    bounds = np.cumsum([1, *(len(x) + 1 for x in found)])
+    return hashes, np.diff(np.searchsorted(starts, bounds))
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixing (the finaliser of SplitMix64)."""
     values = (values ^ values >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)

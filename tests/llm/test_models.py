@@ -5,8 +5,8 @@ import pyspark.sql.functions as F
 import pytest
 
 from dataloupe.llm import pseudo_likelihood, toxicity
-from dataloupe.llm.words import word_hashes, words
-from llm.conftest import DATA, prose
+from dataloupe.llm.words import hashes_of_texts, word_hashes, words
+from llm.conftest import DATA, ODD_TEXTS, prose
 
 SMALL = pseudo_likelihood.Settings(
     inputs=257, width=4, hidden=8, frequent=12, hashed=4, buckets=256, stride=1, batch=64
@@ -182,3 +182,35 @@ def test_every_word_is_a_target_once():
         assert sorted(np.concatenate(rounds).tolist()) == list(range(len(hashes)))
     with pytest.raises(ValueError):
         pseudo_likelihood.Settings(rounds=2, stride=16)
+
+
+def test_words_of_many_texts_are_hashed_together():
+    texts = [*ODD_TEXTS, *(prose(i, 40) for i in range(30)), "ΟΔΟΣ", "Σ", "a" * 23 + " " + "b" * 24 + " " + "c" * 25]
+    hashes, counts = hashes_of_texts(texts)
+    each = [word_hashes(words(t)) for t in texts]
+    assert counts.tolist() == [len(h) for h in each]
+    assert hashes.tolist() == np.concatenate(each).tolist() and hashes.dtype == each[0].dtype
+    for none in ([], [None], ["", "-"]):
+        hashes, counts = hashes_of_texts(none)
+        assert len(hashes) == 0 and counts.tolist() == [0] * len(none)
+
+
+def test_no_window_reaches_another_text():
+    settings = pseudo_likelihood.Settings()
+    hashes, counts = hashes_of_texts(["a b c", "", "d", None, "e f", "g h i j k"])
+    ends = np.cumsum(counts)
+    each = [pseudo_likelihood.contexts(hashes[b - n : b], settings) for b, n in zip(ends, counts)]
+    together = pseudo_likelihood.contexts(hashes, settings, counts)
+    assert together.tolist() == np.concatenate(each).tolist()
+    assert pseudo_likelihood.contexts(hashes, settings, counts, np.asarray([1, 4])).tolist() == together[[1, 4]].tolist()
+
+
+def test_large_logits_are_scored():
+    network = pseudo_likelihood.Network(SMALL)
+    hashes, counts = hashes_of_texts([prose(1, 30)])
+    empty = pseudo_likelihood.Vocabulary(SMALL, b"", np.zeros(SMALL.buckets, np.int64).tobytes())
+    assert network.bounded()
+    before = network.scores(hashes, counts, empty)
+    network.parts[-1][:] += 1000  # the same for each class, which changes no probability
+    assert not network.bounded()
+    assert np.allclose(network.scores(hashes, counts, empty), before, atol=1e-3)
