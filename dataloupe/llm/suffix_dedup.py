@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -341,24 +340,25 @@ def _window_rows(
     ends = start + count + length - 1
     seen: dict[bytes, int] = {}
     sent: dict[int, list[tuple]] = {}
-    spread = mixed(values.astype(np.uint64))
+    rest, spread = np.divmod(mixed(values.astype(np.uint64)), np.uint64(bins))
+    portions = (rest % np.uint64(PORTIONS)).astype(np.uint8)
     key_of = keys.tolist()
-    columns = (owner.tolist(), start.tolist(), ends.tolist(), spread.tolist(), split.tolist())
-    for i, a, b, place, alone in zip(*columns):
+    columns = (owner, start, ends, spread, portions, split)
+    for i, a, b, place, portion, alone in zip(*(c.tolist() for c in columns)):
         stretch = texts[i][a:b]
         if seen.setdefault(stretch, i) != i and key_of[seen[stretch]] < key_of[i]:
             settled.append((i, a, b))
             continue
         if alone:
-            place = _text_hash(stretch)
-        sent.setdefault(place % bins, []).append((place // bins % PORTIONS, i, a, stretch))
+            portion, place = divmod(_text_hash(stretch), bins)
+            portion %= PORTIONS
+        sent.setdefault(place, []).append((i, a, portion, stretch))
     rows = []
     for place, entries in sent.items():
-        entries.sort(key=itemgetter(0))
-        text = b"".join(stretch for *_, stretch in entries)
-        sized = [(i, a, len(stretch)) for _, i, a, stretch in entries]
-        portions = np.asarray([portion for portion, *_ in entries], np.uint8)
-        rows.append((place, *_packed(sized, key_of, hashes, portions, text, False)))
+        text = b"".join([stretch for *_, stretch in entries])
+        sized = [(i, a, len(stretch)) for i, a, _, stretch in entries]
+        of_entries = np.asarray([portion for *_, portion, _ in entries], np.uint8)
+        rows.append((place, *_packed(sized, key_of, hashes, of_entries, text, False)))
     if settled:
         merged = _merged(settled)
         none = np.zeros(len(merged), np.uint8)
