@@ -18,7 +18,7 @@ from dataloupe.llm.words import hashes_of_texts, mixed
 
 COUNT_BYTES = 24 << 20  # texts whose words a task counts at a time
 HASH_CHARS = 1 << 19  # of texts whose words are hashed at a time, or one longer text
-BLOCK = 256  # rows whose logits are worked on at a time, so that they stay in a core's cache
+BLOCK = 1024  # rows whose logits are worked on at a time
 LARGEST = 40.0  # logits up to which the exponentials of all classes and their sum are far inside a float
 
 
@@ -150,6 +150,15 @@ class Network:
         self.flat = np.array(flat, np.float32)
         cuts = np.cumsum(sizes)[:-1]
         self.parts = [p.reshape(s) for p, s in zip(np.split(self.flat, cuts), shapes)]
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, rows: int, width: int, kind: type = np.float32) -> np.ndarray:
+        """An array that the next call with this name gets again, as memory that is asked for anew for
+        every block costs time. It is not cleared."""
+        held = self.rooms.get(name)
+        if held is None or len(held) < rows:
+            held = self.rooms[name] = np.empty((rows, width), kind)
+        return held[:rows]
 
     @property
     def last(self) -> np.ndarray:
@@ -159,21 +168,26 @@ class Network:
         )
 
     def hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values of the hidden units and a 1 for the biases, and the embeddings looked up."""
+        """The values of the hidden units and a 1 for the biases, and the embeddings looked up; the
+        next call overwrites them."""
         embedding, inner, inner_bias, *_ = self.parts
-        seen = np.take(embedding, rows.reshape(-1), axis=0).reshape(len(rows), -1)
-        into = seen @ inner
+        n, units = len(rows), inner.shape[1]
+        seen = self.room("seen", rows.size, embedding.shape[1])
+        np.take(embedding, rows.reshape(-1), axis=0, out=seen, mode="clip")  # the default mode copies
+        seen = seen.reshape(n, -1)
+        into = np.matmul(seen, inner, out=self.room("into", n, units))
         into += inner_bias
-        units = np.ones((len(rows), inner.shape[1] + 1), np.float32)
-        np.tanh(into, out=units[:, :-1])
-        return units, seen
+        found = self.room("units", n, units + 1)
+        found[:, -1] = 1
+        np.tanh(into, out=found[:, :-1])
+        return found, seen
 
     def bounded(self) -> bool:
         """Whether no logit can be too large to be exponentiated: hidden values are from -1 to 1."""
         return bool(np.abs(self.last).sum(axis=0).max() <= LARGEST)
 
     def logits(self, units: np.ndarray, bounded: bool) -> np.ndarray:
-        found = units @ self.last
+        found = np.matmul(units, self.last, out=self.room("logits", len(units), self.settings.classes))
         if not bounded:
             found -= found.max(axis=1, keepdims=True)
         return found
@@ -181,7 +195,7 @@ class Network:
     def log_softmax(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         units, seen = self.hidden(rows)
         logits = self.logits(units, self.bounded())
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logits, units[:, :-1], seen
 
     def train(self, rows: np.ndarray, kinds: np.ndarray, squares: np.ndarray) -> None:
@@ -190,49 +204,70 @@ class Network:
         units, seen = self.hidden(rows)
         n, classes, bounded = len(rows), self.settings.classes, self.bounded()
         ones = np.ones(max(n, classes), np.float32)
-        back, of_last = np.empty((n, outer.shape[0]), np.float32), np.zeros_like(self.last)
+        back, of_last = self.room("back", n, outer.shape[0]), np.zeros_like(self.last.T)
+        own = np.arange(0, min(n, BLOCK) * classes, classes)
         for at in range(0, n, BLOCK):
-            inside = units[at : at + BLOCK]
+            here = slice(at, at + BLOCK)
+            inside = units[here]
             error = self.logits(inside, bounded)
             np.exp(error, out=error)
             sums = error @ ones[:classes]
             # The errors are left as multiples of the sums, and smaller arrays are divided by them.
-            error.reshape(-1)[np.arange(len(inside)) * classes + kinds[at : at + BLOCK]] -= sums
+            error.reshape(-1)[own[: len(inside)] + kinds[here]] -= sums
             share = (1 / (n * sums))[:, None]
-            np.multiply(error @ outer.T, share, out=back[at : at + BLOCK])
-            of_last += (inside * share).T @ error
+            np.matmul(error, outer.T, out=back[here])
+            back[here] *= share
+            of_last += error.T @ (inside * share)
         hidden = units[:, :-1]
         back *= 1 - hidden * hidden
-        into = (back @ inner.T).reshape(-1, self.settings.width)
-        # Only the embeddings that were looked up have a gradient.
-        places = rows.reshape(-1)
-        narrow = self.settings.inputs <= 1 << 16  # short integers are sorted by their bytes
-        order = np.argsort(places.astype(np.uint16) if narrow else places, kind="stable")
-        places = places[order]
-        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-        touched = places[starts]
-        looked_up = np.add.reduceat(np.take(into, order, axis=0), starts, axis=0)
+        into = np.matmul(back, inner.T, out=self.room("of_seen", n, inner.shape[0]))
+        touched, looked_up = self.of_embeddings(rows.reshape(-1), into)
         rate, cut = self.settings.rate, embedding.size
         past = squares[:cut].reshape(embedding.shape)
-        summed = np.take(past, touched, axis=0) + looked_up * looked_up
+        summed = np.take(past, touched, axis=0)
+        summed += looked_up * looked_up
         past[touched] = summed
-        dense = (seen.T @ back, ones[:n] @ back, of_last)
+        looked_up *= rate
+        looked_up /= np.sqrt(summed, out=summed) + 1e-6
+        embedding[touched] = np.take(embedding, touched, axis=0) - looked_up
+        dense = (seen.T @ back, ones[:n] @ back, of_last.T)
         gradient = np.concatenate([g.reshape(-1) for g in dense])
         squares[cut:] += gradient * gradient
-        embedding[touched] -= rate * looked_up / (np.sqrt(summed) + 1e-6)
-        self.flat[cut:] -= rate * gradient / (np.sqrt(squares[cut:]) + 1e-6)
+        gradient *= rate
+        gradient /= np.sqrt(squares[cut:]) + 1e-6
+        self.flat[cut:] -= gradient
+
+    def of_embeddings(self, places: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings that were looked up at ``places``, the only ones with a gradient, and
+        the gradient of each, summed over its places."""
+        inputs, width = self.settings.inputs, self.settings.width
+        seen = np.zeros(inputs, bool)
+        seen[places] = True
+        touched = np.flatnonzero(seen)
+        index = np.empty(inputs, np.int64)
+        index[touched] = np.arange(len(touched))
+        # A complex number is two floats that are added at once.
+        kind, lanes = (np.complex64, width // 2) if width % 2 == 0 else (np.float32, width)
+        every = np.arange(len(touched) * lanes).reshape(-1, lanes)
+        each = self.room("each", len(places), lanes, np.int64)
+        np.take(every, np.take(index, places), axis=0, out=each, mode="clip")
+        summed = np.zeros((len(touched), width), np.float32)
+        np.add.at(summed.reshape(-1).view(kind), each.reshape(-1), into.reshape(-1).view(kind))
+        return touched, summed
 
     def scores(self, hashes: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """The log-probability of each word of several texts given those around it."""
         kinds, found = vocabulary.targets(hashes)
         rows, bounded = contexts(hashes, self.settings, counts), self.bounded()
         classes = self.settings.classes
-        ones = np.ones(classes, np.float32)
+        ones, sums = np.ones(classes, np.float32), np.empty(len(hashes), np.float32)
+        first = np.arange(0, BLOCK * classes, classes)
         for at in range(0, len(hashes), BLOCK):
-            logits = self.logits(self.hidden(rows[at : at + BLOCK])[0], bounded)
-            own = logits.reshape(-1)[np.arange(len(logits)) * classes + kinds[at : at + BLOCK]]
-            sums = np.exp(logits, out=logits) @ ones
-            found[at : at + BLOCK] += own - np.log(sums, dtype=np.float64)
+            here = slice(at, at + BLOCK)
+            logits = self.logits(self.hidden(rows[here])[0], bounded)
+            found[here] += np.take(logits.reshape(-1), first[: len(logits)] + kinds[here])
+            np.matmul(np.exp(logits, out=logits), ones, out=sums[here])
+        found -= np.log(sums, dtype=np.float64)
         return found
 
 

@@ -11,6 +11,9 @@ _TABLE = bytes(
     b if b > 127 or chr(b).isalnum() else 32 for b in range(256)
 )
 
+# The same, with lower-case letters for A to Z.
+_LOWER = _TABLE.lower()
+
 SHORT = 24
 
 
@@ -24,6 +27,11 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
+def _split(text: str) -> bytes:
+    """The bytes of a text's lower-cased words with spaces for all other characters."""
+    return text.encode().translate(_LOWER) if text.isascii() else text.lower().encode().translate(_TABLE)
+
+
 def words(text: str | None) -> list[bytes]:
     """The lower-cased words of a text: what is left between ASCII punctuation and white space."""
     return (text or "").lower().encode().translate(_TABLE).split()
@@ -40,26 +48,28 @@ def hashes_of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     CRC-32 goes through the first byte of all words at once, then through the second one, and so
     on. Words of more than ``SHORT`` bytes are hashed one by one.
     """
-    found = [(t or "").lower().encode().translate(_TABLE) for t in texts]
+    found = [_split(t or "") for t in texts]
     whole = b" ".join([b"", *found, b""])
     data = np.frombuffer(whole, np.uint8)
-    inside = data != 32
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
-    order = np.argsort((255 - np.minimum(sizes, 255)).astype(np.uint8), kind="stable")
-    first, ordered = starts[order], sizes[order]
-    longer = len(sizes) - np.cumsum(np.bincount(np.minimum(sizes, SHORT + 1), minlength=SHORT + 2))
+    spaces = np.flatnonzero(data == 32)
+    gaps = np.diff(spaces)
+    some = np.flatnonzero(gaps > 1)
+    starts, sizes = np.take(spaces, some) + 1, np.take(gaps, some) - 1
+    short = np.minimum(sizes, SHORT + 1).astype(np.uint8)
+    order = np.argsort(np.uint8(SHORT + 1) - short, kind="stable")
+    first = np.take(starts, order)
+    longer = len(sizes) - np.cumsum(np.bincount(short, minlength=SHORT + 2))
     sums = np.full(len(sizes), 0xFFFFFFFF, np.uint32)
     for at, n in enumerate(longer[:SHORT].tolist()):  # n words have more than ``at`` bytes
         if not n:
             break
         part = sums[:n]
-        place = np.take(data, first[:n] + at) ^ part.astype(np.uint8)
+        place = np.take(data[at:], first[:n]) ^ part.astype(np.uint8)
         part >>= np.uint32(8)
         part ^= np.take(_CRC, place)
     sums ^= np.uint32(0xFFFFFFFF)
     for i in range(int(longer[SHORT])):
-        sums[i] = crc32(whole[first[i] : first[i] + ordered[i]])
+        sums[i] = crc32(whole[first[i] : first[i] + sizes[order[i]]])
     hashes = np.empty(len(sizes), np.uint64)
     hashes[order] = sums
     bounds = np.cumsum([1, *(len(x) + 1 for x in found)])

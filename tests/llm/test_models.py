@@ -1,3 +1,4 @@
+from dataclasses import replace
 from zlib import crc32
 
 import numpy as np
@@ -214,3 +215,55 @@ def test_large_logits_are_scored():
     network.parts[-1][:] += 1000  # the same for each class, which changes no probability
     assert not network.bounded()
     assert np.allclose(network.scores(hashes, counts, empty), before, atol=1e-3)
+
+
+def test_training_steps_keep_their_memory():
+    """A step after the first one asks for no second array of logits or of looked-up embeddings."""
+    settings = pseudo_likelihood.Settings()
+    network, random = pseudo_likelihood.Network(settings), np.random.default_rng(4)
+    squares = np.full(len(network.flat), 1e-4, np.float32)
+    rows = random.integers(0, settings.inputs, (2, settings.batch, 2 * settings.window))
+    kinds = random.integers(0, settings.classes, (2, settings.batch))
+    network.train(rows[0], kinds[0], squares)
+    kept = {name: held.ctypes.data for name, held in network.rooms.items()}
+    network.train(rows[1], kinds[1], squares)
+    assert {name: held.ctypes.data for name, held in network.rooms.items()} == kept
+    assert {"logits", "seen"} <= set(kept)
+
+
+@pytest.mark.parametrize("width", [3, 4])
+def test_embedding_gradients_are_summed_by_place(width):
+    settings = replace(SMALL, width=width)
+    random = np.random.default_rng(5)
+    places = np.minimum(random.integers(0, 400, 300), settings.inputs - 1)  # many are equal
+    into = random.normal(size=(300, width)).astype(np.float32)
+    touched, found = pseudo_likelihood.Network(settings).of_embeddings(places, into)
+    expected = np.zeros((settings.inputs, width))
+    np.add.at(expected, places, into)
+    assert touched.tolist() == sorted(set(places.tolist()))
+    assert np.allclose(found, expected[touched], atol=1e-4)
+
+
+def test_blocks_do_not_change_a_step_or_scores(monkeypatch):
+    random = np.random.default_rng(6)
+    rows, kinds = random.integers(0, SMALL.inputs, (50, 4)), random.integers(0, SMALL.classes, 50)
+    hashes, counts = hashes_of_texts([prose(2, 40), "", prose(3, 25)])
+    plain = pseudo_likelihood.Vocabulary(SMALL, b"", np.zeros(SMALL.buckets, np.int64).tobytes())
+    found = []
+    for block in (1024, 50, 7):
+        monkeypatch.setattr(pseudo_likelihood, "BLOCK", block)
+        network = pseudo_likelihood.Network(SMALL)
+        for n in (50, 20, 50):
+            network.train(rows[:n], kinds[:n], np.full(len(network.flat), 1e-4, np.float32))
+        found.append((network.flat, network.scores(hashes, counts, plain)))
+    for flat, scores in found[1:]:
+        assert np.allclose(flat, found[0][0], atol=1e-4)
+        assert np.allclose(scores, found[0][1], atol=1e-3)
+
+
+def test_case_is_lowered_alike_in_ascii_and_other_texts():
+    texts = ["".join(map(chr, range(128))), "AZaz09 É K İ ß", "A" * 24 + " " + "B" * 25 + " Z", " x  Y ", None]
+    hashes, counts = hashes_of_texts(texts)
+    each = [word_hashes(words(t)) for t in texts]
+    assert counts.tolist() == [len(h) for h in each]
+    assert hashes.tolist() == np.concatenate(each).tolist()
