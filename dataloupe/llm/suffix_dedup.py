@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dataloupe.functions.columns import col, require_columns
 from dataloupe.llm.frames import input_bytes, others, ship, slices, trim, unused, written
-from dataloupe.llm.suffix_array import MARGIN, same_as_before, sort_windows
+from dataloupe.llm.suffix_array import MARGIN, place_type, same_as_before, sort_windows
 from dataloupe.llm.words import mixed
 
 TASK_BYTES = 12 << 20  # text that a task packs at a time
@@ -408,7 +408,9 @@ def _unpack(payload: bytes, size: int) -> tuple[bool, list[np.ndarray], bytes]:
         columns.append(np.frombuffer(whole, kind, count, at))
         at += columns[-1].nbytes
     keys, hashes, place, starts, third, portions = columns
-    return bool(settled), [keys[place], hashes[place], starts, third.astype(np.int64), portions], whole[at:]
+    # Copies, as a view of the bytes would keep all of them.
+    parts = [keys[place], hashes[place], starts.copy(), third.astype(np.int64), portions.copy()]
+    return bool(settled), parts, whole[at:]
 
 
 def _sorted_spans(length: int):
@@ -423,7 +425,7 @@ def _sorted_spans(length: int):
             for column, part in zip(columns, parts):
                 column.append(part)
             texts.append(text)
-        found = [_in_portions(columns, b"".join(texts), length)] if texts else []
+        found = [_in_portions(columns, texts, length)] if texts else []
         found += done
         keys, hashes, starts, ends = (np.concatenate(c) for c in zip(*found))
         trim()
@@ -432,9 +434,12 @@ def _sorted_spans(length: int):
     return sort
 
 
-def _in_portions(columns: list[list[np.ndarray]], text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """What ``_repeated`` finds, with about ``SORT_BYTES`` of the text sorted at a time."""
+def _in_portions(columns: list[list[np.ndarray]], texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """What ``_repeated`` finds, with about ``SORT_BYTES`` of the text sorted at a time. The lists
+    are emptied, so that nothing is held twice."""
     *entries, portions = (np.concatenate(c) for c in columns)
+    text = b"".join(texts)
+    columns.clear(), texts.clear()
     sizes, data = entries[3], np.frombuffer(text, np.uint8)
     held = np.bincount(portions, sizes, PORTIONS)
     turn = (np.cumsum(held) - held).astype(np.int64) // SORT_BYTES
@@ -451,26 +456,37 @@ def _repeated(entries: list[np.ndarray], text: np.ndarray, length: int) -> tuple
     """The windows that a smaller key has too, merged to spans ``(key, hash, start, end)``."""
     keys, hashes, starts, sizes = entries
     # A separator follows each stretch, so that none runs on into the next.
-    data = np.full(len(text) + len(sizes) + MARGIN + length, SEPARATOR, np.uint8)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    count = sizes - length + 1
-    body = np.ones(len(text) + len(sizes), bool)
-    body[begins + sizes] = False
-    data[: len(body)][body] = text
-    stretch = np.repeat(np.arange(len(sizes)), count)
-    inside = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
-    wanted = begins[stretch] + inside
-    of_place = np.zeros(len(data), np.int32)
-    of_place[wanted] = stretch
-    order = sort_windows(data, wanted, length)
-    group = np.cumsum(~same_as_before(data, order, length)) - 1
-    owner = of_place[order]
-    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, keys[owner])
-    again = keys[owner] > least[group]
-    owner, place = owner[again], order[again]
-    at = place - begins[owner] + starts[owner]
-    return _joined(keys[owner], hashes[owner], at, at + length)
+    n = len(text) + len(sizes)
+    data = np.full(n + MARGIN + length, SEPARATOR, np.uint8)
+    ends = np.cumsum(sizes + 1) - 1
+    begins = ends - sizes
+    body = np.ones(n, bool)
+    body[ends] = False
+    data[:n][body] = text
+    # The last places of a stretch and its separator begin no window.
+    turns = np.stack([sizes - length + 1, np.full(len(sizes), length)], axis=1).ravel()
+    body = np.repeat(np.tile([True, False], len(sizes)), turns)
+    order = sort_windows(data, np.flatnonzero(body).astype(place_type(len(data))), length)
+    first = np.flatnonzero(~same_as_before(data, order, length))
+    # The rank of a key takes less room than the key.
+    rank = np.unique(keys, return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    ranks = rank[owner[order]]
+    least = np.minimum.reduceat(ranks, first)
+    again = ranks > np.repeat(least, np.diff(np.append(first, len(order))))
+    body[:] = False
+    body[order[again]] = True
+    del order, first, ranks, least, again
+    # Overlapping windows of a stretch are joined here, before their keys and hashes are looked up.
+    place = np.flatnonzero(body).astype(place_type(n))
+    mine = owner[place]
+    new = np.ones(len(place), bool)
+    new[1:] = (mine[1:] != mine[:-1]) | (np.diff(place) > length)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    mine = mine[first]
+    shift = starts[mine] - begins[mine]
+    return _joined(keys[mine], hashes[mine], place[first] + shift, place[last] + shift + length)
 
 
 def _joined(keys, hashes, starts, ends) -> tuple[np.ndarray, ...]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -158,3 +159,48 @@ def test_a_large_bin_is_sorted_in_portions(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 100_000)
     assert spans() == [(5, [0], [3000]), (8, [0], [6000])]
     assert len(sorted_at_once) > 3 and max(sorted_at_once) < 150_000 < rows["size"].sum()
+
+
+@pytest.mark.parametrize("size", [60_000, 50])
+def test_sorting_takes_little_memory_beside_its_text(size):
+    """A frequent passage makes nearly all windows of a bin repeats, in long stretches or one by one."""
+    text = "".join(random.Random(5).choices("abcdefgh", k=60_000)).encode()
+    starts = np.arange(0, 1_000_000, size) % len(text)
+    keys = np.arange(len(starts))
+    data = np.frombuffer(b"".join([text[a : a + size] for a in starts.tolist()]), np.uint8)
+    sizes = np.full(len(starts), size)
+    tracemalloc.start()
+    found = suffix_dedup._repeated([keys, keys, starts, sizes], data, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    again = np.arange(len(text) // size, len(starts))
+    assert found[0].tolist() == keys[again].tolist()
+    assert found[2].tolist() == starts[again].tolist() and set(found[3] - found[2]) == {size}
+    assert peak < 25 * len(data)
+
+
+def test_spans_of_stretches_are_those_of_their_windows():
+    """Windows that touch or overlap are one span, across stretches of one text as well."""
+    random_ = random.Random(6)
+    for _ in range(30):
+        text = "".join(random_.choices("ab", k=400)).encode()
+        sizes = [random_.randint(20, 90) for _ in range(12)]
+        entries = [(random_.randint(0, 3), random_.randint(0, 300), n) for n in sizes]
+        stretches = [text[a : a + n] for _, a, n in entries]
+        first, masks = {}, {}
+        for (key, _, _), s in zip(entries, stretches):
+            for i in range(len(s) - 19):
+                first[s[i : i + 20]] = min(key, first.get(s[i : i + 20], key))
+        for (key, a, _), s in zip(entries, stretches):
+            for i in range(len(s) - 19):
+                if first[s[i : i + 20]] < key:
+                    masks.setdefault(key, np.zeros(500, int))[a + i : a + i + 20] = 1
+        wanted = []
+        for key in sorted(masks):
+            edges = np.diff(np.concatenate([[0], masks[key], [0]]))
+            wanted += [(key, a, b) for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))]
+        keys, starts, sizes = (np.asarray(c, np.int64) for c in zip(*entries))
+        sizes = np.asarray([len(s) for s in stretches])
+        data = np.frombuffer(b"".join(stretches), np.uint8)
+        found = suffix_dedup._repeated([keys, keys, starts, sizes], data, 20)
+        assert list(zip(*(found[i].tolist() for i in (0, 2, 3)))) == wanted
