@@ -583,7 +583,9 @@ def with_cut(
     same = (col(key) == col(mine)) & (col(hashed) == col(digest))
     joined = shuffled.select(*map(col, [*rest, hashed, small])).join(found, same, "left")
     place = unused(docs, "cut")
-    cut_ = joined.withColumn(place, apply(col(small), col(starts), col(ends)))
+    # So marked, it is not run once more, in a second worker, for a filter on what it gives.
+    once = apply.asNondeterministic()
+    cut_ = joined.withColumn(place, once(col(small), col(starts), col(ends)))
     shown = {n: col(place)["whole"].alias(n) if n == text else col(n) for n in others(docs, name)}
     if not with_text:
         shown.pop(text, None)

@@ -204,3 +204,12 @@ def test_spans_of_stretches_are_those_of_their_windows():
         data = np.frombuffer(b"".join(stretches), np.uint8)
         found = suffix_dedup._repeated([keys, keys, starts, sizes], data, 20)
         assert list(zip(*(found[i].tolist() for i in (0, 2, 3)))) == wanted
+
+
+def test_a_filter_on_the_cut_texts_does_not_cut_them_twice(corpus):
+    cut = suffix_dedup.with_cut(corpus, suffix_dedup.shared_spans(corpus)).where("kept.n_removed > 0")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [apply(") == 1
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    wanted = order(r for r in expected(rows) if r[2])
+    assert order((r.doc_id, bytes(r.kept.kept), r.kept.n_removed, r.kept.n_spans) for r in cut.collect()) == wanted
